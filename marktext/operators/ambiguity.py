@@ -222,17 +222,18 @@ def lookup_variant_counts(words_df: DataFrame, forms: DataFrame, word_col: str =
 # Character distribution
 # ---------------------------------------------------------------------------
 def char_distribution(texts: DataFrame, k: int = 20, text_col: str = "text",
-                      ordinal: str = "doc_id") -> DataFrame:
-    """The k most frequent characters, ties by first appearance.
+                      ordinal: str = "doc_id", group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The k most frequent characters per group, ties by first appearance.
 
-    ``(rank, ch, codepoint, n)``; partial aggregation per map task bounds the shuffle
-    by the alphabet size, whatever the corpus size.
+    ``(group..., rank, ch, codepoint, n)``.  Partial aggregation per map task bounds the
+    shuffle by the alphabet size, whatever the corpus size; the per-group top-k window
+    then runs over at most (groups x alphabet) rows.
     """
-    exploded = texts.select(F.col(ordinal).alias("doc_id"),
+    exploded = texts.select(*group_cols, F.col(ordinal).alias("doc_id"),
                             F.posexplode(X.chars(text_col)).alias("pos", "ch"))
-    counts = exploded.groupBy("ch").agg(F.count(F.lit(1)).alias("n"),
-                                        F.min(F.struct("doc_id", "pos")).alias("first"))
-    top = counts.orderBy(F.desc("n"), "first.doc_id", "first.pos").limit(k)
-    w = Window.orderBy(F.desc("n"), "first.doc_id", "first.pos")
-    return top.select(F.row_number().over(w).cast("int").alias("rank"), "ch",
-                      F.ascii("ch").alias("codepoint"), F.col("n").cast("bigint").alias("n"))
+    counts = exploded.groupBy(*group_cols, "ch").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.min(F.struct("doc_id", "pos")).alias("first"))
+    w = Window.partitionBy(*group_cols).orderBy(F.desc("n"), "first.doc_id", "first.pos")
+    ranked = counts.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return ranked.select(*group_cols, "rank", "ch", F.ascii("ch").alias("codepoint"),
+                         F.col("n").cast("bigint").alias("n"))

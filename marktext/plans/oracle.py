@@ -93,6 +93,60 @@ def window_ambiguity_exact(window: int = 128, digits: int = 9) -> str:
         f"round(CASE WHEN n > 0 THEN coalesce(v, 0.0) / n ELSE 0.0 END, {digits}) AS rate FROM n, amb")
 
 
+def atomic_encode() -> str:
+    return _with(G.corpus_ctes()) + f"SELECT doc_id, {G.atomic_encode('vocalized')} AS text FROM corpus"
+
+
+def atomic_roundtrip() -> str:
+    return _with(G.corpus_ctes(), f"e AS (SELECT vocalized, {G.atomic_encode('vocalized')} AS t FROM corpus)") + (
+        f"SELECT CAST(count(*) AS BIGINT) AS docs, "
+        f"CAST(count(*) FILTER (WHERE {G.atomic_decode('t')} = vocalized) AS BIGINT) AS roundtrip_ok, "
+        f"CAST(sum(length(t)) AS BIGINT) AS encoded_chars FROM e")
+
+
+def atomic_unit_histogram() -> str:
+    e = G.atomic_encode("vocalized")
+    return _with(G.corpus_ctes(), f"c AS (SELECT unnest(regexp_extract_all({e}, '(?s).')) AS ch FROM corpus)") + (
+        f"SELECT CAST(unicode(ch) - {G.C.PUA_BASE} AS INTEGER) AS slot, CAST(unicode(ch) AS INTEGER) AS codepoint, "
+        f"{G.atomic_decode('ch')} AS seq, "
+        f"CASE WHEN unicode(ch) - {G.C.PUA_BASE} < {G.C.LONE_BLOCK} THEN substr({G.atomic_decode('ch')}, 1, 1) END AS base, "
+        f"CAST(count(*) AS BIGINT) AS n FROM c "
+        f"WHERE unicode(ch) >= {G.C.PUA_BASE} AND unicode(ch) < {G.C.PUA_BASE + G.C.N_SLOTS} GROUP BY ch")
+
+
+def condition_shards() -> str:
+    return _with(G.corpus_ctes(), G.conditions_cte()) + (
+        "SELECT condition, doc_id, ordinal, split, shard_id FROM shards")
+
+
+def condition_manifest(docs_per_shard: int = 50_000) -> str:
+    ts = f"CAST(ceil(count(*) FILTER (WHERE split = 'train') / {docs_per_shard}) AS INTEGER)"
+    return _with(G.corpus_ctes(), G.conditions_cte()) + (
+        f"SELECT condition, CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS train_docs, "
+        f"CAST(count(*) FILTER (WHERE split = 'val') AS BIGINT) AS val_docs, "
+        f"{ts} AS train_shards, {ts} AS val_shard, printf('shard_%05d.parquet', {ts}) AS val_filename "
+        f"FROM shards GROUP BY condition")
+
+
+def char_distribution(k: int = 20) -> str:
+    return _with(
+        G.corpus_ctes(), G.conditions_cte(),
+        "ex AS (SELECT condition, ordinal, unnest(regexp_extract_all(text, '(?s).')) AS ch, "
+        "unnest(generate_series(0, length(text) - 1)) AS pos FROM shards)",
+        "cnt AS (SELECT condition, ch, count(*) AS n, min(ordinal * 1000000000 + pos) AS first FROM ex "
+        "GROUP BY condition, ch)",
+    ) + (
+        f"SELECT condition, rank, ch, codepoint, n FROM (SELECT condition, "
+        f"CAST(row_number() OVER (PARTITION BY condition ORDER BY n DESC, first) AS INTEGER) AS rank, ch, "
+        f"CAST(unicode(ch) AS INTEGER) AS codepoint, CAST(n AS BIGINT) AS n FROM cnt) WHERE rank <= {k}")
+
+
+def base_letter_total() -> str:
+    return _with(G.corpus_ctes(), G.conditions_cte()) + (
+        f"SELECT CAST(count(*) AS BIGINT) AS docs, CAST(coalesce(sum({G.count_base_letters('text')}), 0) AS BIGINT) "
+        f"AS base_letters FROM shards WHERE condition = 'd1' AND split = 'val'")
+
+
 ORACLE: dict[str, str] = {
     "collision_summary": collision_summary(),
     "collision_summary_strip": collision_summary_strip(),
@@ -101,4 +155,11 @@ ORACLE: dict[str, str] = {
     "top_ambiguous_variants": top_ambiguous_variants(),
     "window_ambiguity_sampled": window_ambiguity_sampled(),
     "window_ambiguity_exact": window_ambiguity_exact(),
+    "atomic_encode": atomic_encode(),
+    "atomic_roundtrip": atomic_roundtrip(),
+    "atomic_unit_histogram": atomic_unit_histogram(),
+    "condition_shards": condition_shards(),
+    "condition_manifest": condition_manifest(),
+    "char_distribution": char_distribution(),
+    "base_letter_total": base_letter_total(),
 }

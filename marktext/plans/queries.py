@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..functions import text as X
 from ..operators import ambiguity as A
+from ..operators import corpus as K
 from ..sources import corpus as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +64,58 @@ def window_ambiguity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.window_ambiguity_exact(corpus, forms, window=128)
 
 
+def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = S.lifted_corpus(spark, sf_dir)
+    out = None
+    for cond in K.CONDITIONS:
+        df = K.build_condition(corpus, cond)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def atomic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the atomic encoding (d3 text before filtering)."""
+    corpus = S.lifted_corpus(spark, sf_dir)
+    return corpus.select("doc_id", X.atomic_encode("vocalized").alias("text"))
+
+
+def atomic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 property over the corpus: decode(encode(x)) == x, counted."""
+    corpus = S.lifted_corpus(spark, sf_dir)
+    dec = X.atomic_decode(X.atomic_encode("vocalized"))
+    return corpus.agg(F.count(F.lit(1)).cast("bigint").alias("docs"),
+                      F.count_if(dec == F.col("vocalized")).cast("bigint").alias("roundtrip_ok"),
+                      F.sum(F.length(X.atomic_encode("vocalized"))).cast("bigint").alias("encoded_chars"))
+
+
+def atomic_unit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 x T3: occurrences of every mapping entry in the encoded corpus."""
+    return K.atomic_unit_histogram(S.lifted_corpus(spark, sf_dir))
+
+
+def condition_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + P2 + W1 + W2 + W3: ordinal, split and shard of every document per condition."""
+    return _conditions(spark, sf_dir).select("condition", "doc_id", "ordinal", "split", "shard_id")
+
+
+def condition_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-condition manifest record."""
+    return K.manifest(_conditions(spark, sf_dir))
+
+
+def char_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-20 characters per condition, ties by first appearance."""
+    conds = _conditions(spark, sf_dir)
+    return A.char_distribution(conds, k=20, text_col="text", ordinal="ordinal",
+                               group_cols=("condition",))
+
+
+def base_letter_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base letters in the D1 validation shard."""
+    d1 = K.build_condition(S.lifted_corpus(spark, sf_dir), "d1")
+    return K.base_letter_total(d1.where(F.col("split") == "val"))
+
+
 QUERIES: dict[str, Query] = {
     "collision_summary": collision_summary,
     "collision_summary_strip": collision_summary_strip,
@@ -68,4 +124,11 @@ QUERIES: dict[str, Query] = {
     "top_ambiguous_variants": top_ambiguous_variants,
     "window_ambiguity_sampled": window_ambiguity_sampled,
     "window_ambiguity_exact": window_ambiguity_exact,
+    "atomic_encode": atomic_encode,
+    "atomic_roundtrip": atomic_roundtrip,
+    "atomic_unit_histogram": atomic_unit_histogram,
+    "condition_shards": condition_shards,
+    "condition_manifest": condition_manifest,
+    "char_distribution": char_distribution,
+    "base_letter_total": base_letter_total,
 }
