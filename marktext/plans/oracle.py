@@ -147,6 +147,55 @@ def base_letter_total() -> str:
         f"AS base_letters FROM shards WHERE condition = 'd1' AND split = 'val'")
 
 
+_EMB_CTES = (
+    "nrm AS (SELECT vec_id, label, embedding, greatest(sqrt(list_sum(list_transform(embedding, "
+    "lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 1e-10) AS norm FROM embeddings), "
+    "comps AS (SELECT label, d, CAST(x AS DOUBLE) / norm AS u FROM (SELECT label, norm, "
+    "unnest(generate_series(0, len(embedding) - 1)) AS d, unnest(embedding) AS x FROM nrm)), "
+    "sums AS (SELECT label, d, sum(u) AS s, sum(u * u) AS q FROM comps GROUP BY label, d), "
+    "pg AS (SELECT label, sum(s * s) AS ss, sum(q) AS qq FROM sums GROUP BY label), "
+    "cnt AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), "
+    "gc AS (SELECT c.label, CAST(c.n AS BIGINT) AS n_vectors, "
+    "round(CASE WHEN c.n >= 2 THEN (ss - qq) / (c.n * (c.n - 1)) END, 9) AS mean_cosine "
+    "FROM cnt c LEFT JOIN pg ON c.label IS NOT DISTINCT FROM pg.label)"
+)
+
+
+def embedding_group_cosine() -> str:
+    return "WITH " + _EMB_CTES + " SELECT label, n_vectors, mean_cosine FROM gc"
+
+
+def embedding_overall_cosine() -> str:
+    return "WITH " + _EMB_CTES + (
+        ", ov AS (SELECT count(*) AS n_groups, coalesce(avg(mean_cosine), 0.0) AS m, "
+        "CASE WHEN count(*) > 1 THEN stddev_samp(mean_cosine) ELSE 0.0 END AS sd FROM gc "
+        "WHERE mean_cosine IS NOT NULL) "
+        "SELECT CAST(n_groups AS BIGINT) AS n_groups, round(m, 9) AS overall_mean, round(sd, 9) AS overall_std, "
+        "CASE WHEN round(m, 9) < 0.15 THEN 'very_low' WHEN round(m, 9) < 0.3 THEN 'low' ELSE 'moderate' END "
+        "AS interpretation FROM ov")
+
+
+def embedding_cosine_to_rest() -> str:
+    return "WITH " + _EMB_CTES + (
+        ", tot AS (SELECT d, sum(s) AS t FROM sums GROUP BY d), nall AS (SELECT count(*) AS n FROM embeddings) "
+        "SELECT s.label, round(CASE WHEN max((SELECT n FROM nall) - c.n) > 0 THEN "
+        "sum((s.s / c.n) * ((t.t - s.s) / ((SELECT n FROM nall) - c.n))) END, 9) AS cosine_to_rest "
+        "FROM sums s JOIN tot t ON s.d = t.d JOIN cnt c ON s.label = c.label GROUP BY s.label")
+
+
+def embedding_group_frequency(k: int = 10) -> str:
+    return (
+        f"SELECT CAST(row_number() OVER (ORDER BY n DESC, label) AS INTEGER) AS rank, label, CAST(n AS BIGINT) AS n "
+        f"FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) ORDER BY n DESC, label LIMIT {k}")
+
+
+def embedding_groups_by_cosine() -> str:
+    return "WITH " + _EMB_CTES + (
+        " SELECT CAST(row_number() OVER (ORDER BY mean_cosine, label) AS INTEGER) AS position, label, mean_cosine, "
+        "round((SELECT avg(mean_cosine) FROM gc WHERE mean_cosine IS NOT NULL), 9) AS overall_mean "
+        "FROM gc WHERE mean_cosine IS NOT NULL")
+
+
 ORACLE: dict[str, str] = {
     "collision_summary": collision_summary(),
     "collision_summary_strip": collision_summary_strip(),
@@ -162,4 +211,9 @@ ORACLE: dict[str, str] = {
     "condition_manifest": condition_manifest(),
     "char_distribution": char_distribution(),
     "base_letter_total": base_letter_total(),
+    "embedding_group_cosine": embedding_group_cosine(),
+    "embedding_overall_cosine": embedding_overall_cosine(),
+    "embedding_cosine_to_rest": embedding_cosine_to_rest(),
+    "embedding_group_frequency": embedding_group_frequency(),
+    "embedding_groups_by_cosine": embedding_groups_by_cosine(),
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import ambiguity as A
 from ..operators import corpus as K
+from ..operators import embed as E
 from ..sources import corpus as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +117,37 @@ def base_letter_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.base_letter_total(d1.where(F.col("split") == "val"))
 
 
+def embedding_group_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T22 + A18: mean intra-group cosine per label (closed form, no pairs)."""
+    return E.group_cosine(S.scan_embeddings(spark, sf_dir), "label")
+
+
+def embedding_overall_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19 + P10: mean / std of the per-label means and its reading."""
+    return E.overall_cosine(E.group_cosine(S.scan_embeddings(spark, sf_dir), "label"))
+
+
+def embedding_cosine_to_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cosine of each label's vectors to all other vectors (closed form)."""
+    return E.cosine_to_rest(S.scan_embeddings(spark, sf_dir), "label")
+
+
+def embedding_group_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most common labels."""
+    return E.group_frequency(S.scan_embeddings(spark, sf_dir), "label", 10)
+
+
+def embedding_groups_by_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels ordered by mean cosine with the overall mean line."""
+    return E.groups_by_cosine(E.group_cosine(S.scan_embeddings(spark, sf_dir), "label"), "label")
+
+
+def embedding_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centred 2-D PCA coordinates of every vector (rows-only check)."""
+    coords, _ = E.pca_2d(S.scan_embeddings(spark, sf_dir))
+    return coords
+
+
 QUERIES: dict[str, Query] = {
     "collision_summary": collision_summary,
     "collision_summary_strip": collision_summary_strip,
@@ -131,4 +163,10 @@ QUERIES: dict[str, Query] = {
     "condition_manifest": condition_manifest,
     "char_distribution": char_distribution,
     "base_letter_total": base_letter_total,
+    "embedding_group_cosine": embedding_group_cosine,
+    "embedding_overall_cosine": embedding_overall_cosine,
+    "embedding_cosine_to_rest": embedding_cosine_to_rest,
+    "embedding_group_frequency": embedding_group_frequency,
+    "embedding_groups_by_cosine": embedding_groups_by_cosine,
+    "embedding_pca": embedding_pca,
 }
