@@ -66,8 +66,14 @@ def has_pua(text) -> Column:
 _COPY_RUN = "(?:[^" + C.MARKS + C.MAP_LETTERS + "]|" + C.MAP_LETTER_CLASS + "(?!" + C.MARK_CLASS + "))+"
 _ENCODE_SPLIT = "(?s)" + C.UNIT_PATTERN + "|" + _COPY_RUN
 
-_PUA_ARRAY = F.array(*[F.lit(c) for c in C.PUA_CHARS])
-_SEQ_ARRAY = F.array(*[F.lit(s) for s in C.SLOT_SEQUENCES])
+def _pua_array() -> Column:
+    """Slot -> private-use character, as a literal array (built when first used)."""
+    return F.array(*[F.lit(c) for c in C.PUA_CHARS])
+
+
+def _seq_array() -> Column:
+    """Slot -> source sequence ('' for the 36 unused slots)."""
+    return F.array(*[F.lit(s) for s in C.SLOT_SEQUENCES])
 
 
 def _letter_index(cp: Column) -> Column:
@@ -108,9 +114,11 @@ def atomic_encode(text) -> Column:
     A unit that is not a mapping key is a copy run and passes through unchanged; the
     slot index goes into a literal array (O(1)), never a 621-entry map.
     """
+    pua = _pua_array()
+
     def enc(u):
         slot = unit_slot(u)
-        return F.when(slot.isNull(), u).otherwise(F.element_at(_PUA_ARRAY, slot + 1))
+        return F.when(slot.isNull(), u).otherwise(F.element_at(pua, slot + 1))
 
     return F.array_join(F.transform(atomic_units(text), enc), "")
 
@@ -120,11 +128,13 @@ _DECODE_SPLIT = "(?s)" + C.PUA_CLASS + "|[^" + chr(C.PUA_BASE) + "-" + chr(C.PUA
 
 def atomic_decode(text) -> Column:
     """T4: inverse mapping; private-use chars outside the 621 keys pass through."""
+    seqs = _seq_array()
+
     def dec(u):
         cp = F.ascii(u)
         slot = cp - C.PUA_BASE
         in_range = (F.length(u) == 1) & (cp >= C.PUA_BASE) & (cp < C.PUA_BASE + C.N_SLOTS)
-        seq = F.element_at(_SEQ_ARRAY, F.when(in_range, slot + 1).otherwise(F.lit(1)))
+        seq = F.element_at(seqs, F.when(in_range, slot + 1).otherwise(F.lit(1)))
         return F.when(in_range & (seq != ""), seq).otherwise(u)
 
     return F.array_join(F.transform(F.regexp_extract_all(_col(text), F.lit(_DECODE_SPLIT), 0), dec), "")
@@ -152,15 +162,17 @@ def pretokenize(text) -> Column:
 # ---------------------------------------------------------------------------
 # Labels and token classes
 # ---------------------------------------------------------------------------
-_MARK_NAME_MAP = F.create_map(*[x for cp, name in zip(C.MARK_CODEPOINTS, C.MARK_NAMES)
-                                for x in (F.lit(chr(cp)), F.lit(name))])
+def _mark_name_map() -> Column:
+    return F.create_map(*[x for cp, name in zip(C.MARK_CODEPOINTS, C.MARK_NAMES)
+                          for x in (F.lit(chr(cp)), F.lit(name))])
 
 
 def mark_label(seq) -> Column:
     """Names of the marks after the base letter joined by '+', 'bare' if none."""
     rest = F.regexp_extract_all(F.substring(_col(seq), 2, 1 << 20), F.lit("(?s)."), 0)
+    name_map = _mark_name_map()
     names = F.transform(rest, lambda ch: F.coalesce(
-        F.element_at(_MARK_NAME_MAP, ch),
+        F.element_at(name_map, ch),
         F.concat(F.lit("U+"), F.lpad(F.upper(F.hex(F.ascii(ch))), 4, "0"))))
     return F.when(F.size(rest) == 0, F.lit("bare")).otherwise(F.array_join(names, "+"))
 

@@ -196,6 +196,29 @@ def embedding_groups_by_cosine() -> str:
         "FROM gc WHERE mean_cosine IS NOT NULL")
 
 
+def bpb_char_unigram() -> str:
+    letters = (f"CASE WHEN condition = 'd3' THEN {G.count_base_letters(G.atomic_decode('text'))} "
+               f"ELSE {G.count_base_letters('text')} END")
+    return _with(
+        G.corpus_ctes(), G.conditions_cte(),
+        "ch AS (SELECT condition, split, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM shards)",
+        "cnt AS (SELECT condition, split, ch, count(*) AS c FROM ch GROUP BY ALL)",
+        "tr AS (SELECT condition, ch, c FROM cnt WHERE split = 'train')",
+        "ev AS (SELECT condition, ch, c AS n_eval FROM cnt WHERE split = 'val')",
+        "tot AS (SELECT condition, sum(c) AS N, count(*) AS V FROM tr GROUP BY condition)",
+        "j AS (SELECT ev.condition, ev.n_eval, octet_length(encode(ev.ch)) AS nb, "
+        "-ln((coalesce(tr.c, 0) + 1) / (coalesce(tot.N, 0) + coalesce(tot.V, 0) + 1)) AS loss FROM ev "
+        "LEFT JOIN tr ON ev.condition = tr.condition AND ev.ch = tr.ch LEFT JOIN tot ON ev.condition = tot.condition)",
+        "per AS (SELECT condition, sum(n_eval) AS eval_tokens, sum(n_eval * loss) AS nats, "
+        "sum(n_eval * nb) AS total_bytes FROM j GROUP BY condition)",
+        f"let AS (SELECT condition, sum({letters}) AS base_letters FROM shards WHERE split = 'val' GROUP BY condition)",
+    ) + (
+        "SELECT per.condition, CAST(eval_tokens AS BIGINT) AS eval_tokens, round(nats, 6) AS total_nats, "
+        "CAST(total_bytes AS BIGINT) AS total_bytes, round(nats / (ln(2) * total_bytes), 9) AS bpb, "
+        "CAST(base_letters AS BIGINT) AS base_letters, round(nats / (ln(2) * base_letters), 9) AS bpbl "
+        "FROM per LEFT JOIN let ON per.condition = let.condition")
+
+
 ORACLE: dict[str, str] = {
     "collision_summary": collision_summary(),
     "collision_summary_strip": collision_summary_strip(),
@@ -216,4 +239,5 @@ ORACLE: dict[str, str] = {
     "embedding_cosine_to_rest": embedding_cosine_to_rest(),
     "embedding_group_frequency": embedding_group_frequency(),
     "embedding_groups_by_cosine": embedding_groups_by_cosine(),
+    "bpb_char_unigram": bpb_char_unigram(),
 }

@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..operators import ambiguity as A
 from ..operators import corpus as K
 from ..operators import embed as E
+from ..operators import tokens as TK
 from ..sources import corpus as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +149,56 @@ def embedding_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords
 
 
+BPE_VOCAB = TK.N_BYTES + 4 + 32
+
+
+def _train_docs(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+    shards = K.build_condition(S.lifted_corpus(spark, sf_dir), condition)
+    return shards.where(F.col("split") == "train")
+
+
+def _tokenizer(spark: SparkSession, sf_dir: str, condition: str):
+    train = _train_docs(spark, sf_dir, condition)
+    hist = TK.pretoken_histogram(TK.prefix_by_chars(train, TK.TRAIN_CHAR_BUDGET))
+    return train, TK.bpe_train(hist, BPE_VOCAB)
+
+
+def pretoken_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 + W5 + A10: pretoken frequencies over the capped d1 train prefix (Java regex)."""
+    return TK.pretoken_histogram(TK.prefix_by_chars(_train_docs(spark, sf_dir, "d1"), TK.TRAIN_CHAR_BUDGET))
+
+
+def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: 32 exact BPE merges learned on the d1 train prefix."""
+    return _tokenizer(spark, sf_dir, "d1")[1]
+
+
+def bpe_tokenizer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2-B5 + A7 + A11 per condition (d1, d3): vocab size, roundtrip, fertility."""
+    out = None
+    for cond in ("d1", "d3"):
+        train, merges = _tokenizer(spark, sf_dir, cond)
+        merges = merges.checkpoint(eager=True)
+        vocab = TK.vocab_table(spark, merges)
+        rt = TK.roundtrip_check(train, merges)
+        fert = TK.fertility(TK.prefix_by_chars(train, TK.FERTILITY_CHAR_BUDGET), merges)
+        row = (TK.vocab_size(vocab).join(rt, how="left").join(fert.select("fertility"), how="left")
+               .select(F.lit(cond).alias("condition"), "*"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded UTF-8 byte length of every d3 vocabulary token (specials 0)."""
+    _, merges = _tokenizer(spark, sf_dir, "d3")
+    return TK.token_bytes(TK.vocab_table(spark, merges))
+
+
+def bpb_char_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + J5 + T9 + A8: unigram bits per byte and per base letter for d1/d2/d3."""
+    return TK.char_unigram_bpb(_conditions(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "collision_summary": collision_summary,
     "collision_summary_strip": collision_summary_strip,
@@ -169,4 +220,9 @@ QUERIES: dict[str, Query] = {
     "embedding_group_frequency": embedding_group_frequency,
     "embedding_groups_by_cosine": embedding_groups_by_cosine,
     "embedding_pca": embedding_pca,
+    "pretoken_histogram": pretoken_histogram,
+    "bpe_merges": bpe_merges,
+    "bpe_tokenizer_report": bpe_tokenizer_report,
+    "token_bytes": token_bytes,
+    "bpb_char_unigram": bpb_char_unigram,
 }
