@@ -221,19 +221,66 @@ def lookup_variant_counts(words_df: DataFrame, forms: DataFrame, word_col: str =
 # ---------------------------------------------------------------------------
 # Character distribution
 # ---------------------------------------------------------------------------
+def char_counts(texts: DataFrame, text_col: str = "text", group_cols: tuple[str, ...] = (),
+                ordinal: str | None = None) -> DataFrame:
+    """Character counts ``(group..., ch, n, first_ord, first_pos)``.
+
+    Each task counts its own documents with a C-level ``Counter`` (a map-side combiner
+    that emits at most groups x alphabet rows); Spark then merges the partial counts by
+    key.  No row per character is ever materialised.  ``first_*`` is the earliest
+    (ordinal, codepoint position) of the character when ``ordinal`` is given.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    out_schema = ", ".join([f"{g} {fields[g]}" for g in group_cols]
+                           + ["ch string", "n bigint", "first_ord bigint", "first_pos bigint"])
+    cols = [*group_cols, text_col] + ([ordinal] if ordinal else [])
+
+    def count(batches):
+        from collections import Counter
+
+        import pandas as pd
+        acc: dict = {}
+        for pdf in batches:
+            gvals = [pdf[g].tolist() for g in group_cols]
+            txts = pdf[text_col].tolist()
+            ords = pdf[ordinal].tolist() if ordinal else None
+            for i, t in enumerate(txts):
+                if t is None:
+                    continue
+                g = tuple(v[i] for v in gvals)
+                o = int(ords[i]) if ords is not None else None
+                for ch, n in Counter(t).items():
+                    k = g + (ch,)
+                    e = acc.get(k)
+                    if e is None:
+                        acc[k] = [n, o, t.find(ch) if o is not None else None]
+                    else:
+                        e[0] += n
+                        if o is not None and o < e[1]:
+                            e[1], e[2] = o, t.find(ch)
+        rows = [(*k, v[0], v[1], v[2]) for k, v in acc.items()]
+        names = [*group_cols, "ch", "n", "first_ord", "first_pos"]
+        pdf = pd.DataFrame(rows, columns=names)
+        pdf = pdf.astype({"n": "int64", "first_ord": "Int64", "first_pos": "Int64"})
+        yield pdf
+
+    partial = texts.select(*cols).mapInPandas(count, out_schema)
+    return (partial.groupBy(*group_cols, "ch")
+            .agg(F.sum("n").cast("bigint").alias("n"),
+                 F.min(F.struct("first_ord", "first_pos")).alias("f"))
+            .select(*group_cols, "ch", "n", F.col("f.first_ord").alias("first_ord"),
+                    F.col("f.first_pos").alias("first_pos")))
+
+
 def char_distribution(texts: DataFrame, k: int = 20, text_col: str = "text",
                       ordinal: str = "doc_id", group_cols: tuple[str, ...] = ()) -> DataFrame:
     """The k most frequent characters per group, ties by first appearance.
 
-    ``(group..., rank, ch, codepoint, n)``.  Partial aggregation per map task bounds the
-    shuffle by the alphabet size, whatever the corpus size; the per-group top-k window
-    then runs over at most (groups x alphabet) rows.
+    ``(group..., rank, ch, codepoint, n)``; the per-group top-k window runs over at most
+    (groups x alphabet) merged rows.
     """
-    exploded = texts.select(*group_cols, F.col(ordinal).alias("doc_id"),
-                            F.posexplode(X.chars(text_col)).alias("pos", "ch"))
-    counts = exploded.groupBy(*group_cols, "ch").agg(F.count(F.lit(1)).alias("n"),
-                                                     F.min(F.struct("doc_id", "pos")).alias("first"))
-    w = Window.partitionBy(*group_cols).orderBy(F.desc("n"), "first.doc_id", "first.pos")
+    counts = char_counts(texts, text_col, group_cols, ordinal)
+    w = Window.partitionBy(*group_cols).orderBy(F.desc("n"), "first_ord", "first_pos")
     ranked = counts.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     return ranked.select(*group_cols, "rank", "ch", F.ascii("ch").alias("codepoint"),
                          F.col("n").cast("bigint").alias("n"))

@@ -67,7 +67,7 @@ def long_enough(df: DataFrame, words_col: str, window: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 def dense_ordinal_parts(df: DataFrame, order_col: str = "doc_id", out: str = "ordinal",
                         partition_cols: tuple[str, ...] = (),
-                        bucket_width: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+                        bucket_width: int = 1 << 12) -> tuple[DataFrame, DataFrame]:
     """W1 with its bucket-count table ``(partition_cols..., _bucket, _n)`` (for totals)."""
     keys = [F.col(c) for c in partition_cols]
     bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
@@ -85,7 +85,7 @@ def dense_ordinal_parts(df: DataFrame, order_col: str = "doc_id", out: str = "or
 
 
 def dense_ordinal(df: DataFrame, order_col: str = "doc_id", out: str = "ordinal",
-                  partition_cols: tuple[str, ...] = (), bucket_width: int = 1 << 16) -> DataFrame:
+                  partition_cols: tuple[str, ...] = (), bucket_width: int = 1 << 12) -> DataFrame:
     """Dense 0-based rank of ``order_col`` (unique integer key) within ``partition_cols``."""
     return dense_ordinal_parts(df, order_col, out, partition_cols, bucket_width)[0]
 
@@ -122,6 +122,35 @@ def build_condition(corpus: DataFrame, condition: str, ratio: float = VAL_RATIO,
     return split_and_shard(apply_condition(corpus, condition), ratio, docs_per_shard)
 
 
+def build_conditions(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS,
+                     ratio: float = VAL_RATIO, docs_per_shard: int = DOCS_PER_SHARD,
+                     text_col: str = "vocalized", ordinal: str = "doc_id") -> DataFrame:
+    """All conditions from one scan: each document fans out to one row per condition,
+    then ordinals, splits and shards are computed per condition in the same shuffle.
+
+    ``(condition, doc_id, ordinal, text, split, shard_id)``.
+    """
+    base = drop_blank(corpus, text_col)
+    variants = F.array(*[F.struct(F.lit(c).alias("condition"), X.encode_condition(text_col, c).alias("text"))
+                         for c in conditions])
+    fanned = (base.select(F.col(ordinal).alias("doc_id"), F.explode(variants).alias("v"))
+              .select("v.condition", "doc_id", "v.text"))
+    kept = fanned.where(X.is_not_blank("text"))
+    ranked, counts = dense_ordinal_parts(kept, "doc_id", partition_cols=("condition",))
+    totals = counts.groupBy("condition").agg(F.sum("_n").alias("_total"))
+    n = F.col("_total")
+    n_train = F.greatest(n - n_val_docs(n, ratio), F.lit(0))
+    train_shards = F.ceil(n_train / F.lit(docs_per_shard)).cast("int")
+    is_val = F.col("ordinal") >= n_train
+    # One row per condition: the totals table is tiny and broadcast by AQE.
+    return ranked.join(totals, "condition").select(
+        "condition", "doc_id", "ordinal", "text",
+        F.when(is_val, "val").otherwise("train").alias("split"),
+        F.when(is_val, train_shards)
+        .otherwise(F.floor(F.col("ordinal") / F.lit(docs_per_shard)).cast("int")).alias("shard_id"),
+    )
+
+
 def manifest(shards: DataFrame, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """One record of counts per condition."""
     train = F.count_if(F.col("split") == "train").cast("bigint")

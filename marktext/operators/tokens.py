@@ -35,7 +35,7 @@ FERTILITY_CHAR_BUDGET = 1_000_000
 # ---------------------------------------------------------------------------
 def prefix_by_chars(docs: DataFrame, max_chars: int, doc_cap: int = DOC_CAP,
                     order_col: str = "ordinal", text_col: str = "text",
-                    bucket_width: int = 1 << 16) -> DataFrame:
+                    bucket_width: int = 1 << 12) -> DataFrame:
     """Cap each document to ``doc_cap`` codepoints and keep documents, in order, until
     the running length reaches ``max_chars``; the document that crosses it is kept.
 
@@ -314,8 +314,9 @@ def char_unigram_bpb(shards: DataFrame, digits: int = 9) -> DataFrame:
     Base letters are counted on the decoded text, so the three conditions share a
     denominator definition.  Streams are aggregated per (condition, char) before joining.
     """
-    ch = shards.select("condition", "split", F.explode(X.chars("text")).alias("ch"))
-    counts = ch.groupBy("condition", "split", "ch").agg(F.count(F.lit(1)).alias("c"))
+    from .ambiguity import char_counts
+    counts = char_counts(shards, "text", ("condition", "split")).select(
+        "condition", "split", "ch", F.col("n").alias("c"))
     train = counts.where(F.col("split") == "train").select("condition", "ch", "c")
     ev = counts.where(F.col("split") == "val").select("condition", "ch", F.col("c").alias("n_eval"))
     totals = train.groupBy("condition").agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V"))

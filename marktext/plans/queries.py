@@ -67,12 +67,7 @@ def window_ambiguity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = S.lifted_corpus(spark, sf_dir)
-    out = None
-    for cond in K.CONDITIONS:
-        df = K.build_condition(corpus, cond)
-        out = df if out is None else out.unionByName(df)
-    return out
+    return K.build_conditions(S.lifted_corpus(spark, sf_dir))
 
 
 def atomic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

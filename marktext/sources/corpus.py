@@ -57,11 +57,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A table written as one row group is read by one task, which then does all per-row
+    work (regexes, encoders) alone.  The split count comes from file metadata, so the
+    check costs no data pass; on a large table with many splits nothing changes.
+    Hash partitioning on the key keeps the redistribution deterministic on retry.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None,
+               key: str | None = None) -> DataFrame:
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(table_path(sf_dir, name))
+    return ensure_parallelism(reader.parquet(table_path(sf_dir, name)), key)
 
 
 def lift(text) -> F.Column:
@@ -74,7 +89,7 @@ def lifted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``doc_id`` is the ordinal (dense 0..n-1 in the driver tables).
     """
-    docs = read_table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
+    docs = read_table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA, key="doc_id")
     voc = lift(F.col("text"))
     return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id"),
@@ -91,4 +106,4 @@ def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embedding table; rows are selected later by join, never by driver lists."""
-    return read_table(spark, sf_dir, "embeddings", EMBEDDINGS_SCHEMA)
+    return read_table(spark, sf_dir, "embeddings", EMBEDDINGS_SCHEMA, key="vec_id")
