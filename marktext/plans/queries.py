@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..operators import ambiguity as A
 from ..operators import corpus as K
 from ..operators import embed as E
+from ..operators import runs as R
 from ..operators import tokens as TK
 from ..sources import corpus as S
 
@@ -194,6 +195,52 @@ def bpb_char_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TK.char_unigram_bpb(_conditions(spark, sf_dir))
 
 
+RUN_BUDGETS = (20_000, 50_000, 100_000, 200_000, 500_000)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.corpus_runs(_conditions(spark, sf_dir), budgets=RUN_BUDGETS)
+
+
+def corpus_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records (condition x budget x seed) derived from the corpus: T20, T21 inputs."""
+    return _runs(spark, sf_dir)
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 + J6 + T16: mean / sample std / n of BPBL per condition x budget grid cell."""
+    return R.summary_by_budget(_runs(spark, sf_dir), budgets=RUN_BUDGETS)
+
+
+def run_scaling_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: chart-ready scaling points with the +/- std band."""
+    return R.scaling_points(R.summary_by_budget(_runs(spark, sf_dir), budgets=RUN_BUDGETS))
+
+
+def run_robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 + A15: mean, std, median, worst and best seed per condition and budget."""
+    return R.robust_stats(_runs(spark, sf_dir), keys=("condition", "target_base_letters"))
+
+
+def run_gap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 + P11: d1 vs d3 side by side per budget, encoding gap and winner."""
+    return R.gap_table(R.summary_by_budget(_runs(spark, sf_dir), budgets=RUN_BUDGETS))
+
+
+def run_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (condition, budget, seed) grid with a fourth seed, minus completed runs."""
+    return R.pending_runs(_runs(spark, sf_dir), budgets=RUN_BUDGETS, seeds=(*R.SEEDS, 7))
+
+
+def run_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T18 + T19: step calibration from the D1 val base letters and fixed fertilities."""
+    d1val = _conditions(spark, sf_dir).where((F.col("condition") == "d1") & (F.col("split") == "val"))
+    letters = K.base_letter_total(d1val).select("base_letters").scalar()
+    return R.calibration_grid(spark, letters).select(
+        "condition", "budget", F.round("bl_per_word", 9).alias("bl_per_word"),
+        F.round("bl_per_token", 9).alias("bl_per_token"), "max_steps")
+
+
 QUERIES: dict[str, Query] = {
     "collision_summary": collision_summary,
     "collision_summary_strip": collision_summary_strip,
@@ -220,4 +267,11 @@ QUERIES: dict[str, Query] = {
     "bpe_tokenizer_report": bpe_tokenizer_report,
     "token_bytes": token_bytes,
     "bpb_char_unigram": bpb_char_unigram,
+    "corpus_runs": corpus_runs,
+    "run_summary": run_summary,
+    "run_scaling_points": run_scaling_points,
+    "run_robust_stats": run_robust_stats,
+    "run_gap_table": run_gap_table,
+    "run_pending": run_pending,
+    "run_calibration": run_calibration,
 }
