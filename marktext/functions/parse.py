@@ -62,13 +62,13 @@ TYPED_PARAMS = [
 
 def _first(text: Column, pattern: str) -> Column:
     """First capture of ``pattern`` or NULL (``regexp_extract`` gives '' on no match)."""
-    return F.nullif(F.regexp_extract(text, F.lit(pattern), 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def metric_value(log: Column, key: str) -> Column:
     """T13 for one key: first ``key: value`` line, as double; NULL when absent."""
     pat = f"(?md)^{key}:{_WS}+({METRIC_PATTERNS[key]})$"
-    return F.try_cast(_first(log, pat), "double")
+    return _first(log, pat).try_cast("double")
 
 
 def parse_metrics(log: Column) -> Column:
@@ -86,13 +86,14 @@ def extract_params(sources: DataFrame, source_col: str = "source", keys=PARAM_KE
     ``value`` is the first ``^KEY\\s*=\\s*(.+)$`` line, stripped; ``found`` is false when
     the key is absent (the studied tool raises; callers filter and report).
     """
-    keyed = sources.withColumn("key", F.explode(F.array(*[F.lit(k) for k in keys])))
-    pats = F.concat(F.lit("(?md)^"), F.col("key"), F.lit(f"{_WS}*={_WS}*(.+)$"))
-    raw = F.regexp_extract(F.col(source_col), pats, 1)
-    return (keyed.withColumn("value", F.nullif(_strip(raw), F.lit("")))
-            .withColumn("found", F.regexp_like(F.col(source_col),
-                                               F.concat(F.lit("(?md)^"), F.col("key"), F.lit(f"{_WS}*={_WS}*.+$"))))
-            .drop(source_col))
+    src = F.col(source_col)
+    items = [F.struct(F.lit(k).alias("key"),
+                      F.nullif(_strip(F.regexp_extract(src, f"(?md)^{k}{_WS}*={_WS}*(.+)$", 1)),
+                               F.lit("")).alias("value"),
+                      F.regexp_like(src, F.lit(f"(?md)^{k}{_WS}*={_WS}*.+$")).alias("found"))
+             for k in keys]
+    return sources.withColumn("_kv", F.explode(F.array(*items))).select(
+        *[c for c in sources.columns if c != source_col], "_kv.key", "_kv.value", "_kv.found")
 
 
 def extract_params_typed(source: Column) -> Column:
