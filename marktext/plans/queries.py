@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..operators import ambiguity as A
 from ..operators import corpus as K
 from ..operators import embed as E
+from ..operators import packing as PK
 from ..operators import runs as R
 from ..operators import tokens as TK
 from ..operators import validate as V
@@ -250,6 +251,14 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                           V.mapping_gate(shards, K.atomic_map(spark)), V.mark_presence(shards))
 
 
+def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6 + W6 + W7: best-fit packing of d3 train docs (character tokens, BOS first) into
+    rows of 512 + 1 tokens, per pack group of 20,000 consecutive documents (rows-only)."""
+    train = _conditions(spark, sf_dir).where((F.col("condition") == "d3") & (F.col("split") == "train"))
+    docs = train.select("ordinal", PK.char_token_ids("text", bos_id=0).alias("ids"))
+    return PK.pack_sequences(docs, seq_len=512, buffer_size=1000, group_docs=20_000)
+
+
 QUERIES: dict[str, Query] = {
     "collision_summary": collision_summary,
     "collision_summary_strip": collision_summary_strip,
@@ -284,4 +293,5 @@ QUERIES: dict[str, Query] = {
     "run_pending": run_pending,
     "run_calibration": run_calibration,
     "validation_report": validation_report,
+    "pack_sequences": pack_sequences,
 }
