@@ -167,18 +167,22 @@ def window_ambiguity_sampled(corpus: DataFrame, forms: DataFrame, window: int =
     # n_samples rows: a proven bound, so the sample table is the broadcast side.
     docs = corpus.select(F.col(ordinal).alias("doc_ord"), "vocalized")
     hit = docs.join(F.broadcast(samples), "doc_ord")
-    wds = hit.select("sample", "start_draw", X.words("vocalized").alias("w"))
-    eligible = wds.where(F.size("w") >= window)
+    wds = hit.select("start_draw", X.words("vocalized").alias("w"))
+    # Short documents get a NULL window (no Filter on a derived column, which the
+    # optimizer would push below the scan's redistribution).
     start = F.col("start_draw") % (F.size("w") - window + 1)
-    tokens = eligible.select(F.explode(F.slice("w", start + 1, window)).alias("tok"))
-    per_form = tokens.groupBy(X.strip_marks("tok").alias("stripped")).agg(F.count(F.lit(1)).alias("n"))
-    amb = per_form.join(ambiguous_keys(forms), "stripped").agg(F.sum("n").alias("a"))
-    n_windows = eligible.select(F.count(F.lit(1))).scalar()
-    a = F.coalesce(F.col("a"), F.lit(0)).cast("bigint")
-    total = (n_windows * window).cast("bigint")
-    return amb.select(
-        n_windows.cast("bigint").alias("windows"), total.alias("tokens"), a.alias("ambiguous_tokens"),
-        F.when(total > 0, a / total).otherwise(F.lit(0.0)).alias("rate"))
+    win = F.when(F.size("w") >= window, F.slice("w", start + 1, window))
+    tokens = wds.select(F.posexplode(win).alias("p", "tok"))
+    # One aggregation: per form, tokens and window starts (p = 0 marks one window).
+    per_form = tokens.groupBy(X.strip_marks("tok").alias("stripped")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == 0).alias("starts"))
+    flagged = per_form.join(ambiguous_keys(forms).withColumn("amb", F.lit(True)), "stripped", "left")
+    agg = flagged.agg(F.coalesce(F.sum(F.when(F.col("amb"), F.col("n"))), F.lit(0)).cast("bigint").alias("a"),
+                      F.coalesce(F.sum("starts"), F.lit(0)).cast("bigint").alias("windows"))
+    total = (F.col("windows") * window).cast("bigint")
+    return agg.select(
+        "windows", total.alias("tokens"), F.col("a").alias("ambiguous_tokens"),
+        F.when(total > 0, F.col("a") / total).otherwise(F.lit(0.0)).alias("rate"))
 
 
 # ---------------------------------------------------------------------------
@@ -192,20 +196,21 @@ def window_ambiguity_exact(corpus: DataFrame, forms: DataFrame, window: int = 12
     ``least(p+1, w, W-w+1, W-p)`` of the ``W-w+1`` windows; each eligible document
     contributes its mean window rate, and documents are averaged.
     """
-    wds = corpus.select(F.col(ordinal).alias("doc_id"), X.words("vocalized").alias("ws"))
-    eligible = wds.where(F.size("ws") >= window).select("doc_id", "ws", F.size("ws").alias("nw"))
-    toks = eligible.select("nw", F.posexplode("ws").alias("p", "tok"))
-    nw = F.col("nw")
-    weight = F.least(F.col("p") + 1, F.lit(window), nw - window + 1, nw - F.col("p"))
-    value = weight / (F.lit(window) * (nw - window + 1))
+    wds = corpus.select(X.words("vocalized").alias("ws"))
+    nw = F.size("ws")
+    toks = wds.select(nw.alias("nw"), F.posexplode(F.when(nw >= window, F.col("ws"))).alias("p", "tok"))
+    nwc = F.col("nw")
+    weight = F.least(F.col("p") + 1, F.lit(window), nwc - window + 1, nwc - F.col("p"))
+    value = weight / (F.lit(window) * (nwc - window + 1))
+    # One aggregation: per form, weighted value and eligible-document starts (p = 0).
     per_form = (toks.groupBy(X.strip_marks("tok").alias("stripped"))
-                .agg(F.sum(value).alias("v")))
-    amb = per_form.join(ambiguous_keys(forms), "stripped").agg(F.sum("v").alias("v"))
-    n_docs = eligible.select(F.count(F.lit(1))).scalar()
-    v = F.coalesce(F.col("v"), F.lit(0.0))
-    return amb.select(
-        n_docs.cast("bigint").alias("eligible_docs"),
-        F.round(F.when(n_docs > 0, v / n_docs).otherwise(F.lit(0.0)), digits).alias("rate"))
+                .agg(F.sum(value).alias("v"), F.count_if(F.col("p") == 0).alias("docs")))
+    flagged = per_form.join(ambiguous_keys(forms).withColumn("amb", F.lit(True)), "stripped", "left")
+    agg = flagged.agg(F.coalesce(F.sum(F.when(F.col("amb"), F.col("v"))), F.lit(0.0)).alias("v"),
+                      F.coalesce(F.sum("docs"), F.lit(0)).cast("bigint").alias("eligible_docs"))
+    n = F.col("eligible_docs")
+    return agg.select("eligible_docs",
+                      F.round(F.when(n > 0, F.col("v") / n).otherwise(F.lit(0.0)), digits).alias("rate"))
 
 
 # ---------------------------------------------------------------------------
