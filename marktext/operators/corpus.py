@@ -65,19 +65,48 @@ def long_enough(df: DataFrame, words_col: str, window: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 # W1-W3
 # ---------------------------------------------------------------------------
-def dense_ordinal_parts(df: DataFrame, order_col: str = "doc_id", out: str = "ordinal",
-                        partition_cols: tuple[str, ...] = (),
-                        bucket_width: int = 1 << 12) -> tuple[DataFrame, DataFrame]:
-    """W1 with its bucket-count table ``(partition_cols..., _bucket, _n)`` (for totals)."""
+SUPER = 4096
+
+
+def bucket_offsets(totals: DataFrame, partition_cols: tuple[str, ...], value: str = "_n",
+                   bucket: str = "_bucket", out: str = "_off") -> DataFrame:
+    """Exclusive prefix sums of ``value`` over ``bucket`` within ``partition_cols``.
+
+    Two levels, so no window sees more than ``SUPER`` rows per partition key, however
+    many buckets the data has: super-bucket totals get their offsets first, then buckets
+    are offset inside their super-bucket.
+    """
     keys = [F.col(c) for c in partition_cols]
+    sb = F.floor(F.col(bucket) / SUPER)
+    t = totals.withColumn("_sb", sb)
+    sup = t.groupBy(*partition_cols, "_sb").agg(F.sum(value).alias("_sv"))
+    w_sup = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sup = sup.select(*partition_cols, "_sb", (F.sum("_sv").over(w_sup) - F.col("_sv")).alias("_soff"))
+    w_b = (Window.partitionBy(*keys, F.col("_sb")).orderBy(bucket)
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inner = t.select(*partition_cols, "_sb", bucket, (F.sum(value).over(w_b) - F.col(value)).alias("_boff"))
+    return inner.join(sup, [*partition_cols, "_sb"]).select(
+        *partition_cols, bucket, (F.col("_soff") + F.col("_boff")).alias(out))
+
+
+def dense_ordinal_parts(df: DataFrame, order_col: str = "doc_id", out: str = "ordinal",
+                        partition_cols: tuple[str, ...] = (), bucket_width: int = 1 << 10,
+                        keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """W1 with its bucket-count table ``(partition_cols..., _bucket, _n)`` (for totals).
+
+    ``keys`` (optional): the same rows as ``df`` restricted to ``partition_cols`` and
+    ``order_col``, computed cheaply; bucket counts are taken from it instead of ``df``.
+    """
+    pkeys = [F.col(c) for c in partition_cols]
     bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
     keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.groupBy(*partition_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = (Window.partitionBy(*keys).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = counts.select(*partition_cols, "_bucket", (F.sum("_n").over(w_off) - F.col("_n")).alias("_off"))
-    w_in = Window.partitionBy(*keys, F.col("_bucket")).orderBy(order_col)
+    w_in = Window.partitionBy(*pkeys, F.col("_bucket")).orderBy(order_col)
     ranked = keyed.withColumn("_rn", F.row_number().over(w_in))
+    # Catalyst derives the counts from the pre-window rows with only the key columns, so
+    # inputs should keep expensive columns out of any filter (see build_conditions).
+    src = ranked if keys is None else keys.withColumn("_bucket", bucket)
+    counts = src.groupBy(*partition_cols, "_bucket").agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
+    offsets = bucket_offsets(counts, partition_cols)
     result = (ranked.join(offsets, [*partition_cols, "_bucket"])
               .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
               .drop("_bucket", "_rn", "_off"))
@@ -85,7 +114,7 @@ def dense_ordinal_parts(df: DataFrame, order_col: str = "doc_id", out: str = "or
 
 
 def dense_ordinal(df: DataFrame, order_col: str = "doc_id", out: str = "ordinal",
-                  partition_cols: tuple[str, ...] = (), bucket_width: int = 1 << 12) -> DataFrame:
+                  partition_cols: tuple[str, ...] = (), bucket_width: int = 1 << 10) -> DataFrame:
     """Dense 0-based rank of ``order_col`` (unique integer key) within ``partition_cols``."""
     return dense_ordinal_parts(df, order_col, out, partition_cols, bucket_width)[0]
 
@@ -131,12 +160,25 @@ def build_conditions(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS
     ``(condition, doc_id, ordinal, text, split, shard_id)``.
     """
     base = drop_blank(corpus, text_col)
-    variants = F.array(*[F.struct(F.lit(c).alias("condition"), X.encode_condition(text_col, c).alias("text"))
-                         for c in conditions])
-    fanned = (base.select(F.col(ordinal).alias("doc_id"), F.explode(variants).alias("v"))
-              .select("v.condition", "doc_id", "v.text"))
-    kept = fanned.where(X.is_not_blank("text"))
-    ranked, counts = dense_ordinal_parts(kept, "doc_id", partition_cols=("condition",))
+    # The keep-predicate never reads the encoded text: encoding only rewrites letters and
+    # marks into private-use characters, so a d3 text is blank exactly when its source is
+    # (already filtered); d2 needs the cheap strip.  Branches that only count rows (the
+    # ordinal offsets) therefore never run the encoder - column pruning drops it there.
+    def keep(c: str):
+        return X.is_not_blank(X.strip_marks(text_col)) if c == "d2" else F.lit(True)
+
+    # Heavy table: one row per (condition, document) with its text.  Key table: the same
+    # rows without text, from JVM-only predicates; the ordinal's bucket counts come from
+    # it, so the encoder runs once (Catalyst would otherwise re-derive counts from the
+    # heavy plan and re-run the encoder in every counting branch).
+    variants = F.array(*[F.struct(F.lit(c).alias("condition"), X.encode_condition(text_col, c).alias("text"),
+                                  keep(c).alias("keep")) for c in conditions])
+    kept = (base.select(F.col(ordinal).alias("doc_id"), F.explode(variants).alias("v"))
+            .where(F.col("v.keep")).select("v.condition", "doc_id", "v.text"))
+    flags = F.array(*[F.struct(F.lit(c).alias("condition"), keep(c).alias("keep")) for c in conditions])
+    keys = (base.select(F.col(ordinal).alias("doc_id"), F.explode(flags).alias("v"))
+            .where(F.col("v.keep")).select("v.condition", "doc_id"))
+    ranked, counts = dense_ordinal_parts(kept, "doc_id", partition_cols=("condition",), keys=keys)
     totals = counts.groupBy("condition").agg(F.sum("_n").alias("_total"))
     n = F.col("_total")
     n_train = F.greatest(n - n_val_docs(n, ratio), F.lit(0))

@@ -259,13 +259,14 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     seeded = (seeded.withColumn("okey", seed_order_key(F.col("seed"), F.col("doc_id")))
               .withColumn("_bucket", F.shiftright(F.col("okey"), 20)))
     part = ("condition", "seed")
-    btot = seeded.groupBy(*part, "_bucket").agg(F.sum("letters").alias("_bl"))
-    w_off = (Window.partitionBy(*part).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offs = btot.select(*part, "_bucket", (F.sum("_bl").over(w_off) - F.col("_bl")).alias("_off"))
     w_in = (Window.partitionBy(*part, "_bucket").orderBy("okey", "doc_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run_sum = seeded.withColumn("_cum", F.sum("letters").over(w_in)).join(offs, [*part, "_bucket"])
+    cum = seeded.withColumn("_cum", F.sum("letters").over(w_in))
+    # Bucket totals from the windowed rows (shared exchange), then two-level offsets.
+    btot = cum.groupBy(*part, "_bucket").agg(F.max("_cum").alias("_bl"))
+    from .corpus import bucket_offsets
+    offs = bucket_offsets(btot, part, value="_bl")
+    run_sum = cum.join(offs, [*part, "_bucket"])
     before = F.col("_off") + F.col("_cum") - F.col("letters")
     # kmin = number of budgets already reached before this doc; kept in budgets k >= kmin.
     kmin = sum((F.when(before >= b, 1).otherwise(0) for b in budgets), F.lit(0))

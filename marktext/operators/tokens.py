@@ -35,7 +35,7 @@ FERTILITY_CHAR_BUDGET = 1_000_000
 # ---------------------------------------------------------------------------
 def prefix_by_chars(docs: DataFrame, max_chars: int, doc_cap: int = DOC_CAP,
                     order_col: str = "ordinal", text_col: str = "text",
-                    bucket_width: int = 1 << 12) -> DataFrame:
+                    bucket_width: int = 1 << 10) -> DataFrame:
     """Cap each document to ``doc_cap`` codepoints and keep documents, in order, until
     the running length reaches ``max_chars``; the document that crosses it is kept.
 
@@ -44,13 +44,15 @@ def prefix_by_chars(docs: DataFrame, max_chars: int, doc_cap: int = DOC_CAP,
     """
     capped = docs.withColumn(text_col, F.substring(F.col(text_col), 1, doc_cap)) \
                  .withColumn("_len", F.length(text_col).cast("bigint"))
+    from .corpus import bucket_offsets
     keyed = capped.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint"))
-    totals = keyed.groupBy("_bucket").agg(F.sum("_len").alias("_blen"))
-    w_off = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select("_bucket", (F.sum("_blen").over(w_off) - F.col("_blen")).alias("_off"))
     w_in = (Window.partitionBy("_bucket").orderBy(order_col)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = keyed.withColumn("_cum", F.sum("_len").over(w_in)).join(offsets, "_bucket")
+    cum = keyed.withColumn("_cum", F.sum("_len").over(w_in))
+    # Bucket totals from the windowed rows: one shared (reused) exchange, one input pass.
+    totals = cum.groupBy("_bucket").agg(F.max("_cum").alias("_blen"))
+    offsets = bucket_offsets(totals, (), value="_blen")
+    running = cum.join(offsets, "_bucket")
     before = F.col("_off") + F.col("_cum") - F.col("_len")
     return running.where(before < max_chars).drop("_bucket", "_cum", "_off", "_len")
 

@@ -92,3 +92,13 @@ def test_labels_and_classes(spark):
                                 ("abc",)], "t string").select(X.token_class("t")).collect()
     assert [r[0] for r in tc] == ["harakah", "base_letter", "pair", "other", None]
     assert spark.range(1).select(X.budget_label(F.lit(15_000_000))).first()[0] == "15M"
+
+
+def test_encoding_preserves_blankness(spark):
+    import random
+    rng = random.Random(5)
+    alphabet = [" ", "\t", "\n", "　", "x"] + list(C.MARKS) + list(C.MAP_LETTERS[:5])
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        X.is_not_blank("t").alias("a"), X.is_not_blank(X.atomic_encode("t")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
