@@ -44,6 +44,16 @@ def count_base_letters(text) -> Column:
     return F.length(t) - F.length(F.translate(t, C.COUNT_LETTERS, ""))
 
 
+_PUA_LETTER_UNITS = "".join(C.PUA_CHARS[:C.LONE_BLOCK])
+
+
+def count_base_letters_any(text) -> Column:
+    """T6 for any condition: counting letters plus atomic units that carry a letter
+    (private-use slots below the lone-mark block), so d3 text needs no decode."""
+    t = _col(text)
+    return F.length(t) - F.length(F.translate(t, C.COUNT_LETTERS + _PUA_LETTER_UNITS, ""))
+
+
 def chars(text) -> Column:
     """The codepoints of a string as one-character strings."""
     return F.regexp_extract_all(_col(text), F.lit("(?s)."), 0)

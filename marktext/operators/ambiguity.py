@@ -230,7 +230,7 @@ def char_counts(texts: DataFrame, text_col: str = "text", group_cols: tuple[str,
                 ordinal: str | None = None) -> DataFrame:
     """Character counts ``(group..., ch, n, first_ord, first_pos)``.
 
-    Each task counts its own documents with a C-level ``Counter`` (a map-side combiner
+    Each task counts its own documents with C-level ``set`` / ``str.count`` (a map-side combiner
     that emits at most groups x alphabet rows); Spark then merges the partial counts by
     key.  No row per character is ever materialised.  ``first_*`` is the earliest
     (ordinal, codepoint position) of the character when ``ordinal`` is given.
@@ -241,8 +241,6 @@ def char_counts(texts: DataFrame, text_col: str = "text", group_cols: tuple[str,
     cols = [*group_cols, text_col] + ([ordinal] if ordinal else [])
 
     def count(batches):
-        from collections import Counter
-
         import pandas as pd
         acc: dict = {}
         for pdf in batches:
@@ -254,7 +252,8 @@ def char_counts(texts: DataFrame, text_col: str = "text", group_cols: tuple[str,
                     continue
                 g = tuple(v[i] for v in gvals)
                 o = int(ords[i]) if ords is not None else None
-                for ch, n in Counter(t).items():
+                for ch in set(t):
+                    n = t.count(ch)
                     k = g + (ch,)
                     e = acc.get(k)
                     if e is None:

@@ -248,13 +248,19 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     """
     budgets = sorted(budgets)
     sh = shards.where(F.col("condition").isin(*conditions))
-    letters = F.when(F.col("condition") == "d3", X.count_base_letters(X.atomic_decode("text"))) \
-        .otherwise(X.count_base_letters("text"))
-    sh = sh.withColumn("letters", letters.cast("bigint"))
-    train = sh.where(F.col("split") == "train")
-    val = sh.where(F.col("split") == "val")
-
-    # Seed order and running letter sum per (condition, seed): two-phase prefix sum.
+    # One pass of the per-task character combiner over every document: per-document
+    # character counts.  Letters, train counts per budget and the eval stream are all
+    # aggregations of this table; the text itself never goes through the seed windows.
+    letter_chars = X.C.COUNT_LETTERS + "".join(X.C.PUA_CHARS[:X.C.LONE_BLOCK])
+    dc = A.char_counts(sh, "text", ("condition", "split", "doc_id")).select(
+        "condition", "split", "doc_id", "ch", "n",
+        (F.instr(F.lit(letter_chars), F.col("ch")) > 0).alias("is_letter"))
+    doc_letters = dc.groupBy("condition", "split", "doc_id").agg(
+        F.sum(F.when(F.col("is_letter"), F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("letters"))
+    train = doc_letters.where(F.col("split") == "train").select("condition", "doc_id", "letters")
+    val = doc_letters.where(F.col("split") == "val")
+
+    # Seed order and running letter sum per (condition, seed): two-phase prefix sum on keys.
     seeded = train.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     seeded = (seeded.withColumn("okey", seed_order_key(F.col("seed"), F.col("doc_id")))
               .withColumn("_bucket", F.shiftright(F.col("okey"), 20)))
@@ -262,7 +268,6 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     w_in = (Window.partitionBy(*part, "_bucket").orderBy("okey", "doc_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = seeded.withColumn("_cum", F.sum("letters").over(w_in))
-    # Bucket totals from the windowed rows (shared exchange), then two-level offsets.
     btot = cum.groupBy(*part, "_bucket").agg(F.max("_cum").alias("_bl"))
     from .corpus import bucket_offsets
     offs = bucket_offsets(btot, part, value="_bl")
@@ -270,19 +275,21 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     before = F.col("_off") + F.col("_cum") - F.col("letters")
     # kmin = number of budgets already reached before this doc; kept in budgets k >= kmin.
     kmin = sum((F.when(before >= b, 1).otherwise(0) for b in budgets), F.lit(0))
-    prefix = run_sum.withColumn("kmin", kmin.cast("int")).where(F.col("kmin") < len(budgets))
+    prefix = (run_sum.withColumn("kmin", kmin.cast("int")).where(F.col("kmin") < len(budgets))
+              .select("condition", "seed", "doc_id", "letters", "kmin"))
 
-    # Per-(condition, seed, kmin) doc stats and char counts, then cumulative over budgets.
     bud = F.array(*[F.lit(i) for i in range(len(budgets))])
     fan = F.filter(bud, lambda k: k >= F.col("kmin"))
     dstats = (prefix.groupBy(*part, "kmin").agg(F.count(F.lit(1)).alias("d"), F.sum("letters").alias("l"))
               .withColumn("k", F.explode(fan)).groupBy(*part, "k")
               .agg(F.sum("d").cast("bigint").alias("num_steps"), F.sum("l").cast("bigint").alias("train_letters")))
-    ccounts = (A.char_counts(prefix, "text", (*part, "kmin"))
+    train_dc = dc.where(F.col("split") == "train").select("condition", "doc_id", "ch", "n")
+    ccounts = (prefix.join(train_dc, ["condition", "doc_id"])
+               .groupBy(*part, "kmin", "ch").agg(F.sum("n").alias("n"))
                .withColumn("k", F.explode(fan)).groupBy(*part, "k", "ch").agg(F.sum("n").alias("c")))
     model = ccounts.groupBy(*part, "k").agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V"))
 
-    ev = A.char_counts(val, "text", ("condition",)).select("condition", "ch", F.col("n").alias("n_eval"))
+    ev = (dc.where(F.col("split") == "val").groupBy("condition", "ch").agg(F.sum("n").alias("n_eval")))
     cells = model.join(ev, "condition")                       # (cond, seed, k) x eval alphabet
     scored = cells.join(ccounts, [*part, "k", "ch"], "left")
     loss = -F.log((F.coalesce(F.col("c"), F.lit(0)) + 1) / (F.col("N") + F.col("V") + 1))

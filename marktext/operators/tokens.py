@@ -330,10 +330,12 @@ def char_unigram_bpb(shards: DataFrame, digits: int = 9) -> DataFrame:
         F.sum("n_eval").cast("bigint").alias("eval_tokens"),
         F.sum(F.col("n_eval") * loss).alias("nats"),
         F.sum(F.col("n_eval") * F.octet_length("ch")).cast("bigint").alias("total_bytes"))
-    val_text = shards.where(F.col("split") == "val")
-    letters_expr = F.when(F.col("condition") == "d3", X.count_base_letters(X.atomic_decode("text"))) \
-        .otherwise(X.count_base_letters("text"))
-    letters = val_text.groupBy("condition").agg(F.sum(letters_expr).cast("bigint").alias("base_letters"))
+    # Letters from the same per-character counts: a counting letter, or an atomic unit
+    # that carries one (d3).  No second pass over the text.
+    letter_chars = C.COUNT_LETTERS + "".join(C.PUA_CHARS[:C.LONE_BLOCK])
+    is_letter = F.instr(F.lit(letter_chars), F.col("ch")) > 0
+    letters = ev.groupBy("condition").agg(
+        F.sum(F.when(is_letter, F.col("n_eval")).otherwise(F.lit(0))).cast("bigint").alias("base_letters"))
     out = per.join(letters, "condition", "left")
     ln2 = F.lit(math.log(2))
     return out.select(
