@@ -198,3 +198,35 @@ def pca_2d(df: DataFrame, vec_col: str = "embedding", id_cols: tuple[str, ...] =
     cols = [(arr[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)]
     return (projected.select(*id_cols, *cols),
             [float(x) for x in model.explainedVariance.toArray()])
+
+
+# ---------------------------------------------------------------------------
+# T11 + J3 + T10: mapping groups against a trained vocabulary
+# ---------------------------------------------------------------------------
+def letter_names(spark) -> "DataFrame":
+    """36-row dimension ``(letter, letter_name)`` — last word of the Unicode name."""
+    import unicodedata
+
+    from ..functions import chars as C
+    rows = [(ch, unicodedata.name(ch).split()[-1].lower()) for ch in C.MAP_LETTERS]
+    return spark.createDataFrame(rows, "letter string, letter_name string")
+
+
+def mapping_token_groups(mapping: DataFrame, vocab: DataFrame) -> DataFrame:
+    """J3 + P9 + T10 + T11: per base letter, mapping entries that are single vocabulary
+    tokens (with their mark labels) and the ones skipped.  All inputs are bounded
+    dimensions (621 mapping rows, vocabulary-sized), so both sides are broadcastable.
+    """
+    from ..functions import text as X
+    groups = letter_groups(mapping).withColumnRenamed("pua", "token_text")
+    found = groups.join(F.broadcast(vocab.select("token_text", "token_id")), "token_text", "left")
+    labelled = found.withColumn("label", X.mark_label(F.col("seq")))
+    names = letter_names(mapping.sparkSession)
+    return (labelled.groupBy("base")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_entries"),
+                 F.count("token_id").cast("bigint").alias("n_single_tokens"),
+                 F.sort_array(F.collect_list(F.when(F.col("token_id").isNotNull(), F.col("label"))))
+                 .alias("token_labels"))
+            .withColumn("n_skipped", F.col("n_entries") - F.col("n_single_tokens"))
+            .join(F.broadcast(names), F.col("base") == F.col("letter"), "left")
+            .select("base", "letter_name", "n_entries", "n_single_tokens", "n_skipped", "token_labels"))

@@ -21,6 +21,7 @@ from ..operators import packing as PK
 from ..operators import runs as R
 from ..operators import tokens as TK
 from ..operators import validate as V
+from ..sinks import writers as W
 from ..sources import corpus as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,6 +260,32 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PK.pack_sequences(docs, seq_len=512, buffer_size=1000, group_docs=20_000)
 
 
+def d3_vocab_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + P9 + T10 + T11: which atomic units became single tokens of the d3 BPE vocabulary,
+    per base letter (rows-only: the vocabulary comes from iterative training)."""
+    _, merges = _tokenizer(spark, sf_dir, "d3")
+    return E.mapping_token_groups(K.atomic_map(spark), TK.vocab_table(spark, merges))
+
+
+def collision_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the human-readable collision report lines (header + top 20 forms)."""
+    pairs = A.word_pairs(S.lifted_corpus(spark, sf_dir))
+    summary = A.collision_summary(A.surface_forms(pairs))
+    return W.collision_report_text(summary, A.top_ambiguous(pairs, k=20, n_shown=10))
+
+
+def collision_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: the machine-readable collision report (scalars, window rate, top-50 forms)."""
+    corpus = S.lifted_corpus(spark, sf_dir)
+    pairs = A.word_pairs(corpus)
+    forms = A.surface_forms(pairs)
+    top = A.top_forms(forms, 50)
+    return W.collision_report_json(
+        A.collision_summary(forms), top.select("rank", F.col("stripped").alias("word"), "n_variants"),
+        A.form_variants(pairs, top), window=128,
+        window_rate=A.window_ambiguity_sampled(corpus, forms, window=128, n_samples=10_000, seed=42))
+
+
 QUERIES: dict[str, Query] = {
     "collision_summary": collision_summary,
     "collision_summary_strip": collision_summary_strip,
@@ -294,4 +321,7 @@ QUERIES: dict[str, Query] = {
     "run_calibration": run_calibration,
     "validation_report": validation_report,
     "pack_sequences": pack_sequences,
+    "d3_vocab_mapping": d3_vocab_mapping,
+    "collision_report_text": collision_report_text,
+    "collision_report_json": collision_report_json,
 }
