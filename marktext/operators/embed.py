@@ -230,3 +230,28 @@ def mapping_token_groups(mapping: DataFrame, vocab: DataFrame) -> DataFrame:
             .withColumn("n_skipped", F.col("n_entries") - F.col("n_single_tokens"))
             .join(F.broadcast(names), F.col("base") == F.col("letter"), "left")
             .select("base", "letter_name", "n_entries", "n_single_tokens", "n_skipped", "token_labels"))
+
+
+# ---------------------------------------------------------------------------
+# O6 / A21
+# ---------------------------------------------------------------------------
+def sample_rows(df: DataFrame, n: int = 200, seed: int = 42, id_col: str = "token_id") -> DataFrame:
+    """``n`` rows without replacement, all when there are fewer; deterministic per seed.
+
+    Same contract as a seeded shuffle-and-take (not the same generator): rows ordered by
+    ``xxhash64(seed, id)`` and cut at n — planned as a per-partition top-n, no full sort.
+    """
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(n)
+
+
+def pair_token_cosine(vocab: DataFrame, embeddings: DataFrame, vec_col: str = "embedding",
+                      digits: int | None = 9) -> DataFrame:
+    """letter+mark pair tokens (T12 'pair') grouped by their base letter; mean
+    intra-group cosine for groups of at least two tokens (closed form, no pairs)."""
+    from ..functions import text as X
+    trimmed = F.regexp_replace(F.col("token_text"), F.lit("^[" + X.C.PYWS_CLASS + "]+|[" + X.C.PYWS_CLASS + "]+$"), "")
+    pairs = (vocab.where(X.token_class(F.col("token_text")) == "pair")
+             .select("token_id", F.substring(trimmed, 1, 1).alias("base")))
+    joined = pairs.join(embeddings.select(F.col("vec_id").cast("int").alias("token_id"), vec_col), "token_id")
+    per = group_cosine(joined, "base", vec_col, digits)
+    return per.where(F.col("n_vectors") >= 2)
