@@ -360,6 +360,23 @@ def validation_report() -> str:
         "FROM ck GROUP BY condition")
 
 
+def collision_report_text() -> str:
+    return _with(G.corpus_ctes(), G.pairs_ctes("zip"), G.forms_cte(), _top_ctes(20),
+                 "sm AS (SELECT count(*) AS nf, sum(n_variants) AS nv, count(*) FILTER (WHERE n_variants > 1) AS na, "
+                 "max(n_variants) AS mx, sum(n_words) AS nw FROM forms)") + (
+        "SELECT CAST(0 AS INTEGER) AS line_no, 'Total unique undiacritized forms: ' || format('{:,}', nf) AS line FROM sm "
+        "UNION ALL SELECT 1, 'Total unique diacritized forms: ' || format('{:,}', nv) FROM sm "
+        "UNION ALL SELECT 2, 'Ambiguous forms (>1 diacritized variant): ' || format('{:,}', na) || ' (' || "
+        "printf('%.1f', CAST(100.0 AS DOUBLE) * na / nf) || '%)' FROM sm "
+        "UNION ALL SELECT 3, 'Average collision rate: ' || printf('%.2f', CAST(nv AS DOUBLE) / nf) FROM sm "
+        "UNION ALL SELECT 4, 'Max collision rate: ' || CAST(mx AS VARCHAR) FROM sm "
+        "UNION ALL SELECT 5, 'Total words analyzed: ' || format('{:,}', nw) FROM sm "
+        "UNION ALL SELECT 6, '' UNION ALL SELECT 7, 'Top 20 most ambiguous words:' "
+        "UNION ALL SELECT t.rank + 7, '  ' || t.stripped || ' (' || CAST(t.n_variants AS VARCHAR) || ' variants): ' || "
+        "(SELECT string_agg(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT variant AS v FROM pairs p "
+        " WHERE p.stripped = t.stripped ORDER BY v LIMIT 10)) FROM top t")
+
+
 ORACLE: dict[str, str] = {
     "collision_summary": collision_summary(),
     "collision_summary_strip": collision_summary_strip(),
@@ -389,4 +406,5 @@ ORACLE: dict[str, str] = {
     "run_pending": run_pending(),
     "run_calibration": run_calibration(),
     "validation_report": validation_report(),
+    "collision_report_text": collision_report_text(),
 }
