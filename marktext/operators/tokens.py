@@ -91,13 +91,50 @@ def _apply_merge(s: Column, a: int, b: int, new_id: int) -> Column:
     return F.regexp_replace(s, F.lit(f" {a} {b}(?= )"), F.lit(f" {new_id}"))
 
 
+def _accept_batch(top: list[tuple[int, int, int]], top_m: int, budget: int, min_count: int):
+    """Longest prefix of the ranked pairs that sequential BPE would merge in the same order.
+
+    Pair k joins the batch when (i) it does not touch an accepted pair (its right symbol is
+    no accepted left symbol and its left symbol no accepted right symbol): its count and
+    occurrences are then unchanged by the batch; and (ii) its count is strictly above every
+    pair that could *grow* - only pairs adjacent to an accepted merge can, and each is
+    bounded by an adjacent pair's count (known inside the top-M, bounded by the (M+1)-th
+    count outside).  The first pair failing either test ends the batch.
+    """
+    head = top[:top_m]
+    bound_out = top[top_m][2] if len(top) > top_m else 0
+    accepted: list[tuple[int, int, int]] = []
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    for a, b, n in head:
+        if n < min_count or len(accepted) >= budget:
+            break
+        if accepted:
+            if b in lefts or a in rights:
+                break
+            acc = set((x, y) for x, y, _ in accepted)
+            adj = [m for x, y, m in head if (x, y) not in acc and (y in lefts or x in rights)]
+            if not n > max(adj + [bound_out]):
+                break
+        accepted.append((a, b, n))
+        lefts.add(a)
+        rights.add(b)
+    return accepted
+
+
 def bpe_train(hist: DataFrame, vocab_size: int, n_special: int = len(C.SPECIAL_TOKENS),
-              checkpoint_every: int = 8, min_count: int = 1) -> DataFrame:
+              checkpoint_every: int = 8, min_count: int = 1, batched: bool = True,
+              top_m: int = 256) -> DataFrame:
     """B1: byte-level BPE merges learned from a pretoken histogram.
 
     ``vocab_size`` counts the 256 bytes, the merges and the specials; training stops
     early when no pair occurs ``min_count`` times.  Ties: count desc, then left id,
     then right id.  Returns ``merges(rank, left, right, token_id, count)``.
+
+    Each round is one aggregation of adjacent pairs over the distinct-pretoken table.
+    ``batched`` accepts several merges per round when sequential BPE provably picks the
+    same ones (see ``_accept_batch``), so the result equals one-merge-per-round training
+    with far fewer passes; ``batched=False`` forces one merge per round.
     """
     spark = hist.sparkSession
     n_merges = max(0, vocab_size - n_special - N_BYTES)
@@ -105,22 +142,46 @@ def bpe_train(hist: DataFrame, vocab_size: int, n_special: int = len(C.SPECIAL_T
     multi = F.instr(F.trim(F.col("s")), " ") > 0
     words = words.where(multi).checkpoint(eager=True)
     merges: list[tuple[int, int, int, int, int]] = []
-    for r in range(n_merges):
+    rounds = 0
+    while len(merges) < n_merges:
         pairs = (words.select(F.explode(_adjacent_pairs(F.col("s"))).alias("p"), "freq")
                  .groupBy(F.col("p.a").cast("int").alias("a"), F.col("p.b").cast("int").alias("b"))
                  .agg(F.sum("freq").alias("n")))
-        best = pairs.orderBy(F.desc("n"), "a", "b").limit(1).collect()
-        if not best or best[0]["n"] < min_count:
+        m = top_m if batched else 1
+        top = [(int(r["a"]), int(r["b"]), int(r["n"]))
+               for r in pairs.orderBy(F.desc("n"), "a", "b").limit(m + 1).collect()]
+        batch = _accept_batch(top, m, n_merges - len(merges), min_count)
+        if not batch:
             break
-        a, b, n = int(best[0]["a"]), int(best[0]["b"]), int(best[0]["n"])
-        new_id = N_BYTES + r
-        merges.append((r, a, b, new_id, n))
-        words = words.select(_apply_merge(F.col("s"), a, b, new_id).alias("s"), "freq")
-        if (r + 1) % checkpoint_every == 0:
+        for a, b, n in batch:
+            new_id = N_BYTES + len(merges)
+            merges.append((len(merges), a, b, new_id, n))
+            words = words.select(_apply_merge(F.col("s"), a, b, new_id).alias("s"), "freq")
+        rounds += 1
+        if rounds % checkpoint_every == 0:
             words = words.where(multi).checkpoint(eager=True)
     return spark.createDataFrame(merges, "rank int, left int, right int, token_id int, count bigint")
 
 
+def train_or_load(spark: SparkSession, key: str, train_fn, root: str | None = None) -> DataFrame:
+    """Caching by existence: reuse merges stored under ``root/bpe-<key>``, else train and
+    store them (a new folder per key, never overwritten).  ``root`` defaults to the
+    session's checkpoint folder, which on a cluster is shared storage."""
+    import hashlib
+
+    from ..session import checkpoint_root
+    base = root or checkpoint_root(spark)
+    path = f"{base.rstrip('/')}/bpe-{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hpath):
+        return spark.read.parquet(path)
+    merges = train_fn()
+    merges.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def merges_to_ranks(merges: DataFrame) -> list[tuple[int, int, int]]:
     """The merge list, ordered by rank (bounded by the vocabulary size)."""
     return [(int(r["left"]), int(r["right"]), int(r["token_id"]))

@@ -157,9 +157,22 @@ def _train_docs(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
 
 
 def _tokenizer(spark: SparkSession, sf_dir: str, condition: str):
+    """Train (or reuse, keyed by the input file's identity) the condition's BPE merges."""
+    import os
     train = _train_docs(spark, sf_dir, condition)
-    hist = TK.pretoken_histogram(TK.prefix_by_chars(train, TK.TRAIN_CHAR_BUDGET))
-    return train, TK.bpe_train(hist, BPE_VOCAB)
+    src = S.table_path(sf_dir, "documents")
+    try:
+        st = os.stat(src)
+        ident = f"{os.path.abspath(src)}:{st.st_size}:{st.st_mtime_ns}"
+    except OSError:
+        ident = src
+    key = f"{ident}|{condition}|{BPE_VOCAB}|v1"
+
+    def train_fn():
+        hist = TK.pretoken_histogram(TK.prefix_by_chars(train, TK.TRAIN_CHAR_BUDGET))
+        return TK.bpe_train(hist, BPE_VOCAB)
+
+    return train, TK.train_or_load(spark, key, train_fn)
 
 
 def pretoken_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +190,6 @@ def bpe_tokenizer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for cond in ("d1", "d3"):
         train, merges = _tokenizer(spark, sf_dir, cond)
-        merges = merges.checkpoint(eager=True)
         vocab = TK.vocab_table(spark, merges)
         rt = TK.roundtrip_check(train, merges)
         fert = TK.fertility(TK.prefix_by_chars(train, TK.FERTILITY_CHAR_BUDGET), merges)

@@ -99,3 +99,13 @@ def test_fertility(spark):
     assert f["tokens"] == sum(len(t.encode("utf-8")) for t in texts)
     assert abs(f["fertility"] - f["tokens"] / f["words"]) < 1e-12
     assert F is not None
+
+
+def test_batched_training_equals_single_merge(spark, mini_corpus):
+    texts = [r["vocalized"] for r in mini_corpus.collect()] + ["the cat sat on the mat " * 3, "abab abab ab"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    hist = TK.pretoken_histogram(docs)
+    want = py_bpe(texts, 60)
+    for m in (1, 3, 256):
+        got = TK.bpe_train(hist, 256 + 4 + 60, top_m=m).orderBy("rank").collect()
+        assert [(r["left"], r["right"], r["token_id"], r["count"]) for r in got] == want
