@@ -374,30 +374,28 @@ def char_unigram_bpb(shards: DataFrame, digits: int = 9) -> DataFrame:
     split and evaluated on its val split.
 
     Per condition: ``(condition, eval_tokens, total_nats, total_bytes, bpb, base_letters, bpbl)``.
-    Base letters are counted on the decoded text, so the three conditions share a
-    denominator definition.  Streams are aggregated per (condition, char) before joining.
+    One pass: the per-task character combiner feeds a single aggregation with train and
+    eval counts side by side; model totals come from a window over that (condition x
+    alphabet) table, so the corpus is read and encoded once.
     """
     from .ambiguity import char_counts
-    counts = char_counts(shards, "text", ("condition", "split")).select(
-        "condition", "split", "ch", F.col("n").alias("c"))
-    train = counts.where(F.col("split") == "train").select("condition", "ch", "c")
-    ev = counts.where(F.col("split") == "val").select("condition", "ch", F.col("c").alias("n_eval"))
-    totals = train.groupBy("condition").agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V"))
-    j = ev.join(train, ["condition", "ch"], "left").join(totals, "condition", "left")
-    n_tot = F.coalesce(F.col("N"), F.lit(0))
-    v_tot = F.coalesce(F.col("V"), F.lit(0))
-    loss = -F.log((F.coalesce(F.col("c"), F.lit(0)) + 1) / (n_tot + v_tot + 1))
-    per = j.groupBy("condition").agg(
-        F.sum("n_eval").cast("bigint").alias("eval_tokens"),
-        F.sum(F.col("n_eval") * loss).alias("nats"),
-        F.sum(F.col("n_eval") * F.octet_length("ch")).cast("bigint").alias("total_bytes"))
-    # Letters from the same per-character counts: a counting letter, or an atomic unit
-    # that carries one (d3).  No second pass over the text.
+    counts = char_counts(shards, "text", ("condition", "split"))
+    per_ch = counts.groupBy("condition", "ch").agg(
+        F.sum(F.when(F.col("split") == "train", F.col("n")).otherwise(F.lit(0))).alias("c"),
+        F.sum(F.when(F.col("split") == "val", F.col("n")).otherwise(F.lit(0))).alias("n_eval"))
+    w = Window.partitionBy("condition")
+    model = (per_ch.withColumn("N", F.sum("c").over(w))
+             .withColumn("V", F.count(F.when(F.col("c") > 0, F.lit(1))).over(w)))
+    ev = model.where(F.col("n_eval") > 0)
+    loss = -F.log((F.col("c") + 1) / (F.col("N") + F.col("V") + 1))
+    # Letters: a counting letter, or an atomic unit that carries one (d3).
     letter_chars = C.COUNT_LETTERS + "".join(C.PUA_CHARS[:C.LONE_BLOCK])
     is_letter = F.instr(F.lit(letter_chars), F.col("ch")) > 0
-    letters = ev.groupBy("condition").agg(
+    out = ev.groupBy("condition").agg(
+        F.sum("n_eval").cast("bigint").alias("eval_tokens"),
+        F.sum(F.col("n_eval") * loss).alias("nats"),
+        F.sum(F.col("n_eval") * F.octet_length("ch")).cast("bigint").alias("total_bytes"),
         F.sum(F.when(is_letter, F.col("n_eval")).otherwise(F.lit(0))).cast("bigint").alias("base_letters"))
-    out = per.join(letters, "condition", "left")
     ln2 = F.lit(math.log(2))
     return out.select(
         "condition", "eval_tokens", F.round("nats", 6).alias("total_nats"), "total_bytes",
