@@ -157,7 +157,7 @@ def build_conditions(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS
     """All conditions from one scan: each document fans out to one row per condition,
     then ordinals, splits and shards are computed per condition in the same shuffle.
 
-    ``(condition, doc_id, ordinal, text, split, shard_id)``.
+    ``(condition, doc_id, ordinal, text, split, shard_id, letters)``.
     """
     base = drop_blank(corpus, text_col)
     # The keep-predicate never reads the encoded text: encoding only rewrites letters and
@@ -173,8 +173,12 @@ def build_conditions(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS
     # heavy plan and re-run the encoder in every counting branch).
     variants = F.array(*[F.struct(F.lit(c).alias("condition"), X.encode_condition(text_col, c).alias("text"),
                                   keep(c).alias("keep")) for c in conditions])
-    kept = (base.select(F.col(ordinal).alias("doc_id"), F.explode(variants).alias("v"))
-            .where(F.col("v.keep")).select("v.condition", "doc_id", "v.text"))
+    # Base letters from the source: stripping and atomic encoding both preserve the count
+    # (each unit carries exactly one letter), so consumers never need the encoded text.
+    kept = (base.select(F.col(ordinal).alias("doc_id"),
+                        X.count_base_letters(text_col).cast("bigint").alias("letters"),
+                        F.explode(variants).alias("v"))
+            .where(F.col("v.keep")).select("v.condition", "doc_id", "v.text", "letters"))
     flags = F.array(*[F.struct(F.lit(c).alias("condition"), keep(c).alias("keep")) for c in conditions])
     keys = (base.select(F.col(ordinal).alias("doc_id"), F.explode(flags).alias("v"))
             .where(F.col("v.keep")).select("v.condition", "doc_id"))
@@ -190,6 +194,7 @@ def build_conditions(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS
         F.when(is_val, "val").otherwise("train").alias("split"),
         F.when(is_val, train_shards)
         .otherwise(F.floor(F.col("ordinal") / F.lit(docs_per_shard)).cast("int")).alias("shard_id"),
+        "letters",
     )
 
 

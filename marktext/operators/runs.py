@@ -248,17 +248,10 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     """
     budgets = sorted(budgets)
     sh = shards.where(F.col("condition").isin(*conditions))
-    # One pass of the per-task character combiner over every document: per-document
-    # character counts.  Letters, train counts per budget and the eval stream are all
-    # aggregations of this table; the text itself never goes through the seed windows.
-    letter_chars = X.C.COUNT_LETTERS + "".join(X.C.PUA_CHARS[:X.C.LONE_BLOCK])
-    dc = A.char_counts(sh, "text", ("condition", "split", "doc_id")).select(
-        "condition", "split", "doc_id", "ch", "n",
-        (F.instr(F.lit(letter_chars), F.col("ch")) > 0).alias("is_letter"))
-    doc_letters = dc.groupBy("condition", "split", "doc_id").agg(
-        F.sum(F.when(F.col("is_letter"), F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("letters"))
-    train = doc_letters.where(F.col("split") == "train").select("condition", "doc_id", "letters")
-    val = doc_letters.where(F.col("split") == "val")
+    # Keys only (no text): base letters per document come with the shard table.
+    keyed = sh.select("condition", "split", "doc_id", "letters")
+    train = keyed.where(F.col("split") == "train").select("condition", "doc_id", "letters")
+    val = keyed.where(F.col("split") == "val")
 
     # Seed order and running letter sum per (condition, seed): two-phase prefix sum on keys.
     seeded = train.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
@@ -278,18 +271,26 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     prefix = (run_sum.withColumn("kmin", kmin.cast("int")).where(F.col("kmin") < len(budgets))
               .select("condition", "seed", "doc_id", "letters", "kmin"))
 
+    # Text is read once: prefix documents (per seed) and val documents are picked with one
+    # left join against the prefix keys (budget-bounded; AQE broadcasts it when small),
+    # then the per-task character combiner counts them; seed = -1 marks the eval stream.
+    sel = prefix.select("condition", "doc_id", "seed", "kmin")
+    picked = (sh.select("condition", "doc_id", "split", "text").join(sel, ["condition", "doc_id"], "left")
+              .where((F.col("split") == "val") | F.col("seed").isNotNull())
+              .select("condition", F.coalesce("seed", F.lit(-1)).alias("seed"),
+                      F.coalesce("kmin", F.lit(-1)).alias("kmin"), "text"))
+    counted = A.char_counts(picked, "text", ("condition", "seed", "kmin")).select(
+        "condition", "seed", "kmin", "ch", "n")
+
     bud = F.array(*[F.lit(i) for i in range(len(budgets))])
     fan = F.filter(bud, lambda k: k >= F.col("kmin"))
     dstats = (prefix.groupBy(*part, "kmin").agg(F.count(F.lit(1)).alias("d"), F.sum("letters").alias("l"))
               .withColumn("k", F.explode(fan)).groupBy(*part, "k")
               .agg(F.sum("d").cast("bigint").alias("num_steps"), F.sum("l").cast("bigint").alias("train_letters")))
-    train_dc = dc.where(F.col("split") == "train").select("condition", "doc_id", "ch", "n")
-    ccounts = (prefix.join(train_dc, ["condition", "doc_id"])
-               .groupBy(*part, "kmin", "ch").agg(F.sum("n").alias("n"))
+    ccounts = (counted.where(F.col("seed") >= 0)
                .withColumn("k", F.explode(fan)).groupBy(*part, "k", "ch").agg(F.sum("n").alias("c")))
     model = ccounts.groupBy(*part, "k").agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V"))
-
-    ev = (dc.where(F.col("split") == "val").groupBy("condition", "ch").agg(F.sum("n").alias("n_eval")))
+    ev = counted.where(F.col("seed") < 0).select("condition", "ch", F.col("n").alias("n_eval"))
     cells = model.join(ev, "condition")                       # (cond, seed, k) x eval alphabet
     scored = cells.join(ccounts, [*part, "k", "ch"], "left")
     loss = -F.log((F.coalesce(F.col("c"), F.lit(0)) + 1) / (F.col("N") + F.col("V") + 1))
