@@ -298,11 +298,14 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
         F.sum(F.col("n_eval") * loss).alias("nats"),
         F.sum("n_eval").cast("bigint").alias("total_valid_tokens"),
         F.sum(F.col("n_eval") * F.octet_length("ch")).cast("bigint").alias("total_eval_bytes"))
-    vlet = val.groupBy("condition").agg(F.sum("letters").alias("val_letters"))
-    tlet = train.groupBy("condition").agg((F.sum("letters") / F.count(F.lit(1))).alias("letters_per_doc"))
+    # Val letters and mean train letters per document in one aggregation over the keys.
+    is_tr = F.col("split") == "train"
+    lets = keyed.groupBy("condition").agg(
+        F.sum(F.when(~is_tr, F.col("letters"))).alias("val_letters"),
+        (F.sum(F.when(is_tr, F.col("letters"))) / F.count_if(is_tr)).alias("letters_per_doc"))
 
     budget_of_k = F.element_at(F.array(*[F.lit(b).cast("bigint") for b in budgets]), F.col("k") + 1)
-    out = (evals.join(dstats, [*part, "k"]).join(vlet, "condition").join(tlet, "condition")
+    out = (evals.join(dstats, [*part, "k"]).join(lets, "condition")
            .withColumn("target_base_letters", budget_of_k))
     blpt = F.col("val_letters") / F.col("total_valid_tokens")
     return out.select(
