@@ -65,8 +65,12 @@ def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
     check costs no data pass; on a large table with many splits nothing changes.
     Hash partitioning on the key keeps the redistribution deterministic on retry.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
+        return df
+    if splits >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
 
