@@ -83,8 +83,9 @@ def spark():
          .config("spark.checkpoint.dir", os.path.join(tmp, "ckpt"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from marktext.session import ensure_checkpoint_dir
+    from marktext.session import ensure_checkpoint_dir, ship_package
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 
