@@ -248,8 +248,11 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     """
     budgets = sorted(budgets)
     sh = shards.where(F.col("condition").isin(*conditions))
-    # Keys only (no text): base letters per document come with the shard table.
-    keyed = sh.select("condition", "split", "doc_id", "letters")
+    # Keys only (no text): base letters per document come with the shard table.  Many
+    # consumers read these keys, so lineage is cut here with a reliable checkpoint (in the
+    # cluster's checkpoint folder): the condition build runs once for the keys and once
+    # for the text pick below, instead of once per consumer.
+    keyed = sh.select("condition", "split", "doc_id", "letters").checkpoint(eager=True)
     train = keyed.where(F.col("split") == "train").select("condition", "doc_id", "letters")
     val = keyed.where(F.col("split") == "val")
 
@@ -279,8 +282,10 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
               .where((F.col("split") == "val") | F.col("seed").isNotNull())
               .select("condition", F.coalesce("seed", F.lit(-1)).alias("seed"),
                       F.coalesce("kmin", F.lit(-1)).alias("kmin"), "text"))
+    # (groups x alphabet) rows, read by the train and the eval branch: checkpointed so the
+    # text is picked and counted once.
     counted = A.char_counts(picked, "text", ("condition", "seed", "kmin")).select(
-        "condition", "seed", "kmin", "ch", "n")
+        "condition", "seed", "kmin", "ch", "n").checkpoint(eager=True)
 
     bud = F.array(*[F.lit(i) for i in range(len(budgets))])
     fan = F.filter(bud, lambda k: k >= F.col("kmin"))
