@@ -59,3 +59,24 @@ def test_pair_token_cosine(spark):
                                 "vec_id long, embedding array<float>, label int")
     got = E.pair_token_cosine(vocab, emb).collect()
     assert len(got) == 1 and got[0]["base"] == marked(KAF) and got[0]["n_vectors"] == 2
+
+
+def test_collision_reports(spark, mini_corpus):
+    import json
+
+    from marktext.operators import ambiguity as A
+    pairs = A.word_pairs(mini_corpus)
+    forms = A.surface_forms(pairs)
+    summary = A.collision_summary(forms)
+    top = A.top_forms(forms, 3)
+    doc = W.collision_report_json(summary, top.select("rank", F.col("stripped").alias("word"), "n_variants"),
+                                  A.form_variants(pairs, top)).first()["json"]
+    got = json.loads(doc)
+    s = summary.first()
+    assert got["total_undiacritized_forms"] == s["total_undiacritized_forms"]
+    assert got["context_window_tokens"] == 128 and len(got["top_ambiguous"]) == 3
+    first = got["top_ambiguous"][0]
+    assert first["variants"] == sorted(first["variants"])
+    lines = W.collision_report_text(summary, A.top_ambiguous(pairs, k=20, n_shown=10)).orderBy("line_no").collect()
+    assert lines[0]["line"].startswith("Total unique undiacritized forms: ")
+    assert lines[7]["line"] == "Top 20 most ambiguous words:"
