@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import prepare, read
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
+from .mixing import mix_decisions
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +17,47 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).drop("filtered")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources by weight takes from every document."""
+    prepare(spark)
+    return (mix_decisions(read(spark, sf_dir, "documents"))
+            .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                    (F.col("times") * F.col("size")).alias("taken")))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later places of repeated three-line windows."""
+    prepare(spark)
+    return line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op10_line_dedup": op10_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
 }
 
 ORACLE = {
+    "op10_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                  generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS rank
+      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT a.doc_id, a.rank, a.line AS l1, b.line AS l2, c.line AS l3
+      FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.rank = a.rank + 1
+               JOIN r c ON c.doc_id = a.doc_id AND c.rank = a.rank + 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, rank) AS place FROM w),
+gone AS (SELECT DISTINCT doc_id, rank + k AS rank FROM n, (SELECT unnest([0, 1, 2]) AS k) WHERE place > 1),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) AS text
+         FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.no = l.no
+                LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.rank = r.rank
+         WHERE g.doc_id IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(n.n_lines, 0) AS n_lines, coalesce(g.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM r GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id) g USING (doc_id)""",
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
