@@ -9,6 +9,8 @@ from .common import prepare, read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_decisions
+from .quality import quality_rules
+from .simhash import simhash_classes
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the base filter and of the decision list learned from ``labels``."""
+    prepare(spark)
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "rule")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash class of every document: three-word shingles, at most two differing bits."""
+    prepare(spark)
+    return simhash_classes(read(spark, sf_dir, "documents"), shingle=3, bits=2).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op10_line_dedup": op10_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
