@@ -40,19 +40,20 @@ def _repeat_words() -> Column:
     return F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0)).otherwise(covered).cast("long")
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """``id`` and counts of each text (null: empty): words, their code points, symbols, lines
     with a word and repeats among them, words in repeated three-word windows, capitals, digits,
-    exclamation marks and distinct words."""
+    exclamation marks and distinct words.  With ``row`` also the whole row as a struct."""
     text, w = F.col("_t"), F.col("_w")
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit("".join(SPACES))) != "")
     hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    base = docs.select(column(id_col).alias("id"), text_or_empty(text_col).alias("_t")).withColumns(
+    whole = [F.struct(*[column(c) for c in docs.columns]).alias("row")] if row else []
+    base = docs.select(column(id_col).alias("id"), text_or_empty(text_col).alias("_t"), *whole).withColumns(
         {"_w": words(text)}).withColumns({"_l": lines, "_n": F.size("_w")}).withColumn(
         "_h", F.when(F.col("_n") >= 3, F.slice(hashes, F.lit(1), F.greatest(F.col("_n") - 2, F.lit(0)))).otherwise(
             F.array().cast("array<bigint>")))
     return base.select(
-        "id", F.col("_n").cast("long").alias("n_words"),
+        "id", *["row"] * row, F.col("_n").cast("long").alias("n_words"),
         F.length(without_spaces(text)).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -184,6 +185,26 @@ def verdict(rules: list[list[Condition]], columns: dict[str, Column]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
+def labelled_rates(stats: DataFrame, labels: DataFrame, id_col: str, quality_col: str) -> DataFrame:
+    """``(id, bad, rate...)`` of the labelled documents that pass the base filter."""
+    marks = (labels.where(column(quality_col).isNotNull()).groupBy(column(id_col).alias("id"))
+             .agg((F.min(quality_col) == 0).alias("bad")))
+    return cut(stats.where(~base_failed()).join(marks, "id").select(
+        "id", "bad", *[c.alias(f) for f, c in features().items()]))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   quality_col: str = "quality", **options) -> DataFrame:
+    """The rows of ``docs`` that neither the base filter nor the learned list rejects, same
+    columns.  The list is applied to each row where it stands, so texts do not move."""
+    rules = learn_rules(labelled_rates(cut(text_statistics(docs, id_col, text_col)), labels, id_col, quality_col),
+                        list(features()), **options)
+    # The row number keeps the optimiser from moving the filter below the statistics, where each
+    # mention of one would compute it again.
+    judged = text_statistics(docs, id_col, text_col, row=True).withColumn("_here", F.monotonically_increasing_id())
+    return judged.where((F.col("_here") >= 0) & ~base_failed() & (verdict(rules, features()) == 0)).select("row.*")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   quality_col: str = "quality", **options) -> DataFrame:
     """One row per input row: ``id``, the statistics, ``base_failed``, ``rule`` and ``kept``.
@@ -193,11 +214,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Without labels only the base filter rejects.  An empty table gives an empty result.
     """
     stats = cut(text_statistics(docs, id_col, text_col))
-    rates = features()
-    marks = (labels.where(column(quality_col).isNotNull()).groupBy(column(id_col).alias("id"))
-             .agg((F.min(quality_col) == 0).alias("bad")))
-    labelled = cut(stats.where(~base_failed()).join(marks, "id").select(
-        "id", "bad", *[c.alias(f) for f, c in rates.items()]))
-    rules = learn_rules(labelled, list(rates), **options)
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules, rates))
+    rules = learn_rules(labelled_rates(stats, labels, id_col, quality_col), list(features()), **options)
+    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules, features()))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

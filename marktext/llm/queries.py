@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_automaton import bpe_decode, bpe_encode
 from .common import prepare, read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -49,7 +50,29 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary; a parameter of the operators."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again with the public byte-level vocabulary."""
+    prepare(spark)
+    return bpe_digest(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Token number and digests of every text; the other columns are passed on."""
+    coded = bpe_encode(docs, tokenizer).drop("text")
+    return bpe_decode(coded, tokenizer).select(
+        *[c for c in coded.columns if c != "ids"],
+        F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op9_bpe_automaton": op9_bpe_automaton,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,

@@ -53,16 +53,18 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed long."""
-    rows = docs.select(column(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, row: bool = False) -> DataFrame:
+    """``(id, fp)`` with the fingerprint as a signed long; with ``row`` also the whole row as a struct."""
+    whole = [F.struct(*[column(c) for c in docs.columns]).alias("row")] if row else []
+    rows = docs.select(column(id_col).alias("id"), *whole, text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(b.num_columns - 1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))],
+                                             names=[*b.schema.names[:-1], "fp"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def pivot_table(fps: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
@@ -106,6 +108,30 @@ def fingerprint_links(fps: DataFrame, bits: int = 2, crowded: int = CROWDED, n_p
     return paired.unionByName(linked.select("a", "b"))
 
 
+def _classes(rows: DataFrame, bits: int) -> DataFrame:
+    """``(fp, root)`` and of each class the first id and its fingerprint, for ``rows (id, fp)``."""
+    first = F.struct(F.col("id").isNull().alias("n"), "id", "fp")
+    # Copies share a fingerprint: one row for each distinct one from here on.
+    fps = cut(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = connected_components(fingerprint_links(fps.select("fp"), bits))
+    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = named.groupBy("root").agg(F.min("first").alias("first"))
+    return named.select("fp", "root").join(classes, "root")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                  bits: int = 2) -> DataFrame:
+    """One row of each class, same columns: the one with the smallest id (nulls last); of rows
+    that share id and fingerprint the smallest in the order of their columns."""
+    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+    stays = cut(_classes(rows, bits).select("first").distinct().select(
+        F.col("first.id").alias("_id"), F.col("first.fp").alias("_fp")))
+    tagged = fingerprints(docs, id_col, text_col, shingle, row=True)
+    kept = tagged.join(stays.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    return kept.groupBy("_id", "_fp").agg(F.min("row").alias("row")).select("row.*")
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     bits: int = 2) -> DataFrame:
     """One row per input row: ``(id, fp, component_id)``.
@@ -115,11 +141,5 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other; repeated rows are returned as often as they come.  No rows, no result rows.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    # Copies share a fingerprint: one row for each distinct one from here on.
-    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(fingerprint_links(fps.select("fp"), bits))
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = cut(named.select("fp", "root").join(classes, "root").select("fp", "component_id"))
+    table = cut(_classes(rows, bits).select("fp", F.col("first.id").alias("component_id")))
     return rows.join(table, "fp").select("id", "fp", "component_id")
