@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_automaton import bpe_decode, bpe_encode
+from .chat_pairs import preference_rows
 from .common import prepare, read
 from .exact_dedup import exact_dedup
+from .licenses import main_license, scan_licenses
 from .line_dedup import line_dedup
 from .mixing import mix_decisions
+from .pii import pseudonymise_documents
 from .quality import quality_rules
 from .simhash import simhash_classes
 
@@ -71,7 +74,32 @@ def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data under format-preserving pseudonyms.  The key of this
+    query is a published constant; real use passes a secret."""
+    prepare(spark)
+    return pseudonymise_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), key="marktext demonstration key").select(
+        "doc_id", "text", F.size("spans").cast("long").alias("n_found"), "spans")
+
+
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of all preference pairs of ``conversations``."""
+    prepare(spark)
+    return preference_rows(read(spark, sf_dir, "conversations"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document: the best one, and all matches."""
+    prepare(spark)
+    return (scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("best", main_license())
+            .select("doc_id", F.col("best.l").alias("license"), (-F.col("best.d")).alias("dice"),
+                    F.size("licenses").cast("long").alias("n_matches"), "licenses"))
+
+
 QUERIES = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
+    "op4_preference_pairs": op4_preference_pairs,
+    "op5_license_scan": op5_license_scan,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
