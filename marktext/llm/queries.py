@@ -11,6 +11,7 @@ from .common import prepare, read
 from .exact_dedup import exact_dedup
 from .licenses import main_license, scan_licenses
 from .line_dedup import line_dedup
+from .maxent_lm import maxent_scores
 from .mixing import mix_decisions
 from .pii import pseudonymise_documents
 from .quality import quality_rules
@@ -96,7 +97,19 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size("licenses").cast("long").alias("n_matches"), "licenses"))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximum-entropy and unigram log-probabilities of every document; those whose
+    crc32(doc_id) mod 7 is 2 are held out of training."""
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return maxent_scores(docs, ~held_out).select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
 QUERIES = {
+    "op6_maxent_lm": op6_maxent_lm,
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op4_preference_pairs": op4_preference_pairs,
     "op5_license_scan": op5_license_scan,
