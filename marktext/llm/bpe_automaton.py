@@ -17,6 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +38,8 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+"
            rf"|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-#: Words whose encoding a Python worker remembers; the memory is emptied when it is full.
-WORDS_KEPT = 300_000
+#: What a Python worker remembers: words with their encoding (twice so many), arcs of the table.
+WORDS_KEPT, ARCS_KEPT, FIRST_KEPT = 100_000, 200_000, 1 << 16
 
 
 @lru_cache(1)
@@ -65,6 +68,31 @@ def read_tokenizer(path: str) -> dict:
             "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], "added": added}
 
 
+_NONE: dict[int, bool] = {}
+
+
+class _Memory:
+    """Remembers up to twice ``size`` keys: when the newer half is full, the older one goes, and
+    keys in use come back from it meanwhile."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def find(self, key: str) -> bytes | None:
+        ids = self.new.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is not None:
+                self.keep(key, ids)
+        return ids
+
+    def keep(self, key: str, ids: bytes) -> None:
+        if len(key) <= 64:
+            if len(self.new) >= self.size:
+                self.new, self.old = {}, self.new
+            self.new[key] = ids
+
+
 class TokenAutomaton:
     """Deterministic automaton over tokens, its arcs filled on demand from the merge gadgets."""
 
@@ -76,21 +104,35 @@ class TokenAutomaton:
         self.token = {label: t for t, label in labels.items() if len(label) == 1 or t in self.parts}
         if any(bytes([b]) not in self.token for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
-        # Lengths that occur after a first byte: positions try no others.
-        self.lengths = [sorted({len(x) for x in self.token if x[0] == b}) for b in range(256)]
-        self.emits = {**self.label, **{i: s.encode() for s, i in self.added.items()}}
-        self.table: dict[tuple[int, int], bool] = {}
-        self._split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        # Labels as a tree of bytes (children, token), and each token's next shorter prefix token.
+        self.tree: dict[int, tuple] = {}
+        self.shorter: dict[int, int] = {}
+        for label, t in sorted(self.token.items()):
+            kids, last = self.tree, -1
+            for b in label[:-1]:
+                if b not in kids:
+                    kids[b] = ({}, -1)
+                kids, y = kids[b]
+                last = y if y >= 0 else last
+            self.shorter[t] = last
+            kids[label[-1]] = (kids[label[-1]][0] if label[-1] in kids else {}, t)
+        self.longest = max(map(len, self.token))
+        self.emits = arc_labels(self.label, self.added)
         self._words = regex.compile(PATTERN)
-        self._kept: dict[str, bytes] = {}
+        self._runs = re.compile(rf"[{_S}](?=[{_S}]|\Z)")
+        self.table: dict[int, dict[int, bool]] = {}
+        self._arcs = 0
+        self._first: dict[str, bytes] = {}
+        self._kept, self._cuts = _Memory(WORDS_KEPT), _Memory(WORDS_KEPT)
+        self._split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def arc(self, x: int, y: int) -> bool:
         """Whether the state after token x has an arc labelled y in the finished automaton."""
-        found = self.table.get((x, y))
-        if found is None:
-            found = self.table[x, y] = self._arc(x, y)
-            if len(self.table) > 4 * WORDS_KEPT:
-                self.table.clear()
+        if self._arcs >= ARCS_KEPT:
+            self.table.clear()
+            self._arcs = 0
+        found = self.table.setdefault(x, {})[y] = self._arc(x, y)
+        self._arcs += 1
         return found
 
     def _arc(self, x: int, y: int) -> bool:
@@ -112,59 +154,119 @@ class TokenAutomaton:
                 before, x, y = kx, right, left
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The one tokenization of a pre-split word: the run of the automaton over its bytes."""
-        n = len(word)
-        state = [-1] * (n + 1)  # the token read last when the run stands before byte i
-        token, table, arc = self.token, self.table, self.arc
-        for i in range(n):
-            x = state[i]
-            for k in self.lengths[word[i]]:
-                if i + k > n:
-                    break
-                y = token.get(word[i:i + k])
-                if y is None:
-                    continue
-                if i == 0:
-                    ok = True
-                else:
-                    ok = table.get((x, y))
-                    if ok is None:
-                        ok = arc(x, y)
-                if ok:
-                    state[i + k] = y
-        out = []
-        while n:
-            out.append(state[n])
-            n -= len(self.label[state[n]])
-        return out[::-1]
-
-    def _packed(self, words: list[str]) -> bytes:
-        kept, parts = self._kept, []
-        for w in words:
-            ids = kept.get(w)
+        """The one tokenization of a pre-split word: the run of the automaton over its bytes.
+
+        Arcs are tried longest first.  There is one tokenization of every prefix, so a byte
+        position is reached in one way only; one from which the run cannot go on is dead for good.
+        """
+        n, at, out = len(word), 0, []
+        tree, shorter, label, table = self.tree, self.shorter, self.label, self.table
+        dead, arcs, fresh = set(), None, True
+        while at < n:
+            if fresh:  # the longest token that stands here
+                kids, y = tree, -1
+                for b in word[at:] if n - at < 64 else word[at:at + self.longest]:
+                    node = kids.get(b)
+                    if node is None:
+                        break
+                    kids, t = node
+                    if t >= 0:
+                        y = t
+            while y >= 0:
+                if arcs is None or (ok := arcs.get(y)) or (ok is None and self.arc(out[-1], y)):
+                    to = at + len(label[y])
+                    if to not in dead:
+                        break
+                y = shorter[y]
+            if y >= 0:
+                out.append(y)
+                at, arcs, fresh = to, table.get(y, _NONE), True
+            else:  # a dead end: take the last arc back and try its next shorter neighbour
+                dead.add(at)
+                last = out.pop()
+                at, y, fresh = at - len(label[last]), shorter[last], False
+                arcs = table.get(out[-1], _NONE) if out else None
+        return out
+
+    def _words_of(self, text: str) -> bytes:
+        """Ids of a text: pre-split, then each word by the automaton or from memory."""
+        parts = []
+        for w in self._words.findall(text):
+            ids = self._kept.find(w)
             if ids is None:
-                ids = np.array(self.encode_word(w.encode("utf-8")), dtype="<u4").tobytes()
-                if len(kept) >= WORDS_KEPT:
-                    kept.clear()
-                if len(w) <= 64:
-                    kept[w] = ids
+                ids = array("I", self.encode_word(w.encode("utf-8")))
+                if sys.byteorder != "little":
+                    ids.byteswap()
+                ids = ids.tobytes()
+                self._kept.keep(w, ids)
             parts.append(ids)
         return b"".join(parts)
 
+    def _cut(self, cut: str) -> bytes:
+        """Ids of a space and ``cut``.  The cuts seen first are mostly the frequent ones; they have
+        a small table of their own, which the processor's caches hold."""
+        ids = self._cuts.find(cut)
+        if ids is None:
+            ids = self._words_of(" " + cut)
+            if len(self._first) < FIRST_KEPT and len(cut) <= 64:
+                self._first[cut] = ids
+            else:
+                self._cuts.keep(cut, ids)
+        return ids
+
+    def _packed(self, text: str) -> bytes:
+        """Ids of a text without added tokens.
+
+        No pre-split word reaches across a space with other characters than white space on both
+        sides, so the text is cut there and whole cuts are remembered.  Around longer runs of
+        white space the stretch from the last to the next such space is taken as it is.
+        """
+        out, at, n = [], 0, len(text)
+        rough: list[list[int]] = []
+        for m in self._runs.finditer(text):
+            if rough and m.start() <= rough[-1][1]:
+                a = rough.pop()[0]
+            else:
+                a = max(text.rfind(" ", rough[-1][1] if rough else 0, m.start()), rough[-1][1] if rough else 0)
+            b = text.find(" ", m.end())
+            rough.append([a, n if b < 0 else b])
+        for a, b in [*rough, [n, n]]:
+            if at < a:
+                smooth = text[at:a].split(" ")
+                if smooth[0]:  # the start of the text: no space before it
+                    out.append(self._words_of(smooth[0]))
+                found = list(map(self._first.get, smooth[1:]))
+                if None in found:
+                    for i, ids in enumerate(found):
+                        if ids is None:
+                            found[i] = self._cut(smooth[i + 1])
+                out += found
+            if a < b:
+                out.append(self._words_of(text[a:b]))
+            at = b
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        if self._split is None:
-            return self._packed(self._words.findall(text))
         out, at = [], 0
-        for m in self._split.finditer(text):
-            out += [self._packed(self._words.findall(text, at, m.start())), self.added[m[0]].to_bytes(4, "little")]
+        for m in self._split.finditer(text) if self._split else ():
+            out += [self._packed(text[at:m.start()]), self.added[m[0]].to_bytes(4, "little")]
             at = m.end()
-        out.append(self._packed(self._words.findall(text[at:] if at else text)))
+        out.append(self._packed(text[at:] if at else text))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        """The labels of the arcs, joined; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.emits.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+        return emit(self.emits, ids)
+
+
+def arc_labels(labels: dict[int, bytes], added: dict[str, int]) -> dict[int, bytes]:
+    """What each arc emits when token ids are decoded."""
+    return {**labels, **{i: s.encode() for s, i in added.items()}}
+
+
+def emit(labels: dict[int, bytes], ids: bytes) -> str:
+    """The labels of the arcs, joined; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join(map(labels.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
 _AUTOMATA: dict[str, TokenAutomaton] = {}
@@ -219,10 +321,10 @@ def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: s
     at = len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(spec)
+        labels = arc_labels(spec.value[1]["labels"], spec.value[1]["added"])
         for b in batches:
             for part in _pieces(b, at):
-                text = pa.array([auto.decode(t.as_py()) for t in part.column(at)], pa.string())
+                text = pa.array([emit(labels, t.as_py()) for t in part.column(at)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], text], names=part.schema.names)
 
     out = rows.withColumn(out_col, F.coalesce(column(ids_col), F.lit(b"")))
