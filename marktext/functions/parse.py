@@ -80,11 +80,11 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, F.lit(f"^{_WS}+|{_WS}+$"), "")
 
 
-def extract_params(sources: DataFrame, source_col: str = "source", keys=PARAM_KEYS) -> DataFrame:
+def extract_params(sources: DataFrame, source_col: str = "source", keys=PARAM_KEYS, strict: bool = False) -> DataFrame:
     """``(…, key, value, found)`` for every key of every source text.
 
     ``value`` is the first ``^KEY\\s*=\\s*(.+)$`` line, stripped; ``found`` is false when
-    the key is absent (the studied tool raises; callers filter and report).
+    the key is absent, which is an error when ``strict``.
     """
     src = F.col(source_col)
     items = [F.struct(F.lit(k).alias("key"),
@@ -92,8 +92,11 @@ def extract_params(sources: DataFrame, source_col: str = "source", keys=PARAM_KE
                                F.lit("")).alias("value"),
                       F.regexp_like(src, F.lit(f"(?md)^{k}{_WS}*={_WS}*.+$")).alias("found"))
              for k in keys]
+    found = F.col("_kv.found")
+    if strict:
+        found = F.when(found, True).otherwise(F.raise_error(F.concat(F.lit("missing parameter "), F.col("_kv.key"))).cast("boolean"))
     return sources.withColumn("_kv", F.explode(F.array(*items))).select(
-        *[c for c in sources.columns if c != source_col], "_kv.key", "_kv.value", "_kv.found")
+        *[c for c in sources.columns if c != source_col], "_kv.key", "_kv.value", found.alias("found"))
 
 
 def extract_params_typed(source: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .prefix import dense_ordinal
 
 ALIGN_ZIP = "zip"
 ALIGN_STRIP = "strip"
@@ -138,14 +139,19 @@ def _mix32(x: Column) -> Column:
 
 
 def sample_hash(seed: int, i: Column, stream: int) -> Column:
-    """Deterministic uniform 32-bit draw number ``i`` of ``stream`` for ``seed``.
+    """Deterministic uniform 32-bit draw number ``i`` of ``stream`` (0 to 3) for ``seed``.
 
     The same arithmetic is written in the DuckDB oracle, so samples agree exactly.
     """
-    x0 = (F.lit(seed).cast("bigint") * 65537 + i * 2 + stream) % _M32
+    x0 = (F.lit(seed).cast("bigint") * 65537 + i * 4 + stream) % _M32
     return _mix32(x0)
 
 
+def sample_hash64(seed: int, i: Column) -> Column:
+    """A 63-bit draw from streams 0 and 2, for corpora of any number of documents."""
+    return (sample_hash(seed, i, 0) % 2147483648) * _M32 + sample_hash(seed, i, 2)
+
+
 def ambiguous_keys(forms: DataFrame) -> DataFrame:
     return forms.where(F.col("n_variants") > 1).select("stripped")
 
@@ -156,17 +162,20 @@ def window_ambiguity_sampled(corpus: DataFrame, forms: DataFrame, window: int =
     """A4: draw ``n_samples`` documents uniformly (with replacement), skip those shorter than
     ``window`` words, take a uniform window start; rate = ambiguous / analysed tokens.
 
-    ``ordinal`` must be dense 0..n-1 (W1).  Returns ``(windows, tokens, ambiguous_tokens, rate)``.
+    ``ordinal`` is any unique key: documents are drawn by its dense rank (W1).  Returns
+    ``(windows, tokens, ambiguous_tokens, rate)``.
     """
-    n_docs = corpus.select(F.count(F.lit(1))).scalar()
+    ranked = dense_ordinal(corpus.select(F.col(ordinal).alias("_id")), "_id", "doc_ord")
+    n_docs = ranked.select(F.count(F.lit(1))).scalar()
     i = F.col("id")
     samples = (corpus.sparkSession.range(n_samples)
-               .select(i.alias("sample"),
-                       (sample_hash(seed, i, 0) % n_docs).alias("doc_ord"),
+               .select((sample_hash64(seed, i) % n_docs).alias("doc_ord"),
                        sample_hash(seed, i, 1).alias("start_draw")))
-    # n_samples rows: a proven bound, so the sample table is the broadcast side.
-    docs = corpus.select(F.col(ordinal).alias("doc_ord"), "vocalized")
-    hit = docs.join(F.broadcast(samples), "doc_ord")
+    # n_samples rows: a proven bound, so the samples are the broadcast side, before and after
+    # they meet their document's key.
+    drawn = ranked.join(F.broadcast(samples), "doc_ord").select("_id", "start_draw")
+    docs = corpus.select(F.col(ordinal).alias("_id"), "vocalized")
+    hit = docs.join(F.broadcast(drawn), "_id")
     wds = hit.select("start_draw", X.words("vocalized").alias("w"))
     # Short documents get a NULL window (no Filter on a derived column, which the
     # optimizer would push below the scan's redistribution).

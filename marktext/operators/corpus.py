@@ -5,22 +5,21 @@ tail split and shard slices are column arithmetic on it, never list positions.
 
 Scale notes
 -----------
-* W1 is two-phase: counts per fixed-width key bucket (tiny table), prefix offsets over
-  that table, then ``row_number`` inside each bucket.  No window ever runs without
-  partition keys over the data; a bucket holds at most ``bucket_width`` rows.
-* The offsets table is joined without a broadcast hint: AQE broadcasts it after
-  measuring it at runtime, and falls back to a shuffle join if it is large.
-* The corpus shuffle done for W1 is reused by the shard writer: rows are already
-  clustered by ordinal bucket, so each write task touches few shard directories.
+* W1 ranks keys only (:mod:`.prefix`), whatever the ids look like.  ``condition_index`` never
+  reads encoded text: the keep-predicates are JVM expressions over the source.
+* The split needs no ordinal: the first val document of each condition is one value, and
+  ``condition_texts`` compares ids with it, so texts are encoded where they are read and
+  never shuffled.  Only the shard writer joins ordinals to texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars as C
 from ..functions import text as X
+from .prefix import dense_ordinal
 
 CONDITIONS = ("d1", "d2", "d3")
 VAL_RATIO = 0.02
@@ -57,145 +56,85 @@ def limit_examples(df: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame
     return df if n <= 0 else df.where(F.col(ordinal) < n)
 
 
-def long_enough(df: DataFrame, words_col: str, window: int) -> DataFrame:
-    """P5: documents with at least ``window`` words."""
-    return df.where(F.size(words_col) >= window)
-
-
 # ---------------------------------------------------------------------------
 # W1-W3
 # ---------------------------------------------------------------------------
-SUPER = 4096
-
-
-def bucket_offsets(totals: DataFrame, partition_cols: tuple[str, ...], value: str = "_n",
-                   bucket: str = "_bucket", out: str = "_off") -> DataFrame:
-    """Exclusive prefix sums of ``value`` over ``bucket`` within ``partition_cols``.
-
-    Two levels, so no window sees more than ``SUPER`` rows per partition key, however
-    many buckets the data has: super-bucket totals get their offsets first, then buckets
-    are offset inside their super-bucket.
-    """
-    keys = [F.col(c) for c in partition_cols]
-    sb = F.floor(F.col(bucket) / SUPER)
-    t = totals.withColumn("_sb", sb)
-    sup = t.groupBy(*partition_cols, "_sb").agg(F.sum(value).alias("_sv"))
-    w_sup = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sup = sup.select(*partition_cols, "_sb", (F.sum("_sv").over(w_sup) - F.col("_sv")).alias("_soff"))
-    w_b = (Window.partitionBy(*keys, F.col("_sb")).orderBy(bucket)
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = t.select(*partition_cols, "_sb", bucket, (F.sum(value).over(w_b) - F.col(value)).alias("_boff"))
-    return inner.join(sup, [*partition_cols, "_sb"]).select(
-        *partition_cols, bucket, (F.col("_soff") + F.col("_boff")).alias(out))
-
-
-def dense_ordinal_parts(df: DataFrame, order_col: str = "doc_id", out: str = "ordinal",
-                        partition_cols: tuple[str, ...] = (), bucket_width: int = 1 << 10,
-                        keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """W1 with its bucket-count table ``(partition_cols..., _bucket, _n)`` (for totals).
-
-    ``keys`` (optional): the same rows as ``df`` restricted to ``partition_cols`` and
-    ``order_col``, computed cheaply; bucket counts are taken from it instead of ``df``.
-    """
-    pkeys = [F.col(c) for c in partition_cols]
-    bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
-    keyed = df.withColumn("_bucket", bucket)
-    w_in = Window.partitionBy(*pkeys, F.col("_bucket")).orderBy(order_col)
-    ranked = keyed.withColumn("_rn", F.row_number().over(w_in))
-    # Catalyst derives the counts from the pre-window rows with only the key columns, so
-    # inputs should keep expensive columns out of any filter (see build_conditions).
-    src = ranked if keys is None else keys.withColumn("_bucket", bucket)
-    counts = src.groupBy(*partition_cols, "_bucket").agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
-    offsets = bucket_offsets(counts, partition_cols)
-    result = (ranked.join(offsets, [*partition_cols, "_bucket"])
-              .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
-              .drop("_bucket", "_rn", "_off"))
-    return result, counts
-
-
-def dense_ordinal(df: DataFrame, order_col: str = "doc_id", out: str = "ordinal",
-                  partition_cols: tuple[str, ...] = (), bucket_width: int = 1 << 10) -> DataFrame:
-    """Dense 0-based rank of ``order_col`` (unique integer key) within ``partition_cols``."""
-    return dense_ordinal_parts(df, order_col, out, partition_cols, bucket_width)[0]
-
-
 def n_val_docs(n: Column, ratio: float = VAL_RATIO) -> Column:
     """``max(1, int(n * ratio))`` with the float product, as the studied split does."""
     return F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(ratio)).cast("bigint"))
 
 
-def split_and_shard(cond: DataFrame, ratio: float = VAL_RATIO,
-                    docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """W1 + W2 + W3 on one condition table ``(condition, doc_id, text)``.
+def condition_index(keys: DataFrame, ratio: float = VAL_RATIO, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+    """W1 + W2 + W3 over ``keys (condition, doc_id)``: ``(condition, doc_id, ordinal, split, shard_id)``.
 
-    Adds ``ordinal``, ``split`` ('train' / 'val') and ``shard_id``: train rows are cut in
-    consecutive ``docs_per_shard`` slices; the val shard takes the next index.
+    Train rows are cut in consecutive ``docs_per_shard`` slices; the val shard takes the
+    next index.
     """
-    ranked, counts = dense_ordinal_parts(cond, "doc_id")
-    # Total from the bucket counts: same exchange as the ordinal, no second encode pass.
-    n = counts.select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    n_train = F.greatest(n - n_val_docs(n, ratio), F.lit(0))
-    train_shards = F.ceil(n_train / F.lit(docs_per_shard)).cast("int")
+    ranked = dense_ordinal(keys.select("condition", "doc_id"), "doc_id", partition_cols=("condition",))
+    totals = ranked.groupBy("condition").agg((F.max("ordinal") + 1).alias("_n"))
+    n_train = F.greatest(F.col("_n") - n_val_docs(F.col("_n"), ratio), F.lit(0))
     is_val = F.col("ordinal") >= n_train
-    return ranked.select(
-        "condition", "doc_id", "ordinal", "text",
-        F.when(is_val, "val").otherwise("train").alias("split"),
-        F.when(is_val, train_shards)
-        .otherwise(F.floor(F.col("ordinal") / F.lit(docs_per_shard)).cast("int")).alias("shard_id"),
-    )
+    # One row per condition.
+    return ranked.join(F.broadcast(totals), "condition").select(
+        "condition", "doc_id", "ordinal", F.when(is_val, "val").otherwise("train").alias("split"),
+        F.when(is_val, F.ceil(n_train / F.lit(docs_per_shard)).cast("int"))
+        .otherwise(F.floor(F.col("ordinal") / F.lit(docs_per_shard)).cast("int")).alias("shard_id"))
 
 
-def build_condition(corpus: DataFrame, condition: str, ratio: float = VAL_RATIO,
+def split_and_shard(cond: DataFrame, ratio: float = VAL_RATIO,
                     docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """Full per-condition build: filter, encode, filter, ordinal, split, shard."""
-    return split_and_shard(apply_condition(corpus, condition), ratio, docs_per_shard)
+    """The index joined to a table ``(condition, doc_id, text, ...)``, as the shard writer needs it."""
+    return cond.join(condition_index(cond, ratio, docs_per_shard), ["condition", "doc_id"])
 
 
-def build_conditions(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS,
-                     ratio: float = VAL_RATIO, docs_per_shard: int = DOCS_PER_SHARD,
-                     text_col: str = "vocalized", ordinal: str = "doc_id") -> DataFrame:
-    """All conditions from one scan: each document fans out to one row per condition,
-    then ordinals, splits and shards are computed per condition in the same shuffle.
+def _keep(condition: str, text_col: str) -> Column:
+    # Encoding rewrites letters and marks only, so a d3 text is blank exactly when its source
+    # is (filtered before); d2 needs the cheap strip.
+    return X.is_not_blank(X.strip_marks(text_col)) if condition == "d2" else F.lit(True)
 
-    ``(condition, doc_id, ordinal, text, split, shard_id, letters)``.
-    """
-    base = drop_blank(corpus, text_col)
-    # The keep-predicate never reads the encoded text: encoding only rewrites letters and
-    # marks into private-use characters, so a d3 text is blank exactly when its source is
-    # (already filtered); d2 needs the cheap strip.  Branches that only count rows (the
-    # ordinal offsets) therefore never run the encoder - column pruning drops it there.
-    def keep(c: str):
-        return X.is_not_blank(X.strip_marks(text_col)) if c == "d2" else F.lit(True)
-
-    # Heavy table: one row per (condition, document) with its text.  Key table: the same
-    # rows without text, from JVM-only predicates; the ordinal's bucket counts come from
-    # it, so the encoder runs once (Catalyst would otherwise re-derive counts from the
-    # heavy plan and re-run the encoder in every counting branch).
+
+def condition_keys(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS, text_col: str = "vocalized",
+                   ordinal: str = "doc_id") -> DataFrame:
+    """``(condition, doc_id)`` of all documents that the conditions keep; no encoder runs."""
+    flags = F.array(*[F.struct(F.lit(c).alias("condition"), _keep(c, text_col).alias("keep")) for c in conditions])
+    return (drop_blank(corpus, text_col).select(F.col(ordinal).alias("doc_id"), F.explode(flags).alias("v"))
+            .where(F.col("v.keep")).select("v.condition", "doc_id"))
+
+
+def condition_texts(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS, ratio: float = VAL_RATIO,
+                    text_col: str = "vocalized", ordinal: str = "doc_id") -> DataFrame:
+    """``(condition, doc_id, text, letters, split)``: one scan, each document fans out where it is
+    read; the split is decided by the id of each condition's first val document."""
+    index = condition_index(condition_keys(corpus, conditions, text_col, ordinal), ratio)
+    cuts = index.where(F.col("split") == "val").groupBy("condition").agg(F.min("doc_id").alias("_cut"))
     variants = F.array(*[F.struct(F.lit(c).alias("condition"), X.encode_condition(text_col, c).alias("text"),
-                                  keep(c).alias("keep")) for c in conditions])
+                                  _keep(c, text_col).alias("keep")) for c in conditions])
     # Base letters from the source: stripping and atomic encoding both preserve the count
     # (each unit carries exactly one letter), so consumers never need the encoded text.
-    kept = (base.select(F.col(ordinal).alias("doc_id"),
-                        X.count_base_letters(text_col).cast("bigint").alias("letters"),
-                        F.explode(variants).alias("v"))
+    kept = (drop_blank(corpus, text_col)
+            .select(F.col(ordinal).alias("doc_id"), X.count_base_letters(text_col).cast("bigint").alias("letters"),
+                    F.explode(variants).alias("v"))
             .where(F.col("v.keep")).select("v.condition", "doc_id", "v.text", "letters"))
-    flags = F.array(*[F.struct(F.lit(c).alias("condition"), keep(c).alias("keep")) for c in conditions])
-    keys = (base.select(F.col(ordinal).alias("doc_id"), F.explode(flags).alias("v"))
-            .where(F.col("v.keep")).select("v.condition", "doc_id"))
-    ranked, counts = dense_ordinal_parts(kept, "doc_id", partition_cols=("condition",), keys=keys)
-    totals = counts.groupBy("condition").agg(F.sum("_n").alias("_total"))
-    n = F.col("_total")
-    n_train = F.greatest(n - n_val_docs(n, ratio), F.lit(0))
-    train_shards = F.ceil(n_train / F.lit(docs_per_shard)).cast("int")
-    is_val = F.col("ordinal") >= n_train
-    # One row per condition: the totals table is tiny and broadcast by AQE.
-    return ranked.join(totals, "condition").select(
-        "condition", "doc_id", "ordinal", "text",
-        F.when(is_val, "val").otherwise("train").alias("split"),
-        F.when(is_val, train_shards)
-        .otherwise(F.floor(F.col("ordinal") / F.lit(docs_per_shard)).cast("int")).alias("shard_id"),
-        "letters",
-    )
+    # One row per condition.
+    return kept.join(F.broadcast(cuts), "condition").select(
+        "condition", "doc_id", "text", "letters",
+        F.when(F.col("doc_id") >= F.col("_cut"), "val").otherwise("train").alias("split"))
+
+
+def build_conditions(corpus: DataFrame, conditions: tuple[str, ...] = CONDITIONS,
+                     ratio: float = VAL_RATIO, docs_per_shard: int = DOCS_PER_SHARD,
+                     text_col: str = "vocalized", ordinal: str = "doc_id") -> DataFrame:
+    """Everything the shard writer needs: ``(condition, doc_id, ordinal, text, split, shard_id, letters)``."""
+    index = condition_index(condition_keys(corpus, conditions, text_col, ordinal), ratio, docs_per_shard)
+    texts = condition_texts(corpus, conditions, ratio, text_col, ordinal).drop("split")
+    return texts.join(index, ["condition", "doc_id"]).select(
+        "condition", "doc_id", "ordinal", "text", "split", "shard_id", "letters")
+
+
+def build_condition(corpus: DataFrame, condition: str, ratio: float = VAL_RATIO,
+                    docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+    """One condition's documents with ordinal, split and shard."""
+    return build_conditions(corpus, (condition,), ratio, docs_per_shard)
 
 
 def manifest(shards: DataFrame, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
@@ -220,13 +159,6 @@ def base_letter_total(val_texts: DataFrame, text_col: str = "text") -> DataFrame
                          .cast("bigint").alias("base_letters"))
 
 
-def doc_stats(shards: DataFrame) -> DataFrame:
-    """Rows and shards per condition and split."""
-    return (shards.groupBy("condition", "split")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("docs"),
-                 F.count_distinct("shard_id").cast("bigint").alias("shards")))
-
-
 # ---------------------------------------------------------------------------
 # The atomic mapping dimension
 # ---------------------------------------------------------------------------

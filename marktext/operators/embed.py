@@ -4,17 +4,21 @@ Scale notes
 -----------
 * A18 never forms pairs: the mean off-diagonal cosine of a group is
   ``(|sum u|^2 - sum |u|^2) / (n (n - 1))`` over unit vectors u, so each group needs
-  only its vector sum.  Vector sums are per-dimension aggregations with partial
-  aggregation per map task, so one huge group never lands whole in one task.
+  only its vector sum, summed per map task first, so one huge group never lands whole in
+  one task and a vector stays one row.
 * A20 (cross-group) is the dot product of two mean unit vectors: again sums only.
 * PCA (A22) uses Spark ML's distributed covariance; data is centred first.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_before
+
 NORM_FLOOR = 1e-10
 
 
@@ -35,15 +39,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def unit_components(df: DataFrame, vec_col: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Long form ``(keep..., d, u)``: one row per vector component of the unit vector.
+def group_sums(df: DataFrame, group_cols: tuple[str, ...] = ("label",), vec_col: str = "embedding") -> DataFrame:
+    """``(group..., n, s array<double>, q)``: per group the number of vectors, the sum of their unit
+    vectors and of the squared lengths of these, in one aggregation with partial sums per task.
 
-    The norm is a column of its own, so it is computed once per row, not per element.
+    Rows without a vector are left out; a NULL group is a group.
     """
-    normed = df.select(*keep, F.col(vec_col).alias("_v"),
-                       F.greatest(l2_norm(F.col(vec_col)), F.lit(NORM_FLOOR)).alias("_norm"))
-    return (normed.select(*keep, "_norm", F.posexplode("_v").alias("d", "x"))
-            .select(*keep, "d", (F.col("x").cast("double") / F.col("_norm")).alias("u")))
+    unit = df.where(F.col(vec_col).isNotNull()).select(*group_cols, unit_vector(F.col(vec_col)).alias("_u"))
+    rows = unit.select(*group_cols, array_to_vector("_u").alias("_v"), dot(F.col("_u"), F.col("_u")).alias("_q"))
+    return rows.groupBy(*group_cols).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                         vector_to_array(Summarizer.sum(F.col("_v"))).alias("s"), F.sum("_q").alias("q"))
 
 
 # ---------------------------------------------------------------------------
@@ -55,18 +60,11 @@ def group_cosine(df: DataFrame, group_col: str = "label", vec_col: str = "embedd
 
     ``(group, n_vectors, mean_cosine)``.
     """
-    comps = unit_components(df, vec_col, keep=(group_col,))
-    # Sum of u per (group, dimension), and sum of |u|^2 per group.
-    sums = comps.groupBy(group_col, "d").agg(F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"))
-    per_group = sums.groupBy(group_col).agg(F.sum(F.col("s") * F.col("s")).alias("ss"),
-                                            F.sum("q").alias("qq"))
-    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).cast("bigint").alias("n_vectors"))
-    n = F.col("n_vectors")
-    mean = F.when(n >= 2, (F.col("ss") - F.col("qq")) / (n * (n - 1)))
+    n = F.col("n")
+    mean = F.when(n >= 2, (dot(F.col("s"), F.col("s")) - F.col("q")) / (n * (n - 1)))
     if digits is not None:
         mean = F.round(mean, digits)
-    return (counts.join(per_group, group_col, "left")
-            .select(group_col, "n_vectors", mean.alias("mean_cosine")))
+    return group_sums(df, (group_col,), vec_col).select(group_col, n.alias("n_vectors"), mean.alias("mean_cosine"))
 
 
 def interpret(mean: Column) -> Column:
@@ -92,38 +90,28 @@ def overall_cosine(per_group: DataFrame, digits: int | None = 9) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Cross-group cosine (closed form)
 # ---------------------------------------------------------------------------
-def mean_unit_vectors(df: DataFrame, group_col: str = "label", vec_col: str = "embedding") -> DataFrame:
-    """``(group, d, m)``: mean unit vector of every group, long form."""
-    comps = unit_components(df, vec_col, keep=(group_col,))
-    sums = comps.groupBy(group_col, "d").agg(F.sum("u").alias("s"))
-    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(counts, group_col).select(group_col, "d", (F.col("s") / F.col("n")).alias("m"))
-
-
 def cross_group_cosine(a: DataFrame, b: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Mean cosine over every (x in a, y in b) pair = mean(u_a) . mean(u_b); no pairs built."""
-    ma = mean_unit_vectors(a.withColumn("_g", F.lit(0)), "_g", vec_col).select("d", F.col("m").alias("ma"))
-    mb = mean_unit_vectors(b.withColumn("_g", F.lit(0)), "_g", vec_col).select("d", F.col("m").alias("mb"))
-    return ma.join(mb, "d").agg(F.sum(F.col("ma") * F.col("mb")).alias("cross_cosine"))
+    sa, sb = group_sums(a, (), vec_col), group_sums(b, (), vec_col)
+    both = sa.select("n", "s", sb.select("n").scalar().alias("nb"), sb.select("s").scalar().alias("sb"))
+    return both.select((dot(F.col("s"), F.col("sb")) / (F.col("n") * F.col("nb"))).alias("cross_cosine"))
 
 
 def cosine_to_rest(df: DataFrame, group_col: str = "label", vec_col: str = "embedding",
                    digits: int | None = 9) -> DataFrame:
     """A20 for every group against all other rows: ``(group, cosine_to_rest)``.
 
-    Rest sums are the global sum minus the group sum (64 rows per group, no pairs).
+    The rest's sum is the sum over all groups minus the group's; NULL if there is no other row.
     """
-    comps = unit_components(df, vec_col, keep=(group_col,))
-    sums = comps.groupBy(group_col, "d").agg(F.sum("u").alias("s"))
-    total = sums.groupBy("d").agg(F.sum("s").alias("t"))
-    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    n_all = df.select(F.count(F.lit(1))).scalar()
-    joined = sums.join(total, "d").join(counts, group_col)
-    term = (F.col("s") / F.col("n")) * ((F.col("t") - F.col("s")) / (n_all - F.col("n")))
-    val = F.when(F.max(n_all - F.col("n")) > 0, F.sum(term))
+    groups = group_sums(df, (group_col,), vec_col)
+    total = groups.agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+    groups = groups.withColumns({"_n": total.select("n").scalar(), "_s": total.select("s").scalar()})
+    rest_n = F.col("_n") - F.col("n")
+    rest = F.zip_with("_s", "s", lambda t, x: t - x)
+    val = F.when(rest_n > 0, dot(F.col("s"), rest) / (F.col("n") * rest_n))
     if digits is not None:
         val = F.round(val, digits)
-    return joined.groupBy(group_col).agg(val.alias("cosine_to_rest"))
+    return groups.select(group_col, val.alias("cosine_to_rest"))
 
 
 # ---------------------------------------------------------------------------
@@ -141,19 +129,9 @@ def groups_by_cosine(per_group: DataFrame, group_col: str = "label") -> DataFram
     """O5 + K9: groups with a cosine, ascending, each with the overall mean line."""
     valid = per_group.where(F.col("mean_cosine").isNotNull())
     overall = valid.select(F.avg("mean_cosine")).scalar()
-    w = Window.orderBy("mean_cosine", group_col)
-    return valid.select(F.row_number().over(w).cast("int").alias("position"), group_col, "mean_cosine",
-                        F.round(overall, 9).alias("overall_mean"))
-
-
-# ---------------------------------------------------------------------------
-# Best run
-# ---------------------------------------------------------------------------
-def best_seed(runs: DataFrame, keys: tuple[str, ...] = ("condition",), metric: str = "val_bpb",
-              seed_col: str = "seed", order_col: str | None = None) -> DataFrame:
-    """The seed with the lowest metric per key, first in ``order_col`` on ties."""
-    tie = F.col(order_col) if order_col else F.col(seed_col)
-    return runs.groupBy(*keys).agg(F.min_by(F.col(seed_col), F.struct(F.col(metric), tie)).alias("best_seed"))
+    ranked = running_before(valid.select(group_col, "mean_cosine"), ("mean_cosine", group_col))
+    return ranked.select((F.col("before") + 1).cast("int").alias("position"), group_col, "mean_cosine",
+                         F.round(overall, 9).alias("overall_mean"))
 
 
 # ---------------------------------------------------------------------------

@@ -1,16 +1,17 @@
 """Sequence packing.
 
-Best-fit packing is sequential by nature, so it runs per *pack group*: documents are
-cut into groups of ``group_docs`` consecutive ordinals (bounded, so no task ever holds
-an unbounded group), each group is packed by one ``applyInPandas`` call, and groups run
-in parallel.  Within a group the rule is exact:
-
-* keep a buffer of up to ``buffer_size`` documents (token lists, BOS first);
-* fill a row of ``seq_len + 1`` tokens with the longest buffered document that fits
-  (earliest on ties); if none fits, crop the shortest (earliest) to the remaining space
-  and discard its tail;
-* one finite pass: when the group runs dry, the last partial row is dropped (or padded
-  with ``pad_id`` when given).
+Best-fit packing is sequential by nature, so it runs per *pack group*: a stretch of the
+corpus of about ``group_tokens`` tokens, packed by one ``applyInPandas`` call; groups run
+in parallel.  Documents are first cut into pieces of at most a row, so nothing is cropped
+and a document of any length spreads over as many groups as it needs.  Within a group:
+
+* keep a buffer of up to ``buffer_size`` pieces (the first of a document starts with BOS);
+* fill a row of ``seq_len + 1`` tokens with the longest buffered piece that fits
+  (earliest on ties); if none fits, the head of the shortest (earliest) fills the row and
+  its tail goes back to the buffer;
+* when the group runs dry, the last row is filled up with ``pad_id``.
+
+``crop=True`` discards those tails and the last short row, as the studied loader does.
 """
 
 from __future__ import annotations
@@ -19,76 +20,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .prefix import running_before
 from .tokens import shift_targets
 
 
-def best_fit_rows(docs: list[list[int]], capacity: int, buffer_size: int,
-                  pad_id: int | None = None, refill_batch: int = 128) -> tuple[list[list[int]], int]:
-    """Pack token lists into rows of ``capacity``; returns (rows, cropped_tokens).
+def best_fit_rows(pieces: list[list[int]], capacity: int, buffer_size: int, pad_id: int = -1,
+                  refill_batch: int = 128, crop: bool = False) -> tuple[list[list[int]], int]:
+    """Pack token lists into rows of ``capacity``; returns (rows, cropped tokens).
 
-    The buffer is topped up ``refill_batch`` documents at a time while it holds fewer
-    than ``buffer_size`` (so it may briefly hold up to ``buffer_size + refill_batch - 1``).
+    The buffer is topped up ``refill_batch`` pieces at a time while it holds fewer than
+    ``buffer_size`` (so it may briefly hold up to ``buffer_size + refill_batch - 1``).
     """
     import bisect
 
     buf: list[tuple[int, int]] = []          # sorted (length, arrival)
     store: dict[int, list[int]] = {}
-    nxt, cropped, rows = 0, 0, []
+    taken, cropped, rows = 0, 0, []
 
     def refill():
-        nonlocal nxt
-        while len(buf) < buffer_size and nxt < len(docs):
-            for _ in range(min(refill_batch, len(docs) - nxt)):
-                bisect.insort(buf, (len(docs[nxt]), nxt))
-                store[nxt] = docs[nxt]
-                nxt += 1
-
-    while True:
+        nonlocal taken
+        while len(buf) < buffer_size and taken < len(pieces):
+            for i in range(taken, min(taken + refill_batch, len(pieces))):
+                if pieces[i]:
+                    bisect.insort(buf, (len(pieces[i]), i))
+                    store[i] = pieces[i]
+            taken = min(taken + refill_batch, len(pieces))
+
+    refill()
+    while buf:
         row: list[int] = []
-        while len(row) < capacity:
-            refill()
-            if not buf:
-                break
-            rem = capacity - len(row)
-            i = bisect.bisect_right(buf, (rem, len(docs))) - 1
-            if i >= 0 and buf[i][0] > 0:
-                first = bisect.bisect_left(buf, (buf[i][0], -1))   # earliest of that length
-                _, arrival = buf.pop(first)
-                row.extend(store.pop(arrival))
+        while len(row) < capacity and buf:
+            room = capacity - len(row)
+            fits = bisect.bisect_right(buf, (room, len(pieces)))
+            if fits:
+                length, _ = buf[fits - 1]
+                _, i = buf.pop(bisect.bisect_left(buf, (length, -1)))   # the earliest of that length
+                row += store.pop(i)
             else:
-                _, arrival = buf.pop(0)                             # shortest, earliest
-                doc = store.pop(arrival)
-                row.extend(doc[:rem])
-                cropped += max(0, len(doc) - rem)
+                _, i = buf.pop(0)                                       # the shortest, earliest
+                piece = store.pop(i)
+                row += piece[:room]
+                if crop:
+                    cropped += len(piece) - room
+                else:
+                    bisect.insort(buf, (len(piece) - room, i))
+                    store[i] = piece[room:]
+            refill()
         if len(row) < capacity:
-            if row and pad_id is not None:
-                rows.append(row + [pad_id] * (capacity - len(row)))
-            break
+            if crop:
+                cropped += len(row)
+                break
+            row += [pad_id] * (capacity - len(row))
         rows.append(row)
     return rows, cropped
 
 
 def pack_sequences(docs: DataFrame, ids_col: str = "ids", order_col: str = "ordinal",
-                   seq_len: int = 2048, buffer_size: int = 1000, group_docs: int = 20_000,
-                   pad_id: int | None = None, refill_batch: int = 128) -> DataFrame:
+                   seq_len: int = 2048, buffer_size: int = 1000, group_tokens: int = 1 << 22,
+                   pad_id: int = -1, refill_batch: int = 128, crop: bool = False) -> DataFrame:
     """``(pack_group, row_no, tokens, input, target, group_cropped)`` packed rows.
 
-    ``docs`` carries one token list per document and a dense ordinal (W1).
+    ``docs`` carries one token list per document and a unique ``order_col``.  Groups follow the
+    running token sum, taken over (key, length) only.
     """
     capacity = seq_len + 1
-    grouped = docs.select(F.floor(F.col(order_col) / group_docs).cast("bigint").alias("pack_group"),
-                          F.col(order_col).alias("ord"), F.col(ids_col).alias("ids"))
+    before = running_before(docs.select(F.col(order_col).alias("ord"), F.size(ids_col).cast("bigint").alias("_n")),
+                            ("ord",), "_n").drop("_n")
+    starts = F.when(F.size("ids") > 0, F.sequence(F.lit(0), F.size("ids") - 1, F.lit(capacity)))
+    pieces = (docs.select(F.col(order_col).alias("ord"), F.col(ids_col).alias("ids")).join(before, "ord")
+              .select("ord", "before", "ids", F.explode(starts).alias("at"))
+              .select(F.floor((F.col("before") + F.col("at")) / group_tokens).cast("bigint").alias("pack_group"),
+                      "ord", "at", F.slice("ids", F.col("at") + 1, capacity).alias("ids")))
 
     def pack(pdf):
         import pandas as pd
-        pdf = pdf.sort_values("ord")
-        rows, cropped = best_fit_rows([list(x) for x in pdf["ids"]], capacity, buffer_size, pad_id,
-                                      refill_batch)
+        pdf = pdf.sort_values(["ord", "at"])
+        rows, cropped = best_fit_rows([list(x) for x in pdf["ids"]], capacity, buffer_size, pad_id, refill_batch, crop)
         g = int(pdf["pack_group"].iloc[0]) if len(pdf) else 0
         return pd.DataFrame({"pack_group": [g] * len(rows), "row_no": list(range(len(rows))),
                              "tokens": rows, "group_cropped": [cropped] * len(rows)})
 
-    packed = grouped.groupBy("pack_group").applyInPandas(
+    packed = pieces.groupBy("pack_group").applyInPandas(
         pack, "pack_group bigint, row_no int, tokens array<int>, group_cropped bigint")
     inp, tgt = shift_targets(F.col("tokens"))
     return packed.select("pack_group", "row_no", "tokens", inp.alias("input"), tgt.alias("target"),
@@ -101,9 +113,10 @@ def char_token_ids(text_col: str = "text", bos_id: int | None = None) -> Column:
     return F.concat(F.array(F.lit(bos_id)), ids) if bos_id is not None else ids
 
 
-def packing_stats(packed: DataFrame, docs: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """Rows, tokens placed, tokens discarded and utilisation of a packing."""
-    placed = packed.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("tokens")).alias("placed"))
+def pack_totals(packed: DataFrame, docs: DataFrame, ids_col: str = "ids", seq_len: int = 2048, pad_id: int = -1) -> DataFrame:
+    """One row: tokens that went in, tokens placed (padding not counted), whether all rows are full."""
+    real = F.size(F.filter("tokens", lambda t: t != pad_id))
     total = docs.select(F.sum(F.size(ids_col))).scalar()
-    return placed.select("rows", "placed", total.alias("input_tokens"),
-                         (total - F.col("placed")).alias("not_placed"))
+    return packed.agg(F.coalesce(F.sum(real), F.lit(0)).cast("bigint").alias("tokens_placed"),
+                      F.coalesce(F.bool_and(F.size("tokens") == seq_len + 1), F.lit(True)).alias("rows_full")).select(
+        F.coalesce(total, F.lit(0)).cast("bigint").alias("tokens_in"), "tokens_placed", "rows_full")

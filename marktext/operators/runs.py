@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import ambiguity as A
+from .prefix import running_before
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — defaults of the studied scaling experiment.
@@ -83,6 +84,16 @@ def calibration_grid(spark, base_letters: int | Column, budgets=BUDGETS, fertili
         "max_steps", calibrate_steps(F.col("budget"), F.col("bl_per_token"), tokens_per_step))
 
 
+def measured_calibration(val: DataFrame, budgets=BUDGETS, tokens_per_step: int = TOKENS_PER_STEP) -> DataFrame:
+    """T18 + T19 from measured figures ``val (condition, tokens, words, letters)``, one row per condition:
+    letters per word of d1 and each condition's own tokens per word."""
+    blpw = val.where("condition = 'd1'").select(F.col("letters").cast("double") / F.col("words")).scalar()
+    grid = val.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets])))
+    return grid.select("condition", "budget", blpw.alias("bl_per_word"),
+                       bl_per_token(blpw, F.col("tokens").cast("double") / F.col("words")).alias("bl_per_token")).withColumn(
+        "max_steps", calibrate_steps(F.col("budget"), F.col("bl_per_token"), tokens_per_step))
+
+
 # ---------------------------------------------------------------------------
 # P6-P8, P11
 # ---------------------------------------------------------------------------
@@ -160,16 +171,15 @@ def best_seed(runs: DataFrame, keys=("condition",), metric: str = "val_bpb",
     return runs.groupBy(*keys).agg(F.min_by("seed", F.struct(F.col(metric), tie)).alias("best_seed"))
 
 
-def best_kept(log: DataFrame, order_col: str = "line_no") -> DataFrame:
-    """The kept row with the lowest val_bpb (first on ties); empty if none is kept.
-
-    Callers that need the studied "error if none" behaviour check ``isEmpty()``.
-    """
+def best_kept(log: DataFrame, order_col: str = "line_no", strict: bool = False) -> DataFrame:
+    """The kept row with the lowest val_bpb (first on ties), with ``rank`` 1; if none is kept,
+    no row, or an error when ``strict``."""
     k = kept_runs(log)
-    w = Window.orderBy(F.col("val_bpb").cast("double"), order_col)
-    # Only kept rows, then a top-1: TakeOrderedAndProject, no full sort.
-    return k.orderBy(F.col("val_bpb").cast("double"), order_col).limit(1).withColumn(
-        "rank", F.row_number().over(w))
+    order = F.struct(F.col("val_bpb").cast("double").alias("v"), F.col(order_col).alias("o"))
+    best = k.agg(F.min_by(F.struct(*log.columns), order).alias("r"))
+    if strict:
+        best = best.select(F.coalesce("r", F.raise_error(F.lit("no kept run in the search log")).cast(best.schema["r"].dataType)).alias("r"))
+    return best.where(F.col("r").isNotNull()).select("r.*", F.lit(1).alias("rank"))
 
 
 def search_counts(log: DataFrame) -> DataFrame:
@@ -183,12 +193,13 @@ def search_counts(log: DataFrame) -> DataFrame:
 # J7 / J8 / U1 / U2
 # ---------------------------------------------------------------------------
 def pending_runs(runs: DataFrame, conditions=("d1", "d3"), budgets=BUDGETS, seeds=SEEDS) -> DataFrame:
-    """(condition, budget, seed) grid minus completed runs (left anti join)."""
+    """(condition, budget, seed) grid minus completed runs (left anti join).  A run whose
+    corpus ran out before its budget is not complete."""
     spark = runs.sparkSession
     grid = (spark.createDataFrame([(c,) for c in conditions], "condition string")
             .withColumn("target_base_letters", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets])))
             .withColumn("seed", F.explode(F.array(*[F.lit(s).cast("int") for s in seeds]))))
-    done = runs.select("condition", F.col("target_base_letters").cast("bigint").alias("target_base_letters"),
+    done = runs.where(F.col("actual_base_letters") >= F.col("target_base_letters")).select("condition", F.col("target_base_letters").cast("bigint").alias("target_base_letters"),
                        F.col("seed").cast("int").alias("seed"))
     return grid.join(done, ["condition", "target_base_letters", "seed"], "left_anti")
 
@@ -256,19 +267,12 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     train = keyed.where(F.col("split") == "train").select("condition", "doc_id", "letters")
     val = keyed.where(F.col("split") == "val")
 
-    # Seed order and running letter sum per (condition, seed): two-phase prefix sum on keys.
+    # Seed order and running letter sum per (condition, seed), on keys.
     seeded = train.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    seeded = (seeded.withColumn("okey", seed_order_key(F.col("seed"), F.col("doc_id")))
-              .withColumn("_bucket", F.shiftright(F.col("okey"), 20)))
+    seeded = seeded.withColumn("okey", seed_order_key(F.col("seed"), F.col("doc_id")))
     part = ("condition", "seed")
-    w_in = (Window.partitionBy(*part, "_bucket").orderBy("okey", "doc_id")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = seeded.withColumn("_cum", F.sum("letters").over(w_in))
-    btot = cum.groupBy(*part, "_bucket").agg(F.max("_cum").alias("_bl"))
-    from .corpus import bucket_offsets
-    offs = bucket_offsets(btot, part, value="_bl")
-    run_sum = cum.join(offs, [*part, "_bucket"])
-    before = F.col("_off") + F.col("_cum") - F.col("letters")
+    run_sum = running_before(seeded, ("okey", "doc_id"), "letters", part)
+    before = F.col("before")
     # kmin = number of budgets already reached before this doc; kept in budgets k >= kmin.
     kmin = sum((F.when(before >= b, 1).otherwise(0) for b in budgets), F.lit(0))
     prefix = (run_sum.withColumn("kmin", kmin.cast("int")).where(F.col("kmin") < len(budgets))

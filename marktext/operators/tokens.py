@@ -4,12 +4,12 @@ Scale notes
 -----------
 * Pretokens are extracted by a JVM regex (T8) and counted with partial aggregation
   (A10): the BPE trainer works on the *distinct* pretoken table, never on the corpus.
-* BPE training (B1) is exact: one merge per round.  Each round is one aggregation of
-  adjacent pairs over the distinct-pretoken table; the arg-max pair (one row) is the
-  only thing that reaches the driver.  Rewrites are narrow projections; lineage is cut
-  with ``checkpoint()`` into the cluster's checkpoint folder every few rounds.
+* BPE training (B1) is exact.  Each round is one aggregation of adjacent pairs over the
+  distinct-pretoken table; only the top pairs reach the driver.  Rewrites are narrow
+  projections; lineage is cut with ``checkpoint()`` into the cluster's checkpoint folder.
 * Encoding (B2) is map-only: ``mapInPandas`` with a per-task pretoken cache and the
-  merge ranks (bounded by the vocabulary size) shipped with the function.  No shuffle.
+  merge ranks (bounded by the vocabulary size) shipped with the function.  Columns of the
+  input ride along, so no consumer joins the ids back to their documents.
 * Decoding (B3) is built-in: token id -> hex literal array (vocabulary-sized), unhex.
 """
 
@@ -23,38 +23,33 @@ from pyspark.sql import types as T
 
 from ..functions import chars as C
 from ..functions import text as X
+from .prefix import running_before
 
 N_BYTES = 256
-DOC_CAP = 10_000
-TRAIN_CHAR_BUDGET = 1_000_000_000
-FERTILITY_CHAR_BUDGET = 1_000_000
+#: Pretokens a task remembers while it encodes; the memory starts anew when it is full.
+CACHED_PRETOKENS = 200_000
 
 
 # ---------------------------------------------------------------------------
 # Character-budget prefix
 # ---------------------------------------------------------------------------
-def prefix_by_chars(docs: DataFrame, max_chars: int, doc_cap: int = DOC_CAP,
-                    order_col: str = "ordinal", text_col: str = "text",
-                    bucket_width: int = 1 << 10) -> DataFrame:
+def prefix_by_chars(docs: DataFrame, max_chars: int | None = None, doc_cap: int | None = None,
+                    order_col: str = "ordinal", text_col: str = "text") -> DataFrame:
     """Cap each document to ``doc_cap`` codepoints and keep documents, in order, until
     the running length reaches ``max_chars``; the document that crosses it is kept.
 
-    Two-phase running sum: per-bucket totals, prefix offsets over the bucket table, then
-    a running sum inside each bucket (bounded window partitions).
+    Neither limit is set by default: all documents are returned whole.  With a budget, the
+    running sum takes two phases over (order, length) alone; the last kept position is one
+    value, which the documents are then filtered by, so no text is shuffled.
     """
-    capped = docs.withColumn(text_col, F.substring(F.col(text_col), 1, doc_cap)) \
-                 .withColumn("_len", F.length(text_col).cast("bigint"))
-    from .corpus import bucket_offsets
-    keyed = capped.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint"))
-    w_in = (Window.partitionBy("_bucket").orderBy(order_col)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = keyed.withColumn("_cum", F.sum("_len").over(w_in))
-    # Bucket totals from the windowed rows: one shared (reused) exchange, one input pass.
-    totals = cum.groupBy("_bucket").agg(F.max("_cum").alias("_blen"))
-    offsets = bucket_offsets(totals, (), value="_blen")
-    running = cum.join(offsets, "_bucket")
-    before = F.col("_off") + F.col("_cum") - F.col("_len")
-    return running.where(before < max_chars).drop("_bucket", "_cum", "_off", "_len")
+    from .corpus import cap_doc
+    capped = docs if doc_cap is None else docs.withColumn(text_col, cap_doc(text_col, doc_cap))
+    if max_chars is None:
+        return capped
+    running = running_before(capped.select(order_col, F.length(text_col).cast("bigint").alias("_len")),
+                             (order_col,), "_len", out="_before")
+    last = running.where(F.col("_before") < max_chars).select(F.max(order_col)).scalar()
+    return capped.where(F.col(order_col) <= last)
 
 
 # ---------------------------------------------------------------------------
@@ -99,7 +94,9 @@ def _accept_batch(top: list[tuple[int, int, int]], top_m: int, budget: int, min_
     occurrences are then unchanged by the batch; and (ii) its count is strictly above every
     pair that could *grow* - only pairs adjacent to an accepted merge can, and each is
     bounded by an adjacent pair's count (known inside the top-M, bounded by the (M+1)-th
-    count outside).  The first pair failing either test ends the batch.
+    count outside).  The first pair failing either test ends the batch, and so does a pair
+    of two equal symbols: merging (a, a) can create (new, new), which no pair outside the
+    batch bounds.
     """
     head = top[:top_m]
     bound_out = top[top_m][2] if len(top) > top_m else 0
@@ -117,13 +114,15 @@ def _accept_batch(top: list[tuple[int, int, int]], top_m: int, budget: int, min_
             if not n > max(adj + [bound_out]):
                 break
         accepted.append((a, b, n))
+        if a == b:
+            break
         lefts.add(a)
         rights.add(b)
     return accepted
 
 
 def bpe_train(hist: DataFrame, vocab_size: int, n_special: int = len(C.SPECIAL_TOKENS),
-              checkpoint_every: int = 8, min_count: int = 1, batched: bool = True,
+              checkpoint_every: int = 1, min_count: int = 1, batched: bool = True,
               top_m: int = 256) -> DataFrame:
     """B1: byte-level BPE merges learned from a pretoken histogram.
 
@@ -163,31 +162,6 @@ def bpe_train(hist: DataFrame, vocab_size: int, n_special: int = len(C.SPECIAL_T
     return spark.createDataFrame(merges, "rank int, left int, right int, token_id int, count bigint")
 
 
-def train_or_load(spark: SparkSession, key: str, train_fn, root: str | None = None) -> DataFrame:
-    """Caching by existence: reuse merges stored under ``root/bpe-<key>``, else train and
-    store them (a new folder per key, never overwritten).  ``root`` defaults to the
-    session's checkpoint folder, which on a cluster is shared storage."""
-    import hashlib
-
-    from ..session import checkpoint_root
-    base = root or checkpoint_root(spark)
-    path = f"{base.rstrip('/')}/bpe-{hashlib.sha1(key.encode()).hexdigest()[:16]}"
-    try:
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        done = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
-    except Exception:  # noqa: BLE001 - no JVM gateway: existence is a successful read
-        try:
-            spark.read.parquet(path).schema
-            done = True
-        except Exception:  # noqa: BLE001
-            done = False
-    if done:
-        return spark.read.parquet(path)
-    merges = train_fn()
-    merges.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
-
-
 def merges_to_ranks(merges: DataFrame) -> list[tuple[int, int, int]]:
     """The merge list, ordered by rank (bounded by the vocabulary size)."""
     return [(int(r["left"]), int(r["right"]), int(r["token_id"]))
@@ -261,11 +235,12 @@ def _bpe_word(word: bytes, ranks: dict) -> list[int]:
 
 
 def bpe_encode(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_col: str = "doc_id",
-               bos_id: int | None = None) -> DataFrame:
-    """B2: ``(key, ids array<int>)`` for each document (ordinary text, optional BOS)."""
+               bos_id: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """B2: ``(key, keep..., ids array<int>)`` for each document (ordinary text, optional BOS)."""
     ranks = {(a, b): (r, new) for r, (a, b, new) in enumerate(merges_to_ranks(merges))}
-    pre = docs.select(F.col(key_col).alias("key"), X.pretokenize(text_col).alias("pretokens"))
-    key_type = docs.schema[key_col].dataType.simpleString()
+    pre = docs.select(F.col(key_col).alias("key"), *keep, X.pretokenize(text_col).alias("pretokens"))
+    fields = [f"key {docs.schema[key_col].dataType.simpleString()}",
+              *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep], "ids array<int>"]
 
     def encode(batches):
         import pandas as pd
@@ -279,13 +254,14 @@ def bpe_encode(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_c
                         got = cache.get(t)
                         if got is None:
                             got = _bpe_word(t.encode("utf-8"), ranks)
-                            if len(cache) < 1_000_000:
-                                cache[t] = got
+                            if len(cache) >= CACHED_PRETOKENS:
+                                cache.clear()
+                            cache[t] = got
                         ids.extend(got)
                 out.append(ids)
-            yield pd.DataFrame({"key": pdf["key"], "ids": out})
+            yield pd.DataFrame({"key": pdf["key"], **{c: pdf[c] for c in keep}, "ids": out})
 
-    return pre.mapInPandas(encode, f"key {key_type}, ids array<int>").withColumnRenamed("key", key_col)
+    return pre.mapInPandas(encode, ", ".join(fields)).withColumnRenamed("key", key_col)
 
 
 # ---------------------------------------------------------------------------
@@ -302,10 +278,9 @@ def bpe_decode(ids: Column, merges: DataFrame, specials: list[str] = C.SPECIAL_T
 def roundtrip_check(docs: DataFrame, merges: DataFrame, text_col: str = "text",
                     key_col: str = "doc_id") -> DataFrame:
     """decode(encode(x)) == x over a corpus: ``(docs, mismatches, tokens)``."""
-    enc = bpe_encode(docs, merges, text_col, key_col)
-    joined = enc.join(docs.select(key_col, text_col), key_col)
+    enc = bpe_encode(docs, merges, text_col, key_col, keep=(text_col,))
     ok = bpe_decode(F.col("ids"), merges) == F.col(text_col)
-    return joined.agg(F.count(F.lit(1)).cast("bigint").alias("docs"),
+    return enc.agg(F.count(F.lit(1)).cast("bigint").alias("docs"),
                       F.count_if(~ok).cast("bigint").alias("mismatches"),
                       F.sum(F.size("ids")).cast("bigint").alias("tokens"))
 
@@ -314,13 +289,17 @@ def roundtrip_check(docs: DataFrame, merges: DataFrame, text_col: str = "text",
 # fertility
 # ---------------------------------------------------------------------------
 def fertility(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """Sum of tokens / sum of Python words; 0 when there are no words."""
-    enc = bpe_encode(docs, merges, text_col, key_col)
-    words = docs.select(key_col, F.size(X.words(text_col)).alias("nw"))
-    j = enc.join(words, key_col)
-    tok, nw = F.sum(F.size("ids")), F.sum("nw")
-    return j.agg(tok.cast("bigint").alias("tokens"), nw.cast("bigint").alias("words"),
-                 F.when(nw > 0, tok / nw).otherwise(F.lit(0.0)).alias("fertility"))
+    """Sum of tokens / sum of Python words; 0 when there are no words.
+
+    Each distinct pretoken is encoded once: tokens are ``sum(freq x pieces)`` over the histogram.
+    """
+    hist = pretoken_histogram(docs, text_col)
+    pieces = bpe_encode(hist.withColumn("_n", F.col("freq")), merges, "pretoken", "pretoken", keep=("_n",))
+    tok = pieces.select(F.coalesce(F.sum(F.size("ids") * F.col("_n")), F.lit(0))).scalar()
+    nw = F.coalesce(F.sum(F.size(X.words(text_col))), F.lit(0)).cast("bigint")
+    return docs.agg(nw.alias("words")).select(
+        tok.cast("bigint").alias("tokens"), "words",
+        F.when(F.col("words") > 0, tok / F.col("words")).otherwise(F.lit(0.0)).alias("fertility"))
 
 
 # ---------------------------------------------------------------------------
@@ -369,9 +348,11 @@ def shift_targets(ids: Column) -> tuple[Column, Column]:
 
 
 def doc_batches(docs: DataFrame, batch_size: int = 128, order_col: str = "ordinal",
-                epochs: int = 1) -> DataFrame:
-    """Batch number ``floor(ordinal / batch_size)`` and a finite epoch counter."""
-    return (docs.withColumn("batch", F.floor(F.col(order_col) / batch_size).cast("bigint"))
+                epochs: int = 1, docs_per_shard: int = 50_000) -> DataFrame:
+    """Shard, batch number inside the shard (batches never straddle shards) and a finite
+    epoch counter."""
+    return (docs.withColumn("shard", F.floor(F.col(order_col) / docs_per_shard).cast("bigint"))
+            .withColumn("batch", F.floor((F.col(order_col) % docs_per_shard) / batch_size).cast("bigint"))
             .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))))
 
 

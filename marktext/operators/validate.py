@@ -61,12 +61,38 @@ def mark_presence(shards: DataFrame) -> DataFrame:
 
 def char_distribution_check(shards: DataFrame, k: int = 20) -> DataFrame:
     """V4: informational top-k characters; always passes; detail lists codepoints."""
-    top = A.char_distribution(shards, k, "text", "ordinal", ("condition",))
+    top = A.char_distribution(shards, k, "text", "doc_id", ("condition",))
     agg = top.groupBy("condition").agg(F.sort_array(F.collect_list(F.struct("rank", "codepoint"))).alias("t"))
     return _row(agg, "char_distribution", F.lit(True),
                 F.array_join(F.transform("t", lambda x: F.format_string("U+%04X", x["codepoint"])), " "))
 
 
+def content_checks(texts: DataFrame, manifest: DataFrame, mapping: DataFrame, minimum: int = 252) -> DataFrame:
+    """V2, V3, V5 and V9 over ``texts (condition, split, text)`` in one aggregation, unpivoted."""
+    agg = texts.groupBy("condition").agg(
+        F.count_if(F.col("split") == "train").alias("tr"), F.count_if(F.col("split") == "val").alias("va"),
+        F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("bad"),
+        F.bool_or(X.has_mark("text")).alias("marks"), F.bool_or(X.has_pua("text")).alias("pua"))
+    c = F.col("condition")
+    # The manifest has one row per condition.
+    j = F.broadcast(manifest.select("condition", "train_docs", "val_docs")).join(agg, "condition", "left")
+    n = mapping.select(F.count(F.lit(1))).scalar()
+    tr, va = F.coalesce("tr", F.lit(0)), F.coalesce("va", F.lit(0))
+    present = (F.when(c == "d1", F.col("marks")).when(c == "d2", ~F.col("marks")).when(c == "d3", F.col("pua"))
+               .otherwise(F.lit(True)))
+
+    def row(check, passed, detail):
+        return F.struct(F.lit(check).alias("check"), passed.alias("passed"), detail.cast("string").alias("detail"))
+
+    rows = F.array(
+        row("row_count_matches", (tr == F.col("train_docs")) & (va == F.col("val_docs")), F.format_string("%d train, %d val", tr, va)),
+        row("no_empty_texts", F.col("bad") == 0, F.col("bad")),
+        row("mark_presence", present, F.format_string("marks=%s pua=%s", "marks", "pua")))
+    gate = F.when(c == "d3", F.array(row("mapping_gate", n >= minimum, n))).otherwise(F.array().cast(
+        "array<struct<check:string,passed:boolean,detail:string>>"))
+    return j.select("condition", F.explode(F.concat(rows, gate)).alias("r")).select("condition", "r.*")
+
+
 def validate_all(*checks: DataFrame) -> DataFrame:
     """V6: all check rows plus one roll-up row per condition (``passed n/m`` detail)."""
     rows = checks[0]
@@ -90,9 +116,13 @@ def search_log_gate(log: DataFrame, baseline_bpb: float, min_rows: int = 70) ->
 
 
 def baseline_checks(baselines: DataFrame, fertility: DataFrame) -> DataFrame:
-    """V8: D1 val_bpb < D2 val_bpb, and D3 fertility < D1 fertility (same vocab size)."""
+    """V8: every condition has all its keys; D1 val_bpb < D2 val_bpb; D3 fertility < D1 fertility
+    (same vocab size)."""
+    complete = F.count_distinct(F.when(F.least(*[F.col(c).isNotNull().cast("int") for c in baselines.columns]) == 1,
+                                       F.col("condition")))
+    keys_present = baselines.where(F.col("condition").isin("d1", "d2", "d3")).select(complete == 3).scalar()
     b = baselines.groupBy().pivot("condition", ["d1", "d2", "d3"]).agg(F.first("val_bpb"))
     f = fertility.groupBy("vocab_size").pivot("condition", ["d1", "d3"]).agg(F.first("fertility"))
     d1_below_d2 = b.select(F.col("d1") < F.col("d2")).scalar()
-    return f.select("vocab_size", d1_below_d2.alias("d1_below_d2"),
+    return f.select("vocab_size", keys_present.alias("keys_present"), d1_below_d2.alias("d1_below_d2"),
                     (F.col("d3") < F.col("d1")).alias("d3_fertility_below_d1"))

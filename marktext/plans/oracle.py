@@ -58,24 +58,27 @@ def top_ambiguous_variants() -> str:
         "SELECT DISTINCT t.rank, t.stripped AS word, p.variant FROM top t JOIN pairs p ON p.stripped = t.stripped")
 
 
-def window_ambiguity_sampled(window: int = 128, n_samples: int = 10_000, seed: int = 42) -> str:
-    return _with(
-        G.corpus_ctes(), G.pairs_ctes("zip"), G.forms_cte(),
-        "n AS (SELECT count(*) AS n_docs FROM corpus)",
-        f"samples AS (SELECT i AS sample, {G.sample_hash(seed, 'i', 0)} % (SELECT n_docs FROM n) AS doc_ord, "
+def _sampled_ctes(window: int = 128, n_samples: int = 10_000, seed: int = 42) -> str:
+    return ", ".join([
+        "ords AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_ord FROM corpus)",
+        f"samples AS (SELECT {G.sample_hash64(seed, 'i')} % (SELECT count(*) FROM corpus) AS doc_ord, "
         f"{G.sample_hash(seed, 'i', 1)} AS start_draw FROM range({n_samples}) t(i))",
-        f"hit AS (SELECT s.sample, s.start_draw, {G.words('c.vocalized')} AS w FROM samples s "
-        f"JOIN corpus c ON c.doc_id = s.doc_ord)",
+        f"hit AS (SELECT s.start_draw, {G.words('c.vocalized')} AS w FROM samples s "
+        f"JOIN ords o ON o.doc_ord = s.doc_ord JOIN corpus c ON c.doc_id = o.doc_id)",
         f"elig AS (SELECT * FROM hit WHERE len(w) >= {window})",
         f"toks AS (SELECT unnest(w[start_draw % (len(w) - {window} + 1) + 1 : "
         f"start_draw % (len(w) - {window} + 1) + {window}]) AS tok FROM elig)",
         f"amb AS (SELECT count(*) AS a FROM toks WHERE {G.strip_marks('tok')} IN "
         f"(SELECT stripped FROM forms WHERE n_variants > 1))",
-        "nw AS (SELECT count(*) AS windows FROM elig)",
-    ) + (
-        f"SELECT CAST(windows AS BIGINT) AS windows, CAST(windows * {window} AS BIGINT) AS tokens, "
+        f"sampled AS (SELECT CAST(windows AS BIGINT) AS windows, CAST(windows * {window} AS BIGINT) AS tokens, "
         f"CAST(a AS BIGINT) AS ambiguous_tokens, "
-        f"CASE WHEN windows > 0 THEN CAST(a AS DOUBLE) / (windows * {window}) ELSE 0.0 END AS rate FROM nw, amb")
+        f"CASE WHEN windows > 0 THEN CAST(a AS DOUBLE) / (windows * {window}) ELSE 0.0 END AS rate "
+        f"FROM (SELECT count(*) AS windows FROM elig) nw, amb)",
+    ])
+
+
+def window_ambiguity_sampled() -> str:
+    return _with(G.corpus_ctes(), G.pairs_ctes("zip"), G.forms_cte(), _sampled_ctes()) + "SELECT * FROM sampled"
 
 
 def window_ambiguity_exact(window: int = 128, digits: int = 9) -> str:
@@ -147,17 +150,15 @@ def base_letter_total() -> str:
         f"AS base_letters FROM shards WHERE condition = 'd1' AND split = 'val'")
 
 
+# The plain definition: every ordered pair of distinct vectors (small tables only).
 _EMB_CTES = (
-    "nrm AS (SELECT vec_id, label, embedding, greatest(sqrt(list_sum(list_transform(embedding, "
-    "lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 1e-10) AS norm FROM embeddings), "
-    "comps AS (SELECT label, d, CAST(x AS DOUBLE) / norm AS u FROM (SELECT label, norm, "
-    "unnest(generate_series(0, len(embedding) - 1)) AS d, unnest(embedding) AS x FROM nrm)), "
-    "sums AS (SELECT label, d, sum(u) AS s, sum(u * u) AS q FROM comps GROUP BY label, d), "
-    "pg AS (SELECT label, sum(s * s) AS ss, sum(q) AS qq FROM sums GROUP BY label), "
+    "un AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_sum("
+    "list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 1e-10)) AS u FROM embeddings), "
+    "pr AS (SELECT a.label, avg(list_inner_product(a.u, b.u)) AS m FROM un a JOIN un b "
+    "ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id <> b.vec_id GROUP BY a.label), "
     "cnt AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), "
-    "gc AS (SELECT c.label, CAST(c.n AS BIGINT) AS n_vectors, "
-    "round(CASE WHEN c.n >= 2 THEN (ss - qq) / (c.n * (c.n - 1)) END, 9) AS mean_cosine "
-    "FROM cnt c LEFT JOIN pg ON c.label IS NOT DISTINCT FROM pg.label)"
+    "gc AS (SELECT c.label, CAST(c.n AS BIGINT) AS n_vectors, round(pr.m, 9) AS mean_cosine "
+    "FROM cnt c LEFT JOIN pr ON c.label IS NOT DISTINCT FROM pr.label)"
 )
 
 
@@ -177,10 +178,9 @@ def embedding_overall_cosine() -> str:
 
 def embedding_cosine_to_rest() -> str:
     return "WITH " + _EMB_CTES + (
-        ", tot AS (SELECT d, sum(s) AS t FROM sums GROUP BY d), nall AS (SELECT count(*) AS n FROM embeddings) "
-        "SELECT s.label, round(CASE WHEN max((SELECT n FROM nall) - c.n) > 0 THEN "
-        "sum((s.s / c.n) * ((t.t - s.s) / ((SELECT n FROM nall) - c.n))) END, 9) AS cosine_to_rest "
-        "FROM sums s JOIN tot t ON s.d = t.d JOIN cnt c ON s.label = c.label GROUP BY s.label")
+        "SELECT c.label, round(r.m, 9) AS cosine_to_rest FROM cnt c LEFT JOIN "
+        "(SELECT a.label, avg(list_inner_product(a.u, b.u)) AS m FROM un a JOIN un b "
+        "ON a.label IS DISTINCT FROM b.label GROUP BY a.label) r ON c.label IS NOT DISTINCT FROM r.label")
 
 
 def embedding_group_frequency(k: int = 10) -> str:
@@ -318,50 +318,85 @@ def run_pending() -> str:
     return "WITH " + _runs_ctes() + (
         f", grid AS (SELECT condition, CAST(b AS BIGINT) AS target_base_letters, CAST(sd AS INTEGER) AS seed "
         f"FROM (VALUES {grid}) g(condition, b, sd)) "
-        "SELECT * FROM grid ANTI JOIN runs USING (condition, target_base_letters, seed)")
+        "SELECT * FROM grid ANTI JOIN (SELECT * FROM runs WHERE actual_base_letters >= target_base_letters) "
+        "USING (condition, target_base_letters, seed)")
 
 
 def run_calibration() -> str:
     from ..operators import runs as R
-    rows = ", ".join(f"('{c}', {f!r})" for c, f in R.FERTILITIES.items())
     budgets = ", ".join(str(b) for b in R.BUDGETS)
     return _with(
         G.corpus_ctes(), G.conditions_cte(),
-        f"bl AS (SELECT CAST(coalesce(sum({G.count_base_letters('text')}), 0) AS DOUBLE) / {R.EVAL_WORDS} AS blpw "
-        f"FROM shards WHERE condition = 'd1' AND split = 'val')",
-        f"fe AS (SELECT * FROM (VALUES {rows}) f(condition, fertility))",
+        f"m AS (SELECT condition, sum(length(text)) AS tokens, sum(len({G.words('text')})) AS words "
+        "FROM shards WHERE split = 'val' AND condition IN ('d1', 'd3') GROUP BY condition)",
+        f"bl AS (SELECT CAST(sum({G.count_base_letters('text')}) AS DOUBLE) / sum(len({G.words('text')})) AS blpw "
+        "FROM shards WHERE condition = 'd1' AND split = 'val')",
         f"bu AS (SELECT unnest([{budgets}]) AS budget)",
+        "fe AS (SELECT condition, budget, blpw, blpw / (CAST(tokens AS DOUBLE) / words) AS blpt FROM m, bu, bl)",
     ) + (
-        f"SELECT fe.condition, CAST(bu.budget AS BIGINT) AS budget, round(blpw, 9) AS bl_per_word, "
-        f"round(blpw / fertility, 9) AS bl_per_token, "
-        f"CAST(floor(bu.budget / ({R.TOKENS_PER_STEP} * (blpw / fertility))) AS BIGINT) AS max_steps "
-        f"FROM fe, bu, bl")
+        "SELECT condition, CAST(budget AS BIGINT) AS budget, round(blpw, 9) AS bl_per_word, round(blpt, 9) AS bl_per_token, "
+        f"CAST(floor(budget / ({R.TOKENS_PER_STEP} * blpt)) AS BIGINT) AS max_steps FROM fe")
 
 
-def validation_report() -> str:
+def validation_report(k: int = 20, ratio: float = 0.02) -> str:
     from ..functions import chars as C
+    marks, pua = (f"bool_or(regexp_matches(text, {G.lit(x)}))" for x in (C.MARK_CLASS, C.PUA_CLASS))
+    letters = ("(SELECT unnest(list_concat(generate_series(1569, 1594), generate_series(1601, 1610))) AS l)")
+    signs = "(SELECT unnest(list_concat(generate_series(1611, 1618), [1648])) AS m)"
     return _with(
         G.corpus_ctes(), G.conditions_cte(),
+        # Expected sizes from the number of kept documents alone.
+        f"sizes AS (SELECT condition, count(*) AS n, greatest(1, CAST(floor(count(*) * CAST({ratio} AS DOUBLE)) AS BIGINT)) AS n_val "
+        f"FROM conds GROUP BY condition)",
+        "cnt AS (SELECT condition, count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'val') AS va, "
+        f"count(*) FILTER (WHERE text IS NULL OR text = '') AS bad, {marks} AS marks, {pua} AS pua FROM shards GROUP BY condition)",
+        # The mapping's sequences by the rule: letter + mark, letter + shaddah + other mark, mark.
+        f"seqs AS (SELECT chr(CAST(l AS INTEGER)) || chr(CAST(m AS INTEGER)) AS s FROM {letters}, {signs} UNION SELECT chr(CAST(l AS INTEGER)) || chr(1617) || chr(CAST(m AS INTEGER)) "
+        f"FROM {letters}, {signs} WHERE m <> 1617 UNION SELECT chr(CAST(m AS INTEGER)) FROM {signs})",
+        "chs AS (SELECT condition, doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, "
+        "generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS pos FROM shards)",
+        "per AS (SELECT condition, ch, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS f FROM chs GROUP BY condition, ch)",
+        "top AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY n DESC, f) AS r FROM per)",
         "ck AS ("
-        "SELECT condition, 'row_count_matches' AS \"check\", true AS passed, "
-        "printf('%d train, %d val', count(*) FILTER (WHERE split = 'train'), count(*) FILTER (WHERE split = 'val')) "
-        "AS detail FROM shards GROUP BY condition "
-        "UNION ALL SELECT condition, 'no_empty_texts', count(*) FILTER (WHERE text IS NULL OR text = '') = 0, "
-        "CAST(count(*) FILTER (WHERE text IS NULL OR text = '') AS VARCHAR) FROM shards GROUP BY condition "
-        "UNION ALL SELECT DISTINCT condition, 'mapping_gate', true, '621' FROM shards WHERE condition = 'd3' "
-        f"UNION ALL SELECT condition, 'mark_presence', CASE WHEN condition = 'd1' THEN bool_or(regexp_matches(text, {G.lit(C.MARK_CLASS)})) "
-        f"WHEN condition = 'd2' THEN NOT bool_or(regexp_matches(text, {G.lit(C.MARK_CLASS)})) "
-        f"ELSE bool_or(regexp_matches(text, {G.lit(C.PUA_CLASS)})) END, "
-        f"printf('marks=%s pua=%s', bool_or(regexp_matches(text, {G.lit(C.MARK_CLASS)})), "
-        f"bool_or(regexp_matches(text, {G.lit(C.PUA_CLASS)}))) FROM shards GROUP BY condition)",
+        "SELECT condition, 'row_count_matches' AS \"check\", tr = n - n_val AND va = n_val AS passed, "
+        "printf('%d train, %d val', tr, va) AS detail FROM cnt JOIN sizes USING (condition) "
+        "UNION ALL SELECT condition, 'no_empty_texts', bad = 0, CAST(bad AS VARCHAR) FROM cnt "
+        "UNION ALL SELECT condition, 'mapping_gate', (SELECT count(*) FROM seqs) >= 252, CAST((SELECT count(*) FROM seqs) AS VARCHAR) "
+        "FROM cnt WHERE condition = 'd3' "
+        "UNION ALL SELECT condition, 'mark_presence', CASE WHEN condition = 'd1' THEN marks WHEN condition = 'd2' THEN NOT marks "
+        "ELSE pua END, printf('marks=%s pua=%s', marks, pua) FROM cnt "
+        "UNION ALL SELECT condition, 'char_distribution', true, string_agg(printf('U+%04X', unicode(ch)), ' ' ORDER BY r) "
+        f"FROM top WHERE r <= {k} GROUP BY condition)",
     ) + (
         "SELECT condition, \"check\", passed, detail FROM ck UNION ALL "
         "SELECT condition, 'all', bool_and(passed), printf('%d/%d', count(*) FILTER (WHERE passed), count(*)) "
         "FROM ck GROUP BY condition")
 
 
+def pretoken_histogram() -> str:
+    """The engine's pattern without look-ahead: in a run of white space before other characters the
+    last blank is set off by a control character first, which no class of the pattern takes."""
+    from ..functions import chars as C
+    off = "chr(1)"
+    arabic = G.lit(C.SPLIT_PATTERN.split("|")[0] + "|")
+    rest = (f"'[^\\r\\n\\p{{L}}\\p{{N}}' || {off} || ']?\\p{{L}}+|\\p{{N}}{{1,2}}| ?[^\\s\\p{{L}}\\p{{N}}' || {off} || "
+            f"']+[\\r\\n]*|\\s*[\\r\\n]|\\s+'")
+    return _with(
+        G.corpus_ctes(), G.conditions_cte(),
+        f"docs AS (SELECT regexp_replace(text, '(\\s)([ \\t]\\S)', '\\1' || {off} || '\\2', 'g') AS t FROM shards "
+        "WHERE condition = 'd1' AND split = 'train')",
+        f"p AS (SELECT unnest(regexp_extract_all(t, {arabic} || {rest})) AS pretoken FROM docs)",
+    ) + "SELECT pretoken, count(*) AS freq FROM p GROUP BY pretoken"
+
+
+def pack_totals() -> str:
+    return _with(G.corpus_ctes(), G.conditions_cte()) + (
+        "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS tokens_in, CAST(sum(length(text) + 1) AS BIGINT) AS tokens_placed, "
+        "true AS rows_full FROM shards WHERE condition = 'd3' AND split = 'train'")
+
+
 def collision_report_text() -> str:
-    return _with(G.corpus_ctes(), G.pairs_ctes("zip"), G.forms_cte(), _top_ctes(20),
+    return _with(G.corpus_ctes(), G.pairs_ctes("zip"), G.forms_cte(), _top_ctes(20), _sampled_ctes(),
                  "sm AS (SELECT count(*) AS nf, sum(n_variants) AS nv, count(*) FILTER (WHERE n_variants > 1) AS na, "
                  "max(n_variants) AS mx, sum(n_words) AS nw FROM forms)") + (
         "SELECT CAST(0 AS INTEGER) AS line_no, 'Total unique undiacritized forms: ' || format('{:,}', nf) AS line FROM sm "
@@ -371,8 +406,9 @@ def collision_report_text() -> str:
         "UNION ALL SELECT 3, 'Average collision rate: ' || printf('%.2f', CAST(nv AS DOUBLE) / nf) FROM sm "
         "UNION ALL SELECT 4, 'Max collision rate: ' || CAST(mx AS VARCHAR) FROM sm "
         "UNION ALL SELECT 5, 'Total words analyzed: ' || format('{:,}', nw) FROM sm "
-        "UNION ALL SELECT 6, '' UNION ALL SELECT 7, 'Top 20 most ambiguous words:' "
-        "UNION ALL SELECT t.rank + 7, '  ' || t.stripped || ' (' || CAST(t.n_variants AS VARCHAR) || ' variants): ' || "
+        "UNION ALL SELECT 6, 'Context-window ambiguous token rate (128-tok): ' || printf('%.2f', 100.0 * rate) || '%' FROM sampled "
+        "UNION ALL SELECT 7, '' UNION ALL SELECT 8, 'Top 20 most ambiguous words:' "
+        "UNION ALL SELECT t.rank + 8, '  ' || t.stripped || ' (' || CAST(t.n_variants AS VARCHAR) || ' variants): ' || "
         "(SELECT string_agg(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT variant AS v FROM pairs p "
         " WHERE p.stripped = t.stripped ORDER BY v LIMIT 10)) FROM top t")
 
@@ -407,4 +443,6 @@ ORACLE: dict[str, str] = {
     "run_calibration": run_calibration(),
     "validation_report": validation_report(),
     "collision_report_text": collision_report_text(),
+    "pretoken_histogram": pretoken_histogram(),
+    "pack_totals": pack_totals(),
 }

@@ -1,7 +1,7 @@
 """Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
 
 Every query reads the driver tables (or what Spark derives from them), over the whole
-table, and has an equivalent DuckDB statement in :mod:`marktext.plans.oracle` unless it
+table (the run budgets and the window sample are features), and has an equivalent DuckDB statement in :mod:`marktext.plans.oracle` unless it
 is iterative or uses Java-only regex features.
 """
 
@@ -70,8 +70,14 @@ def window_ambiguity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.window_ambiguity_exact(corpus, forms, window=128)
 
 
-def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.build_conditions(S.lifted_corpus(spark, sf_dir))
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinal, split and shard of every document per condition (keys only)."""
+    return K.condition_index(K.condition_keys(S.lifted_corpus(spark, sf_dir)))
+
+
+def _conditions(spark: SparkSession, sf_dir: str, conditions=K.CONDITIONS) -> DataFrame:
+    """The texts of the conditions with their split."""
+    return K.condition_texts(S.lifted_corpus(spark, sf_dir), conditions)
 
 
 def atomic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,24 +102,24 @@ def atomic_unit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def condition_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1 + P2 + W1 + W2 + W3: ordinal, split and shard of every document per condition."""
-    return _conditions(spark, sf_dir).select("condition", "doc_id", "ordinal", "split", "shard_id")
+    return _index(spark, sf_dir)
 
 
 def condition_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-condition manifest record."""
-    return K.manifest(_conditions(spark, sf_dir))
+    return K.manifest(_index(spark, sf_dir))
 
 
 def char_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-20 characters per condition, ties by first appearance."""
     conds = _conditions(spark, sf_dir)
-    return A.char_distribution(conds, k=20, text_col="text", ordinal="ordinal",
+    return A.char_distribution(conds, k=20, text_col="text", ordinal="doc_id",
                                group_cols=("condition",))
 
 
 def base_letter_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base letters in the D1 validation shard."""
-    d1 = K.build_condition(S.lifted_corpus(spark, sf_dir), "d1")
+    d1 = _conditions(spark, sf_dir, ("d1",))
     return K.base_letter_total(d1.where(F.col("split") == "val"))
 
 
@@ -148,53 +154,42 @@ def embedding_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords
 
 
+#: Vocabulary of the registered training queries: bytes, specials and 32 merges.  A parameter
+#: (the studied size is 8192): each round of exact training is a few Spark jobs.
 BPE_VOCAB = TK.N_BYTES + 4 + 32
 
 
 def _train_docs(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
-    shards = K.build_condition(S.lifted_corpus(spark, sf_dir), condition)
-    return shards.where(F.col("split") == "train")
+    return _conditions(spark, sf_dir, (condition,)).where(F.col("split") == "train")
 
 
 def _tokenizer(spark: SparkSession, sf_dir: str, condition: str):
-    """Train (or reuse, keyed by the input file's identity) the condition's BPE merges."""
-    import os
+    """The condition's train documents and the merges learned from all of them."""
     train = _train_docs(spark, sf_dir, condition)
-    src = S.table_path(sf_dir, "documents")
-    try:
-        st = os.stat(src)
-        ident = f"{os.path.abspath(src)}:{st.st_size}:{st.st_mtime_ns}"
-    except OSError:
-        ident = src
-    key = f"{ident}|{condition}|{BPE_VOCAB}|v1"
-
-    def train_fn():
-        hist = TK.pretoken_histogram(TK.prefix_by_chars(train, TK.TRAIN_CHAR_BUDGET))
-        return TK.bpe_train(hist, BPE_VOCAB)
-
-    return train, TK.train_or_load(spark, key, train_fn)
+    return train, TK.bpe_train(TK.pretoken_histogram(train), BPE_VOCAB)
 
 
 def pretoken_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T8 + W5 + A10: pretoken frequencies over the capped d1 train prefix (Java regex)."""
-    return TK.pretoken_histogram(TK.prefix_by_chars(_train_docs(spark, sf_dir, "d1"), TK.TRAIN_CHAR_BUDGET))
+    """T8 + A10: pretoken frequencies over all d1 train documents (Java regex)."""
+    return TK.pretoken_histogram(_train_docs(spark, sf_dir, "d1"))
 
 
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: 32 exact BPE merges learned on the d1 train prefix."""
+    """B1: 32 exact BPE merges learned on the d1 train documents."""
     return _tokenizer(spark, sf_dir, "d1")[1]
 
 
 def bpe_tokenizer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2-B5 + A7 + A11 per condition (d1, d3): vocab size, roundtrip, fertility."""
+    """B2-B5 + A7 + A11 per condition: vocabulary size, roundtrip, fertility."""
     out = None
-    for cond in ("d1", "d3"):
+    for cond in K.CONDITIONS:
         train, merges = _tokenizer(spark, sf_dir, cond)
-        vocab = TK.vocab_table(spark, merges)
-        rt = TK.roundtrip_check(train, merges)
-        fert = TK.fertility(TK.prefix_by_chars(train, TK.FERTILITY_CHAR_BUDGET), merges)
-        row = (TK.vocab_size(vocab).join(rt, how="left").join(fert.select("fertility"), how="left")
-               .select(F.lit(cond).alias("condition"), "*"))
+        vocab = TK.vocab_size(TK.vocab_table(spark, merges))
+        fert = TK.fertility(train, merges)
+        # One-row inputs enter as scalar subqueries.
+        row = TK.roundtrip_check(train, merges).select(
+            F.lit(cond).alias("condition"), *[vocab.select(c).scalar().alias(c) for c in vocab.columns], "*",
+            fert.select("fertility").scalar().alias("fertility"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -248,28 +243,39 @@ def run_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T18 + T19: step calibration from the D1 val base letters and fixed fertilities."""
-    d1val = _conditions(spark, sf_dir).where((F.col("condition") == "d1") & (F.col("split") == "val"))
-    letters = K.base_letter_total(d1val).select("base_letters").scalar()
-    return R.calibration_grid(spark, letters).select(
+    """T18 + T19: step calibration from the letters, words and (character) tokens of the val split."""
+    val = (_conditions(spark, sf_dir, ("d1", "d3")).where(F.col("split") == "val").groupBy("condition")
+           .agg(F.sum(F.length("text")).alias("tokens"), F.sum(F.size(X.words("text"))).alias("words"),
+                F.sum("letters").alias("letters")))
+    return R.measured_calibration(val).select(
         "condition", "budget", F.round("bl_per_word", 9).alias("bl_per_word"),
         F.round("bl_per_token", 9).alias("bl_per_token"), "max_steps")
 
 
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2 + V3 + V5 + V9 + V6 over the built conditions, with the per-condition roll-up."""
-    shards = _conditions(spark, sf_dir)
-    man = K.manifest(shards)
-    return V.validate_all(V.row_count_matches(shards, man), V.no_empty_texts(shards),
-                          V.mapping_gate(shards, K.atomic_map(spark)), V.mark_presence(shards))
+    """V2 - V6 + V9 over the built conditions, with the per-condition roll-up.  The manifest comes
+    from the ordinals, the counts held against it from the texts."""
+    texts = _conditions(spark, sf_dir)
+    return V.validate_all(V.content_checks(texts, K.manifest(_index(spark, sf_dir)), K.atomic_map(spark)),
+                          V.char_distribution_check(texts))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    train = _train_docs(spark, sf_dir, "d3")
+    docs = train.select("doc_id", PK.char_token_ids("text", bos_id=0).alias("ids"))
+    return docs, PK.pack_sequences(docs, order_col="doc_id", seq_len=2048, buffer_size=1000)
 
 
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B6 + W6 + W7: best-fit packing of d3 train docs (character tokens, BOS first) into
-    rows of 512 + 1 tokens, per pack group of 20,000 consecutive documents (rows-only)."""
-    train = _conditions(spark, sf_dir).where((F.col("condition") == "d3") & (F.col("split") == "train"))
-    docs = train.select("ordinal", PK.char_token_ids("text", bos_id=0).alias("ids"))
-    return PK.pack_sequences(docs, seq_len=512, buffer_size=1000, group_docs=20_000)
+    rows of 2048 + 1 tokens, per stretch of about four million tokens (rows-only)."""
+    return _packed(spark, sf_dir)[1]
+
+
+def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that went into the packing and tokens placed; every row full."""
+    docs, packed = _packed(spark, sf_dir)
+    return PK.pack_totals(packed, docs)
 
 
 def d3_vocab_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,9 +287,11 @@ def d3_vocab_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collision_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: the human-readable collision report lines (header + top 20 forms)."""
-    pairs = A.word_pairs(S.lifted_corpus(spark, sf_dir))
-    summary = A.collision_summary(A.surface_forms(pairs))
-    return W.collision_report_text(summary, A.top_ambiguous(pairs, k=20, n_shown=10))
+    corpus = S.lifted_corpus(spark, sf_dir)
+    pairs = A.word_pairs(corpus)
+    forms = A.surface_forms(pairs)
+    rate = A.window_ambiguity_sampled(corpus, forms, window=128, n_samples=10_000, seed=42)
+    return W.collision_report_text(A.collision_summary(forms), A.top_ambiguous(pairs, k=20, n_shown=10), rate)
 
 
 def collision_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,6 +341,7 @@ QUERIES: dict[str, Query] = {
     "run_calibration": run_calibration,
     "validation_report": validation_report,
     "pack_sequences": pack_sequences,
+    "pack_totals": pack_totals,
     "d3_vocab_mapping": d3_vocab_mapping,
     "collision_report_text": collision_report_text,
     "collision_report_json": collision_report_json,

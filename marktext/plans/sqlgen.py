@@ -93,7 +93,11 @@ def mix32(x: str) -> str:
 
 
 def sample_hash(seed: int, i: str, stream: int) -> str:
-    return mix32(f"((CAST({seed} AS BIGINT) * 65537 + {i} * 2 + {stream}) % 4294967296)")
+    return mix32(f"((CAST({seed} AS BIGINT) * 65537 + {i} * 4 + {stream}) % 4294967296)")
+
+
+def sample_hash64(seed: int, i: str) -> str:
+    return f"(({sample_hash(seed, i, 0)} % 2147483648) * 4294967296 + {sample_hash(seed, i, 2)})"
 
 
 def is_not_blank(expr: str) -> str:

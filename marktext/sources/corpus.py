@@ -57,20 +57,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
+#: A table of fewer row groups than this is one small file or two; see ``spread_tiny``.
+TINY_SPLITS = 4
 
-    A table written as one row group is read by one task, which then does all per-row
-    work (regexes, encoders) alone.  The split count comes from file metadata, so the
-    check costs no data pass; on a large table with many splits nothing changes.
-    Hash partitioning on the key keeps the redistribution deterministic on retry.
+
+def spread_tiny(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a table of a few row groups, such as the given test tables.
+
+    One row group is read by one task, which would then do all per-row work (regexes,
+    encoders) alone.  A table of ``TINY_SPLITS`` row groups or more is read as it is, on a
+    cluster of any size, so no corpus is ever shuffled for this.  The split count comes from
+    file metadata; hash partitioning on the key keeps the redistribution deterministic.
     """
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
         return df
-    if splits >= target:
+    if splits >= min(target, TINY_SPLITS):
         return df
     return df.repartition(target, key) if key else df.repartition(target)
 
@@ -80,7 +84,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    return ensure_parallelism(reader.parquet(table_path(sf_dir, name)), key)
+    return spread_tiny(reader.parquet(table_path(sf_dir, name)), key)
 
 
 def lift(text) -> F.Column:
@@ -103,9 +107,11 @@ def lifted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Every parquet file under ``path`` (glob allowed) as one corpus table."""
-    return spark.read.schema(CORPUS_SCHEMA).parquet(path)
+def scan_corpus(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Every parquet file under ``path`` (glob allowed) as one corpus table; with ``split`` only
+    the files named ``{split}-*.parquet``."""
+    reader = spark.read.schema(CORPUS_SCHEMA)
+    return (reader.option("pathGlobFilter", f"{split}-*.parquet") if split else reader).parquet(path)
 
 
 def scan_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

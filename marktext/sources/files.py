@@ -67,24 +67,28 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
 def resolve_val_shard(manifest: DataFrame | None, shard_ids: DataFrame) -> DataFrame:
     """The manifest's ``val_shard``; without a manifest, the highest shard index.
 
-    ``shard_ids``: ``(condition, shard_id)``.  A manifest without the key gives NULL,
-    which callers treat as the studied error.
+    ``shard_ids``: ``(condition, shard_id)``.  A manifest without the key is an error.
     """
     top = shard_ids.groupBy("condition").agg(F.max("shard_id").alias("max_shard"))
     if manifest is None:
         return top.select("condition", F.col("max_shard").alias("val_shard"))
-    return manifest.select("condition", "val_shard")
+    missing = F.raise_error(F.concat(F.lit("no val_shard in the manifest of "), F.col("condition"))).cast("int")
+    return manifest.select("condition", F.coalesce("val_shard", missing).alias("val_shard"))
 
 
 def scan_search_log(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated search log with a header row; blank lines skipped; all strings.
 
-    Adds ``line_no`` (file order) for first-on-ties rules.
+    Adds ``line_no`` (file name and line, so the order holds over several files) for
+    first-on-ties rules.  Logs are small files, read whole.
     """
-    df = (spark.read.option("sep", "\t").option("header", True).option("ignoreLeadingWhiteSpace", False)
-          .schema(SEARCH_LOG_SCHEMA).csv(path))
-    df = df.where(F.col("commit").isNotNull() & (F.trim("commit") != ""))
-    return df.withColumn("line_no", F.monotonically_increasing_id()).withColumn(
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "row")).where("line > 0")
+    names = SEARCH_LOG_SCHEMA.fieldNames()
+    cells = F.split("row", "\t")
+    df = lines.where(F.trim("row") != "").select(
+        *[F.get(cells, i).alias(c) for i, c in enumerate(names)], F.struct("file", "line").alias("line_no"))
+    return df.where(F.trim("commit") != "").withColumn(
         "val_bpb", F.col("val_bpb").cast("double")).withColumn("memory_gb", F.col("memory_gb").cast("double"))
 
 

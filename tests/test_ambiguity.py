@@ -112,3 +112,12 @@ def test_char_distribution_matches_counter(mini_corpus):
     expect = sorted(cnt.items(), key=lambda kv: (-kv[1], first[kv[0]]))[:8]
     got = A.char_distribution(mini_corpus.select("doc_id", F.col("vocalized").alias("text")), k=8).orderBy("rank")
     assert [(r["ch"], r["n"]) for r in got.collect()] == expect
+
+
+def test_sampled_windows_ignore_gaps_in_ids(spark, mini_corpus):
+    """A4 draws by rank: ids with gaps give the same windows as dense ones."""
+    gapped = mini_corpus.withColumn("doc_id", F.col("doc_id") * 1000 + 7)
+    forms = A.surface_forms(A.word_pairs(mini_corpus))
+    one = A.window_ambiguity_sampled(mini_corpus, forms, window=2, n_samples=1000).first()
+    two = A.window_ambiguity_sampled(gapped, forms, window=2, n_samples=1000).first()
+    assert one == two and one["windows"] == 1000

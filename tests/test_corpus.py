@@ -18,12 +18,39 @@ def test_dense_ordinal_matches_row_number(spark):
     rng = random.Random(3)
     ids = rng.sample(range(10**9), 3000)
     df = spark.createDataFrame([(i, "c%d" % (i % 3)) for i in ids], "doc_id long, grp string")
-    got = K.dense_ordinal(df, "doc_id", partition_cols=("grp",), bucket_width=1 << 20)
+    got = K.dense_ordinal(df, "doc_id", partition_cols=("grp",))
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id")) - 1)
     bad = got.join(want, ["doc_id", "grp"]).where(F.col("ordinal") != F.col("w")).count()
     assert bad == 0 and got.count() == 3000
 
 
+def test_ordinals_of_hashed_and_text_keys_spread(spark):
+    """Sparse ids are ranked like dense ones, over several partitions."""
+    df = spark.range(20_000).select(F.xxhash64("id").alias("doc_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tables this small would be one
+    try:
+        got = K.dense_ordinal(df).cache()
+        got.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.agg(F.count_distinct("ordinal"), F.max("ordinal")).first()[:] == (20_000, 19_999)
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20_000
+    words = spark.createDataFrame([(f"k{i % 7}{i}",) for i in range(50)], "doc_id string")
+    assert [r["doc_id"] for r in K.dense_ordinal(words).orderBy("ordinal").collect()] == sorted(r[0] for r in words.collect())
+
+
+def test_index_and_texts_agree_without_shuffling_texts(mini_corpus):
+    index = K.condition_index(K.condition_keys(mini_corpus), ratio=0.1)
+    texts = K.condition_texts(mini_corpus, ratio=0.1)
+    keys = ["condition", "doc_id", "split"]
+    assert index.select(keys).exceptAll(texts.select(keys)).count() == 0 and texts.count() == index.count()
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    heavy = plan[plan.index("ArrowEvalPython"):]
+    assert "hashpartitioning" not in plan[:plan.index("ArrowEvalPython")] or "hashpartitioning" not in heavy
+    assert "Python" not in index._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_sizes_follow_truncation(spark):
     for n, n_val in ((99, 1), (150, 3), (1, 1), (1000, 20)):
         df = spark.range(n).select(F.lit("d1").alias("condition"), F.col("id").alias("doc_id"),

@@ -10,9 +10,6 @@ from marktext.plans import verify
 from marktext.plans.oracle import ORACLE
 from marktext.plans.queries import QUERIES
 
-ITERATIVE = {"bpe_merges", "bpe_tokenizer_report", "token_bytes"}
-
-
 def test_entry_runs(spark):
     df = entry_mod.entry(spark)
     rows = df.collect()
@@ -20,7 +17,7 @@ def test_entry_runs(spark):
     assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ITERATIVE))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_products(spark, name):
     plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

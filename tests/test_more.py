@@ -74,9 +74,90 @@ def test_collision_reports(spark, mini_corpus):
     got = json.loads(doc)
     s = summary.first()
     assert got["total_undiacritized_forms"] == s["total_undiacritized_forms"]
-    assert got["context_window_tokens"] == 128 and len(got["top_ambiguous"]) == 3
-    first = got["top_ambiguous"][0]
+    assert got["context_window_tokens"] == 128 and len(got["top_50_ambiguous"]) == 3
+    first = got["top_50_ambiguous"][0]
     assert first["variants"] == sorted(first["variants"])
-    lines = W.collision_report_text(summary, A.top_ambiguous(pairs, k=20, n_shown=10)).orderBy("line_no").collect()
+    rate = A.window_ambiguity_sampled(mini_corpus, forms, window=2, n_samples=50)
+    lines = W.collision_report_text(summary, A.top_ambiguous(pairs, k=20, n_shown=10), rate, 2).orderBy("line_no").collect()
     assert lines[0]["line"].startswith("Total unique undiacritized forms: ")
-    assert lines[7]["line"] == "Top 20 most ambiguous words:"
+    assert lines[6]["line"].startswith("Context-window ambiguous token rate (2-tok): ")
+    assert lines[8]["line"] == "Top 20 most ambiguous words:"
+
+
+def test_val_shard_missing_in_manifest_is_an_error(spark):
+    import pytest
+    man = spark.createDataFrame([("d1", None)], "condition string, val_shard int")
+    with pytest.raises(Exception, match="no val_shard"):
+        FS.resolve_val_shard(man, spark.createDataFrame([("d1", 0)], "condition string, shard_id int")).collect()
+
+
+def test_search_logs_keep_file_and_line_order(spark, scratch):
+    from marktext.operators import runs as R
+    for name, rows in (("a.tsv", ["x\t1.5\t1\tkeep\tfirst", "", "y\t1.2\t1\tcrash\tno"]), ("b.tsv", ["z\t1.5\t2\tkeep\ttie"])):
+        with open(os.path.join(scratch, name), "w") as f:
+            f.write("commit\tval_bpb\tmemory_gb\tstatus\tdescription\n" + "\n".join(rows) + "\n")
+    log = FS.scan_search_log(spark, scratch)
+    assert [tuple(r["line_no"]) for r in log.orderBy("line_no").collect()] == [("a.tsv", 1), ("a.tsv", 3), ("b.tsv", 1)]
+    assert R.best_kept(log).first()["commit"] == "x"
+
+
+def test_errors_when_asked_for(spark):
+    import pytest
+
+    from marktext.functions import parse as P
+    from marktext.operators import runs as R
+    log = spark.createDataFrame([("a", 1.0, 1.0, "crash", "", 1)], "commit string, val_bpb double, memory_gb double, status string, description string, line_no int")
+    assert R.best_kept(log).count() == 0
+    with pytest.raises(Exception, match="no kept run"):
+        R.best_kept(log, strict=True).collect()
+    src = spark.createDataFrame([("nothing here",)], "source string")
+    assert not any(r["found"] for r in P.extract_params(src).collect())
+    with pytest.raises(Exception, match="missing parameter"):
+        P.extract_params(src, strict=True).collect()
+
+
+def test_baselines_need_every_key(spark):
+    schema = "condition string, val_bpb double, depth int"
+    f = spark.createDataFrame([("d1", 8192, 2.5), ("d3", 8192, 2.2)], "condition string, vocab_size int, fertility double")
+    whole = [("d1", 1.1, 4), ("d2", 1.6, 4), ("d3", 1.0, 4)]
+    assert V.baseline_checks(spark.createDataFrame(whole, schema), f).first()["keys_present"]
+    for rows in (whole[:2], [*whole[:2], ("d3", 1.0, None)]):
+        assert not V.baseline_checks(spark.createDataFrame(rows, schema), f).first()["keys_present"]
+
+
+def test_corpus_of_several_files(spark, scratch):
+    from marktext.sources import corpus as S
+    rows = spark.createDataFrame([(i, "a", "a", "x", "y") for i in range(6)], S.CORPUS_SCHEMA)
+    for k, split in enumerate(("train", "train", "val")):
+        part = os.path.join(scratch, f"p{k}")
+        rows.where(F.col("doc_id") % 3 == k).coalesce(1).write.parquet(part)
+        src = next(f for f in os.listdir(part) if f.endswith(".parquet"))
+        os.makedirs(os.path.join(scratch, "all"), exist_ok=True)
+        os.link(os.path.join(part, src), os.path.join(scratch, "all", f"{split}-{k}.parquet"))
+    where = os.path.join(scratch, "all")
+    assert S.scan_corpus(spark, where).count() == 6 and S.scan_corpus(spark, where, "train").count() == 4
+
+
+def test_word_lookup_limits_and_token_matching(spark):
+    from marktext.operators import ambiguity as A
+    from marktext.operators import tokens as TK
+    forms = spark.createDataFrame([(marked(KAF), 3)], "stripped string, n_variants long")
+    words = spark.createDataFrame([(marked(KAF, FATHA),), (marked(TA),)], "word string")
+    assert {r["word"]: r["n_variants"] for r in A.lookup_variant_counts(words, forms).collect()} == {marked(KAF, FATHA): 3, marked(TA): 0}
+    docs = spark.range(5).withColumnRenamed("id", "ordinal")
+    assert K.limit_examples(docs, 2).count() == 2 and K.limit_examples(docs, 0).count() == 5
+    items = spark.createDataFrame([("ab",), ("c",)], "item string")
+    vocab = spark.createDataFrame([("ab", 7)], "token_text string, token_id int")
+    assert [tuple(r) for r in E.singleton_tokens(items, vocab, "item").collect()] == [("ab", 7)]
+    assert [r[0] for r in E.skipped_items(items, vocab, "item").collect()] == ["c"]
+    tok = lambda xs: spark.createDataFrame([(x,) for x in xs], "token string")
+    loss = {r["token"]: r for r in TK.unigram_loss(tok("aab"), tok("abz")).collect()}
+    assert abs(loss["a"]["loss_nats"] + np.log(3 / 6)) < 1e-12 and abs(loss["z"]["loss_nats"] + np.log(1 / 6)) < 1e-12
+
+
+def test_null_groups_and_vectors(spark):
+    rows = [(1, [1.0, 0.0], None), (2, [1.0, 0.0], None), (3, None, 1), (4, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["label"]: (r["n_vectors"], r["mean_cosine"]) for r in E.group_cosine(df).collect()}
+    assert got == {None: (2, 1.0), 1: (1, None)}
+    assert {r["label"]: r["cosine_to_rest"] for r in E.cosine_to_rest(df).collect()} == {None: 0.0, 1: 0.0}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import (BA, FATHA, KAF, KASRA, SHADDA, SUKUN, TA, marked, mini_sentences, py_encode)
+from conftest import BA, FATHA, KAF, KASRA, SHADDA, SUKUN, TA, marked, mini_sentences, py_encode
 from pyspark.sql import functions as F
 
 from marktext.functions import chars as C
@@ -20,24 +20,18 @@ def test_mapping_size_and_closed_form():
     assert C.MIN_MAPPING_ENTRIES <= len(m)
 
 
-def test_mapping_matches_sequential_build():
-    """Independent construction: count slots in build order, later keys overwrite earlier."""
-    idx, m = 0, {}
-    for letter in C.MAP_LETTERS:
-        for mark in C.MARKS:
-            m[letter + mark] = idx
-            idx += 1
-    for letter in C.MAP_LETTERS:
-        for mark in C.MARKS:
-            if ord(mark) != SHADDA:
-                m[letter + chr(SHADDA) + mark] = idx
-                idx += 1
-        m[letter + chr(SHADDA)] = idx
-        idx += 1
-    for mark in C.MARKS:
-        m[mark] = idx
-        idx += 1
-    assert {k: chr(C.PUA_BASE + v) for k, v in m.items()} == C.atomic_mapping()
+def test_mapping_against_hand_written_codepoints():
+    """Slots worked out by hand: letters by their place, marks in blocks of nine."""
+    m = C.atomic_mapping()
+    table = {
+        (0x0621, 0x064B): 0xE000, (0x0621, 0x0650): 0xE005, (0x0621, 0x0652): 0xE007, (0x0621, 0x0670): 0xE008,
+        (0x0622, 0x064B): 0xE009, (0x0628, 0x064E): 0xE000 + 9 * 7 + 3, (0x064A, 0x0670): 0xE000 + 9 * 35 + 8,
+        (0x0621, 0x0651, 0x064B): 0xE000 + 324, (0x0621, 0x0651, 0x0670): 0xE000 + 324 + 7, (0x0621, 0x0651): 0xE000 + 324 + 8,
+        (0x064A, 0x0651): 0xE000 + 324 + 9 * 35 + 8, (0x064B,): 0xE000 + 648, (0x0651,): 0xE000 + 654, (0x0670,): 0xE000 + 656,
+    }
+    for seq, code in table.items():
+        assert ord(m[marked(*seq)]) == code, [hex(c) for c in seq]
+    assert len(set(m.values())) == len(m)
 
 
 def test_encode_decode_match_brute_force(spark):

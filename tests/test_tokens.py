@@ -109,3 +109,34 @@ def test_batched_training_equals_single_merge(spark, mini_corpus):
     for m in (1, 3, 256):
         got = TK.bpe_train(hist, 256 + 4 + 60, top_m=m).orderBy("rank").collect()
         assert [(r["left"], r["right"], r["token_id"], r["count"]) for r in got] == want
+
+
+def test_self_pairs_end_a_batch(spark):
+    """Merging (a, a) can create (new, new), which may come before pairs ranked by now."""
+    hist = spark.createDataFrame([("aaaa", 40), ("cd", 20)], "pretoken string, freq long")
+    got = TK.bpe_train(hist, 256 + 4 + 3).orderBy("rank").collect()
+    assert [(r["left"], r["right"]) for r in got] == [(97, 97), (256, 256), (99, 100)]
+
+
+def test_random_histograms_equal_sequential_training(spark):
+    import random
+    for seed in range(20):
+        rng = random.Random(seed)
+        hist = {"".join(rng.choice("aab") if seed % 2 else rng.choice("abcd") for _ in range(rng.randint(2, 9))): rng.randint(1, 30)
+                for _ in range(12)}
+        df = spark.createDataFrame(sorted(hist.items()), "pretoken string, freq long").coalesce(1)
+        got = TK.bpe_train(df, 256 + 4 + 8).orderBy("rank").collect()
+        want = py_bpe([w for w, n in hist.items() for _ in range(n)], 8)
+        assert [(r["left"], r["right"], r["token_id"], r["count"]) for r in got] == want, seed
+
+
+def test_no_limits_by_default(spark):
+    docs = spark.createDataFrame([(i, i, "x" * 20_000) for i in range(3)], "doc_id long, ordinal long, text string")
+    assert [r["n"] for r in TK.prefix_by_chars(docs).selectExpr("length(text) n").collect()] == [20_000] * 3
+
+
+def test_batches_restart_per_shard(spark):
+    docs = spark.range(10).withColumnRenamed("id", "ordinal")
+    got = TK.doc_batches(docs, batch_size=2, docs_per_shard=5, epochs=2).collect()
+    assert sorted({(r["ordinal"], r["shard"], r["batch"]) for r in got}) == [
+        (o, o // 5, o % 5 // 2) for o in range(10)] and len(got) == 20
