@@ -101,7 +101,13 @@ class TokenAutomaton:
         self.added = dict(added or {})
         self.rank = {(a, b): k for k, (a, b, _) in enumerate(merges)}
         self.parts = {c: (k, a, b) for k, (a, b, c) in enumerate(merges)}
-        self.token = {label: t for t, label in labels.items() if len(label) == 1 or t in self.parts}
+        # A gadget adds arcs only where its left part and then its right part could be read; a
+        # merge whose pair was taken apart by earlier ones makes no token.
+        live = {t for t, label in labels.items() if len(label) == 1}
+        for k, (a, b, c) in enumerate(merges):
+            if a in live and b in live and self._arc(a, b, k):
+                live.add(c)
+        self.token = {label: t for t, label in labels.items() if t in live}
         if any(bytes([b]) not in self.token for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         # Labels as a tree of bytes (children, token), and each token's next shorter prefix token.
@@ -135,8 +141,8 @@ class TokenAutomaton:
         self._arcs += 1
         return found
 
-    def _arc(self, x: int, y: int) -> bool:
-        before = len(self.rank)  # only gadgets of a lower rank have been applied yet
+    def _arc(self, x: int, y: int, before: int = 1 << 62) -> bool:
+        """Whether x had an arc y when only the gadgets of rank below ``before`` had been applied."""
         byte = (-1, -1, -1)
         while True:
             if self.rank.get((x, y), before) < before:
@@ -289,16 +295,19 @@ def _share(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((key, parts))
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids",
+               decoded_col: str | None = None) -> DataFrame:
     """``docs`` plus ``out_col``: the text's token ids, packed as little-endian unsigned 32-bit
-    integers (the layout of token files).
+    integers (the layout of token files).  With ``decoded_col`` also the text decoded from these
+    ids again, in the same pass.
 
     Null texts encode as empty.  Strings of added tokens in a text become these tokens, as the
-    tokenizers library does by default.  Rows keep their place and number; ``out_col`` must not
-    be in ``docs`` yet.  Words are encoded whole, however long, and texts one at a time.
+    tokenizers library does by default.  Rows keep their place and number; the new columns must
+    not be in ``docs`` yet.  Words are encoded whole, however long, and texts one at a time.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"{out_col} is in the table already")
+    new = [out_col, *([decoded_col] if decoded_col else [])]
+    if set(new) & set(docs.columns):
+        raise ValueError(f"{' or '.join(new)} is in the table already")
     spec = _share(docs, tokenizer)
     rows = docs.withColumn(out_col, text_or_empty(text_col))
     at = len(docs.columns)
@@ -307,10 +316,14 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col:
         auto = _automaton(spec)
         for b in batches:
             for part in _pieces(b, at):
-                ids = pa.array([auto.encode(t.as_py()) for t in part.column(at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], ids], names=part.schema.names)
+                ids = [auto.encode(t.as_py()) for t in part.column(at)]
+                made = [pa.array(ids, pa.binary())]
+                if decoded_col:
+                    made.append(pa.array(map(auto.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *made], names=[*part.schema.names[:at], *new])
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    kinds = [T.StructField(out_col, T.BinaryType()), T.StructField(decoded_col or "", T.StringType())]
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds[:len(new)]]))
 
 
 def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -331,7 +344,7 @@ def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: s
     return out.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
-def _pieces(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose column ``at`` holds about ``most`` bytes, one row at least."""
     import pyarrow.compute as pc
     sizes = np.cumsum(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_automaton import bpe_decode, bpe_encode
+from .bpe_automaton import bpe_encode
 from .chat_pairs import preference_rows
 from .common import prepare, read
 from .exact_dedup import exact_dedup
@@ -13,6 +13,7 @@ from .licenses import main_license, scan_licenses
 from .line_dedup import line_dedup
 from .maxent_lm import maxent_scores
 from .mixing import mix_decisions
+from .oracle import mixing as mixing_sql
 from .pii import pseudonymise_documents
 from .quality import quality_rules
 from .simhash import simhash_classes
@@ -68,9 +69,8 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Token number and digests of every text; the other columns are passed on."""
-    coded = bpe_encode(docs, tokenizer).drop("text")
-    return bpe_decode(coded, tokenizer).select(
-        *[c for c in coded.columns if c != "ids"],
+    return bpe_encode(docs, tokenizer, decoded_col="decoded").select(
+        *[c for c in docs.columns if c != "text"],
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -122,6 +122,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_mix_sources": mixing_sql(),
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
