@@ -61,3 +61,50 @@ def mixing(levels: int = 3, fan: int = 64, most: int = 3) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + (
         "\nSELECT e.id AS doc_id, e.size, r.source_size, r.target, CAST((floor(r.rate) + e.bit) * e.size AS BIGINT) AS taken "
         "FROM each e JOIN rates r ON e.source IS NOT DISTINCT FROM r.source")
+
+
+def preferences() -> str:
+    """Common prefixes by turn; openings of up to 1000 conversations (one bucket) are paired alike."""
+    said = "{'role': coalesce(role, ''), 'text': coalesce(text, '')}"
+    rendered = "'<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10)"
+    spans = ("coalesce(string_agg(CAST(off + skip AS VARCHAR) || ':' || CAST(off + n - 1 AS VARCHAR), ' ' ORDER BY turn, i) "
+             "FILTER (WHERE role = 'assistant'), '')")
+
+    def side(name: str) -> str:
+        return (f"{name}p AS (SELECT pair, turn, i, p.role AS role, {rendered} AS t, length({rendered}) AS n, "
+                f"length('<|im_start|>' || p.role || chr(10)) AS skip FROM (SELECT pair, turn, unnest({name}) AS p, "
+                f"generate_subscripts({name}, 1) AS i FROM pieces WHERE NOT common AND {name} IS NOT NULL)),\n"
+                f"{name}o AS (SELECT *, sum(n) OVER (PARTITION BY pair ORDER BY turn, i ROWS UNBOUNDED PRECEDING) - n AS off FROM {name}p),\n"
+                f"{name}t AS (SELECT pair, string_agg(t, '' ORDER BY turn, i) AS txt, {spans} AS spans FROM {name}o GROUP BY pair)")
+
+    return f"""
+WITH turns AS (SELECT conv_id AS conv, coalesce(turn, 9223372036854775807) AS turn, list_sort(list(DISTINCT {said})) AS said
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+spoken AS (SELECT *, list_filter(said, lambda s: s.role = 'assistant') AS own FROM turns),
+talk AS (SELECT conv, arg_min(said, turn) AS opening,
+                sum(coalesce(list_sum(list_transform(own, lambda s: length(s.text))), 0)) AS words FROM spoken GROUP BY conv),
+sib AS (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY conv) - 1 AS k, count(*) OVER (PARTITION BY opening) AS n FROM talk),
+two AS (SELECT opening, k // 2 AS k, arg_min(conv, (-words, conv)) AS chosen, arg_max(conv, (-words, conv)) AS rejected
+        FROM sib GROUP BY opening, k // 2 HAVING count(*) = 2),
+single AS (SELECT * FROM spoken WHERE conv NOT IN (SELECT chosen FROM two UNION ALL SELECT rejected FROM two)),
+last AS (SELECT conv, max(turn) AS last FROM single WHERE len(own) > 0 GROUP BY conv),
+stale AS (SELECT l.conv, l.last, coalesce(arg_max(s.said, s.turn), [{{'role': 'assistant', 'text': ''}}]) AS stale
+          FROM last l LEFT JOIN single s ON s.conv = l.conv AND s.turn < l.last AND len(s.own) > 0 GROUP BY l.conv, l.last),
+pairs AS (SELECT {{'a': chosen, 'b': rejected}} AS pair, chosen, rejected FROM two),
+cs AS (SELECT p.pair, t.turn, t.said FROM pairs p JOIN turns t ON t.conv = p.chosen UNION ALL
+       SELECT {{'a': s.conv, 'b': NULL}}, s.turn, s.said FROM single s JOIN last USING (conv)),
+rs AS (SELECT p.pair, t.turn, t.said FROM pairs p JOIN turns t ON t.conv = p.rejected UNION ALL
+       SELECT {{'a': s.conv, 'b': NULL}}, s.turn, CASE WHEN s.turn = st.last THEN st.stale ELSE s.said END FROM single s JOIN stale st USING (conv)),
+sides AS (SELECT pair, turn, said AS c, NULL AS r FROM cs UNION ALL SELECT pair, turn, NULL, said FROM rs),
+both_ AS (SELECT pair, turn, any_value(c) AS c, any_value(r) AS r FROM sides GROUP BY pair, turn),
+split AS (SELECT pair, min(turn) FILTER (WHERE c IS DISTINCT FROM r) AS split FROM both_ GROUP BY pair),
+pieces AS (SELECT b.*, s.split IS NULL OR b.turn < s.split AS common FROM both_ b JOIN split s ON s.pair = b.pair),
+prompt AS (SELECT pair, string_agg({rendered}, '' ORDER BY turn, i) AS prompt FROM (SELECT pair, turn, unnest(c) AS p,
+           generate_subscripts(c, 1) AS i FROM pieces WHERE common) GROUP BY pair),
+cnt AS (SELECT pair, count(*) FILTER (WHERE common) AS n_common FROM pieces GROUP BY pair),
+{side('c')},
+{side('r')}
+SELECT cnt.pair.a AS chosen_id, cnt.pair.b AS rejected_id, n_common, coalesce(prompt, '') AS prompt,
+       coalesce(ct.txt, '') AS chosen_text, coalesce(ct.spans, '') AS chosen_spans,
+       coalesce(rt.txt, '') AS rejected_text, coalesce(rt.spans, '') AS rejected_spans
+FROM cnt LEFT JOIN prompt ON prompt.pair = cnt.pair LEFT JOIN ct ON ct.pair = cnt.pair LEFT JOIN rt ON rt.pair = cnt.pair"""

@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .maxent_lm import maxent_scores
 from .mixing import mix_decisions
 from .oracle import mixing as mixing_sql
+from .oracle import preferences as preferences_sql
 from .pii import pseudonymise_documents
 from .quality import quality_rules
 from .simhash import simhash_classes
@@ -86,7 +87,10 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of all preference pairs of ``conversations``."""
     prepare(spark)
-    return preference_rows(read(spark, sf_dir, "conversations"))
+    spans = lambda mask: F.array_join(F.transform(mask, lambda m: F.concat_ws(":", m["start"], m["stop"])), " ")
+    return preference_rows(read(spark, sf_dir, "conversations")).select(
+        "chosen_id", "rejected_id", "n_common", "prompt", "chosen_text", spans("chosen_mask").alias("chosen_spans"),
+        "rejected_text", spans("rejected_mask").alias("rejected_spans"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +126,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_preference_pairs": preferences_sql(),
     "op2_mix_sources": mixing_sql(),
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
