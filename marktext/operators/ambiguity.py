@@ -63,6 +63,21 @@ def surface_forms(pairs: DataFrame) -> DataFrame:
                     F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")))
 
 
+def variant_counts(pairs: DataFrame) -> DataFrame:
+    """``(stripped, variant, n, first)``: every distinct variant once.  Consumers that need forms
+    and their variants start from here, so the corpus is tokenised once and both share its
+    exchange."""
+    return pairs.groupBy("stripped", "variant").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+
+
+def forms_of(variants: DataFrame) -> DataFrame:
+    """A1 from :func:`variant_counts`."""
+    return (variants.groupBy("stripped")
+            .agg(F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("n_words"), F.min("first").alias("first"))
+            .select("stripped", "n_variants", "n_words",
+                    F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")))
+
+
 def collision_summary(forms: DataFrame) -> DataFrame:
     """A2: one row of corpus-level ambiguity figures over the A1 table."""
     n_forms = F.count(F.lit(1))
@@ -93,14 +108,14 @@ def top_forms(forms: DataFrame, k: int = 50) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(w).cast("int"))
 
 
-def form_variants(pairs: DataFrame, top: DataFrame) -> DataFrame:
-    """K4 long form: every variant of the selected forms, ``(rank, word, variant)``.
+def form_variants(variants: DataFrame, top: DataFrame) -> DataFrame:
+    """K4 long form: every variant of the selected forms, ``(rank, word, variant)``, from
+    :func:`variant_counts`.
 
-    The top table is bounded by k, so it is the broadcast side of a semi join.
+    The top table is bounded by k, so it is the broadcast side of the join.
     """
     sel = F.broadcast(top.select(F.col("stripped"), "rank"))
-    return (pairs.select("stripped", "variant").join(sel, "stripped")
-            .select("rank", F.col("stripped").alias("word"), "variant").distinct())
+    return variants.join(sel, "stripped").select("rank", F.col("stripped").alias("word"), "variant")
 
 
 def first_variants(variants: DataFrame, n: int = 10, salt_buckets: int = 64) -> DataFrame:
@@ -116,9 +131,9 @@ def first_variants(variants: DataFrame, n: int = 10, salt_buckets: int = 64) ->
 
 def top_ambiguous(pairs: DataFrame, k: int = 50, n_shown: int = 10) -> DataFrame:
     """A3 + K5: ``(rank, word, n_variants, top_variants)`` for the k most ambiguous forms."""
-    forms = surface_forms(pairs)
-    top = top_forms(forms, k)
-    shown = first_variants(form_variants(pairs, top), n_shown)
+    variants = variant_counts(pairs)
+    top = top_forms(forms_of(variants), k)
+    shown = first_variants(form_variants(variants, top), n_shown)
     return (top.join(shown, "rank")
             .select("rank", F.col("stripped").alias("word"), F.col("n_variants").cast("bigint"),
                     "top_variants"))

@@ -52,8 +52,8 @@ def top_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_ambiguous_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: every variant of the top-50 forms, long form."""
-    pairs = A.word_pairs(S.lifted_corpus(spark, sf_dir))
-    return A.form_variants(pairs, A.top_forms(A.surface_forms(pairs), 50))
+    variants = A.variant_counts(A.word_pairs(S.lifted_corpus(spark, sf_dir)))
+    return A.form_variants(variants, A.top_forms(A.forms_of(variants), 50))
 
 
 def window_ambiguity_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,12 +297,12 @@ def collision_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collision_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: the machine-readable collision report (scalars, window rate, top-50 forms)."""
     corpus = S.lifted_corpus(spark, sf_dir)
-    pairs = A.word_pairs(corpus)
-    forms = A.surface_forms(pairs)
+    variants = A.variant_counts(A.word_pairs(corpus))
+    forms = A.forms_of(variants)
     top = A.top_forms(forms, 50)
     return W.collision_report_json(
         A.collision_summary(forms), top.select("rank", F.col("stripped").alias("word"), "n_variants"),
-        A.form_variants(pairs, top), window=128,
+        A.form_variants(variants, top), window=128,
         window_rate=A.window_ambiguity_sampled(corpus, forms, window=128, n_samples=10_000, seed=42))
 
 

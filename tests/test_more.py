@@ -70,7 +70,7 @@ def test_collision_reports(spark, mini_corpus):
     summary = A.collision_summary(forms)
     top = A.top_forms(forms, 3)
     doc = W.collision_report_json(summary, top.select("rank", F.col("stripped").alias("word"), "n_variants"),
-                                  A.form_variants(pairs, top)).first()["json"]
+                                  A.form_variants(A.variant_counts(pairs), top)).first()["json"]
     got = json.loads(doc)
     s = summary.first()
     assert got["total_undiacritized_forms"] == s["total_undiacritized_forms"]
