@@ -302,15 +302,15 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col:
     ids again, in the same pass.
 
     Null texts encode as empty.  Strings of added tokens in a text become these tokens, as the
-    tokenizers library does by default.  Rows keep their place and number; the new columns must
-    not be in ``docs`` yet.  Words are encoded whole, however long, and texts one at a time.
+    tokenizers library does by default.  Rows keep their place and number; columns of ``docs``
+    named like the new ones are replaced.  Words are encoded whole, however long, and texts one
+    at a time.
     """
     new = [out_col, *([decoded_col] if decoded_col else [])]
-    if set(new) & set(docs.columns):
-        raise ValueError(f"{' or '.join(new)} is in the table already")
     spec = _share(docs, tokenizer)
-    rows = docs.withColumn(out_col, text_or_empty(text_col))
-    at = len(docs.columns)
+    others = [c for c in docs.columns if c not in new]
+    rows = docs.select(*[column(c) for c in others], text_or_empty(text_col).alias(out_col))
+    at = len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _automaton(spec)
@@ -323,15 +323,14 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col:
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *made], names=[*part.schema.names[:at], *new])
 
     kinds = [T.StructField(out_col, T.BinaryType()), T.StructField(decoded_col or "", T.StringType())]
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds[:len(new)]]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:at], *kinds[:len(new)]]))
 
 
 def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` plus ``out_col``: the text that the packed ids stand for (null ids: empty)."""
-    if out_col in rows.columns:
-        raise ValueError(f"{out_col} is in the table already")
     spec = _share(rows, tokenizer)
-    at = len(rows.columns)
+    others = [c for c in rows.columns if c != out_col]
+    at = len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = arc_labels(spec.value[1]["labels"], spec.value[1]["added"])
@@ -340,8 +339,8 @@ def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: s
                 text = pa.array([emit(labels, t.as_py()) for t in part.column(at)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], text], names=part.schema.names)
 
-    out = rows.withColumn(out_col, F.coalesce(column(ids_col), F.lit(b"")))
-    return out.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
+    out = rows.select(*[column(c) for c in others], F.coalesce(column(ids_col), F.lit(b"")).alias(out_col))
+    return out.mapInArrow(run, T.StructType([*out.schema.fields[:at], T.StructField(out_col, T.StringType())]))
 
 
 def _pieces(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import column, text_or_empty
 
 # FIXED VALUES: public licence notices; [...] stands for a holder's name or a year and matches nothing.
 TEMPLATES: dict[str, list[str]] = {
@@ -164,13 +164,12 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
     """``docs`` plus ``out_col``: an array of matches (license, dice, first and last line from 0).
 
     Texts are read whole; null and empty ones have no match, nor have units of one word.  Every
-    row is returned once, whatever repeats.  ``out_col`` must not be in ``docs`` yet.
+    row is returned once, whatever repeats.  A column of ``docs`` named ``out_col`` is replaced.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"{out_col} is in the table already")
     chosen = TEMPLATES if templates is None else templates
-    rows = docs.withColumn(out_col, text_or_empty(text_col))
-    at = len(docs.columns)
+    others = [c for c in docs.columns if c != out_col]
+    rows = docs.select(*[column(c) for c in others], text_or_empty(text_col).alias(out_col))
+    at = len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(chosen, threshold)
@@ -179,7 +178,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
             found = pa.array([scan_text(t.as_py(), index) for t in b.column(at)], kind)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], found], names=b.schema.names)
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(MATCH))]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:at], T.StructField(out_col, T.ArrayType(MATCH))]))
 
 
 def main_license(matches: str = "licenses") -> F.Column:

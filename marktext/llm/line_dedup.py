@@ -16,9 +16,8 @@ from .common import SPACES, column, cut, text_or_empty
 _BLANK = "".join(SPACES)
 
 
-def _numbered(text: F.Column) -> F.Column:
+def _numbered(lines: F.Column) -> F.Column:
     """Numbers of the non-blank lines, in order."""
-    lines = F.split(text, "\n")
     return F.filter(F.transform(lines, lambda line, i: F.when(F.btrim(line, F.lit(_BLANK)) != "", i)),
                     lambda i: i.isNotNull())
 
@@ -48,7 +47,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one with the smallest id (nulls last), then text hash, then line.  Rows that agree in id
     and text are one document: they are treated alike and are no repetition of each other.
     A line's content never vanishes from the corpus: its earliest place stays.  Null texts stay
-    null.  An empty table gives an empty result; the columns added must not be in ``docs``.
+    null.  An empty table gives an empty result; columns of ``docs`` named like the two added ones
+    are replaced.
     """
     windows = cut(line_windows(docs, id_col, text_col, width))
     place = F.struct(F.col("id").isNull().alias("n"), "id", "version", "at")
@@ -59,16 +59,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = later.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + width - 1)))).alias("_covered"))
 
+    # The row travels as one struct, so no name of the table can clash with one used here.
     text = text_or_empty(text_col)
-    lines, ranks = F.split(text, "\n"), _numbered(text)
-    gone = F.transform(F.col("_covered"), lambda r: F.get(F.col("_ranks"), r))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
-    out = (docs.withColumn("_key", F.xxhash64(text))
-           .join(covered.hint("shuffle_hash"), column(id_col).eqNullSafe(F.col("_id"))
-                 & (F.col("_key") == F.col("_version")), "left")
-           .withColumn("_lines", lines).withColumn("_ranks", ranks))
-    new = F.when(F.col("_covered").isNull(), column(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return out.select(*[new.alias(c) if c == text_col else column(c) for c in docs.columns],
-                      F.size("_ranks").cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"))
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(id_col).alias("id"),
+                       F.xxhash64(text).alias("key"), column(text_col).alias("own"))
+    met = (rows.join(covered.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_version")), "left")
+           .withColumn("lines", F.split(F.coalesce("own", F.lit("")), "\n"))
+           .withColumn("ranks", _numbered(F.col("lines"))))
+    gone = F.transform(F.col("_covered"), lambda r: F.get(F.col("ranks"), r))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
+    new = F.when(F.col("_covered").isNull(), F.col("own")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    counts = {"n_lines": F.size("ranks").cast("long"), "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long")}
+    return met.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in counts],
+                      *[v.alias(k) for k, v in counts.items()])

@@ -155,8 +155,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mixed corpus: every row of ``docs`` as often as the mix takes it, same columns."""
     plan = mix_decisions(docs, id_col, text_col, source_col, **options).where("times > 0").select(
         F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("times").alias("_times"))
-    sized = docs.withColumn("_words", F.size(words(text_or_empty(text_col))).cast("long"))
-    return (sized.join(plan.hint("shuffle_hash"), column(id_col).eqNullSafe(F.col("_id"))
-                       & column(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-            .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long"))))
-            .select(*[column(c) for c in docs.columns]))
+    # The row travels as one struct, so no name of the table can clash with one used here.
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(id_col).alias("id"),
+                       column(source_col).alias("source"), F.size(words(text_or_empty(text_col))).cast("long").alias("size"))
+    return (rows.join(plan.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id"))
+                      & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+            .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long"))))
+            .select("row.*"))

@@ -253,10 +253,9 @@ def pseudonymise_documents(docs: DataFrame, key: str, text_col: str = "text", sp
     """``docs`` with personal data in ``text_col`` renamed under ``key``, plus ``spans_col``.
 
     Null texts stay null with no spans, empty ones empty; every row is returned once, whatever
-    repeats.  ``spans_col`` must not be in ``docs`` yet; other columns pass through.
+    repeats.  A column named ``spans_col`` is replaced; other columns pass through.
     """
-    if spans_col in docs.columns:
-        raise ValueError(f"{spans_col} is in the table already")
+    docs = docs.select(*[column(c) for c in docs.columns if c != spans_col])
     secret = blake2b(key.encode(), digest_size=64).digest()
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(spans_col, T.ArrayType(SPAN))])

@@ -95,9 +95,11 @@ def test_line_dedup_matches_brute_force(spark):
 def test_line_dedup_repeated_rows_and_clashing_names(spark):
     t = "a\nb\nc"
     rows = [(1, t, "k", 5), (1, t, "k", 5), (2, t, "k", 6), (None, t, "k", 7)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, id string, at int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, at int").selectExpr(
+        "*", "1 as _id", "2 as lines", "3 as row", "4 as n_lines")
     got = line_dedup(df)
-    assert got.columns == ["doc_id", "text", "id", "at", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "id", "at", "_id", "lines", "row", "n_lines", "n_removed"]
+    assert {(r["_id"], r["lines"], r["row"], r["n_lines"]) for r in got.collect()} == {(1, 2, 3, 3)}
     texts = sorted(((r["doc_id"] or 0, r["text"]) for r in got.collect()))
     assert texts == [(0, ""), (1, t), (1, t), (2, "")]
 
@@ -161,7 +163,9 @@ def test_simhash_classes_on_awkward_rows(spark):
         if r["id"] is not None:
             assert r["fp"] & (1 << 64) - 1 == fps[r["id"]]
             assert r["component_id"] == min(i for i, f in fps.items() if comp[f] == comp[fps[r["id"]]])
-    kept = simhash_dedup(table(spark, AWKWARD)).collect()
+    named = table(spark, AWKWARD).selectExpr("*", "1 as id", "2 as fp", "3 as row", "4 as _id")
+    assert simhash_dedup(named).columns == named.columns and exact_dedup(named).count() == len(AWKWARD)
+    kept = simhash_dedup(named).collect()
     assert len(kept) == len({comp[f] for f in fps.values()})
     assert sorted(r["doc_id"] for r in kept) == sorted({r["component_id"] for r in got})
 

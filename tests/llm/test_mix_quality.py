@@ -75,7 +75,7 @@ def test_every_document_has_its_share_over_seeds(spark):
 
 def test_mix_awkward_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a b", None), (3, "a b", None), (None, "a", "y"), (4, "a b c", "y"), (5, "q", "only")]
-    df = spark.createDataFrame([(*r, 1.5) for r in rows], SCHEMA + ", size double")
+    df = spark.createDataFrame([(*r, 1.5) for r in rows], SCHEMA + ", size double").selectExpr("*", "1 as id", "2 as _id", "3 as row", "4 as nth")
     got = mix_decisions(df).collect()
     assert sum(r["copies"] for r in got) == len(rows)
     mixed = mix_sources(df)

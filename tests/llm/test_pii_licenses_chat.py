@@ -86,6 +86,7 @@ def test_pii_tables(spark):
     assert [r["text"] for r in got if r["doc_id"] == 2] == [None]
     assert all(r["text"] != "call +49 30 1234567" for r in got)
     assert pseudonymise_documents(df.limit(0), "secret").count() == 0
+    assert pseudonymise_documents(df.withColumnRenamed("kind", "spans"), "secret").columns == ["doc_id", "text", "spans"]
 
 
 def brute_scan(text, threshold=0.8):
@@ -134,6 +135,8 @@ def test_license_of_wrapped_text_and_tables(spark):
     by = {r["doc_id"]: r for r in got.collect()}
     assert by[1]["best"]["l"] == "MIT" and (by[1]["best"]["f"], by[1]["best"]["t"]) == (2, 2 + wrapped.count("\n"))
     assert by[2]["best"]["l"] == "CC-BY-NC-4.0" and by[5]["best"] is None and by[3]["licenses"] == [] and got.count() == len(rows)
+    again = spark.createDataFrame(rows, "doc_id long, text string, licenses string")
+    assert L.scan_licenses(again).where("size(licenses) > 0").count() == 2 and L.scan_licenses(again.limit(0)).count() == 0
 
 
 TALKS = "conv_id long, turn long, role string, text string, extra int"
