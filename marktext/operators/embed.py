@@ -210,6 +210,42 @@ def mapping_token_groups(mapping: DataFrame, vocab: DataFrame) -> DataFrame:
             .select("base", "letter_name", "n_entries", "n_single_tokens", "n_skipped", "token_labels"))
 
 
+def token_vectors(tokens: DataFrame, embeddings: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Tokens with their embedding (``vec_id`` is the token id); tokens without a vector drop out."""
+    return tokens.join(embeddings.select(F.col("vec_id").cast("int").alias("token_id"), vec_col), "token_id")
+
+
+def letter_cosine(mapping: DataFrame, vocab: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """J3 + A18 per base letter: how alike the vectors of a letter's single-token units are, with the
+    overall mean and its reading (A19, P10) on every row."""
+    tokens = singleton_tokens(letter_groups(mapping).select("base", "pua"), vocab.where(~F.col("is_special")), "pua")
+    per = group_cosine(token_vectors(tokens, embeddings), "base")
+    overall = overall_cosine(per)
+    return per.select("*", *[overall.select(c).scalar().alias(c) for c in overall.columns])
+
+
+def mark_letter_cosine(vocab: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """J4 + A18 + A20: marks and letters that are single tokens: the mean cosine among marks, among
+    letters, and across, ``(n_marks, n_letters, marks, letters, cross)``."""
+    from ..functions import chars as C
+    spark = vocab.sparkSession
+    plain = vocab.where(~F.col("is_special"))
+    kinds = spark.createDataFrame([(c, "mark") for c in C.MARKS] + [(c, "letter") for c in C.MAP_LETTERS], "ch string, kind string")
+    found = token_vectors(singleton_tokens(kinds, plain, "ch"), embeddings)
+    sums = group_sums(found, ("kind",))
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    one = sums.agg(*[pick(k, c).alias(f"{k}_{c}") for k in ("mark", "letter") for c in ("n", "s", "q")])
+
+    def within(k):
+        n, s = F.col(f"{k}_n"), F.col(f"{k}_s")
+        return F.round(F.when(n >= 2, (dot(s, s) - F.col(f"{k}_q")) / (n * (n - 1))), 9)
+
+    cross = F.round(dot(F.col("mark_s"), F.col("letter_s")) / (F.col("mark_n") * F.col("letter_n")), 9)
+    zero = F.lit(0).cast("bigint")
+    return one.select(F.coalesce("mark_n", zero).alias("n_marks"), F.coalesce("letter_n", zero).alias("n_letters"),
+                      within("mark").alias("marks"), within("letter").alias("letters"), cross.alias("cross"))
+
+
 # ---------------------------------------------------------------------------
 # O6 / A21
 # ---------------------------------------------------------------------------

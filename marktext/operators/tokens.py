@@ -305,17 +305,19 @@ def fertility(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_co
 # ---------------------------------------------------------------------------
 # Bits per byte and per base letter
 # ---------------------------------------------------------------------------
-def bpb(token_loss: DataFrame, token_bytes_df: DataFrame) -> DataFrame:
+def bpb(token_loss: DataFrame, token_bytes_df: DataFrame, n_col: str | None = None) -> DataFrame:
     """Nats of tokens with bytes > 0, over ln2 x total bytes.
 
-    ``(bpb, total_nats, total_bytes, valid_tokens)``; zero bytes -> (inf, 0, 0, 0).
-    ``token_bytes_df`` is vocabulary-sized, so the join is a broadcast (J5).
+    ``(bpb, total_nats, total_bytes, valid_tokens)``; zero bytes -> (inf, 0, 0, 0).  With ``n_col``
+    a row stands for so many equal tokens.  ``token_bytes_df`` is vocabulary-sized, so the join
+    is a broadcast (J5).
     """
+    n = F.lit(1) if n_col is None else F.col(n_col)
     j = token_loss.join(F.broadcast(token_bytes_df), "token_id", "left")
     nb = F.coalesce(F.col("n_bytes"), F.lit(0))
-    nats = F.sum(F.when(nb > 0, F.col("loss_nats")).otherwise(F.lit(0.0)))
-    byts = F.sum(nb).cast("bigint")
-    valid = F.count_if(nb > 0).cast("bigint")
+    nats = F.sum(F.when(nb > 0, F.col("loss_nats") * n).otherwise(F.lit(0.0)))
+    byts = F.sum(nb * n).cast("bigint")
+    valid = F.sum(F.when(nb > 0, n).otherwise(F.lit(0))).cast("bigint")
     agg = j.agg(nats.alias("n"), byts.alias("b"), valid.alias("v"))
     zero = F.coalesce(F.col("b"), F.lit(0)) == 0
     return agg.select(
@@ -325,6 +327,24 @@ def bpb(token_loss: DataFrame, token_bytes_df: DataFrame) -> DataFrame:
         F.when(zero, F.lit(0)).otherwise(F.col("v")).cast("bigint").alias("valid_tokens"))
 
 
+def token_unigram_bpb(docs: DataFrame, merges: DataFrame) -> DataFrame:
+    """B2 + F8 + J5 + A9: documents ``(doc_id, text, split)`` encoded with a leading special token; a
+    unigram over the train tokens scores the val tokens; specials and their bytes are masked.
+
+    Token counts leave the encoder's tasks through one aggregation; no token row is kept.
+    """
+    spark = docs.sparkSession
+    vocab = vocab_table(spark, merges)
+    bos = vocab.where("is_special").select(F.min("token_id")).first()[0]
+    ids = bpe_encode(docs, merges, keep=("split",), bos_id=bos).select("split", F.explode("ids").alias("token_id"))
+    counts = ids.groupBy("token_id").agg(F.count_if(F.col("split") == "train").alias("c"),
+                                         F.count_if(F.col("split") == "val").alias("n"))
+    totals = counts.agg(F.sum("c").alias("N"), F.count_if(F.col("c") > 0).alias("V"))
+    p = (F.col("c") + 1) / (totals.select("N").scalar() + totals.select("V").scalar() + 1)
+    loss = counts.where(F.col("n") > 0).select("token_id", "n", (-F.log(p)).alias("loss_nats"))
+    return bpb(loss, token_bytes(vocab), "n")
+
+
 def unigram_loss(train_tokens: DataFrame, eval_tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """F8 stand-in loss: ``-ln(p)`` with add-one smoothing over the train vocabulary + 1.
 

@@ -285,6 +285,29 @@ def d3_vocab_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.mapping_token_groups(K.atomic_map(spark), TK.vocab_table(spark, merges))
 
 
+def bpb_token_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 + J5 + A9 per condition: bits per byte of a unigram over the condition's own tokens."""
+    out = None
+    for cond in K.CONDITIONS:
+        _, merges = _tokenizer(spark, sf_dir, cond)
+        row = TK.token_unigram_bpb(_conditions(spark, sf_dir, (cond,)), merges).select(F.lit(cond).alias("condition"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def letter_embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + A18 + A19 + P10: atomic units that are single d3 tokens, per base letter, joined to the
+    embeddings by token id."""
+    _, merges = _tokenizer(spark, sf_dir, "d3")
+    return E.letter_cosine(K.atomic_map(spark), TK.vocab_table(spark, merges), S.scan_embeddings(spark, sf_dir))
+
+
+def mark_letter_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + A18 + A20: marks against letters among the d1 tokens, joined to the embeddings."""
+    _, merges = _tokenizer(spark, sf_dir, "d1")
+    return E.mark_letter_cosine(TK.vocab_table(spark, merges), S.scan_embeddings(spark, sf_dir))
+
+
 def collision_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: the human-readable collision report lines (header + top 20 forms)."""
     corpus = S.lifted_corpus(spark, sf_dir)
@@ -343,6 +366,9 @@ QUERIES: dict[str, Query] = {
     "pack_sequences": pack_sequences,
     "pack_totals": pack_totals,
     "d3_vocab_mapping": d3_vocab_mapping,
+    "bpb_token_unigram": bpb_token_unigram,
+    "letter_embedding_cosine": letter_embedding_cosine,
+    "mark_letter_cosine": mark_letter_cosine,
     "collision_report_text": collision_report_text,
     "collision_report_json": collision_report_json,
 }

@@ -69,3 +69,24 @@ def test_frequency_and_pca(spark):
     sv = np.linalg.svd(xc, compute_uv=False) ** 2
     assert np.allclose(ratios, (sv / sv.sum())[:2], atol=1e-6)
     assert coords.count() == len(x)
+
+
+def test_letters_and_marks_of_a_vocabulary(spark):
+    from conftest import BA, FATHA, KAF, KASRA, marked
+
+    from marktext.functions import chars as C
+    from marktext.operators import corpus as K
+    m = C.atomic_mapping()
+    toks = [m[marked(KAF, FATHA)], m[marked(KAF, KASRA)], m[marked(BA, FATHA)], marked(KAF), marked(BA), marked(FATHA), marked(KASRA), "zz"]
+    vocab = spark.createDataFrame([(i, t, False) for i, t in enumerate(toks)], "token_id int, token_text string, is_special boolean")
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(8, 5)).astype(np.float32)
+    emb = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int")
+    got = {r["base"]: r for r in E.letter_cosine(K.atomic_map(spark), vocab, emb).collect()}
+    assert got[marked(KAF)]["n_vectors"] == 2 and got[marked(BA)]["mean_cosine"] is None
+    assert abs(got[marked(KAF)]["mean_cosine"] - _pairwise_mean(vecs[:2])) < 1e-8
+    assert got[marked(BA)]["n_groups"] == 1 and got[marked(BA)]["overall_mean"] == got[marked(KAF)]["mean_cosine"]
+    r = E.mark_letter_cosine(vocab, emb).first()
+    u = vecs.astype(np.float64) / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)
+    assert (r["n_marks"], r["n_letters"]) == (2, 2)
+    assert abs(r["cross"] - float((u[5:7] @ u[3:5].T).mean())) < 1e-8 and abs(r["marks"] - _pairwise_mean(vecs[5:7])) < 1e-8

@@ -140,3 +140,15 @@ def test_batches_restart_per_shard(spark):
     got = TK.doc_batches(docs, batch_size=2, docs_per_shard=5, epochs=2).collect()
     assert sorted({(r["ordinal"], r["shard"], r["batch"]) for r in got}) == [
         (o, o // 5, o % 5 // 2) for o in range(10)] and len(got) == 20
+
+
+def test_token_unigram_bpb(spark):
+    texts = ["ab ab", "ab c", "ab d"]
+    docs = spark.createDataFrame([(i, t, "val" if i == 2 else "train") for i, t in enumerate(texts)], "doc_id long, text string, split string")
+    merges = TK.bpe_train(TK.pretoken_histogram(docs), 256 + 4 + 1)
+    r = TK.token_unigram_bpb(docs, merges).first()
+    # Train tokens: two BOS, ab three times, " ", " ", "a"/"b" merged or " ab" pieces: count by the encoder itself.
+    enc = {x["doc_id"]: x["ids"] for x in TK.bpe_encode(docs, merges, bos_id=257).collect()}
+    c = Counter(t for i in (0, 1) for t in enc[i])
+    nats = -sum(math.log((c[t] + 1) / (sum(c.values()) + len(c) + 1)) for t in enc[2] if t != 257)
+    assert r["total_bytes"] == 4 and r["valid_tokens"] == len(enc[2]) - 1 and abs(r["total_nats"] - nats) < 1e-9
