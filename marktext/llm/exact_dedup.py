@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Equal rows first become one row with a count, so a hot text shuffles little.
     units = probed.where("maybe").groupBy("sha", "points", "id").agg(F.count("*").alias("copies"))
     best = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id").alias("id"))
-    groups = units.groupBy("sha").agg(F.sum("copies").alias("group_size"), F.min(best).alias("best"))
+    # Written out, so that the join below has two plain exchanges and a hot text can be split.
+    groups = cut(units.groupBy("sha").agg(F.sum("copies").alias("group_size"), F.min(best).alias("best")))
     stays = (-F.col("points") == F.col("best.p")) & F.col("id").eqNullSafe(F.col("best.id"))
     grouped = (units.join(groups, "sha")
                .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
