@@ -62,13 +62,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The row travels as one struct, so no name of the table can clash with one used here.
     text = text_or_empty(text_col)
     rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(id_col).alias("id"),
-                       F.xxhash64(text).alias("key"), column(text_col).alias("own"))
+                       F.xxhash64(text).alias("key"))
+    own = F.col("row").getField(text_col)
     met = (rows.join(covered.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_version")), "left")
-           .withColumn("lines", F.split(F.coalesce("own", F.lit("")), "\n"))
+           .withColumn("lines", F.split(F.coalesce(own, F.lit("")), "\n"))
            .withColumn("ranks", _numbered(F.col("lines"))))
     gone = F.transform(F.col("_covered"), lambda r: F.get(F.col("ranks"), r))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
-    new = F.when(F.col("_covered").isNull(), F.col("own")).otherwise(
+    new = F.when(F.col("_covered").isNull(), own).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
     counts = {"n_lines": F.size("ranks").cast("long"), "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long")}
     return met.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in counts],
