@@ -57,15 +57,15 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-#: A table of fewer row groups than this is one small file or two; see ``spread_tiny``.
-TINY_SPLITS = 4
+#: A table read in fewer splits than this is a few tens of megabytes at most; see ``spread_tiny``.
+TINY_SPLITS = 8
 
 
 def spread_tiny(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a table of a few row groups, such as the given test tables.
+    """Spread a table of a few splits, such as the given test tables.
 
     One row group is read by one task, which would then do all per-row work (regexes,
-    encoders) alone.  A table of ``TINY_SPLITS`` row groups or more is read as it is, on a
+    encoders) alone.  A table of ``TINY_SPLITS`` splits (of 4 MB at least) or more is read as it is, on a
     cluster of any size, so no corpus is ever shuffled for this.  The split count comes from
     file metadata; hash partitioning on the key keeps the redistribution deterministic.
     """
