@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, text_or_empty
+from .common import column, give_back, text_or_empty
 
 # FIXED VALUES: the pre-split pattern of this kind of vocabulary, with \s written out as the
 # Unicode White_Space characters.
@@ -39,7 +39,7 @@ PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N
            rf"|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: What a Python worker remembers: words with their encoding (twice so many), arcs of the table.
-WORDS_KEPT, ARCS_KEPT, FIRST_KEPT = 100_000, 200_000, 1 << 16
+WORDS_KEPT, ARCS_KEPT, FIRST_KEPT = 50_000, 100_000, 1 << 15
 
 
 @lru_cache(1)
@@ -321,6 +321,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col:
                 if decoded_col:
                     made.append(pa.array(map(auto.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *made], names=[*part.schema.names[:at], *new])
+        give_back()
 
     kinds = [T.StructField(out_col, T.BinaryType()), T.StructField(decoded_col or "", T.StringType())]
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:at], *kinds[:len(new)]]))

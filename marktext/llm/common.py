@@ -45,10 +45,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows in an Arrow batch: texts are long, and a batch is held on both sides of the socket.
+ARROW_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and package for the Python workers."""
+    """Checkpoint folder, package for the Python workers, and Arrow batches of at most ``ARROW_ROWS``."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= ARROW_ROWS:
+        spark.conf.set(batch, str(ARROW_ROWS))
+
+
+def give_back() -> None:
+    """At the end of a Python task: an idle worker keeps no freed Arrow memory."""
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

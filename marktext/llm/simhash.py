@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, cut, text_or_empty
+from .common import column, cut, give_back, text_or_empty
 from .components import connected_components
 
 N_PIVOTS = 16
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, row:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(b.num_columns - 1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))],
                                              names=[*b.schema.names[:-1], "fp"])
+        give_back()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
