@@ -1,9 +1,11 @@
 """Licence scan: normalised text against licence templates by Dice coefficient of word bigrams.
 
-Units are the single lines, the paragraphs (lines between blank lines) and the whole text.  A
-unit of n bigrams can reach Dice t only with templates of t/(2-t) n to (2-t)/t n bigrams, so the
-size alone rules out most templates; an index from bigram to templates then counts the common
-bigrams of the rest, and units without any are done at once.  One pass, nothing moves.
+Units are the single lines, the paragraphs (lines between blank lines), the whole text and runs of
+consecutive lines, blank ones included.  A unit of n bigrams can reach Dice t only with templates
+of t/(2-t) n to (2-t)/t n bigrams, so the size alone rules out most templates; an index from bigram
+to templates then counts the common bigrams of the rest, and units without any are done at once.
+At least t/(2-t) of a unit's bigrams are known to some template, so runs are only looked for where
+known bigrams lie that close; of overlapping runs the best one counts.  One pass, nothing moves.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,9 +107,11 @@ class TemplateIndex:
         self.sizes = [x[0] for x in self.items]
         self.threshold = threshold
         self.bigrams: dict[tuple[str, str], list[int]] = {}
+        self.most: Counter = Counter()  # how often a bigram can count
         for i, (_, _, grams) in enumerate(self.items):
             for g in grams:
                 self.bigrams.setdefault(g, []).append(i)
+            self.most |= grams
 
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """The licence with the highest Dice of at least the threshold; of equals the first by name."""
@@ -130,33 +135,106 @@ class TemplateIndex:
                 best = (-dice, name)
         return best and (best[1], -best[0])
 
+    def runs(self, lines: list[list[str]]) -> list[tuple[str, float, int, int]]:
+        """Runs of lines that reach the threshold: licence, Dice, first and last line.  Of runs that
+        overlap the best Dice counts for each template, then the most common bigrams times Dice."""
+        t = self.threshold
+        flat = [w for line in lines for w in line]
+        if len(flat) < 2:
+            return []
+        index, share = self.bigrams, t / (2 - t)
+        known = np.fromiter(map(index.__contains__, zip(flat, flat[1:])), bool, len(flat) - 1)
+        if not known.any():
+            return []
+        # Places that lie in some stretch with at least that share of known bigrams.
+        sums = np.append(0, np.cumsum(known - share))
+        live = np.maximum.accumulate(sums[::-1])[::-1][1:] >= np.minimum.accumulate(sums)[:-1] - 1e-6
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], live.view(np.int8), [0])))).reshape(-1, 2)
+        hits = np.append(0, np.cumsum(known))
+        edges = edges[hits[edges[:, 1]] - hits[edges[:, 0]] >= share * self.sizes[0] - 1e-9]
+        if not len(edges):
+            return []
+        numbers = [i for i, w in enumerate(lines) if w]
+        ends = np.cumsum([len(lines[i]) for i in numbers]).tolist()
+        starts = [0, *ends[:-1]]
+        longest = self.sizes[-1] / share + 1e-9
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}  # by template and first line
+        for p, q in edges.tolist():
+            for a in range(bisect_left(starts, p), bisect_left(starts, q)):
+                if ends[a] > q + 1 or hits[min(ends[a], q)] == hits[starts[a]]:
+                    continue  # a run that begins with no known bigram is better without that line
+                have, common, at, spare = {}, {}, starts[a], (1 - share) * longest
+                for b in range(a, len(ends)):
+                    n = ends[b] - starts[a] - 1
+                    if n > longest or ends[b] > q + 1 or spare < 0:
+                        break
+                    for k in range(at, ends[b] - 1):
+                        g = flat[k], flat[k + 1]
+                        seen = have.get(g, 0) + 1
+                        if seen > self.most[g]:
+                            spare -= 1  # so many bigrams may be of no use to a run
+                            continue
+                        have[g] = seen
+                        for i in index[g]:
+                            if seen <= self.items[i][2][g]:
+                                common[i] = common.get(i, 0) + 1
+                    at = ends[b] - 1
+                    for i, m in common.items():
+                        dice = 2 * m / (n + self.sizes[i])
+                        if dice >= t and ((i, a) not in best or dice > best[i, a][0]):
+                            best[i, a] = dice, m, b
+        found: list[tuple[float, float, int, int, int]] = []
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for (i, a), (dice, m, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[1][2] - x[0][1], x[0])):
+            if _free(taken.setdefault(i, []), a, b):
+                found.append((-dice * m, -dice, i, a, b))
+        every: list[tuple[int, int]] = []
+        return [(self.items[i][1], -dice, numbers[a], numbers[b])
+                for _, dice, i, a, b in sorted(found, key=lambda x: (*x[:2], self.items[x[2]][1], x[3])) if _free(every, a, b)]
+
+
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Adds the range to the sorted ones unless it overlaps one of them."""
+    k = bisect_left(taken, (a, b))
+    if (k and taken[k - 1][1] >= a) or (k < len(taken) and taken[k][0] <= b):
+        return False
+    taken.insert(k, (a, b))
+    return True
+
 
 def scan_text(text: str, index: TemplateIndex) -> list[dict]:
-    """Matches of a text by line, paragraph and as a whole, each range of lines once; a range that
-    lies inside another with the same licence and no better Dice is left out."""
+    """Matches of a text by line, paragraph, run of lines and as a whole, each range of lines once; a
+    range that lies inside another with the same licence and no better Dice is left out."""
     lines = [normalise(line) for line in text.split("\n")]
-    ranges = [(i, i) for i, w in enumerate(lines) if len(w) > 1]
-    start = None
+    alone = [(i, i) for i, w in enumerate(lines) if len(w) > 1]
+    paragraphs, start = [], None
     for i in range(len(lines) + 1):
         if i < len(lines) and lines[i]:
             start = i if start is None else start
         elif start is not None:
-            ranges.append((start, i - 1))
+            paragraphs.append((start, i - 1))
             start = None
-    full = [i for i, w in enumerate(lines) if w]
-    if full:
-        ranges.append((full[0], full[-1]))
-    found = []
-    for a, b in dict.fromkeys(ranges):
+    whole = [(paragraphs[0][0], paragraphs[-1][1])] if paragraphs else []
+    found = {}
+    for a, b in dict.fromkeys(alone + paragraphs + whole):
         words = lines[a] if a == b else [w for line in lines[a:b + 1] for w in line]
         if hit := index.best(words):
-            found.append({"license": hit[0], "dice": hit[1], "first_line": a, "last_line": b})
-    # At most three ranges hold a line, so only wider ones need a look.
-    wide = [f for f in found if f["first_line"] < f["last_line"]]
-    keep = [f for f in found if not any(
-        g is not f and g["license"] == f["license"] and g["first_line"] <= f["first_line"] and f["last_line"] <= g["last_line"]
-        and g["dice"] >= f["dice"] for g in wide)]
-    return sorted(keep, key=lambda f: (f["first_line"], f["last_line"]))
+            found[a, b] = hit
+    runs = []
+    for name, dice, a, b in index.runs(lines):
+        runs.append((a, b))
+        found.setdefault((a, b), (name, dice))
+    # Ranges of one kind never overlap, so one of each kind at most holds a line.
+    kinds = [sorted(r for r in kind if r in found) for kind in (paragraphs, runs, whole)]
+
+    def holds(kind: list[tuple[int, int]], a: int, b: int) -> bool:
+        k = bisect_right(kind, (a, len(lines))) - 1
+        if k < 0 or kind[k] == (a, b) or kind[k][1] < b:
+            return False
+        return found[kind[k]][0] == found[a, b][0] and found[kind[k]][1] >= found[a, b][1]
+
+    return [{"license": found[a, b][0], "dice": found[a, b][1], "first_line": a, "last_line": b}
+            for a, b in sorted(found) if not any(holds(kind, a, b) for kind in kinds)]
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", threshold: float = 0.8,

@@ -139,6 +139,48 @@ def test_license_of_wrapped_text_and_tables(spark):
     assert L.scan_licenses(again).where("size(licenses) > 0").count() == 2 and L.scan_licenses(again.limit(0)).count() == 0
 
 
+NOTICES = {
+    "MIT": ("Permission is hereby", "The above copyright", "THE SOFTWARE IS"),
+    "GPL-3.0": ("This program is free", "This program is distributed"),
+    "Apache-2.0": ("Licensed under the", "Unless required"),
+}
+
+
+def in_paragraphs(name, prefix="", width=9):
+    """The notice wrapped to lines, with its usual blank lines."""
+    text = max(L.TEMPLATES[name], key=len)
+    cuts = [text.index(x) for x in NOTICES[name]] + [len(text)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        words = text[a:b].split()
+        out += [" ".join(words[k:k + width]) for k in range(0, len(words), width)] + [""]
+    return [(prefix + x).rstrip() for x in out[:-1]]
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+@pytest.mark.parametrize("name", NOTICES)
+def test_license_notice_in_its_paragraphs_inside_a_long_text(name, prefix):
+    rnd = random.Random(3)
+    prose = [" ".join(rnd.choices("the of a parser reads this software in any form and then writes lines".split(), k=12)) for _ in range(300)]
+    notice = in_paragraphs(name, prefix)
+    text = "\n".join([*prose[:150], "", "Copyright 2020 A. Person", *notice, "", *prose[150:]])
+    got = L.scan_text(text, L.TemplateIndex(L.TEMPLATES, 0.8))
+    best = min(got, key=lambda m: -m["dice"])
+    assert {m["license"] for m in got} == {name} and best["dice"] == 1
+    assert (best["first_line"], best["last_line"]) == (152, 151 + len(notice))
+
+
+def test_license_runs_are_each_found_once_in_linear_time():
+    index = L.TemplateIndex(L.TEMPLATES, 0.8)
+    parts = [in_paragraphs(n) for n in NOTICES]
+    text = "\n".join(x for _ in range(20) for p in parts for x in [*p, "", "int main() {}"])
+    assert [m["license"] for m in L.scan_text(text, index) if m["dice"] == 1] == list(NOTICES) * 20
+    words = " ".join(x for p in parts for x in p).split()
+    assert {m["license"] for m in L.scan_text("\n".join(words), index)} >= set(NOTICES)  # a word a line
+    L.scan_text("of the\n" * 20_000, index)
+    L.scan_text("the software\n" * 20_000, index)
+
+
 TALKS = "conv_id long, turn long, role string, text string, extra int"
 
 
