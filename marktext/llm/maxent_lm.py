@@ -14,8 +14,9 @@ Work on the corpus, each one pass of Spark tasks over the training or all docume
 
 1. count all words (combined in each task, then summed over a shuffle);
 2. count how often each unit follows each of the most frequent words;
-3. gradient updates: every task starts from the shared weights, updates them by minibatches over
-   all its documents, and the weights of all tasks are averaged by tokens over a shuffle;
+3. gradient updates in a few rounds: every task starts from the shared weights, updates them by
+   minibatches over all its documents, and over a shuffle the changes of each row are averaged by
+   the positions that used the row, so tasks that never met it do not count;
 4. score: numpy batches gather the rows of the few features that are active in each position.
 
 Only model tables of fixed size pass the driver: ``LOOKUP`` words with counts, unit tables and
@@ -45,7 +46,9 @@ LOOKUP, UNITS, ENDINGS = 1 << 18, 1 << 15, 1 << 11
 #: Frequent words that describe a unit, classes, hash rows for each kind of feature.
 ANCHORS, GROUPS, CLASSES, ROWS, FEATURES = 32, 16, 32, 1 << 13, 4
 #: Text bytes that a task holds as words at a time, positions of a minibatch, step size, rounds.
-PIECE, MINIBATCH, RATE, EPOCHS = 1 << 20, 2048, 1.0, 1
+PIECE, MINIBATCH, RATE, EPOCHS = 1 << 20, 2048, 1.0, 3
+#: Uses that a row's step size starts from, and uses after which a row has settled in a round.
+EARLY, SETTLED = 20.0, 150.0
 #: Rows of a table in one shuffled block.
 BLOCK = 256
 
@@ -153,7 +156,7 @@ class Trainer:
     """Minibatch gradient updates of one task; a row's step shrinks with its use so far."""
 
     def __init__(self, weights: np.ndarray, prior: np.ndarray):
-        self.w, self.prior, self.used = weights.copy(), prior, np.full(len(weights), 20.0, dtype=np.float32)
+        self.w, self.prior, self.used = weights.copy(), prior, np.full(len(weights), EARLY, dtype=np.float32)
 
     def learn(self, units: np.ndarray, at: np.ndarray, target: np.ndarray) -> None:
         for k in range(0, len(at), MINIBATCH):
@@ -302,14 +305,49 @@ def _blocks(table: np.ndarray, weight: float) -> Iterator[pa.RecordBatch]:
 _PART = "block int, weight double, data binary"
 
 
-def _whole(sums: dict[int, tuple[float, np.ndarray]], n_rows: int, n_cols: int, mean: bool) -> np.ndarray:
+def _whole(sums: dict[int, tuple[float, np.ndarray]], n_rows: int, n_cols: int) -> np.ndarray:
     out = np.zeros((n_rows, n_cols))
-    for block, (weight, x) in sums.items():
+    for block, (_, x) in sums.items():
         x = x.reshape(-1, n_cols)
-        out[block * BLOCK:block * BLOCK + len(x)] = x / weight if mean and weight else x
+        out[block * BLOCK:block * BLOCK + len(x)] = x
     return out
 
 
+def _sum_changes(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Of ``parts (block, used, data)`` by block, one line a row: uses, the sum over tasks of uses
+    squared, and the changes times uses."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, used, data in zip(*(c.to_pylist() for c in b.columns)):
+                n = np.frombuffer(used, dtype=np.float32).astype(np.float64)
+                x = np.frombuffer(data, dtype=np.float16).astype(np.float64).reshape(len(n), -1)
+                part = np.column_stack([n, n * n, x * n[:, None]])
+                if block in sums:
+                    sums[block] += part
+                else:
+                    sums[block] = part
+        for block, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "data"])
+
+    summed = parts.repartition(F.col("block")).mapInArrow(run, "block int, data binary").collect()  # model size
+    return {r["block"]: np.frombuffer(r["data"], dtype=np.float64) for r in summed}
+
+
+def _merge(weights: np.ndarray, sums: dict[int, np.ndarray]) -> np.ndarray:
+    """The weights with each row's mean change by uses.  A step shrinks with the root of the uses,
+    so the changes of tasks that used a row too little to settle it are too small by the root of
+    how often more all tasks used it; settled rows take the plain mean."""
+    out = weights.astype(np.float64)
+    for block, part in sums.items():
+        part = part.reshape(-1, weights.shape[1] + 2)
+        hit = np.flatnonzero(part[:, 0])
+        n, squares, x = part[hit, :1], part[hit, 1:2], part[hit, 2:]
+        more = np.minimum(n, SETTLED) / np.minimum(squares / n, SETTLED)
+        out[block * BLOCK + hit] += x / n * np.sqrt(np.maximum(more, 1))
+    return out.astype(np.float32)
+
+
 def unit_follows(encoded: DataFrame, shared) -> np.ndarray:
     """How often each unit has each of the most frequent words as the last such word before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,25 +365,27 @@ def unit_follows(encoded: DataFrame, shared) -> np.ndarray:
         yield from _blocks((found / top).reshape(-1, ANCHORS), top)
 
     parts = encoded.where("train").select("units").mapInArrow(run, _PART)
-    return _whole(_sum_blocks(parts), shared.value.size, ANCHORS, False)
+    return _whole(_sum_blocks(parts), shared.value.size, ANCHORS)
 
 
 def train_round(encoded: DataFrame, shared, model) -> np.ndarray:
-    """One pass of gradient updates: tasks update on their own, then average by their tokens."""
+    """One pass of gradient updates: tasks update on their own, then every row takes the mean change
+    of the tasks that used it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, (weights, prior, classes, _) = shared.value, model.value
-        trainer, n = Trainer(weights, prior), 0
+        trainer = Trainer(weights, prior)
         for whole in batches:
             for b in _pieces(whole, 0, PIECE):
                 units, at = positions(voc, b.column(0).to_pylist())
                 trainer.learn(units, at, classes[units[at]])
-                n += len(at)
-        if n:
-            yield from _blocks(trainer.w, float(n))
-
-    parts = encoded.where("train").select("units").mapInArrow(run, _PART)
-    weights = model.value[0]
-    return _whole(_sum_blocks(parts), *weights.shape, True).astype(np.float32)
+        used, changes = trainer.used - np.float32(EARLY), trainer.w - weights
+        blocks = [k for k in range(0, len(used), BLOCK) if used[k:k + BLOCK].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k // BLOCK for k in blocks], pa.int32()), pa.array([used[k:k + BLOCK].tobytes() for k in blocks], pa.binary()),
+             pa.array([changes[k:k + BLOCK].astype(np.float16).tobytes() for k in blocks], pa.binary())], names=["block", "used", "data"])
+
+    parts = encoded.where("train").select("units").mapInArrow(run, "block int, used binary, data binary")
+    return _merge(model.value[0], _sum_changes(parts))
 
 
 def score_units(encoded: DataFrame, shared, model) -> DataFrame:

@@ -67,6 +67,27 @@ def test_small_tables_use_every_path(spark, small):
         assert math.isclose(got[i]["base_score"], base, abs_tol=1e-9)
 
 
+def test_held_out_gain_does_not_depend_on_partitions(spark):
+    rows, gain = corpus(), {}
+    for k in (3, 30, 300):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(k)
+        held = [r for r in M.maxent_scores(df, in_training()).collect() if not r["train"]]
+        gain[k] = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    print(gain)
+    assert min(gain[30], gain[300]) > 0.9 * gain[3] and gain[3] > 0.2, gain
+
+
+def test_rows_are_averaged_over_the_tasks_that_used_them():
+    weights = np.ones((M.BLOCK * 2, 3), dtype=np.float32)
+    part = np.zeros((M.BLOCK, 5))
+    part[7] = [1000, 1000 ** 2, *(1000 * np.array([1, 2, 3]))]  # one task alone used it
+    part[9] = [2000, 2 * 1000 ** 2, *(1000 * np.array([1, 2, 3]))]  # of two tasks one changed it
+    part[11] = [40, 4 * 10 ** 2, *(40 * np.array([1, 2, 3]))]  # four tasks, none of which settled it
+    new = M._merge(weights, {1: part.ravel()})
+    assert new[M.BLOCK + 7].tolist() == [2, 3, 4] and new[M.BLOCK + 9].tolist() == [1.5, 2, 2.5] and new[M.BLOCK + 11].tolist() == [3, 5, 7]
+    assert (np.delete(new, M.BLOCK + np.array([7, 9, 11]), axis=0) == 1).all()
+
+
 def test_probabilities_sum_to_one():
     voc = M.Vocabulary([f"w{i}".encode() for i in range(50)], np.arange(50, 0, -1), 40)
     rnd = np.random.default_rng(0)
