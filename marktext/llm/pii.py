@@ -202,18 +202,74 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     return m[0].replace(value, text.upper() if value.upper() == value else text)
 
 
+def _card_parts(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a run of digit groups that may be a card: from the start of each group 13 to 19
+    digits up to the end of a group, the longest first.  Only the last group may have fewer than
+    four digits, or lists of small numbers would hold a card by chance at almost every place."""
+    groups = [m.span() for m in re.finditer("[0-9]+", text)]
+    for k, (a, _) in enumerate(groups):
+        n, ends = 0, []
+        for start, stop in groups[k:k + 19]:
+            n += stop - start
+            if n > 19:
+                break
+            if n >= 13:
+                ends.append(stop)
+            if stop - start < 4:
+                break
+        for stop in reversed(ends):
+            yield a, stop
+
+
+#: Length of an IBAN by its country.
+_IBAN_LENGTH = {c: int(n) for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+_IBAN_START = re.compile("(?<![0-9A-Z])[A-Z]{2}[0-9]{2}")
+
+
+def _iban_parts(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a match that may be an IBAN: from each start the country's length, or for other
+    countries every end of a group, the longest first."""
+    for m in _IBAN_START.finditer(text):
+        at = [i for i in range(m.start(), min(m.start() + 68, len(text))) if text[i] != " "][:34]
+        size = _IBAN_LENGTH.get(m[0][:2])
+        for n in [size] if size else range(len(at), 14, -1):
+            if n <= len(at) and (at[n - 1] + 1 == len(text) or text[at[n - 1] + 1] == " "):
+                yield m.start(), at[n - 1] + 1
+
+
+#: Kinds whose pattern may take more than the value: the parts of a failed match to try.
+PARTS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {"iban": _iban_parts, "card": _card_parts}
+_ANY = re.compile(r"(?s).+")
+
+
+def _values(kind: str, m: re.Match, fn: Callable, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Range and new name of the value of a match, or else of the valid parts within it."""
+    if (new := fn(m, key)) is not None:
+        yield m.start(), m.end(), new
+    elif kind in PARTS:
+        done = 0
+        for a, b in PARTS[kind](m[0]):
+            if a >= done and (new := fn(_ANY.fullmatch(m[0][a:b]), key)) is not None:
+                done = b
+                yield m.start() + a, m.start() + b, new
+
+
 #: Kinds in order of precedence: pattern and the function that validates and renames.
 KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("secret", r"(?i:token|secret|api[_-]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[0-9A-Fa-f]{16,128})(?![0-9A-Za-z])", _secret),
-    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
+    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,34}(?![0-9A-Za-z]))++", _iban),
     ("date", r"(?<![0-9.\-/])(?:(?P<iy>[0-9]{4})(?P<isep>[-/])(?P<im>[0-9]{2})(?P=isep)(?P<id>[0-9]{2})"
              r"|(?P<a>[0-9]{1,2})(?P<ssep>[./])(?P<b>[0-9]{1,2})(?P=ssep)(?P<sy>[0-9]{4})"
              rf"|(?P<mon>(?i:{'|'.join(_MONTHS)})) (?P<md>[0-9]{{1,2}})(?P<mc>,? )(?P<my>[0-9]{{4}}))(?![0-9]|[\-/.][0-9])", _date),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
     ("phone", r"(?<![0-9+])(?P<cc>\+[1-9][0-9]{0,2})(?P<nsn>(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5})(?![0-9])", _phone),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])", _ssn),
-    ("card", r"(?<![0-9.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", _card),
+    ("card", r"(?<![0-9.\-])[0-9](?:[ \-]?[0-9]){12,}+", _card),
 ]
 
 
@@ -236,10 +292,10 @@ def pseudonymise(text: str, key: bytes, kinds: set[str] | None = None) -> tuple[
         if kinds is not None and kind not in kinds:
             continue
         for m in pattern.finditer(text):
-            i = bisect(found, (m.start(),))
-            free = (i == 0 or found[i - 1][1] <= m.start()) and (i == len(found) or m.end() <= found[i][0])
-            if free and (new := fn(m, key)) is not None:
-                found.insert(i, (m.start(), m.end(), kind, new))
+            for a, b, new in _values(kind, m, fn, key):
+                i = bisect(found, (a,))
+                if (i == 0 or found[i - 1][1] <= a) and (i == len(found) or b <= found[i][0]):
+                    found.insert(i, (a, b, kind, new))
     out, at = [], 0
     for a, b, _, new in found:
         out += [text[at:a], new]

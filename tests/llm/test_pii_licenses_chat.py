@@ -71,6 +71,17 @@ def test_what_is_not_valid_stays(text):
     assert pseudonymise(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize("before, value, after", [
+    ("", "4111 1111 1111 1111", " 123"), ("", "4111 1111 1111 1111", " 12/27"), ("", "4111111111111111", " 10 times"),
+    ("1 ", "4111111111111111", ""), ("12 345 ", "4111-1111-1111-1111", " 99 1"), ("1234 5678 9012 3456 7890 1234 ", "4111 1111 1111 1111", ""),
+    ("", "BE68 5390 0754 7034", " EUR"), ("", "AT61 1904 3002 3457 3201", " BIC"), ("", "DE89370400440532013000", " EUR 20"),
+    ("IBAN ", "GB82 WEST 1234 5698 7654 32", " AND BIC"), ("AB12 CDEF GH34 ", "BE68 5390 0754 7034", "")])
+def test_values_next_to_more_digits_or_words(before, value, after):
+    new, spans = pseudonymise(before + value + after, KEY)
+    assert [(s["start"], s["stop"]) for s in spans] == [(len(before), len(before + value))]
+    assert new.startswith(before) and new.endswith(after) and value not in new and spans[0]["pseudonym"] == pseudonymise(value, KEY)[0]
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000, "a." * 150_000, "1" * 300_000, "1 " * 150_000, "a@" * 100_000, "-" * 300_000):
         pseudonymise(text, KEY)
