@@ -23,6 +23,42 @@ from pyspark.sql import types as T
 
 from .common import column, text_or_empty
 
+def _gnu(work: str, name: str, version: str, end: str) -> str:
+    """The notice that the GNU licences ask for."""
+    return (f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as "
+            f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+            f"later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+            f"even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more "
+            f"details. You should have received a copy of the GNU {name} along with this {work}{end}")
+
+
+_SEE = ". If not, see <https://www.gnu.org/licenses/>."
+_WRITE = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+    "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. ")
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. ")
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+def _family(one_line: str, work: str, name: str, version: str) -> list[str]:
+    """The one-line form, the notice without its closing paragraph and with either one in use."""
+    both = [_gnu(work, name, version, end) for end in (_SEE, _WRITE)]
+    return [one_line, both[0][:both[0].index(" You should have")], *both]
+
+
 # FIXED VALUES: public licence notices; [...] stands for a holder's name or a year and matches nothing.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -45,30 +81,24 @@ TEMPLATES: dict[str, list[str]] = {
         "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
         "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
         "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
-        "(at your option) any later version. This program is distributed in the hope that it will be useful, but "
-        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-        "PURPOSE. See the GNU General Public License for more details."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "GPL-3.0": _family("This work is licensed under the GNU General Public License, version 3.",
+                       "program", "General Public License", "3"),
+    "GPL-2.0": _family("This work is licensed under the GNU General Public License, version 2.",
+                       "program", "General Public License", "2"),
+    "LGPL-2.1": _family("This work is licensed under the GNU Lesser General Public License, version 2.1.",
+                        "library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0": _family("This work is licensed under the GNU Lesser General Public License, version 3.",
+                        "library", "Lesser General Public License", "3"),
+    "AGPL-3.0": _family("This work is licensed under the GNU Affero General Public License, version 3.",
+                        "program", "Affero General Public License", "3"),
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
-        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
-        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright "
-        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
-        "software without specific prior written permission."],
+    "BSD-2-Clause": [_BSD_HEAD, _BSD_HEAD + _BSD_END],
+    "BSD-3-Clause": [_BSD_HEAD + _BSD_THIRD, _BSD_HEAD + _BSD_THIRD + _BSD_END],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
         "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "

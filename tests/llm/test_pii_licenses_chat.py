@@ -159,7 +159,7 @@ NOTICES = {
 
 def in_paragraphs(name, prefix="", width=9):
     """The notice wrapped to lines, with its usual blank lines."""
-    text = max(L.TEMPLATES[name], key=len)
+    text = next(t for t in L.TEMPLATES[name] if t.startswith(NOTICES[name][0]) and NOTICES[name][-1] in t)
     cuts = [text.index(x) for x in NOTICES[name]] + [len(text)]
     out = []
     for a, b in zip(cuts, cuts[1:]):
@@ -181,6 +181,37 @@ def test_license_notice_in_its_paragraphs_inside_a_long_text(name, prefix):
     assert (best["first_line"], best["last_line"]) == (152, 151 + len(notice))
 
 
+def gnu_notice(work, name, version, end):
+    return (f"This {work} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {name}\nas published "
+            f"by the Free Software Foundation; either version {version}\nof the License, or (at your option) any later version.\n\n"
+            f"This {work} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied "
+            f"warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {name} for more details.{end}")
+
+
+FAMILY = {"GPL-2.0": ("program", "General Public License", "2"), "GPL-3.0": ("program", "General Public License", "3"),
+          "AGPL-3.0": ("program", "Affero General Public License", "3"), "LGPL-2.1": ("library", "Lesser General Public License", "2.1"),
+          "LGPL-3.0": ("library", "Lesser General Public License", "3")}
+
+
+@pytest.mark.parametrize("closing", [False, True])
+@pytest.mark.parametrize("name", FAMILY)
+def test_license_family_members_are_told_apart(name, closing):
+    work, title, version = FAMILY[name]
+    end = f"\n\nYou should have received a copy of the GNU {title}\nalong with this {work}.  If not, see <https://www.gnu.org/licenses/>."
+    text = gnu_notice(work, title, version, end if closing else "")
+    for whole in (text, text.replace("\n", " "), f"int a;\n\n{text}\n\nint main() {{}}\n" + "return a b c d\n" * 200):
+        got = L.scan_text(whole, L.TemplateIndex(L.TEMPLATES, 0.8))
+        assert min(got, key=lambda m: -m["dice"])["license"] == name
+
+
+def test_license_bsd_texts_are_told_apart():
+    two, three = max(L.TEMPLATES["BSD-2-Clause"], key=len), max(L.TEMPLATES["BSD-3-Clause"], key=len)
+    index = L.TemplateIndex(L.TEMPLATES, 0.8)
+    for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (two[:two.index("THIS SOFTWARE IS")], "BSD-2-Clause")):
+        for t in (text, "Copyright 2020 A. Person\n\n" + text.replace(": 1.", ":\n\n1.").replace(". 2.", ".\n\n2.").replace(". 3.", ".\n\n3.")):
+            assert min(L.scan_text(t, index), key=lambda m: -m["dice"])["license"] == name
+
+
 def test_license_runs_are_each_found_once_in_linear_time():
     index = L.TemplateIndex(L.TEMPLATES, 0.8)
     parts = [in_paragraphs(n) for n in NOTICES]
