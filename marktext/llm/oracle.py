@@ -108,3 +108,36 @@ SELECT cnt.pair.a AS chosen_id, cnt.pair.b AS rejected_id, n_common, coalesce(pr
        coalesce(ct.txt, '') AS chosen_text, coalesce(ct.spans, '') AS chosen_spans,
        coalesce(rt.txt, '') AS rejected_text, coalesce(rt.spans, '') AS rejected_spans
 FROM cnt LEFT JOIN prompt ON prompt.pair = cnt.pair LEFT JOIN ct ON ct.pair = cnt.pair LEFT JOIN rt ON rt.pair = cnt.pair"""
+
+
+def filter_audit() -> str:
+    """Failures of every document, the 120 orders by joining five letters, and counts by step."""
+    letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+f AS (SELECT doc_id, part,
+             [CASE WHEN len(ws) < 100 THEN 'A' END,
+              CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' END,
+              CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' END,
+              CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+              CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END] AS fails FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, list_filter(fails, lambda x: x IS NOT NULL) AS fails, count(*) AS n,
+             count(*) FILTER (coalesce(good, false)) AS good, count(*) FILTER (coalesce(toxic, false)) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM {letters} a(x) JOIN {letters} b(x) ON b.x <> a.x
+      JOIN {letters} c(x) ON c.x NOT IN (a.x, b.x) JOIN {letters} d(x) ON d.x NOT IN (a.x, b.x, c.x)
+      JOIN {letters} e(x) ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+t AS (SELECT m.*, array_to_string(o, '') AS filter_order, step, list_contains(fails, o[step]) AS own,
+             list_has_any(fails, o[:step - 1]) AS before FROM m, s)
+SELECT part, filter_order, step::INT AS step,
+       coalesce(sum(n) FILTER (NOT own AND NOT before), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (own AND NOT before), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (own AND before), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (own AND len(fails) = 1), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (own AND NOT before), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (own AND NOT before), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // len(fails)) FILTER (own), 0)::BIGINT AS shapley
+FROM t GROUP BY part, filter_order, step"""

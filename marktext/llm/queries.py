@@ -9,15 +9,18 @@ from .bpe_automaton import bpe_encode
 from .chat_pairs import preference_rows
 from .common import prepare, read
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .licenses import main_license, scan_licenses
 from .line_dedup import line_dedup
 from .maxent_lm import maxent_scores
 from .mixing import mix_decisions
+from .oracle import filter_audit as filter_audit_sql
 from .oracle import mixing as mixing_sql
 from .oracle import preferences as preferences_sql
 from .pii import pseudonymise_documents
 from .quality import quality_rules
 from .simhash import simhash_classes
+from .suffix_dedup import suffix_dedup
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +115,22 @@ def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every language, in all 120 orders."""
+    prepare(spark)
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes covered by a 200-byte string that also starts elsewhere."""
+    prepare(spark)
+    return suffix_dedup(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op11_filter_audit": op11_filter_audit,
+    "op13_suffix_dedup": op13_suffix_dedup,
     "op6_maxent_lm": op6_maxent_lm,
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op4_preference_pairs": op4_preference_pairs,
@@ -126,6 +144,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_filter_audit": filter_audit_sql(),
     "op4_preference_pairs": preferences_sql(),
     "op2_mix_sources": mixing_sql(),
     "op10_line_dedup": r"""
