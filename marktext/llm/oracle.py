@@ -139,5 +139,30 @@ SELECT part, filter_order, step::INT AS step,
        coalesce(sum(n) FILTER (own AND len(fails) = 1), 0)::BIGINT AS unique_fails,
        coalesce(sum(good) FILTER (own AND NOT before), 0)::BIGINT AS good_lost,
        coalesce(sum(toxic) FILTER (own AND NOT before), 0)::BIGINT AS toxic_lost,
-       coalesce(sum(n * 120 // len(fails)) FILTER (own), 0)::BIGINT AS shapley
+       coalesce(sum(n * 120 // greatest(len(fails), 1)) FILTER (own), 0)::BIGINT AS shapley
 FROM t GROUP BY part, filter_order, step"""
+
+
+def phrases() -> str:
+    """All n-grams of one to five words counted, cut, and the held ones dropped."""
+    return r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+rest AS (SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c q WHERE q.lang = c.lang AND q.k > c.k AND 100 * q.a >= 100 * c.a
+                        AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS j FROM rest),
+s AS (SELECT cuts.lang, cuts.phrase, a, j, x.f AS l, y.f AS r, n,
+             ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[:j], ' ')
+                JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[j + 1:], ' ')
+                JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       n::BIGINT AS n, score FROM b QUALIFY rank <= 2000"""

@@ -16,7 +16,9 @@ from .maxent_lm import maxent_scores
 from .mixing import mix_decisions
 from .oracle import filter_audit as filter_audit_sql
 from .oracle import mixing as mixing_sql
+from .oracle import phrases as phrases_sql
 from .oracle import preferences as preferences_sql
+from .phrases import phrase_collocations
 from .pii import pseudonymise_documents
 from .quality import quality_rules
 from .simhash import simhash_classes
@@ -128,7 +130,14 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of two to five words of every language."""
+    prepare(spark)
+    return phrase_collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op11_filter_audit": op11_filter_audit,
     "op13_suffix_dedup": op13_suffix_dedup,
     "op6_maxent_lm": op6_maxent_lm,
@@ -144,6 +153,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op12_phrase_collocations": phrases_sql(),
     "op11_filter_audit": filter_audit_sql(),
     "op4_preference_pairs": preferences_sql(),
     "op2_mix_sources": mixing_sql(),
