@@ -28,8 +28,8 @@ from ..operators.prefix import dense_ordinal
 from ..session import ensure_checkpoint_dir
 from .common import column, give_back, text_or_empty
 
-#: Words of the vocabulary and phrases of a trie that one pass broadcasts.
-BLOCK = 1 << 20
+#: Phrases of a trie that one pass broadcasts (and four times as many words of the vocabulary).
+BLOCK = 1 << 18
 #: Most bits of the folded bucket filter that is broadcast (buckets themselves grow with the corpus).
 FILTER_BITS = 28
 
@@ -42,84 +42,76 @@ _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = ord("\n")
 _MIX = 0x9E3779B97F4A7C15
 
 
+def _digits(words: np.ndarray, digits: int) -> list[np.ndarray]:
+    """Base-256 digits of word numbers, the highest first: a small alphabet packs densely."""
+    return [words >> 8 * k & 255 for k in reversed(range(digits))]
+
+
 class DoubleArray:
-    """Trie of number sequences of one length: the state after number ``w`` in state ``s`` is
-    ``base[s] + w`` if ``check`` there is ``s``.  The root is state 0."""
-
-    def __init__(self, phrases: np.ndarray):
-        phrases = phrases[np.lexsort(phrases.T[::-1])]
-        alphabet = int(phrases.max()) + 1 if phrases.size else 1
-        self._base, self._check = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self._grow(2 * alphabet + len(phrases) * phrases.shape[1] + 1)
-        self._check[0], self._free, self._end = 0, 1, 1
+    """Trie of number sequences of one length, digit by digit: the state after digit ``d`` in state
+    ``s`` is ``base[s] + d`` if ``check`` there is ``s``.  The root is state 0; ``accept`` are the
+    states of ``phrases``, which are the given ones in order."""
+
+    #: Share of places that transitions fill.
+    FILL = 0.4
+
+    def __init__(self, phrases: np.ndarray, digits: int):
+        self.phrases = phrases[np.lexsort(phrases.T[::-1])]
+        labels = [d for word in self.phrases.T for d in _digits(word, digits)]
+        differ = [np.zeros(max(0, len(phrases) - 1), bool)]
+        for label in labels:                             # where a prefix ends, length by length
+            differ.append(differ[-1] | (label[1:] != label[:-1]))
+        size = int(sum(1 + d.sum() for d in differ) / self.FILL) + 512
+        self.base, self.check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        self.check[0], self._random = 0, np.random.default_rng(len(phrases))
         state = np.zeros(len(phrases), np.int64)
-        for level in range(phrases.shape[1]):
-            label = phrases[:, level]
-            new = np.concatenate(([True], (state[1:] != state[:-1]) | (label[1:] != label[:-1])))[:len(state)]
-            self._place(state[new], label[new], alphabet)
-            state = self._base[state] + label
-        self.accept = state                              # of the sorted phrases
-        self.phrases = phrases
-        size = self._end + alphabet + 1
-        self.base, self.check = self._base[:size].astype(np.int32), self._check[:size].astype(np.int32)
-
-    def _grow(self, size: int) -> None:
-        if size > len(self._check):
-            more = max(size, 2 * len(self._check)) - len(self._check)
-            self._base = np.concatenate((self._base, np.zeros(more, np.int64)))
-            self._check = np.concatenate((self._check, np.full(more, -1, np.int64)))
-
-    def _place(self, parents: np.ndarray, labels: np.ndarray, alphabet: int) -> None:
-        """Children of every parent; ``parents`` are grouped, ``labels`` ascend within a parent."""
+        for label, new in zip(labels, differ[1:]):
+            new = np.concatenate(([True], new))[:len(state)]
+            self._place(state[new], label[new])
+            state = self.base[state] + label
+        self.accept = state
+
+    def _place(self, parents: np.ndarray, labels: np.ndarray) -> None:
+        """Children of grouped parents.  Parents of one size try random bases together, the largest
+        first; a parent settles where all its places are free and no other claims them."""
         starts = np.flatnonzero(np.concatenate(([True], parents[1:] != parents[:-1]))[:len(parents)])
         sizes = np.diff(np.append(starts, len(parents)))
-        for g in np.argsort(-sizes, kind="stable"):
-            if sizes[g] == 1:
-                break
-            own = labels[starts[g]:starts[g] + sizes[g]]
-            self._settle(parents[starts[g]], own, self._fit(own, alphabet))
-        alone = starts[sizes == 1]
-        if len(alone):                                   # any free place past the alphabet fits a single child
-            self._grow(self._end + alphabet + len(alone) + 1)
-            free = np.flatnonzero(self._check[alphabet:self._end] < 0)[:len(alone)] + alphabet
-            at = np.concatenate((free, np.arange(len(alone) - len(free)) + max(self._end, alphabet)))
-            self._base[parents[alone]] = at - labels[alone]
-            self._check[at] = parents[alone]
-            self._end = max(self._end, int(at.max()) + 1)
-
-    def _fit(self, labels: np.ndarray, alphabet: int) -> int:
-        """A base, at least 1, whose places for all labels are free."""
-        tries = max(1, 4096 // len(labels))
-        for _ in range(4):
-            first = np.flatnonzero(self._check[self._free:self._end] < 0)[:tries] + self._free
-            bases = first[first - labels[0] >= 1] - labels[0]
-            if not len(bases):
-                break
-            self._grow(int(bases[-1]) + alphabet + 1)
-            fits = np.flatnonzero((self._check[bases[:, None] + labels] < 0).all(1))
-            if len(fits):
-                return int(bases[fits[0]])
-            self._free = int(first[-1]) + 1
-        return max(1, self._end - int(labels[0]))        # behind everything placed so far
-
-    def _settle(self, parent: int, labels: np.ndarray, base: int) -> None:
-        self._grow(base + int(labels[-1]) + 1)
-        self._base[parent] = base
-        self._check[base + labels] = parent
-        self._end = max(self._end, base + int(labels[-1]) + 1)
-
-
-def advance(base: np.ndarray, check: np.ndarray, numbers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        claim = np.zeros(len(self.check), np.int64)
+        for size in np.unique(sizes)[::-1]:
+            left = starts[sizes == size]
+            rounds = 0
+            while len(left):
+                places = self._random.integers(1, len(self.check) - 255, len(left))[:, None] + labels[left[:, None] + np.arange(size)]
+                fits = (self.check[places] < 0).all(1)
+                tried, places = left[fits], places[fits]
+                claim[places] = tried[:, None]
+                wins = (claim[places] == tried[:, None]).all(1)
+                own, places = tried[wins], places[wins]
+                self.base[parents[own]] = places[:, 0] - labels[own]
+                self.check[places] = parents[own][:, None]
+                left = np.setdiff1d(left, own, assume_unique=True)
+                rounds += 1
+                if rounds % 64 == 0:                     # too dense for parents of this size
+                    more = len(self.check) // 4
+                    self.check = np.append(self.check, np.full(more, -1, np.int32))
+                    self.base = np.append(self.base, np.zeros(more, np.int32))
+                    claim = np.append(claim, np.zeros(more, np.int64))
+
+
+def advance(base: np.ndarray, check: np.ndarray, digits: int, numbers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a phrase of the trie starts, and its accepting state.  ``numbers``: words
     of a block of texts, -1 between pieces, ``depth`` of them at the end."""
     at = np.flatnonzero(numbers >= 0)
     state = np.zeros(len(at), np.int64)
     for level in range(depth):
         word = numbers[at + level]
-        to = base[state] + word
-        live = (word >= 0) & (to < len(check)) & (to > 0)
-        live[live] = check[to[live]] == state[live]
-        at, state = at[live], to[live]
+        if level:
+            live = word >= 0
+            at, state, word = at[live], state[live], word[live]
+        for k in reversed(range(digits)):
+            to = base[state] + (word >> 8 * k & 255)
+            live = check[to] == state
+            at, state, word = at[live], to[live], word[live]
     return at, state
 
 
@@ -244,15 +236,15 @@ def _pairs(trie, numbers: np.ndarray, depth: int, whole: bool):
         at = np.flatnonzero((numbers[:-1] >= 0) & (numbers[1:] >= 0))
         prefix = numbers[at]
     else:
-        base, check, place = trie.value
-        at, state = advance(base, check, numbers, depth)
+        base, check, digits, place, cids = trie.value
+        at, state = advance(base, check, digits, numbers, depth)
         if whole:
             starts = np.zeros(len(numbers) + 1, bool)
             starts[at] = True
             live = starts[at + 1]
         else:
             live = numbers[at + depth] >= 0
-        at, prefix = at[live], place[state[live]]
+        at, prefix = at[live], cids[place[state[live]]]
     word = numbers[at + depth]
     mixed = (prefix.astype(np.uint64) * np.uint64(_MIX) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
@@ -273,11 +265,12 @@ def _blocks(phrases: DataFrame, block: int):
 
 
 def _trie(spark: SparkSession, cids: np.ndarray, phrases: np.ndarray):
-    """Broadcast ``(base, check, number of the phrase by accepting state)``."""
-    trie = DoubleArray(phrases)
-    place = np.full(len(trie.check), -1, np.int64)
-    place[trie.accept] = cids[np.lexsort(phrases.T[::-1])]
-    return spark.sparkContext.broadcast((trie.base, trie.check, place))
+    """Broadcast ``(base, check, digits of a word, phrase by accepting state, its number)``."""
+    digits = max(1, -(-int(phrases.max()).bit_length() // 8))
+    trie = DoubleArray(phrases, digits)
+    place = np.full(len(trie.check), -1, np.int32)
+    place[trie.accept] = np.arange(len(phrases))
+    return spark.sparkContext.broadcast((trie.base, trie.check, digits, place, cids[np.lexsort(phrases.T[::-1])]))
 
 
 def candidates(texts: DataFrame, frequent: DataFrame, depth: int, min_count: int, n: int, block: int) -> DataFrame:
@@ -339,13 +332,13 @@ def count_candidates(texts: DataFrame, found: DataFrame, depth: int, min_count:
 
         def count(batches, trie=trie):
             import pyarrow as pa
-            base, check, place = trie.value
-            total = np.zeros(len(check), np.int64)
+            base, check, digits, place, cids = trie.value
+            total = np.zeros(len(cids), np.int64)
             for numbers in _stretches(batches, depth):
-                _, state = advance(base, check, numbers, depth)
-                total += np.bincount(state, minlength=len(check))
+                _, state = advance(base, check, digits, numbers, depth)
+                total += np.bincount(place[state], minlength=len(cids))
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"cid": place[at], "n": total[at]})
+            yield pa.RecordBatch.from_pydict({"cid": cids[at], "n": total[at]})
             give_back()
 
         part = texts.mapInArrow(count, "cid long, n long").groupBy("cid").agg(F.sum("n").cast("long").alias("f")).where(F.col("f") >= min_count)
@@ -374,7 +367,7 @@ def phrase_collocations(docs: DataFrame, text_col: str = "text", lang_col: str =
     vocabulary = _written(dense_ordinal(counted.where(F.col("f") >= min_count).withColumn("key", F.struct("lang", "word")),
                                         "key", "id").select("lang", "word", "f", "id"))
     size = vocabulary.count()
-    texts = number_texts(rows, vocabulary, size, block)
+    texts = number_texts(rows, vocabulary, size, 4 * block)
     n = counted.agg(F.sum("f")).first()[0] or 0
 
     words_of = vocabulary.select(F.array(F.col("id").cast("int")).alias("words"), "f")
