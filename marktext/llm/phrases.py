@@ -30,6 +30,8 @@ from .common import column, give_back, text_or_empty
 
 #: Phrases of a trie that one pass broadcasts (and four times as many words of the vocabulary).
 BLOCK = 1 << 18
+#: Phrases whose counts travel in one row.
+SLICE = 256
 #: Most bits of the folded bucket filter that is broadcast (buckets themselves grow with the corpus).
 FILTER_BITS = 28
 
@@ -324,7 +326,10 @@ def candidates(texts: DataFrame, frequent: DataFrame, depth: int, min_count: int
 
 
 def count_candidates(texts: DataFrame, found: DataFrame, depth: int, min_count: int, block: int) -> DataFrame:
-    """``(cid, words, f)`` of the candidates that occur ``min_count`` times (step 3)."""
+    """``(cid, words, f)`` of the candidates that occur ``min_count`` times (step 3).
+
+    A task's counts leave it as packed slices of its ``bincount`` vector, which are added as they
+    arrive, so rows grow with tasks and slices, not with tasks and phrases."""
     spark = texts.sparkSession
     counted = None
     for cids, phrases, _ in _blocks(found, block):
@@ -337,11 +342,33 @@ def count_candidates(texts: DataFrame, found: DataFrame, depth: int, min_count:
             for numbers in _stretches(batches, depth):
                 _, state = advance(base, check, digits, numbers, depth)
                 total += np.bincount(place[state], minlength=len(cids))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"cid": cids[at], "n": total[at]})
+            parts = [total[k:k + SLICE] for k in range(0, len(total), SLICE)]
+            some = [k for k, part in enumerate(parts) if part.any()]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "counts": pa.array([parts[k].tobytes() for k in some], pa.binary())})
+            give_back()
+
+        def add(batches, trie=trie):
+            import pyarrow as pa
+            cids = trie.value[4]
+            current, total = None, None
+
+            def ready():
+                at = np.flatnonzero(total >= min_count)
+                return pa.RecordBatch.from_pydict({"cid": cids[current * SLICE + at], "f": total[at]})
+
+            for b in batches:
+                for k, counts in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist()):
+                    if k != current:
+                        if current is not None:
+                            yield ready()
+                        current, total = k, 0
+                    total = total + np.frombuffer(counts, np.int64)
+            if current is not None:
+                yield ready()
             give_back()
 
-        part = texts.mapInArrow(count, "cid long, n long").groupBy("cid").agg(F.sum("n").cast("long").alias("f")).where(F.col("f") >= min_count)
+        part = (texts.mapInArrow(count, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
+                .mapInArrow(add, "cid long, f long"))
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return spark.createDataFrame([], "cid long, words array<int>, f long")
