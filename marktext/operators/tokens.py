@@ -4,9 +4,8 @@ Scale notes
 -----------
 * Pretokens are extracted by a JVM regex (T8) and counted with partial aggregation
   (A10): the BPE trainer works on the *distinct* pretoken table, never on the corpus.
-* BPE training (B1) is exact.  Each round is one aggregation of adjacent pairs over the
-  distinct-pretoken table; only the top pairs reach the driver.  Rewrites are narrow
-  projections; lineage is cut with ``checkpoint()`` into the cluster's checkpoint folder.
+* BPE training (B1, ``bpe_train``) is exact: merges are guessed ahead, and one job a batch verifies
+  them on all distinct pretokens; lineage is cut with ``checkpoint()``.
 * Encoding (B2) is map-only: ``mapInPandas`` with a per-task pretoken cache and the
   merge ranks (bounded by the vocabulary size) shipped with the function.  Columns of the
   input ride along, so no consumer joins the ids back to their documents.
@@ -15,6 +14,7 @@ Scale notes
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from ..functions import chars as C
 from ..functions import text as X
+from .bpe_train import N_BYTES
+from .bpe_train import bpe_train as learn_merges
 from .prefix import running_before
 
-N_BYTES = 256
 #: Pretokens a task remembers while it encodes; the memory starts anew when it is full.
 CACHED_PRETOKENS = 200_000
 
@@ -70,96 +71,11 @@ def utf8_byte_ids(s: Column) -> Column:
 # ---------------------------------------------------------------------------
 # B1: BPE training
 # ---------------------------------------------------------------------------
-def _id_string(ids: Column) -> Column:
-    """Working form of a pretoken during training: ' 217 144 12 ' (space-delimited ids)."""
-    return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-
-
-def _adjacent_pairs(s: Column) -> Column:
-    toks = F.split(F.trim(s), " ")
-    n = F.size(toks) - 1
-    return F.arrays_zip(F.slice(toks, 1, n).alias("a"), F.slice(toks, 2, n).alias("b"))
-
-
-def _apply_merge(s: Column, a: int, b: int, new_id: int) -> Column:
-    """Replace adjacent (a, b) by new_id, left to right, non-overlapping (one JVM regex)."""
-    return F.regexp_replace(s, F.lit(f" {a} {b}(?= )"), F.lit(f" {new_id}"))
-
-
-def _accept_batch(top: list[tuple[int, int, int]], top_m: int, budget: int, min_count: int):
-    """Longest prefix of the ranked pairs that sequential BPE would merge in the same order.
-
-    Pair k joins the batch when (i) it does not touch an accepted pair (its right symbol is
-    no accepted left symbol and its left symbol no accepted right symbol): its count and
-    occurrences are then unchanged by the batch; and (ii) its count is strictly above every
-    pair that could *grow* - only pairs adjacent to an accepted merge can, and each is
-    bounded by an adjacent pair's count (known inside the top-M, bounded by the (M+1)-th
-    count outside).  The first pair failing either test ends the batch, and so does a pair
-    of two equal symbols: merging (a, a) can create (new, new), which no pair outside the
-    batch bounds.
-    """
-    head = top[:top_m]
-    bound_out = top[top_m][2] if len(top) > top_m else 0
-    accepted: list[tuple[int, int, int]] = []
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    for a, b, n in head:
-        if n < min_count or len(accepted) >= budget:
-            break
-        if accepted:
-            if b in lefts or a in rights:
-                break
-            acc = set((x, y) for x, y, _ in accepted)
-            adj = [m for x, y, m in head if (x, y) not in acc and (y in lefts or x in rights)]
-            if not n > max(adj + [bound_out]):
-                break
-        accepted.append((a, b, n))
-        if a == b:
-            break
-        lefts.add(a)
-        rights.add(b)
-    return accepted
-
-
-def bpe_train(hist: DataFrame, vocab_size: int, n_special: int = len(C.SPECIAL_TOKENS),
-              checkpoint_every: int = 1, min_count: int = 1, batched: bool = True,
-              top_m: int = 256) -> DataFrame:
-    """B1: byte-level BPE merges learned from a pretoken histogram.
-
-    ``vocab_size`` counts the 256 bytes, the merges and the specials; training stops
-    early when no pair occurs ``min_count`` times.  Ties: count desc, then left id,
-    then right id.  Returns ``merges(rank, left, right, token_id, count)``.
-
-    Each round is one aggregation of adjacent pairs over the distinct-pretoken table.
-    ``batched`` accepts several merges per round when sequential BPE provably picks the
-    same ones (see ``_accept_batch``), so the result equals one-merge-per-round training
-    with far fewer passes; ``batched=False`` forces one merge per round.
-    """
-    spark = hist.sparkSession
-    n_merges = max(0, vocab_size - n_special - N_BYTES)
-    words = hist.select(_id_string(utf8_byte_ids(F.col("pretoken"))).alias("s"), F.col("freq"))
-    multi = F.instr(F.trim(F.col("s")), " ") > 0
-    words = words.where(multi).checkpoint(eager=True)
-    merges: list[tuple[int, int, int, int, int]] = []
-    rounds = 0
-    while len(merges) < n_merges:
-        pairs = (words.select(F.explode(_adjacent_pairs(F.col("s"))).alias("p"), "freq")
-                 .groupBy(F.col("p.a").cast("int").alias("a"), F.col("p.b").cast("int").alias("b"))
-                 .agg(F.sum("freq").alias("n")))
-        m = top_m if batched else 1
-        top = [(int(r["a"]), int(r["b"]), int(r["n"]))
-               for r in pairs.orderBy(F.desc("n"), "a", "b").limit(m + 1).collect()]
-        batch = _accept_batch(top, m, n_merges - len(merges), min_count)
-        if not batch:
-            break
-        for a, b, n in batch:
-            new_id = N_BYTES + len(merges)
-            merges.append((len(merges), a, b, new_id, n))
-            words = words.select(_apply_merge(F.col("s"), a, b, new_id).alias("s"), "freq")
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = words.where(multi).checkpoint(eager=True)
-    return spark.createDataFrame(merges, "rank int, left int, right int, token_id int, count bigint")
+def bpe_train(hist: DataFrame, vocab_size: int, n_special: int = len(C.SPECIAL_TOKENS), min_count: int = 1,
+              **options) -> DataFrame:
+    """B1: byte-level BPE merges ``(rank, left, right, token_id, count)`` learned from a pretoken
+    histogram, see :mod:`marktext.operators.bpe_train`."""
+    return learn_merges(hist, vocab_size, n_special, min_count, **options)
 
 
 def merges_to_ranks(merges: DataFrame) -> list[tuple[int, int, int]]:
@@ -210,28 +126,36 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # B2: encode
 # ---------------------------------------------------------------------------
+def bpe_steps(word: bytes, ranks: dict) -> tuple[list[int], list[int]]:
+    """Ids of one pretoken, and the ranks of the merges applied, in order: always the lowest rank,
+    then the leftmost place.
+
+    The places are a linked list and the mergeable pairs a heap, so a word of n bytes takes
+    n log n steps.  Ranks never fall: a pair with a new symbol was learned after it.
+    """
+    ids, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    heap = [(ranks[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+    heapq.heapify(heap)
+    applied = []
+    while heap:
+        rank, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != pair[0] or j >= len(ids) or ids[j] != pair[1]:
+            continue                                     # one of the two symbols was merged meanwhile
+        ids[i], ids[j] = ranks[pair][1], -1
+        applied.append(rank)
+        after[i] = k = after[j]
+        if k < len(ids):
+            before[k] = i
+            if (p := (ids[i], ids[k])) in ranks:
+                heapq.heappush(heap, (ranks[p][0], i, p))
+        if before[i] >= 0 and (p := (ids[before[i]], ids[i])) in ranks:
+            heapq.heappush(heap, (ranks[p][0], before[i], p))
+    return [x for x in ids if x >= 0], applied
+
+
 def _bpe_word(word: bytes, ranks: dict) -> list[int]:
-    """Apply merges to one pretoken: repeatedly merge the lowest-rank adjacent pair."""
-    ids = list(word)
-    while len(ids) > 1:
-        best = None
-        for i in range(len(ids) - 1):
-            hit = ranks.get((ids[i], ids[i + 1]))
-            if hit is not None and (best is None or hit[0] < best[0]):
-                best = (hit[0], ids[i], ids[i + 1], hit[1])
-        if best is None:
-            break
-        _, a, b, new = best
-        out, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                out.append(new)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
+    return bpe_steps(word, ranks)[0]
 
 
 def bpe_encode(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_col: str = "doc_id",
@@ -302,6 +226,43 @@ def fertility(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_co
         F.when(F.col("words") > 0, tok / F.col("words")).otherwise(F.lit(0.0)).alias("fertility"))
 
 
+def merge_profile(hist: DataFrame, merges: DataFrame) -> DataFrame:
+    """``(rank, applied)``: how often each merge is applied when all of ``hist (pretoken, freq)`` is
+    encoded; rank -1 holds the bytes.
+
+    Ranks never fall while a word is encoded, so the first r merges give exactly the pieces that
+    are left after the merges of a rank below r: a prefix of the merge list is the smaller
+    vocabulary, and one encoding answers every vocabulary size.
+    """
+    ranks = {(a, b): (r, new) for r, (a, b, new) in enumerate(merges_to_ranks(merges))}
+
+    def count(batches):
+        import pyarrow as pa
+        total: dict[int, int] = {}
+        for b in batches:
+            for word, freq in zip(b.column("word").to_pylist(), b.column("freq").to_pylist()):
+                if word is not None:
+                    total[-1] = total.get(-1, 0) + len(word) * freq
+                    for r in bpe_steps(word, ranks)[1]:
+                        total[r] = total.get(r, 0) + freq
+        yield pa.RecordBatch.from_pydict({"rank": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
+    return (hist.select(F.col("pretoken").cast("binary").alias("word"), F.col("freq").cast("long").alias("freq"))
+            .mapInArrow(count, "rank int, n long").groupBy("rank").agg(F.sum("n").cast("long").alias("applied")))
+
+
+def fertility_by_size(docs: DataFrame, hist: DataFrame, merges: DataFrame, sizes: tuple[int, ...],
+                      n_special: int = len(C.SPECIAL_TOKENS), text_col: str = "text") -> DataFrame:
+    """A7 at several vocabulary sizes: ``(vocab_size, tokens, words, fertility)``; 0 without words."""
+    profile = merge_profile(hist, merges)
+    words = docs.select(F.coalesce(F.sum(F.size(X.words(text_col))), F.lit(0))).scalar()
+    at = profile.select("*", F.explode(F.array(*[F.lit(v) for v in sizes])).alias("vocab_size"))
+    used = F.when(F.col("rank") < 0, F.col("applied")).when(
+        F.col("rank") < F.col("vocab_size") - (N_BYTES + n_special), -F.col("applied")).otherwise(0)
+    return (at.groupBy("vocab_size").agg(F.sum(used).cast("bigint").alias("tokens")).withColumn("words", words.cast("bigint"))
+            .withColumn("fertility", F.when(F.col("words") > 0, F.col("tokens") / F.col("words")).otherwise(F.lit(0.0))))
+
+
 # ---------------------------------------------------------------------------
 # Bits per byte and per base letter
 # ---------------------------------------------------------------------------

@@ -45,7 +45,7 @@ def py_bpe(texts, n_merges):
 def test_bpe_train_matches_python(spark):
     texts = mini_sentences() * 3
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    merges = TK.bpe_train(TK.pretoken_histogram(docs), 256 + 4 + 20, checkpoint_every=3)
+    merges = TK.bpe_train(TK.pretoken_histogram(docs), 256 + 4 + 20)
     got = [(r["left"], r["right"], r["token_id"], r["count"]) for r in merges.orderBy("rank").collect()]
     assert got == py_bpe(texts, 20)
 
@@ -101,14 +101,54 @@ def test_fertility(spark):
     assert F is not None
 
 
-def test_batched_training_equals_single_merge(spark, mini_corpus):
+def test_guessed_training_equals_sequential(spark, mini_corpus):
+    """Few guesses a job, and a head that misleads: one word of all."""
     texts = [r["vocalized"] for r in mini_corpus.collect()] + ["the cat sat on the mat " * 3, "abab abab ab"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    hist = TK.pretoken_histogram(docs)
-    want = py_bpe(texts, 60)
-    for m in (1, 3, 256):
-        got = TK.bpe_train(hist, 256 + 4 + 60, top_m=m).orderBy("rank").collect()
-        assert [(r["left"], r["right"], r["token_id"], r["count"]) for r in got] == want
+    hist = TK.pretoken_histogram(docs).checkpoint()
+    want = py_bpe(texts, 40)
+    for options in ({}, {"batch": 7}, {"head_words": 1}, {"head_words": 6, "batch": 16}):
+        got = TK.bpe_train(hist, 256 + 4 + 40, **options).orderBy("rank").collect()
+        assert [(r["left"], r["right"], r["token_id"], r["count"]) for r in got] == want, options
+
+
+def test_training_ends_when_no_pair_is_left(spark):
+    hist = spark.createDataFrame([("ab", 3), ("abc", 1), ("", 4), (None, 2), ("z", 9)], "pretoken string, freq long")
+    assert [(r["left"], r["right"], r["count"]) for r in TK.bpe_train(hist, 8192).orderBy("rank").collect()] == [(97, 98, 4), (256, 99, 1)]
+    assert [r["count"] for r in TK.bpe_train(hist, 8192, min_count=2).collect()] == [4]
+    assert TK.bpe_train(hist.limit(0), 8192).count() == 0
+
+
+def test_encoding_by_heap_equals_repeated_scans():
+    import random
+
+    def slow(word, ranks):
+        ids, applied = list(word), []
+        while hits := [(ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]:
+            rank, i = min(hits)
+            applied.append(rank)
+            ids[i:i + 2] = [ranks[ids[i], ids[i + 1]][1]]
+        return ids, applied
+
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice("aab") for _ in range(rng.randint(5, 60)))
+        ranks = {(a, b): (r, new) for r, (a, b, new, _) in enumerate(py_bpe([text], rng.randint(0, 12)))}
+        word = bytes(rng.choice(b"aab") for _ in range(rng.randint(0, 40)))
+        got = TK.bpe_steps(word, ranks)
+        assert got == slow(word, ranks) and got[1] == sorted(got[1])
+
+
+def test_fertility_by_size_equals_smaller_vocabularies(spark):
+    texts = mini_sentences() * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    hist = TK.pretoken_histogram(docs).checkpoint()
+    merges = TK.bpe_train(hist, 256 + 4 + 30)
+    got = {r["vocab_size"]: (r["tokens"], r["words"]) for r in TK.fertility_by_size(docs, hist, merges, (260, 265, 290, 999)).collect()}
+    for size in (260, 265, 290):
+        want = TK.fertility(docs, merges.where(F.col("rank") < size - 260)).first()
+        assert got[size] == (want["tokens"], want["words"])
+    assert got[999] == got[290]
 
 
 def test_self_pairs_end_a_batch(spark):
