@@ -178,6 +178,49 @@ def pca_2d(df: DataFrame, vec_col: str = "embedding", id_cols: tuple[str, ...] =
             [float(x) for x in model.explainedVariance.toArray()])
 
 
+def covariance(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """``(i, j, cov)`` for i <= j: sample covariance of the dimensions, null for one vector.
+
+    One scan: means, then a task adds up the centred products of its vectors as one packed
+    triangle of d (d + 1) / 2 numbers, and Spark sums triangles by position.
+    """
+    vectors = df.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>").alias("v"))
+    means = {r["i"]: r["m"] for r in vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()}
+    center = [means[i] for i in range(len(means))]
+
+    def triangle(batches):
+        import numpy as np
+        import pyarrow as pa
+        d, total, n = len(center), None, 0
+        for b in batches:
+            x = np.array(b.column("v").to_pylist(), float).reshape(-1, d) - np.array(center)
+            part = x.T @ x
+            total, n = part if total is None else total + part, n + len(x)
+        if total is not None:
+            i, j = np.triu_indices(d)
+            yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": total[i, j],
+                                              "n": np.full(len(i), n, np.int64)})
+
+    return (vectors.mapInArrow(triangle, "i int, j int, s double, n long").groupBy("i", "j")
+            .agg(F.try_divide(F.sum("s"), F.sum("n") - 1).alias("cov")))
+
+
+def explained_variance(cov: DataFrame, digits: int = 9) -> DataFrame:
+    """``(axis, variance, share)`` of the principal axes, the largest first, from a covariance
+    triangle (d (d + 1) / 2 rows, whatever the number of vectors)."""
+    import numpy as np
+    rows = cov.collect()
+    d = 1 + max((r["j"] for r in rows), default=-1)
+    matrix = np.zeros((d, d))
+    for r in rows:
+        matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = np.nan if r["cov"] is None else r["cov"]
+    found = np.full(d, np.nan) if np.isnan(matrix).any() else np.linalg.eigvalsh(matrix)[::-1]
+    total = found.sum()
+    out = [(k + 1, *((None, None) if np.isnan(v) else (round(float(v), digits), round(float(v / total), digits) if total else None)))
+           for k, v in enumerate(found)]
+    return cov.sparkSession.createDataFrame(out, "axis int, variance double, share double")
+
+
 # ---------------------------------------------------------------------------
 # T11 + J3 + T10: mapping groups against a trained vocabulary
 # ---------------------------------------------------------------------------

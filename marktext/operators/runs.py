@@ -121,15 +121,23 @@ def winner(d1: Column, d3: Column) -> Column:
 # ---------------------------------------------------------------------------
 # A13 / J6 / K8
 # ---------------------------------------------------------------------------
+def _grid(runs: DataFrame, conditions, budgets) -> DataFrame:
+    """(condition, target_base_letters) cells; without ``budgets``, those that occur in ``runs``."""
+    if budgets is None:
+        return (runs.select(F.col("target_base_letters").cast("bigint").alias("target_base_letters")).distinct()
+                .select(F.explode(F.array(*[F.lit(c) for c in conditions])).alias("condition"), "target_base_letters"))
+    return (runs.sparkSession.createDataFrame([(c,) for c in conditions], "condition string")
+            .withColumn("target_base_letters", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets]))))
+
+
 def summary_by_budget(runs: DataFrame, conditions=("d1", "d3"), budgets=BUDGETS,
                       metric: str = "bpbl", digits: int = 6) -> DataFrame:
     """A13 + J6: mean, sample std (0 for n = 1) and n for every condition x budget.
 
-    Every grid cell appears; an empty one has n = 0 and NULL statistics.
+    Every grid cell appears; an empty one has n = 0 and NULL statistics.  ``budgets=None`` takes
+    the budgets of the runs.
     """
-    spark = runs.sparkSession
-    grid = (spark.createDataFrame([(c,) for c in conditions], "condition string")
-            .withColumn("target_base_letters", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets]))))
+    grid = _grid(runs, conditions, budgets)
     stats = runs.groupBy("condition", "target_base_letters").agg(
         F.avg(metric).alias("m"), F.stddev_samp(metric).alias("s"), F.count(F.lit(1)).alias("n"),
         F.avg("actual_base_letters").alias("x"))
@@ -194,11 +202,8 @@ def search_counts(log: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def pending_runs(runs: DataFrame, conditions=("d1", "d3"), budgets=BUDGETS, seeds=SEEDS) -> DataFrame:
     """(condition, budget, seed) grid minus completed runs (left anti join).  A run whose
-    corpus ran out before its budget is not complete."""
-    spark = runs.sparkSession
-    grid = (spark.createDataFrame([(c,) for c in conditions], "condition string")
-            .withColumn("target_base_letters", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets])))
-            .withColumn("seed", F.explode(F.array(*[F.lit(s).cast("int") for s in seeds]))))
+    corpus ran out before its budget is not complete.  ``budgets=None`` takes those of the runs."""
+    grid = _grid(runs, conditions, budgets).withColumn("seed", F.explode(F.array(*[F.lit(s).cast("int") for s in seeds])))
     done = runs.where(F.col("actual_base_letters") >= F.col("target_base_letters")).select("condition", F.col("target_base_letters").cast("bigint").alias("target_base_letters"),
                        F.col("seed").cast("int").alias("seed"))
     return grid.join(done, ["condition", "target_base_letters", "seed"], "left_anti")
@@ -248,7 +253,7 @@ def seed_order_key(seed: Column, doc_id: Column) -> Column:
 
 
 def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 500_000),
-                seeds=SEEDS, conditions=("d1", "d3"), digits: int = 6) -> DataFrame:
+                seeds=SEEDS, conditions=("d1", "d3"), digits: int = 6, whole: bool = False) -> DataFrame:
     """Run records derived from the corpus (schema of the studied runs table).
 
     For each (condition, seed, budget): train docs in seed order until the running count
@@ -256,50 +261,69 @@ def corpus_runs(shards: DataFrame, budgets=(20_000, 50_000, 100_000, 200_000, 50
     (add-one over the train alphabet + 1) is scored on the condition's val split.
     ``num_steps`` is the number of training documents, ``max_steps`` the count that the
     budget would need at the mean letters per train document (T19 with a doc "step").
+    ``whole`` adds a budget of all train letters of the first condition.
+
+    Budgets of any size cost one pass over the texts: a budget is a cut in the seed order, each
+    document falls between two cuts of every seed, and characters are counted once per range
+    (condition x cuts of the seeds); the model of a budget is the sum of its ranges.
     """
-    budgets = sorted(budgets)
     sh = shards.where(F.col("condition").isin(*conditions))
     # Keys only (no text): base letters per document come with the shard table.  Many
-    # consumers read these keys, so lineage is cut here with a reliable checkpoint (in the
-    # cluster's checkpoint folder): the condition build runs once for the keys and once
-    # for the text pick below, instead of once per consumer.
+    # consumers read these keys, so lineage is cut here with a reliable checkpoint.
     keyed = sh.select("condition", "split", "doc_id", "letters").checkpoint(eager=True)
     train = keyed.where(F.col("split") == "train").select("condition", "doc_id", "letters")
-    val = keyed.where(F.col("split") == "val")
+    if whole:
+        total = train.where(F.col("condition") == conditions[0]).agg(F.sum("letters")).first()[0]
+        budgets = {*budgets, *([total] if total else [])}
+    budgets = sorted(budgets)
 
     # Seed order and running letter sum per (condition, seed), on keys.
     seeded = train.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     seeded = seeded.withColumn("okey", seed_order_key(F.col("seed"), F.col("doc_id")))
     part = ("condition", "seed")
-    run_sum = running_before(seeded, ("okey", "doc_id"), "letters", part)
+    run_sum = running_before(seeded, ("okey", "doc_id"), "letters", part).checkpoint()
     before = F.col("before")
     # kmin = number of budgets already reached before this doc; kept in budgets k >= kmin.
     kmin = sum((F.when(before >= b, 1).otherwise(0) for b in budgets), F.lit(0))
     prefix = (run_sum.withColumn("kmin", kmin.cast("int")).where(F.col("kmin") < len(budgets))
               .select("condition", "seed", "doc_id", "letters", "kmin"))
 
-    # Text is read once: prefix documents (per seed) and val documents are picked with one
-    # left join against the prefix keys (budget-bounded; AQE broadcasts it when small),
-    # then the per-task character combiner counts them; seed = -1 marks the eval stream.
-    sel = prefix.select("condition", "doc_id", "seed", "kmin")
-    picked = (sh.select("condition", "doc_id", "split", "text").join(sel, ["condition", "doc_id"], "left")
-              .where((F.col("split") == "val") | F.col("seed").isNotNull())
-              .select("condition", F.coalesce("seed", F.lit(-1)).alias("seed"),
-                      F.coalesce("kmin", F.lit(-1)).alias("kmin"), "text"))
-    # (groups x alphabet) rows, read by the train and the eval branch: checkpointed so the
-    # text is picked and counted once.
-    counted = A.char_counts(picked, "text", ("condition", "seed", "kmin")).select(
-        "condition", "seed", "kmin", "ch", "n").checkpoint(eager=True)
+    # The last document of every budget: conditions x seeds rows reach the driver, and texts are
+    # placed between the cuts where they are read, without a join.
+    cuts = {(r["condition"], r["seed"]): r for r in run_sum.groupBy(*part).agg(
+        *[F.max(F.when(before < b, F.struct("okey", "doc_id"))).alias(f"c{k}") for k, b in enumerate(budgets)]).collect()}
+
+    def between(seed: int) -> Column:
+        here = F.struct(seed_order_key(F.lit(seed), F.col("doc_id")).alias("okey"), F.col("doc_id").alias("doc_id"))
+        out = F.lit(len(budgets))
+        for c in conditions:
+            row = cuts.get((c, seed))
+            if row is not None:
+                after = [here > F.struct(F.lit(cut["okey"]).cast("bigint").alias("okey"), F.lit(cut["doc_id"]).alias("doc_id"))
+                         for k in range(len(budgets)) if (cut := row[f"c{k}"]) is not None]
+                missing = len(budgets) - len(after)
+                out = F.when(F.col("condition") == c, sum((F.when(a, 1).otherwise(0) for a in after), F.lit(missing))).otherwise(out)
+        return out.cast("string")
+
+    placed = sh.select("condition", "text", F.when(F.col("split") == "val", F.lit("val")).otherwise(
+        F.concat_ws(",", *[between(s) for s in seeds])).alias("range"))
+    # (ranges x alphabet) rows, read by the train and the eval branch: checkpointed so the
+    # texts are counted once.
+    ranged = A.char_counts(placed, "text", ("condition", "range")).checkpoint(eager=True)
+    counted = (ranged.where("range <> 'val'")
+               .select("condition", "ch", "n", F.posexplode(F.split("range", ",")).alias("at", "kmin"))
+               .select("condition", F.get(F.array(*[F.lit(s) for s in seeds]), F.col("at")).alias("seed"),
+                       F.col("kmin").cast("int").alias("kmin"), "ch", "n").where(F.col("kmin") < len(budgets)))
 
     bud = F.array(*[F.lit(i) for i in range(len(budgets))])
     fan = F.filter(bud, lambda k: k >= F.col("kmin"))
     dstats = (prefix.groupBy(*part, "kmin").agg(F.count(F.lit(1)).alias("d"), F.sum("letters").alias("l"))
               .withColumn("k", F.explode(fan)).groupBy(*part, "k")
               .agg(F.sum("d").cast("bigint").alias("num_steps"), F.sum("l").cast("bigint").alias("train_letters")))
-    ccounts = (counted.where(F.col("seed") >= 0)
+    ccounts = (counted
                .withColumn("k", F.explode(fan)).groupBy(*part, "k", "ch").agg(F.sum("n").alias("c")))
     model = ccounts.groupBy(*part, "k").agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V"))
-    ev = counted.where(F.col("seed") < 0).select("condition", "ch", F.col("n").alias("n_eval"))
+    ev = ranged.where("range = 'val'").select("condition", "ch", F.col("n").alias("n_eval"))
     cells = model.join(ev, "condition")                       # (cond, seed, k) x eval alphabet
     scored = cells.join(ccounts, [*part, "k", "ch"], "left")
     loss = -F.log((F.coalesce(F.col("c"), F.lit(0)) + 1) / (F.col("N") + F.col("V") + 1))

@@ -162,6 +162,15 @@ _EMB_CTES = (
 )
 
 
+def embedding_covariance() -> str:
+    return (
+        "WITH v AS (SELECT vec_id, label, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, "
+        "unnest(range(len(embedding))) AS i, rid FROM (SELECT *, row_number() OVER () AS rid FROM embeddings) WHERE embedding IS NOT NULL), "
+        "c AS (SELECT rid, i, x - avg(x) OVER (PARTITION BY i) AS x FROM (SELECT v.x, v.i, rid FROM v)) "
+        "SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.x * b.x) / (count(*) - 1), 9) AS cov "
+        "FROM c a JOIN c b ON a.rid = b.rid AND a.i <= b.i GROUP BY a.i, b.i")
+
+
 def embedding_group_cosine() -> str:
     return "WITH " + _EMB_CTES + " SELECT label, n_vectors, mean_cosine FROM gc"
 
@@ -226,19 +235,20 @@ RUN_SEEDS = (42, 137, 2024)
 def _runs_ctes(budgets=RUN_BUDGETS, seeds=RUN_SEEDS) -> str:
     letters = (f"CASE WHEN condition = 'd3' THEN {G.count_base_letters(G.atomic_decode('text'))} "
                f"ELSE {G.count_base_letters('text')} END")
-    kmin = " + ".join(f"(CASE WHEN before >= {b} THEN 1 ELSE 0 END)" for b in budgets)
-    blist = "[" + ", ".join(str(b) for b in budgets) + "]"
+    blist = "(SELECT bl FROM bud)"
     return ", ".join([
         G.corpus_ctes(), G.conditions_cte(),
         f"sh AS (SELECT condition, doc_id, split, text, CAST({letters} AS BIGINT) AS letters FROM shards "
         f"WHERE condition IN ('d1', 'd3'))",
+        "bud AS (SELECT list_sort(list_distinct([" + ", ".join(f"{b}::BIGINT" for b in budgets) + ", sum(letters)::BIGINT])) AS bl "
+        "FROM sh WHERE condition = 'd1' AND split = 'train')",
         "seeds AS (SELECT unnest([" + ", ".join(str(x) for x in seeds) + "]) AS seed)",
         f"seeded AS (SELECT sh.*, seeds.seed, {G.mix32('((CAST(seeds.seed AS BIGINT) * 65537 + doc_id * 2) % 4294967296)')} "
         f"AS okey FROM sh, seeds WHERE split = 'train')",
         "rs AS (SELECT *, sum(letters) OVER (PARTITION BY condition, seed ORDER BY okey, doc_id "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - letters AS before FROM seeded)",
-        f"pre AS (SELECT * FROM (SELECT *, {kmin} AS kmin FROM rs) WHERE kmin < {len(budgets)})",
-        f"ks AS (SELECT unnest(range({len(budgets)})) AS k)",
+        "pre AS (SELECT * FROM (SELECT rs.*, len(list_filter(bl, lambda b: before >= b)) AS kmin, len(bl) AS nb FROM rs, bud) WHERE kmin < nb)",
+        "ks AS (SELECT unnest(range(len(bl))) AS k FROM bud)",
         "pk AS (SELECT pre.*, ks.k FROM pre JOIN ks ON ks.k >= pre.kmin)",
         "dstats AS (SELECT condition, seed, k, count(*) AS num_steps, sum(letters) AS train_letters "
         "FROM pk GROUP BY ALL)",
@@ -254,7 +264,7 @@ def _runs_ctes(budgets=RUN_BUDGETS, seeds=RUN_SEEDS) -> str:
         "sum(n_eval) AS toks, sum(n_eval * octet_length(encode(ch))) AS byts FROM sc GROUP BY ALL)",
         "vlet AS (SELECT condition, sum(letters) AS val_letters FROM sh WHERE split = 'val' GROUP BY ALL)",
         "tlet AS (SELECT condition, sum(letters) / count(*) AS lpd FROM sh WHERE split = 'train' GROUP BY ALL)",
-        f"runs AS (SELECT e.condition, CAST({blist}[e.k + 1] AS BIGINT) AS target_base_letters, "
+        f"runs AS (SELECT e.condition, {blist}[e.k + 1] AS target_base_letters, "
         "CAST(d.train_letters AS DOUBLE) AS actual_base_letters, "
         f"CAST(floor({blist}[e.k + 1] / t.lpd) AS BIGINT) AS max_steps, "
         "CAST(d.num_steps AS INTEGER) AS num_steps, CAST(e.seed AS INTEGER) AS seed, "
@@ -267,10 +277,9 @@ def _runs_ctes(budgets=RUN_BUDGETS, seeds=RUN_SEEDS) -> str:
     ])
 
 
-def _summary_ctes(budgets=RUN_BUDGETS) -> str:
-    grid = ", ".join(f"('{c}', {b})" for c in ("d1", "d3") for b in budgets)
+def _summary_ctes() -> str:
     return (
-        f"grid AS (SELECT * FROM (VALUES {grid}) g(condition, target_base_letters)), "
+        "grid AS (SELECT unnest(['d1', 'd3']) AS condition, b AS target_base_letters FROM (SELECT unnest(bl) AS b FROM bud)), "
         "st AS (SELECT condition, target_base_letters, avg(bpbl) AS m, stddev_samp(bpbl) AS s, count(*) AS n, "
         "avg(actual_base_letters) AS x FROM runs GROUP BY ALL), "
         "summary AS (SELECT g.condition, CAST(g.target_base_letters AS BIGINT) AS target_base_letters, "
@@ -314,10 +323,10 @@ def run_gap_table() -> str:
 
 
 def run_pending() -> str:
-    grid = ", ".join(f"('{c}', {b}, {sd})" for c in ("d1", "d3") for b in RUN_BUDGETS for sd in (*RUN_SEEDS, 7))
+    seeds = ", ".join(str(x) for x in (*RUN_SEEDS, 7))
     return "WITH " + _runs_ctes() + (
-        f", grid AS (SELECT condition, CAST(b AS BIGINT) AS target_base_letters, CAST(sd AS INTEGER) AS seed "
-        f"FROM (VALUES {grid}) g(condition, b, sd)) "
+        ", cells AS (SELECT unnest(['d1', 'd3']) AS condition, b AS target_base_letters FROM (SELECT unnest(bl) AS b FROM bud)), "
+        f"grid AS (SELECT condition, target_base_letters, CAST(unnest([{seeds}]) AS INTEGER) AS seed FROM cells) "
         "SELECT * FROM grid ANTI JOIN (SELECT * FROM runs WHERE actual_base_letters >= target_base_letters) "
         "USING (condition, target_base_letters, seed)")
 
@@ -428,6 +437,7 @@ ORACLE: dict[str, str] = {
     "condition_manifest": condition_manifest(),
     "char_distribution": char_distribution(),
     "base_letter_total": base_letter_total(),
+    "embedding_covariance": embedding_covariance(),
     "embedding_group_cosine": embedding_group_cosine(),
     "embedding_overall_cosine": embedding_overall_cosine(),
     "embedding_cosine_to_rest": embedding_cosine_to_rest(),

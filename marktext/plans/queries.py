@@ -154,9 +154,20 @@ def embedding_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords
 
 
-#: Vocabulary of the registered training queries: bytes, specials and 32 merges.  A parameter
-#: (the studied size is 8192): each round of exact training is a few Spark jobs.
-BPE_VOCAB = TK.N_BYTES + 4 + 32
+def embedding_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample covariance of every pair of embedding dimensions (one triangle)."""
+    return E.covariance(S.scan_embeddings(spark, sf_dir)).withColumn("cov", F.round("cov", 9))
+
+
+def embedding_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance and share of the total along every principal axis."""
+    return E.explained_variance(E.covariance(S.scan_embeddings(spark, sf_dir)))
+
+
+#: Vocabulary of the registered training queries (the studied size), and the sizes whose fertility
+#: is reported from one training.
+BPE_VOCAB = 8192
+BPE_SIZES = (512, 1024, 2048, 4096, 8192)
 
 
 def _train_docs(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
@@ -164,9 +175,10 @@ def _train_docs(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
 
 
 def _tokenizer(spark: SparkSession, sf_dir: str, condition: str):
-    """The condition's train documents and the merges learned from all of them."""
+    """The condition's train documents, their pretokens and the merges learned from all of them."""
     train = _train_docs(spark, sf_dir, condition)
-    return train, TK.bpe_train(TK.pretoken_histogram(train), BPE_VOCAB)
+    hist = TK.pretoken_histogram(train).checkpoint()
+    return train, hist, TK.bpe_train(hist, BPE_VOCAB)
 
 
 def pretoken_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,17 +187,28 @@ def pretoken_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: 32 exact BPE merges learned on the d1 train documents."""
-    return _tokenizer(spark, sf_dir, "d1")[1]
+    """B1: the exact BPE merges of the studied vocabulary, learned on the d1 train documents."""
+    return _tokenizer(spark, sf_dir, "d1")[2]
+
+
+def bpe_fertility_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 + K3 per condition and vocabulary size: tokens, words and fertility of the train documents,
+    all sizes from one training and one encoding of the distinct pretokens."""
+    out = None
+    for cond in K.CONDITIONS:
+        train, hist, merges = _tokenizer(spark, sf_dir, cond)
+        row = TK.fertility_by_size(train, hist, merges, BPE_SIZES).select(F.lit(cond).alias("condition"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def bpe_tokenizer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2-B5 + A7 + A11 per condition: vocabulary size, roundtrip, fertility."""
     out = None
     for cond in K.CONDITIONS:
-        train, merges = _tokenizer(spark, sf_dir, cond)
+        train, hist, merges = _tokenizer(spark, sf_dir, cond)
         vocab = TK.vocab_size(TK.vocab_table(spark, merges))
-        fert = TK.fertility(train, merges)
+        fert = TK.fertility_by_size(train, hist, merges, (BPE_VOCAB,))
         # One-row inputs enter as scalar subqueries.
         row = TK.roundtrip_check(train, merges).select(
             F.lit(cond).alias("condition"), *[vocab.select(c).scalar().alias(c) for c in vocab.columns], "*",
@@ -196,7 +219,7 @@ def bpe_tokenizer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded UTF-8 byte length of every d3 vocabulary token (specials 0)."""
-    _, merges = _tokenizer(spark, sf_dir, "d3")
+    _, _, merges = _tokenizer(spark, sf_dir, "d3")
     return TK.token_bytes(TK.vocab_table(spark, merges))
 
 
@@ -205,11 +228,12 @@ def bpb_char_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TK.char_unigram_bpb(_conditions(spark, sf_dir))
 
 
+#: Budgets in base letters; one of all train letters is added from the table.
 RUN_BUDGETS = (20_000, 50_000, 100_000, 200_000, 500_000)
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.corpus_runs(_conditions(spark, sf_dir), budgets=RUN_BUDGETS)
+    return R.corpus_runs(_conditions(spark, sf_dir), budgets=RUN_BUDGETS, whole=True)
 
 
 def corpus_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +243,12 @@ def corpus_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13 + J6 + T16: mean / sample std / n of BPBL per condition x budget grid cell."""
-    return R.summary_by_budget(_runs(spark, sf_dir), budgets=RUN_BUDGETS)
+    return R.summary_by_budget(_runs(spark, sf_dir), budgets=None)
 
 
 def run_scaling_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: chart-ready scaling points with the +/- std band."""
-    return R.scaling_points(R.summary_by_budget(_runs(spark, sf_dir), budgets=RUN_BUDGETS))
+    return R.scaling_points(R.summary_by_budget(_runs(spark, sf_dir), budgets=None))
 
 
 def run_robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,12 +258,12 @@ def run_robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_gap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8 + P11: d1 vs d3 side by side per budget, encoding gap and winner."""
-    return R.gap_table(R.summary_by_budget(_runs(spark, sf_dir), budgets=RUN_BUDGETS))
+    return R.gap_table(R.summary_by_budget(_runs(spark, sf_dir), budgets=None))
 
 
 def run_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The (condition, budget, seed) grid with a fourth seed, minus completed runs."""
-    return R.pending_runs(_runs(spark, sf_dir), budgets=RUN_BUDGETS, seeds=(*R.SEEDS, 7))
+    return R.pending_runs(_runs(spark, sf_dir), budgets=None, seeds=(*R.SEEDS, 7))
 
 
 def run_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +305,7 @@ def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d3_vocab_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 + P9 + T10 + T11: which atomic units became single tokens of the d3 BPE vocabulary,
     per base letter (rows-only: the vocabulary comes from iterative training)."""
-    _, merges = _tokenizer(spark, sf_dir, "d3")
+    _, _, merges = _tokenizer(spark, sf_dir, "d3")
     return E.mapping_token_groups(K.atomic_map(spark), TK.vocab_table(spark, merges))
 
 
@@ -289,7 +313,7 @@ def bpb_token_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 + J5 + A9 per condition: bits per byte of a unigram over the condition's own tokens."""
     out = None
     for cond in K.CONDITIONS:
-        _, merges = _tokenizer(spark, sf_dir, cond)
+        _, _, merges = _tokenizer(spark, sf_dir, cond)
         row = TK.token_unigram_bpb(_conditions(spark, sf_dir, (cond,)), merges).select(F.lit(cond).alias("condition"), "*")
         out = row if out is None else out.unionByName(row)
     return out
@@ -298,13 +322,13 @@ def bpb_token_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letter_embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 + A18 + A19 + P10: atomic units that are single d3 tokens, per base letter, joined to the
     embeddings by token id."""
-    _, merges = _tokenizer(spark, sf_dir, "d3")
+    _, _, merges = _tokenizer(spark, sf_dir, "d3")
     return E.letter_cosine(K.atomic_map(spark), TK.vocab_table(spark, merges), S.scan_embeddings(spark, sf_dir))
 
 
 def mark_letter_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 + A18 + A20: marks against letters among the d1 tokens, joined to the embeddings."""
-    _, merges = _tokenizer(spark, sf_dir, "d1")
+    _, _, merges = _tokenizer(spark, sf_dir, "d1")
     return E.mark_letter_cosine(TK.vocab_table(spark, merges), S.scan_embeddings(spark, sf_dir))
 
 
@@ -350,9 +374,12 @@ QUERIES: dict[str, Query] = {
     "embedding_group_frequency": embedding_group_frequency,
     "embedding_groups_by_cosine": embedding_groups_by_cosine,
     "embedding_pca": embedding_pca,
+    "embedding_covariance": embedding_covariance,
+    "embedding_explained_variance": embedding_explained_variance,
     "pretoken_histogram": pretoken_histogram,
     "bpe_merges": bpe_merges,
     "bpe_tokenizer_report": bpe_tokenizer_report,
+    "bpe_fertility_sizes": bpe_fertility_sizes,
     "token_bytes": token_bytes,
     "bpb_char_unigram": bpb_char_unigram,
     "corpus_runs": corpus_runs,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from marktext.operators import embed as E
 
@@ -90,3 +91,19 @@ def test_letters_and_marks_of_a_vocabulary(spark):
     u = vecs.astype(np.float64) / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)
     assert (r["n_marks"], r["n_letters"]) == (2, 2)
     assert abs(r["cross"] - float((u[5:7] @ u[3:5].T).mean())) < 1e-8 and abs(r["marks"] - _pairwise_mean(vecs[5:7])) < 1e-8
+
+
+def test_covariance_and_explained_variance_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 5)) + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>").repartition(4)
+    cov = E.covariance(df)
+    want = np.cov(x.T)
+    assert all(abs(r["cov"] - want[r["i"], r["j"]]) < 1e-9 for r in cov.collect()) and cov.count() == 15
+    got = E.explained_variance(cov).orderBy("axis").collect()
+    values = np.linalg.eigvalsh(want)[::-1]
+    assert np.allclose([r["variance"] for r in got], values) and abs(sum(r["share"] for r in got) - 1) < 1e-6
+    _, ratios = E.pca_2d(df.where("embedding is not null").withColumn("label", F.lit(1)))
+    assert np.allclose([r["share"] for r in got[:2]], ratios)
+    assert [r["variance"] for r in E.explained_variance(E.covariance(df.limit(1))).collect()] == [None] * 5
+    assert E.covariance(df.where("vec_id = 99")).count() == 0

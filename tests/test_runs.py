@@ -136,3 +136,17 @@ def test_training_logs(spark, scratch):
         f.write("hello\nval_bpb: 1.5\ntotal_eval_nats: 12.5\ntotal_valid_tokens: 10\nnum_steps: 3\n")
     got = FS.scan_training_logs(spark, d).first()
     assert got["file_name"] == "run1.log" and got["val_bpb"] == 1.5 and got["num_steps"] == 3.0
+
+
+def test_whole_budget_takes_every_train_letter(spark):
+    rows = [("d1", "train" if i % 5 else "val", i, "ab" * (i % 7 + 1), 2 * (i % 7 + 1)) for i in range(60)]
+    rows += [("d3", *r[1:]) for r in rows]
+    shards = spark.createDataFrame(rows, "condition string, split string, doc_id long, text string, letters long")
+    total = sum(r[4] for r in rows if r[0] == "d1" and r[1] == "train")
+    runs = R.corpus_runs(shards, budgets=(10, 50), whole=True).collect()
+    assert {r["target_base_letters"] for r in runs} == {10, 50, total} and len(runs) == 18
+    assert all(r["actual_base_letters"] == total and r["num_steps"] == 48 for r in runs if r["target_base_letters"] == total)
+    assert all(r["target_base_letters"] <= r["actual_base_letters"] for r in runs)
+    df = spark.createDataFrame(runs)
+    assert R.pending_runs(df, budgets=None, seeds=(*R.SEEDS, 7)).count() == 6
+    assert R.summary_by_budget(df, budgets=None).where("n = 3").count() == 6
