@@ -279,7 +279,7 @@ def _patterns() -> list[tuple[str, re.Pattern, Callable]]:
 
 
 #: Only texts with one of these can hold anything; a cheap first look.
-_SPOT = re.compile("[0-9@]")
+_SPOT = re.compile("[0-9@=:]")
 
 
 def pseudonymise(text: str, key: bytes, kinds: set[str] | None = None) -> tuple[str, list[dict]]:

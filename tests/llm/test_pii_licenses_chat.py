@@ -279,3 +279,11 @@ def test_equal_sides_and_prefixes(spark):
     got = {r["pair"]: r for r in format_preferences(left, right).collect()}
     assert got[1]["n_common"] == 2 and got[1]["chosen_text"] == got[1]["rejected_text"] == ""
     assert got[2]["n_common"] == 1 and got[2]["chosen_text"] == "" and got[2]["rejected_mask"]
+
+
+def test_secrets_without_a_digit_are_found():
+    from marktext.llm.pii import pseudonymise
+    for value in ("deadbeefcafebabe", "ABCDEFABCDEFABCD"):
+        for text in (f"password: {value}", f"token={value}", f"password: {value} 7"):
+            new, spans = pseudonymise(text, b"key")
+            assert value not in new and value.lower() not in new.lower() and len(new) == len(text) and [s["kind"] for s in spans] == ["secret"]
