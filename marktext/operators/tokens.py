@@ -194,7 +194,7 @@ def bpe_encode(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_c
 def bpe_decode(ids: Column, merges: DataFrame, specials: list[str] = C.SPECIAL_TOKENS) -> Column:
     """Concatenate token bytes and decode UTF-8 (invalid sequences replaced)."""
     table = token_byte_strings(merges_to_ranks(merges)) + [s.encode("utf-8") for s in specials]
-    hex_arr = F.array(*[F.lit(b.hex().upper()) for b in table])
+    hex_arr = F.split(F.lit(",".join(b.hex().upper() for b in table)), ",")  # folded to one literal
     hexed = F.array_join(F.transform(ids, lambda i: F.element_at(hex_arr, i + 1)), "")
     return F.make_valid_utf8(F.unhex(hexed).cast("string"))
 
