@@ -32,6 +32,8 @@ from .common import column, give_back, text_or_empty
 BLOCK = 1 << 18
 #: Phrases whose counts travel in one row.
 SLICE = 256
+#: Finds that a task gathers before it sorts out the equal ones.
+HELD = 1 << 20
 #: Most bits of the folded bucket filter that is broadcast (buckets themselves grow with the corpus).
 FILTER_BITS = 28
 
@@ -275,6 +277,32 @@ def _trie(spark: SparkSession, cids: np.ndarray, phrases: np.ndarray):
     return spark.sparkContext.broadcast((trie.base, trie.check, digits, place, cids[np.lexsort(phrases.T[::-1])]))
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct rows of three numbers."""
+    rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+    rows = rows[np.lexsort(rows.T)]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))[:len(rows)]]
+
+
+def _unite(batches):
+    """Distinct finds of every slice; the slices arrive one after another."""
+    import pyarrow as pa
+    current, held, size = None, [], 0
+    for b in batches:
+        for k, found in zip(b.column("slice").to_pylist(), b.column("found").to_pylist()):
+            if k != current and held:
+                yield pa.RecordBatch.from_pydict(dict(zip(("cid", "next", "bucket"), _distinct(held).T.copy())))
+                held, size = [], 0
+            current = k
+            held.append(np.frombuffer(found, np.int64).reshape(-1, 3))
+            size += len(held[-1])
+            if size > HELD:
+                held, size = [_distinct(held)], 0
+    if held:
+        yield pa.RecordBatch.from_pydict(dict(zip(("cid", "next", "bucket"), _distinct(held).T.copy())))
+    give_back()
+
+
 def candidates(texts: DataFrame, frequent: DataFrame, depth: int, min_count: int, n: int, block: int) -> DataFrame:
     """``(cid, words)``: Apriori-safe candidates of ``depth + 1`` words (steps 1 and 2 above)."""
     spark = texts.sparkSession
@@ -301,16 +329,25 @@ def candidates(texts: DataFrame, frequent: DataFrame, depth: int, min_count: int
 
         def propose(batches, trie=trie, whole=whole, passing=passing):
             import pyarrow as pa
-            bitmap = passing.value
+            bitmap, held, size = passing.value, [], 0
             for numbers in _stretches(batches, depth):
                 prefix, word, mixed = _pairs(trie, numbers, depth, whole)
                 p = mixed >> np.uint64(64 - fold)
                 keep = (bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-                rows = np.unique(np.stack((prefix[keep], word[keep], (mixed[keep] >> np.uint64(64 - bits)).view(np.int64))), axis=1)
-                yield pa.RecordBatch.from_pydict({"cid": rows[0], "next": rows[1], "bucket": rows[2]})
+                held.append(_distinct([np.stack((prefix[keep], word[keep], (mixed[keep] >> np.uint64(64 - bits)).view(np.int64)), axis=1)]))
+                size += len(held[-1])
+                if size > HELD:
+                    held, size = [_distinct(held)], 0
+            rows = _distinct(held)
+            own = rows[:, 2] & 255 if len(rows) else np.zeros(0, np.int64)
+            some = np.unique(own)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "found": pa.array(
+                [rows[own == k].tobytes() for k in some], pa.binary())})
             give_back()
 
-        proposed = texts.mapInArrow(propose, "cid long, next long, bucket long").distinct()
+        # A task's distinct finds leave it packed, a row for each of 256 slices of the buckets.
+        proposed = (texts.mapInArrow(propose, "slice int, found binary").repartition("slice").sortWithinPartitions("slice")
+                    .mapInArrow(_unite, "cid long, next long, bucket long"))
         if bits > fold:
             proposed = proposed.join(stay, "bucket", "left_semi")
         words = F.array(F.col("cid").cast("int")) if depth == 1 else F.col("words")
