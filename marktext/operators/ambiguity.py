@@ -118,6 +118,19 @@ def form_variants(variants: DataFrame, top: DataFrame) -> DataFrame:
     return variants.join(sel, "stripped").select("rank", F.col("stripped").alias("word"), "variant")
 
 
+def variant_pages(variants: DataFrame, top: DataFrame, page_size: int = 100) -> DataFrame:
+    """K4: ``(rank, word, page, n_variants, variants)``, the sorted variants of the selected forms
+    in pages of at most ``page_size``, joined by ``" | "``.
+
+    Variants are numbered by range partitions, so one form may hold any share of them; a page is
+    the largest thing that is ever collected.
+    """
+    numbered = dense_ordinal(form_variants(variants, top), "variant", "_i", ("rank",))
+    return (numbered.groupBy("rank", "word", F.floor(F.col("_i") / page_size).cast("bigint").alias("page"))
+            .agg(F.count(F.lit(1)).alias("n_variants"),
+                 F.array_join(F.sort_array(F.collect_list("variant")), " | ").alias("variants")))
+
+
 def first_variants(variants: DataFrame, n: int = 10, salt_buckets: int = 64) -> DataFrame:
     """O3: the n smallest variants per form (codepoint order), salted two-level top-n."""
     salted = variants.withColumn("salt", F.pmod(F.xxhash64("variant"), F.lit(salt_buckets)))

@@ -12,6 +12,13 @@ and a document of any length spreads over as many groups as it needs.  Within a
 * when the group runs dry, the last row is filled up with ``pad_id``.
 
 ``crop=True`` discards those tails and the last short row, as the studied loader does.
+
+Scale notes
+-----------
+* Packing is decided on lengths alone (``best_fit_plan``); ``pack_placements`` moves no token.
+* Group bounds come from (key, length).  Up to ``MAX_CUTS`` of them (one key a group) go to the
+  tasks, which look up each document's group where it is read; beyond that, documents are joined
+  to their running sum.  Token arrays are exchanged once, by group.
 """
 
 from __future__ import annotations
@@ -19,86 +26,136 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from .prefix import running_before
 from .tokens import shift_targets
 
+#: Group bounds that are sent to every task (a key each).
+MAX_CUTS = 1 << 20
 
-def best_fit_rows(pieces: list[list[int]], capacity: int, buffer_size: int, pad_id: int = -1,
-                  refill_batch: int = 128, crop: bool = False) -> tuple[list[list[int]], int]:
-    """Pack token lists into rows of ``capacity``; returns (rows, cropped tokens).
+
+def best_fit_plan(lengths: list[int], capacity: int, buffer_size: int, refill_batch: int = 128,
+                  crop: bool = False) -> tuple[list[list[tuple[int, int, int]]], int]:
+    """Rows as lists of ``(piece, start, stop)``, and the number of cropped tokens.
 
     The buffer is topped up ``refill_batch`` pieces at a time while it holds fewer than
     ``buffer_size`` (so it may briefly hold up to ``buffer_size + refill_batch - 1``).
     """
     import bisect
 
-    buf: list[tuple[int, int]] = []          # sorted (length, arrival)
-    store: dict[int, list[int]] = {}
+    buf: list[tuple[int, int]] = []          # sorted (length left, arrival)
+    begun: dict[int, int] = {}               # first token left of a divided piece
     taken, cropped, rows = 0, 0, []
 
     def refill():
         nonlocal taken
-        while len(buf) < buffer_size and taken < len(pieces):
-            for i in range(taken, min(taken + refill_batch, len(pieces))):
-                if pieces[i]:
-                    bisect.insort(buf, (len(pieces[i]), i))
-                    store[i] = pieces[i]
-            taken = min(taken + refill_batch, len(pieces))
+        while len(buf) < buffer_size and taken < len(lengths):
+            for i in range(taken, min(taken + refill_batch, len(lengths))):
+                if lengths[i]:
+                    bisect.insort(buf, (lengths[i], i))
+            taken = min(taken + refill_batch, len(lengths))
 
     refill()
     while buf:
-        row: list[int] = []
-        while len(row) < capacity and buf:
-            room = capacity - len(row)
-            fits = bisect.bisect_right(buf, (room, len(pieces)))
+        row, room = [], capacity
+        while room and buf:
+            fits = bisect.bisect_right(buf, (room, len(lengths)))
             if fits:
                 length, _ = buf[fits - 1]
                 _, i = buf.pop(bisect.bisect_left(buf, (length, -1)))   # the earliest of that length
-                row += store.pop(i)
+                at, take = begun.pop(i, 0), length
             else:
-                _, i = buf.pop(0)                                       # the shortest, earliest
-                piece = store.pop(i)
-                row += piece[:room]
+                length, i = buf.pop(0)                                  # the shortest, earliest
+                at, take = begun.pop(i, 0), room
                 if crop:
-                    cropped += len(piece) - room
+                    cropped += length - room
                 else:
-                    bisect.insort(buf, (len(piece) - room, i))
-                    store[i] = piece[room:]
+                    bisect.insort(buf, (length - room, i))
+                    begun[i] = at + room
+            row.append((i, at, at + take))
+            room -= take
             refill()
-        if len(row) < capacity:
-            if crop:
-                cropped += len(row)
-                break
-            row += [pad_id] * (capacity - len(row))
+        if room and crop:
+            cropped += capacity - room
+            break
         rows.append(row)
     return rows, cropped
 
 
+def best_fit_rows(pieces: list[list[int]], capacity: int, buffer_size: int, pad_id: int = -1,
+                  refill_batch: int = 128, crop: bool = False) -> tuple[list[list[int]], int]:
+    """Pack token lists into rows of ``capacity``; returns (rows, cropped tokens)."""
+    plan, cropped = best_fit_plan([len(p) for p in pieces], capacity, buffer_size, refill_batch, crop)
+    rows = [[t for i, a, b in row for t in pieces[i][a:b]] for row in plan]
+    return [r + [pad_id] * (capacity - len(r)) for r in rows], cropped
+
+
+def _windows(sizes: DataFrame, group_tokens: int) -> DataFrame:
+    """``(ord, n)`` plus ``window``: the stretch of ``group_tokens`` tokens a document starts in."""
+    return (running_before(sizes, ("ord",), "n")
+            .withColumn("window", F.floor(F.col("before") / group_tokens).cast("bigint")).drop("before"))
+
+
+def _with_window(docs: DataFrame, sizes: DataFrame, group_tokens: int) -> DataFrame:
+    """``docs (ord, ...)`` plus ``window``; the documents are not shuffled unless there are too many
+    windows to send their first keys to every task."""
+    windows = _windows(sizes, group_tokens)
+    firsts = windows.groupBy("window").agg(F.min("ord").alias("ord")).limit(MAX_CUTS + 1).collect()
+    if len(firsts) > MAX_CUTS:
+        return docs.join(windows.select("ord", "window"), "ord")
+    firsts.sort(key=lambda r: r["window"])
+    shared = docs.sparkSession.sparkContext.broadcast(([r["ord"] for r in firsts], [r["window"] for r in firsts]))
+
+    def find(keys):
+        import bisect
+
+        import pandas as pd
+        cuts, names = shared.value
+        return pd.Series([names[bisect.bisect_right(cuts, k) - 1] for k in keys], dtype="int64")
+
+    return docs.withColumn("window", F.pandas_udf(find, "bigint")("ord"))
+
+
+def _pieces(n: Column, capacity: int) -> Column:
+    """Start of every piece of a document of ``n`` tokens."""
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(capacity)))
+
+
+def _group(group_tokens: int) -> Column:
+    # A long document's later stretches go to the following groups: a group holds fewer than three
+    # times its tokens.
+    return (F.col("window") + F.floor(F.col("at") / group_tokens)).cast("bigint")
+
+
 def pack_sequences(docs: DataFrame, ids_col: str = "ids", order_col: str = "ordinal",
                    seq_len: int = 2048, buffer_size: int = 1000, group_tokens: int = 1 << 22,
-                   pad_id: int = -1, refill_batch: int = 128, crop: bool = False) -> DataFrame:
+                   pad_id: int = -1, refill_batch: int = 128, crop: bool = False,
+                   size_col: str | None = None) -> DataFrame:
     """``(pack_group, row_no, tokens, input, target, group_cropped)`` packed rows.
 
-    ``docs`` carries one token list per document and a unique ``order_col``.  Groups follow the
-    running token sum, taken over (key, length) only.
+    ``docs`` carries one token list per document and a unique, non-null ``order_col``; a column
+    ``size_col`` with the lists' lengths saves making the lists to find the groups.
     """
     capacity = seq_len + 1
-    before = running_before(docs.select(F.col(order_col).alias("ord"), F.size(ids_col).cast("bigint").alias("_n")),
-                            ("ord",), "_n").drop("_n")
-    starts = F.when(F.size("ids") > 0, F.sequence(F.lit(0), F.size("ids") - 1, F.lit(capacity)))
-    pieces = (docs.select(F.col(order_col).alias("ord"), F.col(ids_col).alias("ids")).join(before, "ord")
-              .select("ord", "before", "ids", F.explode(starts).alias("at"))
-              .select(F.floor((F.col("before") + F.col("at")) / group_tokens).cast("bigint").alias("pack_group"),
-                      "ord", "at", F.slice("ids", F.col("at") + 1, capacity).alias("ids")))
+    n = F.size(ids_col) if size_col is None else F.col(size_col)
+    sizes = docs.select(F.col(order_col).alias("ord"), n.cast("bigint").alias("n"))
+    placed = _with_window(docs.select(F.col(order_col).alias("ord"), F.col(ids_col).alias("ids")), sizes, group_tokens)
+    pieces = (placed.select("window", "ord", "ids", F.explode(_pieces(F.size("ids"), capacity)).alias("at"))
+              .select(_group(group_tokens).alias("pack_group"), "ord", "at", F.slice("ids", F.col("at") + 1, capacity).alias("ids")))
 
     def pack(pdf):
+        import numpy as np
         import pandas as pd
         pdf = pdf.sort_values(["ord", "at"])
-        rows, cropped = best_fit_rows([list(x) for x in pdf["ids"]], capacity, buffer_size, pad_id, refill_batch, crop)
-        g = int(pdf["pack_group"].iloc[0]) if len(pdf) else 0
-        return pd.DataFrame({"pack_group": [g] * len(rows), "row_no": list(range(len(rows))),
-                             "tokens": rows, "group_cropped": [cropped] * len(rows)})
+        ids = pdf["ids"].tolist()
+        plan, cropped = best_fit_plan([len(x) for x in ids], capacity, buffer_size, refill_batch, crop)
+        rows = np.full((len(plan), capacity), pad_id, dtype=np.int32)
+        for r, row in enumerate(plan):
+            at = 0
+            for i, a, b in row:
+                rows[r, at:at + b - a] = ids[i][a:b]
+                at += b - a
+        return pd.DataFrame({"pack_group": [int(pdf["pack_group"].iloc[0])] * len(plan), "row_no": range(len(plan)),
+                             "tokens": list(rows), "group_cropped": [cropped] * len(plan)})
 
     packed = pieces.groupBy("pack_group").applyInPandas(
         pack, "pack_group bigint, row_no int, tokens array<int>, group_cropped bigint")
@@ -107,16 +164,55 @@ def pack_sequences(docs: DataFrame, ids_col: str = "ids", order_col: str = "ordi
                          "group_cropped")
 
 
+def pack_placements(sizes: DataFrame, size_col: str = "n", order_col: str = "ordinal", seq_len: int = 2048,
+                    buffer_size: int = 1000, group_tokens: int = 1 << 22, refill_batch: int = 128,
+                    crop: bool = False) -> DataFrame:
+    """Where :func:`pack_sequences` puts every token, from the documents' lengths alone:
+    ``(pack_group, row_no, row_at, ord, start, tokens)``, a row per stretch of a document that lies
+    together in a packed row."""
+    capacity = seq_len + 1
+    keys = sizes.select(F.col(order_col).alias("ord"), F.col(size_col).cast("bigint").alias("n"))
+    key_type = keys.schema["ord"].dataType.simpleString()
+    pieces = (_windows(keys, group_tokens).select("window", "ord", "n", F.explode(_pieces(F.col("n"), capacity)).alias("at"))
+              .select(_group(group_tokens).alias("pack_group"), "ord", "at",
+                      F.least(F.lit(capacity), F.col("n") - F.col("at")).cast("int").alias("n")))
+
+    def place(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values(["ord", "at"])
+        plan, _ = best_fit_plan(pdf["n"].tolist(), capacity, buffer_size, refill_batch, crop)
+        rows = []
+        for r, row in enumerate(plan):
+            at = 0
+            for i, a, b in row:
+                rows.append((r, at, i, a, b - a))
+                at += b - a
+        out = pd.DataFrame(rows, columns=["row_no", "row_at", "i", "a", "tokens"])
+        piece = pdf.iloc[out["i"]].reset_index(drop=True)
+        return pd.DataFrame({"pack_group": int(pdf["pack_group"].iloc[0]), "row_no": out["row_no"], "row_at": out["row_at"],
+                             "ord": piece["ord"], "start": piece["at"] + out["a"], "tokens": out["tokens"]})
+
+    return pieces.groupBy("pack_group").applyInPandas(
+        place, f"pack_group bigint, row_no int, row_at int, ord {key_type}, start bigint, tokens bigint")
+
+
 def char_token_ids(text_col: str = "text", bos_id: int | None = None) -> Column:
     """Codepoint token ids of a text (character-level tokens), optional BOS first."""
-    ids = F.transform(X.chars(text_col), lambda c: F.ascii(c))
-    return F.concat(F.array(F.lit(bos_id)), ids) if bos_id is not None else ids
+    def codepoints(texts):
+        import numpy as np
+        import pandas as pd
+        head = [] if bos_id is None else [bos_id]
+        return pd.Series([None if t is None else np.concatenate(
+            [np.array(head, dtype="<i4"), np.frombuffer(t.encode("utf-32-le"), dtype="<i4")]) for t in texts], dtype=object)
+
+    return F.pandas_udf(codepoints, "array<int>")(F.col(text_col))
 
 
-def pack_totals(packed: DataFrame, docs: DataFrame, ids_col: str = "ids", seq_len: int = 2048, pad_id: int = -1) -> DataFrame:
+def pack_totals(packed: DataFrame, docs: DataFrame, ids_col: str = "ids", seq_len: int = 2048, pad_id: int = -1,
+                size_col: str | None = None) -> DataFrame:
     """One row: tokens that went in, tokens placed (padding not counted), whether all rows are full."""
     real = F.size(F.filter("tokens", lambda t: t != pad_id))
-    total = docs.select(F.sum(F.size(ids_col))).scalar()
+    total = docs.select(F.sum(F.size(ids_col) if size_col is None else F.col(size_col))).scalar()
     return packed.agg(F.coalesce(F.sum(real), F.lit(0)).cast("bigint").alias("tokens_placed"),
                       F.coalesce(F.bool_and(F.size("tokens") == seq_len + 1), F.lit(True)).alias("rows_full")).select(
         F.coalesce(total, F.lit(0)).cast("bigint").alias("tokens_in"), "tokens_placed", "rows_full")

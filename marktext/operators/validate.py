@@ -25,6 +25,21 @@ def shards_loadable(shards: DataFrame) -> DataFrame:
     return _row(agg, "shards_loadable", F.col("n_files") > 0, F.col("n_files"))
 
 
+def shards_present(shards: DataFrame, manifest: DataFrame) -> DataFrame:
+    """V1 against the manifest: as many shards can be read as it names (the train shards and one)."""
+    got = shards.select("condition", "split", "shard_id").distinct().groupBy("condition").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return _row(manifest.join(got, "condition", "left"), "shards_present", n == F.col("train_shards") + 1, n)
+
+
+def val_shard_holds(shards: DataFrame, val: DataFrame) -> DataFrame:
+    """All val rows, and no others, lie in the shard ``val (condition, val_shard)`` names."""
+    j = shards.select("condition", "split", "shard_id").join(F.broadcast(val), "condition")
+    agg = j.groupBy("condition", "val_shard").agg(
+        F.bool_and((F.col("split") == "val") == (F.col("shard_id") == F.col("val_shard"))).alias("ok"))
+    return _row(agg, "val_shard_holds", F.col("ok"), F.col("val_shard"))
+
+
 def row_count_matches(shards: DataFrame, manifest: DataFrame) -> DataFrame:
     """V2: train / val row counts equal the manifest's."""
     got = shards.groupBy("condition").agg(F.count_if(F.col("split") == "train").alias("tr"),

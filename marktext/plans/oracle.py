@@ -347,12 +347,12 @@ def run_calibration() -> str:
         f"CAST(floor(budget / ({R.TOKENS_PER_STEP} * blpt)) AS BIGINT) AS max_steps FROM fe")
 
 
-def validation_report(k: int = 20, ratio: float = 0.02) -> str:
+def _content_ctes(ratio: float = 0.02) -> tuple[str, ...]:
     from ..functions import chars as C
     marks, pua = (f"bool_or(regexp_matches(text, {G.lit(x)}))" for x in (C.MARK_CLASS, C.PUA_CLASS))
     letters = ("(SELECT unnest(list_concat(generate_series(1569, 1594), generate_series(1601, 1610))) AS l)")
     signs = "(SELECT unnest(list_concat(generate_series(1611, 1618), [1648])) AS m)"
-    return _with(
+    return (
         G.corpus_ctes(), G.conditions_cte(),
         # Expected sizes from the number of kept documents alone.
         f"sizes AS (SELECT condition, count(*) AS n, greatest(1, CAST(floor(count(*) * CAST({ratio} AS DOUBLE)) AS BIGINT)) AS n_val "
@@ -362,24 +362,64 @@ def validation_report(k: int = 20, ratio: float = 0.02) -> str:
         # The mapping's sequences by the rule: letter + mark, letter + shaddah + other mark, mark.
         f"seqs AS (SELECT chr(CAST(l AS INTEGER)) || chr(CAST(m AS INTEGER)) AS s FROM {letters}, {signs} UNION SELECT chr(CAST(l AS INTEGER)) || chr(1617) || chr(CAST(m AS INTEGER)) "
         f"FROM {letters}, {signs} WHERE m <> 1617 UNION SELECT chr(CAST(m AS INTEGER)) FROM {signs})",
-        "chs AS (SELECT condition, doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, "
-        "generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS pos FROM shards)",
-        "per AS (SELECT condition, ch, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS f FROM chs GROUP BY condition, ch)",
-        "top AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY n DESC, f) AS r FROM per)",
-        "ck AS ("
+        "content AS ("
         "SELECT condition, 'row_count_matches' AS \"check\", tr = n - n_val AND va = n_val AS passed, "
         "printf('%d train, %d val', tr, va) AS detail FROM cnt JOIN sizes USING (condition) "
         "UNION ALL SELECT condition, 'no_empty_texts', bad = 0, CAST(bad AS VARCHAR) FROM cnt "
         "UNION ALL SELECT condition, 'mapping_gate', (SELECT count(*) FROM seqs) >= 252, CAST((SELECT count(*) FROM seqs) AS VARCHAR) "
         "FROM cnt WHERE condition = 'd3' "
         "UNION ALL SELECT condition, 'mark_presence', CASE WHEN condition = 'd1' THEN marks WHEN condition = 'd2' THEN NOT marks "
-        "ELSE pua END, printf('marks=%s pua=%s', marks, pua) FROM cnt "
+        "ELSE pua END, printf('marks=%s pua=%s', marks, pua) FROM cnt)",
+    )
+
+
+_ROLLED_UP = (
+    "SELECT condition, \"check\", passed, detail FROM ck UNION ALL "
+    "SELECT condition, 'all', bool_and(passed), printf('%d/%d', count(*) FILTER (WHERE passed), count(*)) "
+    "FROM ck GROUP BY condition")
+
+
+def validation_report(k: int = 20) -> str:
+    return _with(
+        *_content_ctes(),
+        "chs AS (SELECT condition, doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, "
+        "generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS pos FROM shards)",
+        "per AS (SELECT condition, ch, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS f FROM chs GROUP BY condition, ch)",
+        "top AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY n DESC, f) AS r FROM per)",
+        "ck AS (SELECT * FROM content "
         "UNION ALL SELECT condition, 'char_distribution', true, string_agg(printf('U+%04X', unicode(ch)), ' ' ORDER BY r) "
         f"FROM top WHERE r <= {k} GROUP BY condition)",
+    ) + _ROLLED_UP
+
+
+def published_validation(docs_per_shard: int = 50_000) -> str:
+    n_train = f"CAST(ceil((n - n_val) / {docs_per_shard}) AS BIGINT)"
+    return _with(
+        *_content_ctes(),
+        "ids AS (SELECT condition, count(DISTINCT (split, shard_id)) AS n_shards, "
+        "min(shard_id) FILTER (WHERE split = 'val') AS v1, max(shard_id) FILTER (WHERE split = 'val') AS v2, "
+        "max(shard_id) FILTER (WHERE split = 'train') AS t FROM shards GROUP BY condition)",
+        "ck AS (SELECT * FROM content "
+        f"UNION ALL SELECT condition, 'shards_present', n_shards = {n_train} + 1, CAST(n_shards AS VARCHAR) FROM ids JOIN sizes USING (condition) "
+        f"UNION ALL SELECT condition, 'val_shard_holds', v1 = v2 AND v1 = {n_train} AND coalesce(t < v1, true), CAST({n_train} AS VARCHAR) "
+        "FROM ids JOIN sizes USING (condition))",
+    ) + _ROLLED_UP
+
+
+def pack_placements() -> str:
+    return _with(G.corpus_ctes(), G.conditions_cte()) + (
+        "SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS tokens_placed, CAST(0 AS BIGINT) AS first_token, "
+        "CAST(length(text) + 1 AS BIGINT) AS end_token FROM shards WHERE condition = 'd3' AND split = 'train'")
+
+
+def collision_report_pages(page_size: int = 100) -> str:
+    return _with(
+        G.corpus_ctes(), G.pairs_ctes("zip"), G.forms_cte(), _top_ctes(50),
+        "v AS (SELECT DISTINCT t.rank, t.stripped AS word, p.variant FROM top t JOIN pairs p ON p.stripped = t.stripped)",
+        f"numbered AS (SELECT *, (row_number() OVER (PARTITION BY rank ORDER BY variant) - 1) // {page_size} AS page FROM v)",
     ) + (
-        "SELECT condition, \"check\", passed, detail FROM ck UNION ALL "
-        "SELECT condition, 'all', bool_and(passed), printf('%d/%d', count(*) FILTER (WHERE passed), count(*)) "
-        "FROM ck GROUP BY condition")
+        "SELECT rank, word, CAST(page AS BIGINT) AS page, count(*) AS n_variants, "
+        "string_agg(variant, ' | ' ORDER BY variant) AS variants FROM numbered GROUP BY rank, word, page")
 
 
 def pretoken_histogram() -> str:
@@ -455,4 +495,7 @@ ORACLE: dict[str, str] = {
     "collision_report_text": collision_report_text(),
     "pretoken_histogram": pretoken_histogram(),
     "pack_totals": pack_totals(),
+    "pack_placements": pack_placements(),
+    "published_validation": published_validation(),
+    "collision_report_pages": collision_report_pages(),
 }

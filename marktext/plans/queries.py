@@ -21,8 +21,10 @@ from ..operators import packing as PK
 from ..operators import runs as R
 from ..operators import tokens as TK
 from ..operators import validate as V
+from ..sinks import publish as P
 from ..sinks import writers as W
 from ..sources import corpus as S
+from ..sources import files as FS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -286,8 +288,8 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     train = _train_docs(spark, sf_dir, "d3")
-    docs = train.select("doc_id", PK.char_token_ids("text", bos_id=0).alias("ids"))
-    return docs, PK.pack_sequences(docs, order_col="doc_id", seq_len=2048, buffer_size=1000)
+    docs = train.select("doc_id", (F.length("text") + 1).cast("bigint").alias("n"), PK.char_token_ids("text", bos_id=0).alias("ids"))
+    return docs, PK.pack_sequences(docs, order_col="doc_id", seq_len=2048, buffer_size=1000, size_col="n")
 
 
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +301,28 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that went into the packing and tokens placed; every row full."""
     docs, packed = _packed(spark, sf_dir)
-    return PK.pack_totals(packed, docs)
+    return PK.pack_totals(packed, docs, size_col="n")
+
+
+def pack_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, the tokens that the packed rows hold of it and the stretch they span."""
+    sizes = _train_docs(spark, sf_dir, "d3").select("doc_id", (F.length("text") + 1).cast("bigint").alias("n"))
+    placed = PK.pack_placements(sizes, order_col="doc_id")
+    return placed.groupBy(F.col("ord").alias("doc_id")).agg(
+        F.sum("tokens").cast("bigint").alias("tokens_placed"), F.min("start").alias("first_token"),
+        F.max(F.col("start") + F.col("tokens")).alias("end_token"))
+
+
+def published_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + K2 + S2 + S4 + S5 + V1-V3 + V5 + V6 + V9: the conditions written as shards with their manifest
+    into a fresh folder, the pointer set, and both read back through the pointer and checked."""
+    root = P.fresh_root(spark)
+    corpus = S.lifted_corpus(spark, sf_dir)
+    P.publish_conditions(K.build_conditions(corpus), K.manifest(_index(spark, sf_dir)), root)
+    shards, manifest = P.read_published(spark, root)
+    val = FS.resolve_val_shard(manifest, shards.select("condition", "shard_id"))
+    return V.validate_all(V.shards_present(shards, manifest), V.val_shard_holds(shards, val),
+                          V.content_checks(shards, manifest, K.atomic_map(spark)))
 
 
 def d3_vocab_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,6 +364,12 @@ def collision_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.collision_report_text(A.collision_summary(forms), A.top_ambiguous(pairs, k=20, n_shown=10), rate)
 
 
+def collision_report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: the sorted variants of the top-50 forms in pages of at most 100."""
+    variants = A.variant_counts(A.word_pairs(S.lifted_corpus(spark, sf_dir)))
+    return A.variant_pages(variants, A.top_forms(A.forms_of(variants), 50), page_size=100)
+
+
 def collision_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: the machine-readable collision report (scalars, window rate, top-50 forms)."""
     corpus = S.lifted_corpus(spark, sf_dir)
@@ -392,10 +421,13 @@ QUERIES: dict[str, Query] = {
     "validation_report": validation_report,
     "pack_sequences": pack_sequences,
     "pack_totals": pack_totals,
+    "pack_placements": pack_placements,
+    "published_validation": published_validation,
     "d3_vocab_mapping": d3_vocab_mapping,
     "bpb_token_unigram": bpb_token_unigram,
     "letter_embedding_cosine": letter_embedding_cosine,
     "mark_letter_cosine": mark_letter_cosine,
     "collision_report_text": collision_report_text,
+    "collision_report_pages": collision_report_pages,
     "collision_report_json": collision_report_json,
 }

@@ -70,3 +70,38 @@ def test_pack_sequences_places_all_tokens(spark):
     assert Counter(t for r in got for t in r["tokens"] if t != -1) == Counter(t for _, ids in rows for t in ids)
     totals = PK.pack_totals(packed, docs, seq_len=63).first()
     assert totals["tokens_in"] == totals["tokens_placed"] and totals["rows_full"]
+
+
+def test_placements_are_those_of_the_packed_rows(spark):
+    ids = {i: list(range(1000 * i, 1000 * i + (i * 13) % 97)) for i in range(120)} | {120: list(range(10 ** 6, 10 ** 6 + 900))}
+    docs = spark.createDataFrame([(f"k{i:04d}", x) for i, x in ids.items()], "key string, ids array<int>")
+    size = {"seq_len": 31, "buffer_size": 20, "group_tokens": 700, "refill_batch": 7}
+    packed = {(r["pack_group"], r["row_no"]): r["tokens"] for r in PK.pack_sequences(docs, order_col="key", **size).collect()}
+    sizes = docs.selectExpr("key", "size(ids) AS n")
+    placed = PK.pack_placements(sizes, order_col="key", **size).collect()
+    got = {}
+    for r in placed:
+        row = packed[r["pack_group"], r["row_no"]]
+        part = row[r["row_at"]:r["row_at"] + r["tokens"]]
+        assert part == ids[int(r["ord"][1:])][r["start"]:r["start"] + r["tokens"]]
+        got[r["ord"]] = got.get(r["ord"], 0) + r["tokens"]
+    assert got == {f"k{i:04d}": len(x) for i, x in ids.items() if x}
+
+
+def test_groups_found_by_join_are_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [i] * (i % 50)) for i in range(200)], "ordinal long, ids array<int>")
+    size = {"seq_len": 15, "buffer_size": 20, "group_tokens": 300}
+    looked_up = sorted(map(str, PK.pack_sequences(docs, **size).collect()))
+    monkeypatch.setattr(PK, "MAX_CUTS", 3)
+    assert sorted(map(str, PK.pack_sequences(docs, **size).collect())) == looked_up
+
+
+def test_token_arrays_are_exchanged_once(spark):
+    docs = spark.createDataFrame([(i, [i] * 40) for i in range(50)], "ordinal long, ids array<int>")
+    plan = PK.pack_sequences(docs, seq_len=15)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1
+
+
+def test_no_documents(spark):
+    docs = spark.createDataFrame([], "ordinal long, ids array<int>")
+    assert PK.pack_sequences(docs).collect() == [] and PK.pack_placements(docs.selectExpr("ordinal", "size(ids) AS n")).collect() == []
