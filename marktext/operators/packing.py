@@ -129,15 +129,16 @@ def _group(group_tokens: int) -> Column:
 def pack_sequences(docs: DataFrame, ids_col: str = "ids", order_col: str = "ordinal",
                    seq_len: int = 2048, buffer_size: int = 1000, group_tokens: int = 1 << 22,
                    pad_id: int = -1, refill_batch: int = 128, crop: bool = False,
-                   size_col: str | None = None) -> DataFrame:
+                   sizes: DataFrame | None = None) -> DataFrame:
     """``(pack_group, row_no, tokens, input, target, group_cropped)`` packed rows.
 
-    ``docs`` carries one token list per document and a unique, non-null ``order_col``; a column
-    ``size_col`` with the lists' lengths saves making the lists to find the groups.
+    ``docs`` carries one token list per document and a unique, non-null ``order_col``; ``sizes``
+    (``order_col``, ``n``), the lists' lengths, saves making the lists to find the groups.
     """
     capacity = seq_len + 1
-    n = F.size(ids_col) if size_col is None else F.col(size_col)
-    sizes = docs.select(F.col(order_col).alias("ord"), n.cast("bigint").alias("n"))
+    if sizes is None:
+        sizes = docs.select(order_col, F.size(ids_col).alias("n"))
+    sizes = sizes.select(F.col(order_col).alias("ord"), F.col("n").cast("bigint").alias("n"))
     placed = _with_window(docs.select(F.col(order_col).alias("ord"), F.col(ids_col).alias("ids")), sizes, group_tokens)
     pieces = (placed.select("window", "ord", "ids", F.explode(_pieces(F.size("ids"), capacity)).alias("at"))
               .select(_group(group_tokens).alias("pack_group"), "ord", "at", F.slice("ids", F.col("at") + 1, capacity).alias("ids")))

@@ -287,9 +287,15 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Token counts of the d3 train documents (keys only, made once) and the packed rows."""
     train = _train_docs(spark, sf_dir, "d3")
-    docs = train.select("doc_id", (F.length("text") + 1).cast("bigint").alias("n"), PK.char_token_ids("text", bos_id=0).alias("ids"))
-    return docs, PK.pack_sequences(docs, order_col="doc_id", seq_len=2048, buffer_size=1000, size_col="n")
+    sizes = _token_sizes(train).checkpoint()
+    docs = train.select("doc_id", PK.char_token_ids("text", bos_id=0).alias("ids"))
+    return sizes, PK.pack_sequences(docs, order_col="doc_id", seq_len=2048, buffer_size=1000, sizes=sizes)
+
+
+def _token_sizes(train: DataFrame) -> DataFrame:
+    return train.select("doc_id", (F.length("text") + 1).cast("bigint").alias("n"))
 
 
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,14 +306,13 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that went into the packing and tokens placed; every row full."""
-    docs, packed = _packed(spark, sf_dir)
-    return PK.pack_totals(packed, docs, size_col="n")
+    sizes, packed = _packed(spark, sf_dir)
+    return PK.pack_totals(packed, sizes, size_col="n")
 
 
 def pack_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, the tokens that the packed rows hold of it and the stretch they span."""
-    sizes = _train_docs(spark, sf_dir, "d3").select("doc_id", (F.length("text") + 1).cast("bigint").alias("n"))
-    placed = PK.pack_placements(sizes, order_col="doc_id")
+    placed = PK.pack_placements(_token_sizes(_train_docs(spark, sf_dir, "d3")), order_col="doc_id")
     return placed.groupBy(F.col("ord").alias("doc_id")).agg(
         F.sum("tokens").cast("bigint").alias("tokens_placed"), F.min("start").alias("first_token"),
         F.max(F.col("start") + F.col("tokens")).alias("end_token"))
