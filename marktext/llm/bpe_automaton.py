@@ -9,8 +9,9 @@ tokenizations.  Every byte string has one of them, hence the run is deterministi
 
 Written out, 50,000 merges give a table of 2.5 thousand million possible arcs.  Its entries
 are therefore filled when first needed: whether state x has an arc y follows from the gadgets
-that made x and y, newest first (``arc``).  Pre-split words are encoded by walking this table
-over the word's bytes, and decoding emits the arcs' labels.
+that made x and y, newest first (``_arc``).  Labels lie in a double array (node, byte -> node).  The
+new pre-split words of a batch of texts walk both tables together, one numpy step for all of
+them; a word whose run meets a dead end steps back and goes on.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+"
            rf"|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-#: What a Python worker remembers: words with their encoding (twice so many), arcs of the table.
-WORDS_KEPT, ARCS_KEPT, FIRST_KEPT = 50_000, 100_000, 1 << 15
+#: What a Python worker remembers: words with their encoding (twice so many), the cuts seen first,
+#: and slots for arcs of the table (a power of two, eight bytes each).
+WORDS_KEPT, FIRST_KEPT, ARC_SLOTS = 50_000, 1 << 15, 1 << 20
+#: Words that walk the tables together; from FEW words on the rest is walked one by one, as are longer ones.
+TOGETHER, FEW, LONG = 1 << 16, 24, 64
 
 
 @lru_cache(1)
@@ -68,9 +72,6 @@ def read_tokenizer(path: str) -> dict:
             "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], "added": added}
 
 
-_NONE: dict[int, bool] = {}
-
-
 class _Memory:
     """Remembers up to twice ``size`` keys: when the newer half is full, the older one goes, and
     keys in use come back from it meanwhile."""
@@ -123,23 +124,134 @@ class TokenAutomaton:
             self.shorter[t] = last
             kids[label[-1]] = (kids[label[-1]][0] if label[-1] in kids else {}, t)
         self.longest = max(map(len, self.token))
+        self._compile()
         self.emits = arc_labels(self.label, self.added)
         self._words = regex.compile(PATTERN)
         self._runs = re.compile(rf"[{_S}](?=[{_S}]|\Z)")
-        self.table: dict[int, dict[int, bool]] = {}
-        self._arcs = 0
         self._first: dict[str, bytes] = {}
         self._kept, self._cuts = _Memory(WORDS_KEPT), _Memory(WORDS_KEPT)
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether the state after token x has an arc labelled y in the finished automaton."""
-        if self._arcs >= ARCS_KEPT:
-            self.table.clear()
-            self._arcs = 0
-        found = self.table.setdefault(x, {})[y] = self._arc(x, y)
-        self._arcs += 1
-        return found
+    def _compile(self) -> None:
+        """The tree as a double array: the child of a node by a byte is at its row's base plus the
+        byte, if that place is owned by the node.  Nodes with children come first."""
+        inner, leaves, queue = [], [], [(self.tree, -1, -1, -1)]
+        for kids, t, up, b in queue:
+            me = len(inner) if kids else -1 - len(leaves)
+            (inner if kids else leaves).append((t, up, b, sorted(kids)))
+            queue += [(under, y, me, byte) for byte, (under, y) in kids.items()]
+        nodes, self._inner = inner + leaves, len(inner)
+        self._tokens = np.array([t for t, *_ in nodes], np.int64)
+        # Rows with many children find room first; those with one child fill the holes.  After
+        # several places that do not fit, the part before is left to rows with one child.
+        room, base, low = bytearray(256 * (len(inner) + 2)), [0] * len(inner), 0
+        for node in sorted(range(len(inner)), key=lambda i: -len(inner[i][3])):
+            kids, tries = inner[node][3], 0
+            free = room.find(0, max(kids[0], low if len(kids) > 1 else 0))
+            while any(room[free - kids[0] + b] for b in kids):
+                free, tries = room.find(0, free + 1), tries + 1
+            low = max(low, free) if tries > 8 else low
+            base[node] = free - kids[0]
+            for b in kids:
+                room[base[node] + b] = 1
+        self._base = np.array(base, np.int64)
+        n = max(base) + 256
+        self._owner, self._child = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        for node, (_, up, b, _) in enumerate(nodes):
+            if up >= 0:
+                self._owner[base[up] + b], self._child[base[up] + b] = up, node
+        n = max(self.label) + 1
+        self._size, self._next = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        for label, t in self.token.items():
+            self._size[t], self._next[t] = len(label), self.shorter[t]
+        # Slots of the arc table: a state and an arc as one number, twice, plus one if there is an arc.
+        self._slots = np.full(ARC_SLOTS, -1, np.int64)
+
+    def arcs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the state after token x[i] has an arc y[i] in the finished automaton."""
+        key = (x << 32) | y
+        # Multiplied by an odd number, the upper bits depend on all of x and y.
+        slot = ((key * -7046029254386353131) >> 40) & (len(self._slots) - 1)
+        found = self._slots[slot]
+        unknown = np.flatnonzero(found >> 1 != key)
+        if len(unknown):
+            new, place = np.unique(key[unknown], return_inverse=True)
+            known = np.array([k << 1 | self._arc(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], np.int64)
+            found[unknown] = known[place]
+            self._slots[slot[unknown]] = found[unknown]
+        return (found & 1).astype(bool)
+
+    def _longest_at(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest token that stands at each place, not beyond its end."""
+        best, who = np.empty(len(at), np.int64), np.arange(len(at))
+        node = np.zeros(len(at), np.int64)
+        while len(who):
+            place = self._base[node] + data[at]
+            on = self._owner[place] == node
+            who, node, at, end = who[on], self._child[place[on]], at[on] + 1, end[on]
+            t = self._tokens[node]
+            has = t >= 0
+            best[who[has]] = t[has]
+            on = (node < self._inner) & (at < end)
+            who, node, at, end = who[on], node[on], at[on], end[on]
+        return best
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-split words, none empty: the runs of ``encode_word``, a step at a time for all."""
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            out += self._walk(words[i:i + TOGETHER])
+        return out
+
+    def _walk(self, words: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"".join(words), np.uint8)
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        start = np.concatenate((np.zeros(1, np.int64), end[:-1]))
+        # A word has no more tokens than bytes, so both share its stretch of places.
+        ids, dead = np.zeros(len(data), np.int64), np.zeros(len(data) + 1, bool)
+        at, top = start.copy(), start.copy()
+        who = np.flatnonzero(end - start <= LONG)
+        alone = np.flatnonzero(end - start > LONG).tolist()
+        y = self._longest_at(data, at[who], end[who])
+        while len(who) > FEW:
+            a, k = at[who], top[who]
+            stuck = y < 0
+            to = a + self._size[y]
+            ok = ~stuck
+            ok[ok] = ~dead[to[ok]]
+            follows = np.flatnonzero(ok & (k > start[who]))
+            ok[follows] = self.arcs(ids[k[follows] - 1], y[follows])
+            # On: the arc is taken.
+            go = np.flatnonzero(ok)
+            w = who[go]
+            ids[k[go]] = y[go]
+            at[w], top[w] = to[go], k[go] + 1
+            # Back: no arc leads on from this place, whatever came before; its last arc is taken back.
+            back = np.flatnonzero(stuck)
+            w = who[back]
+            dead[a[back]] = True
+            top[w] = k[back] - 1
+            last = ids[top[w]]
+            at[w] = a[back] - self._size[last]
+            # What to try next: the longest token at the new place, else the next shorter one.
+            y = self._next[y]
+            y[back] = self._next[last]
+            left = at[who] < end[who]
+            go = go[left[go]]
+            y[go] = self._longest_at(data, at[who[go]], end[who[go]])
+            who, y = who[left], y[left]
+        raw = ids.astype("<u4").tobytes()
+        out = [raw[4 * i:4 * j] for i, j in zip(start.tolist(), top.tolist())]
+        for i in [*alone, *who.tolist()]:
+            out[i] = self._pack(self.encode_word(words[i]))
+        return out
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        packed = array("I", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _arc(self, x: int, y: int, before: int = 1 << 62) -> bool:
         """Whether x had an arc y when only the gadgets of rank below ``before`` had been applied."""
@@ -166,8 +278,8 @@ class TokenAutomaton:
         position is reached in one way only; one from which the run cannot go on is dead for good.
         """
         n, at, out = len(word), 0, []
-        tree, shorter, label, table = self.tree, self.shorter, self.label, self.table
-        dead, arcs, fresh = set(), None, True
+        tree, shorter, label = self.tree, self.shorter, self.label
+        dead, fresh = set(), True
         while at < n:
             if fresh:  # the longest token that stands here
                 kids, y = tree, -1
@@ -179,19 +291,18 @@ class TokenAutomaton:
                     if t >= 0:
                         y = t
             while y >= 0:
-                if arcs is None or (ok := arcs.get(y)) or (ok is None and self.arc(out[-1], y)):
+                if not out or self._arc(out[-1], y):
                     to = at + len(label[y])
                     if to not in dead:
                         break
                 y = shorter[y]
             if y >= 0:
                 out.append(y)
-                at, arcs, fresh = to, table.get(y, _NONE), True
+                at, fresh = to, True
             else:  # a dead end: take the last arc back and try its next shorter neighbour
                 dead.add(at)
                 last = out.pop()
                 at, y, fresh = at - len(label[last]), shorter[last], False
-                arcs = table.get(out[-1], _NONE) if out else None
         return out
 
     def _words_of(self, text: str) -> bytes:
@@ -200,28 +311,44 @@ class TokenAutomaton:
         for w in self._words.findall(text):
             ids = self._kept.find(w)
             if ids is None:
-                ids = array("I", self.encode_word(w.encode("utf-8")))
-                if sys.byteorder != "little":
-                    ids.byteswap()
-                ids = ids.tobytes()
+                ids = self._pack(self.encode_word(w.encode("utf-8")))
                 self._kept.keep(w, ids)
             parts.append(ids)
         return b"".join(parts)
 
-    def _cut(self, cut: str) -> bytes:
-        """Ids of a space and ``cut``.  The cuts seen first are mostly the frequent ones; they have
-        a small table of their own, which the processor's caches hold."""
-        ids = self._cuts.find(cut)
-        if ids is None:
-            ids = self._words_of(" " + cut)
-            if len(self._first) < FIRST_KEPT and len(cut) <= 64:
-                self._first[cut] = ids
+    def _look_up(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of a space and each cut of the texts.  New cuts are split into words, and the words
+        not remembered walk the tables together.  The cuts seen first are mostly the frequent ones;
+        they have a table of their own, of which nothing goes."""
+        cuts: set[str] = set()
+        for t in texts:
+            cuts.update(t.split(" "))
+        cuts.discard("")
+        found, new = {}, []
+        for c in cuts:
+            ids = self._first.get(c) or self._cuts.find(c)
+            if ids is None:
+                new.append(c)
             else:
-                self._cuts.keep(cut, ids)
-        return ids
+                found[c] = ids
+        split = [self._words.findall(" " + c) for c in new]
+        words: dict[str, bytes | None] = dict.fromkeys(w for ws in split for w in ws)
+        for w in words:
+            words[w] = self._kept.find(w)
+        lacking = [w for w, ids in words.items() if ids is None]
+        for w, ids in zip(lacking, self.encode_words([w.encode("utf-8") for w in lacking])):
+            words[w] = ids
+            self._kept.keep(w, ids)
+        for c, ws in zip(new, split):
+            found[c] = ids = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            if len(self._first) < FIRST_KEPT and len(c) <= 64:
+                self._first[c] = ids
+            else:
+                self._cuts.keep(c, ids)
+        return found
 
-    def _packed(self, text: str) -> bytes:
-        """Ids of a text without added tokens.
+    def _packed(self, text: str, known: dict[str, bytes]) -> bytes:
+        """Ids of a text without added tokens; ``known`` holds those of its cuts.
 
         No pre-split word reaches across a space with other characters than white space on both
         sides, so the text is cut there and whole cuts are remembered.  Around longer runs of
@@ -241,11 +368,9 @@ class TokenAutomaton:
                 smooth = text[at:a].split(" ")
                 if smooth[0]:  # the start of the text: no space before it
                     out.append(self._words_of(smooth[0]))
-                found = list(map(self._first.get, smooth[1:]))
-                if None in found:
-                    for i, ids in enumerate(found):
-                        if ids is None:
-                            found[i] = self._cut(smooth[i + 1])
+                found = list(map(known.get, smooth[1:]))
+                if None in found:  # next to an added token
+                    found = [self._words_of(" " + c) if ids is None else ids for c, ids in zip(smooth[1:], found)]
                 out += found
             if a < b:
                 out.append(self._words_of(text[a:b]))
@@ -254,11 +379,19 @@ class TokenAutomaton:
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for several texts at once."""
+        known = self._look_up(texts)
+        return [self._encode(t, known) for t in texts]
+
+    def _encode(self, text: str, known: dict[str, bytes]) -> bytes:
         out, at = [], 0
         for m in self._split.finditer(text) if self._split else ():
-            out += [self._packed(text[at:m.start()]), self.added[m[0]].to_bytes(4, "little")]
+            out += [self._packed(text[at:m.start()], known), self.added[m[0]].to_bytes(4, "little")]
             at = m.end()
-        out.append(self._packed(text[at:] if at else text))
+        out.append(self._packed(text[at:] if at else text, known))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -316,7 +449,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col:
         auto = _automaton(spec)
         for b in batches:
             for part in _pieces(b, at):
-                ids = [auto.encode(t.as_py()) for t in part.column(at)]
+                ids = auto.encode_all(part.column(at).to_pylist())
                 made = [pa.array(ids, pa.binary())]
                 if decoded_col:
                     made.append(pa.array(map(auto.decode, ids), pa.string()))

@@ -58,7 +58,7 @@ def test_edges(library, automaton, text):
 def test_small_memories_change_nothing(library, monkeypatch):
     from marktext.llm import bpe_automaton as B
     monkeypatch.setattr(B, "WORDS_KEPT", 3)
-    monkeypatch.setattr(B, "ARCS_KEPT", 5)
+    monkeypatch.setattr(B, "ARC_SLOTS", 4)
     monkeypatch.setattr(B, "FIRST_KEPT", 2)
     small = TokenAutomaton(**read_tokenizer(PATH))
     same(library, small, "the quick brown fox jumps over the lazy dog and the quick cat " * 3)
