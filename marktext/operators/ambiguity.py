@@ -267,7 +267,7 @@ def char_counts(texts: DataFrame, text_col: str = "text", group_cols: tuple[str,
                 ordinal: str | None = None) -> DataFrame:
     """Character counts ``(group..., ch, n, first_ord, first_pos)``.
 
-    Each task counts its own documents with C-level ``set`` / ``str.count`` (a map-side combiner
+    Each task counts its own documents by ``bincount`` over codepoints (a map-side combiner
     that emits at most groups x alphabet rows); Spark then merges the partial counts by
     key.  No row per character is ever materialised.  ``first_*`` is the earliest
     (ordinal, codepoint position) of the character when ``ordinal`` is given.
@@ -278,28 +278,38 @@ def char_counts(texts: DataFrame, text_col: str = "text", group_cols: tuple[str,
     cols = [*group_cols, text_col] + ([ordinal] if ordinal else [])
 
     def count(batches):
+        import numpy as np
         import pandas as pd
         acc: dict = {}
         for pdf in batches:
-            gvals = [pdf[g].tolist() for g in group_cols]
-            txts = pdf[text_col].tolist()
-            ords = pdf[ordinal].tolist() if ordinal else None
-            for i, t in enumerate(txts):
-                if t is None:
-                    continue
-                g = tuple(v[i] for v in gvals)
-                o = int(ords[i]) if ords is not None else None
-                for ch in set(t):
-                    n = t.count(ch)
-                    k = g + (ch,)
-                    e = acc.get(k)
+            pdf = pdf[pdf[text_col].notna()]
+            if ordinal:  # the first place of a character is then its first one in the batch
+                pdf = pdf.sort_values(ordinal, kind="stable")
+            parts = pdf.groupby(list(group_cols), dropna=False, sort=False) if group_cols else [((), pdf)]
+            for key, part in parts:
+                txts = part[text_col].tolist()
+                code = np.frombuffer("".join(txts).encode("utf-32-le", "surrogatepass"), np.uint32)
+                totals = np.bincount(code)
+                seen = np.flatnonzero(totals)
+                if ordinal:
+                    first = np.zeros(len(totals), np.int64)
+                    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+                    ends = np.cumsum(np.fromiter(map(len, txts), np.int64, len(txts)))
+                    doc = np.searchsorted(ends, first[seen], side="right")
+                    ords = part[ordinal].to_numpy()[doc].tolist()
+                    places = (first[seen] - np.concatenate(([0], ends))[doc]).tolist()
+                else:
+                    ords = places = [None] * len(seen)
+                g = tuple(None if pd.isna(v) else v for v in key)
+                for cp, n, *where in zip(seen.tolist(), totals[seen].tolist(), ords, places):
+                    e = acc.get((*g, cp))
                     if e is None:
-                        acc[k] = [n, o, t.find(ch) if o is not None else None]
+                        acc[(*g, cp)] = [n, *where]
                     else:
                         e[0] += n
-                        if o is not None and o < e[1]:
-                            e[1], e[2] = o, t.find(ch)
-        rows = [(*k, v[0], v[1], v[2]) for k, v in acc.items()]
+                        if ordinal and where[0] < e[1]:
+                            e[1:] = where
+        rows = [(*k[:-1], chr(k[-1]), *v) for k, v in acc.items()]
         names = [*group_cols, "ch", "n", "first_ord", "first_pos"]
         pdf = pd.DataFrame(rows, columns=names)
         pdf = pdf.astype({"n": "int64", "first_ord": "Int64", "first_pos": "Int64"})

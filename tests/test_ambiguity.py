@@ -121,3 +121,22 @@ def test_sampled_windows_ignore_gaps_in_ids(spark, mini_corpus):
     one = A.window_ambiguity_sampled(mini_corpus, forms, window=2, n_samples=1000).first()
     two = A.window_ambiguity_sampled(gapped, forms, window=2, n_samples=1000).first()
     assert one == two and one["windows"] == 1000
+
+
+def test_character_counts_with_first_places(spark):
+    rnd = random.Random(2)
+    rows = [(i * 7 % 100, rnd.choice(["a", None, "b"]), rnd.choice([None, "", "".join(rnd.choice("xyz \U0001f600ب") for _ in range(9))]))
+            for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, part string, text string").repartition(3)
+    for ordinal in ("doc_id", None):
+        got = {(r["part"], r["ch"]): (r["n"], r["first_ord"], r["first_pos"])
+               for r in A.char_counts(df, group_cols=("part",), ordinal=ordinal).collect()}
+        total, first = Counter(), {}
+        for i, part, text in sorted(rows, key=lambda r: r[0]):
+            for at, ch in enumerate(text or ""):
+                total[part, ch] += 1
+                first.setdefault((part, ch), (i, at) if ordinal else (None, None))
+        assert got == {k: (n, *first[k]) for k, n in total.items()}
+    whole = {r["ch"]: r["n"] for r in A.char_counts(df).collect()}
+    assert whole == Counter("".join(t or "" for _, _, t in rows))
+    assert A.char_counts(df.limit(0), group_cols=("part",), ordinal="doc_id").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from conftest import BA, FATHA, KAF, KASRA, SHADDA, SUKUN, TA, marked, mini_sentences, py_encode
 from pyspark.sql import functions as F
 
@@ -96,3 +98,15 @@ def test_encoding_preserves_blankness(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
         X.is_not_blank("t").alias("a"), X.is_not_blank(X.atomic_encode("t")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows)
+
+
+def test_units_of_random_batches():
+    """Whole batches against the pattern, document by document: units never cross documents."""
+    rnd = random.Random(5)
+    alphabet = [*map(marked, (BA, TA, KAF)), *C.MARKS, chr(C.SHADDAH), chr(0x0671), chr(0xE003), chr(0xE28F), "a", " ", "\U0001f600", "ۿ", "؀"]
+    for _ in range(300):
+        texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 2, 3, 12]))) for _ in range(rnd.randrange(9))]
+        assert X.encode_units(texts) == [py_encode(t) for t in texts]
+    units = list(C.atomic_mapping())
+    assert X.encode_units(units) == list(C.atomic_mapping().values())
+    assert X.encode_units(["", *mini_sentences(), ""]) == ["", *map(py_encode, mini_sentences()), ""]
