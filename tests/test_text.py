@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 from conftest import BA, FATHA, KAF, KASRA, SHADDA, SUKUN, TA, marked, mini_sentences, py_encode
 from pyspark.sql import functions as F
 
 from marktext.functions import chars as C
 from marktext.functions import text as X
+from marktext.operators import ambiguity as A
+from marktext.operators import corpus as K
 
 
 def test_mapping_size_and_closed_form():
@@ -110,3 +113,38 @@ def test_units_of_random_batches():
     units = list(C.atomic_mapping())
     assert X.encode_units(units) == list(C.atomic_mapping().values())
     assert X.encode_units(["", *mini_sentences(), ""]) == ["", *map(py_encode, mini_sentences()), ""]
+
+
+def test_blocks_of_the_encoder():
+    """Any block size gives the same texts; long texts are divided between units."""
+    rnd = random.Random(6)
+    alphabet = [*map(marked, (BA, TA, KAF)), *C.MARKS, chr(C.SHADDAH), chr(C.SHADDAH), "a", " "]
+    for _ in range(100):
+        texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 3, 12, 40]))) for _ in range(rnd.randrange(9))]
+        assert X.encode_units(texts, size=rnd.randrange(1, 20)) == [py_encode(t) for t in texts]
+
+
+def test_encoder_memory_does_not_grow_with_the_batch():
+    texts = [("x" + marked(BA, FATHA, KAF) + " ") * 200] * 4000               # 4 million codepoints
+    tracemalloc.start()
+    X.encode_units(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000
+
+
+def test_long_runs_without_marks(spark):
+    """A greedy group overflowed the stack of Java's matcher on a run of some thousand characters."""
+    run = "ab " + chr(BA) * 3
+    df = spark.createDataFrame([(1, run * 20_000 + marked(BA, FATHA)), (2, marked(BA, FATHA))], "doc_id long, vocalized string")
+    rows = K.atomic_unit_histogram(df).collect()
+    assert [(r["seq"], r["n"]) for r in rows] == [(marked(BA, FATHA), 2)]
+    assert df.select(X.atomic_encode_builtin("vocalized").alias("t")).collect() == df.select(X.atomic_encode("vocalized").alias("t")).collect()
+
+
+def test_character_counts_over_blocks(spark):
+    """Counts and first places are those of the whole, however many blocks a batch makes."""
+    texts = [(7, "ab" * 300_000), (3, "b" * 600_000 + "c"), (5, "ca" * 300_000)]
+    rows = A.char_counts(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "text", (), "doc_id").collect()
+    assert {r["ch"]: (r["n"], r["first_ord"], r["first_pos"]) for r in rows} == {
+        "a": (600_000, 5, 1), "b": (900_000, 3, 0), "c": (300_001, 3, 600_000)}
