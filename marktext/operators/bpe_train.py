@@ -2,17 +2,20 @@
 
 One merge a job would take thousands of jobs for a vocabulary of 8,192.  Instead
 
-* the driver guesses the next merges by training on the most frequent words alone (a bounded head);
+* the driver guesses the next merges by training on the most frequent words alone (a bounded
+  head), from the exact counts of all pairs; what the head shows of a merge is carried on to all words;
 * one job lets every task apply the guessed merges, in order, to its share of *all* distinct
-  words.  A posting index (pair -> words that hold it) makes a merge touch only those words, and
-  a task reports what each step does to the pair counts: ``(step, left, right, change)``;
+  words, and report what each merge does to the pair counts: ``(step, a, b, change)``.  Words lie in
+  arrays of symbols.  Ranks never fall while a word is encoded, so each word takes its own lowest merge in
+  every round, and a batch takes as many rounds as a word takes merges, not one pass a merge;
 * the driver, which holds the exact count of every pair, replays the changes.  A guess is accepted
   while it is the pair that sequential BPE picks from the exact counts; the first one that is not
   ends the batch, and the words go on from there.
 
-The result equals one-merge-at-a-time training whatever the guesses are: they decide only how many
-merges a job settles.  When the head holds all distinct words every guess is right.  What reaches
-the driver is bounded by the vocabulary: pair counts, changes of a batch, and the head.
+The first guess of a job is the exact one, and the result equals one-merge-at-a-time training
+whatever the guesses are: they decide only how many merges a job settles.  When the head holds all
+distinct words every guess is right.  What reaches the driver is bounded by the vocabulary: pair
+counts, changes of a batch, and the head.
 """
 
 from __future__ import annotations
@@ -28,70 +31,30 @@ from ..session import ensure_checkpoint_dir
 
 N_BYTES = 256
 #: Distinct words, the most frequent first, from which the driver guesses.
-HEAD_WORDS = 1 << 19
-#: Merges guessed for one job.
-BATCH = 1024
+HEAD_WORDS = 1 << 20
+#: Merges guessed for one job, and the fewest after guesses that failed.
+BATCH, FEWEST = 1024, 64
+#: Jobs that apply accepted merges anew before the words are written out with them.
+PENDING_JOBS = 8
+#: Symbols of a block of words, and distinct words of a task, about.
+BLOCK, SHARE = 1 << 20, 1 << 15
 
 Pair = tuple[int, int]
-
-
-class PairIndex:
-    """Words as symbol lists with pair counts and, for every pair, the words that may hold it."""
-
-    def __init__(self, words: Iterable[tuple[list[int], int]]):
-        self.words, self.freqs = [], []
-        self.counts: dict[Pair, int] = defaultdict(int)
-        self.where: dict[Pair, set[int]] = defaultdict(set)
-        for symbols, freq in words:
-            for pair in zip(symbols, symbols[1:]):
-                self.counts[pair] += freq
-                self.where[pair].add(len(self.words))
-            self.words.append(symbols)
-            self.freqs.append(freq)
-
-    def merge(self, pair: Pair, new: int) -> dict[Pair, int]:
-        """Replace the pair by ``new`` in all words, left to right; the changes of the pair counts."""
-        change: dict[Pair, int] = defaultdict(int)
-        a, b = pair
-        for k in self.where.pop(pair, ()):
-            word, freq, i = self.words[k], self.freqs[k], -1
-            while True:
-                try:
-                    i = word.index(a, i + 1)
-                except ValueError:
-                    break
-                if i + 1 == len(word):
-                    break
-                if word[i + 1] != b:
-                    continue
-                change[pair] -= freq
-                if i:
-                    before = word[i - 1]
-                    change[before, a] -= freq
-                    change[before, new] += freq
-                    self.where[before, new].add(k)
-                if i + 2 < len(word):
-                    after = word[i + 2]
-                    change[b, after] -= freq
-                    change[new, after] += freq
-                    self.where[new, after].add(k)
-                word[i:i + 2] = [new]
-        change = {p: n for p, n in change.items() if n}
-        for p, n in change.items():
-            self.counts[p] += n
-        return change
+#: Bits of a symbol in a packed key ``step, left, right``.
+BITS = 24
+MASK = (1 << BITS) - 1
 
 
 class Ranking:
     """The pair that comes next: the highest count, then the smallest left and right symbol."""
 
     def __init__(self, counts: dict[Pair, int]):
-        self.counts = defaultdict(int, counts)
-        self.heap = [(-n, p) for p, n in counts.items() if n > 0]
+        self.counts = defaultdict(int, {p: n for p, n in counts.items() if n > 0})
+        self.heap = [(-n, p) for p, n in self.counts.items()]
         heapq.heapify(self.heap)
 
-    def change(self, changes: dict[Pair, int]) -> None:
-        for p, n in changes.items():
+    def change(self, changes: Iterable[tuple[Pair, int]]) -> None:
+        for p, n in changes:
             self.counts[p] += n
             if self.counts[p] > 0:
                 heapq.heappush(self.heap, (-self.counts[p], p))
@@ -105,61 +68,248 @@ class Ranking:
         return None
 
 
-def _guesses(head: PairIndex, ranking: Ranking, first_id: int, size: int, min_count: int) -> list[Pair]:
-    """The next merges if the head were the whole corpus."""
-    out = []
-    while len(out) < size and (top := ranking.best()) and top[1] >= min_count:
-        ranking.change(head.merge(top[0], first_id + len(out)))
+def _summed(keys, amounts):
+    """Distinct keys and the sum of the amounts of each."""
+    import numpy as np
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(amounts[order], first) if len(first) else amounts[:0]
+
+
+def _every_other(at, following):
+    """Of sorted places those that are taken left to right, where a place may be the following one of
+    the place before it (a run of one symbol)."""
+    import numpy as np
+    i = np.arange(len(at))
+    begins = np.ones(len(at), bool)
+    begins[1:] = at[1:] != following[:-1]
+    return (i - np.maximum.accumulate(np.where(begins, i, 0))) % 2 == 0
+
+
+def merge_words(symbols, freqs, pairs: list[Pair], first_id: int, since: int | None = 0):
+    """Words ``symbols`` (each ended by -1) after the merges, in order, and what each merge from number
+    ``since`` on (None: none) does to the pair counts: ``(symbols, freqs, keys, changes)``, keys packed from
+    (step, left, right).  The words come in another order."""
+    import numpy as np
+    left, right = np.array(pairs, np.int64).reshape(-1, 2).T
+    n_ids = first_id + len(pairs)
+    starts, ends = np.zeros(n_ids + 1, bool), np.zeros(n_ids + 1, bool)         # the last entry is that of -1
+    starts[left], ends[right] = True, True
+    wanted = left << BITS | right
+    order = np.argsort(wanted)
+    wanted = wanted[order]
+    ready, found = [], []
+
+    def noted(at, steps, sign):
+        """The pairs that begin at these places."""
+        at = at[(at >= 0) & (at < len(symbols) - 1)]
+        at = at[(symbols[at] >= 0) & (symbols[at + 1] >= 0)]
+        word = np.searchsorted(stops, at)
+        told = steps[word] >= since
+        at, word = at[told], word[told]
+        key = (steps[word] - since) << 2 * BITS | symbols[at].astype(np.int64) << BITS | symbols[at + 1]
+        found.append((key, sign * freqs[word]))
+
+    while True:
+        at = np.flatnonzero(starts[symbols[:-1]] & ends[symbols[1:]])
+        keys = symbols[at].astype(np.int64) << BITS | symbols[at + 1]
+        place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        hit = wanted[place] == keys
+        at, step = at[hit], order[place[hit]]
+        if not len(at):
+            ready.append((symbols, freqs))
+            break
+        stops = np.flatnonzero(symbols < 0)
+        word = np.searchsorted(stops, at)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        active = np.zeros(len(stops), bool)
+        active[word[first]] = True
+        lowest = np.minimum.reduceat(step, first)        # of every active word
+        at = at[step == np.repeat(lowest, np.diff(first, append=len(at)))]
+        of_active = np.repeat(active, np.diff(stops, prepend=-1))
+        ready.append((symbols[~of_active], freqs[~active]))
+        at = (np.cumsum(of_active) - 1)[at]
+        symbols, freqs = symbols[of_active], freqs[active]
+        stops = np.flatnonzero(symbols < 0)
+        at = at[_every_other(at, at + 1)]
+        if since is not None:
+            noted(np.unique(np.concatenate((at - 1, at, at + 1))), lowest, -1)
+        symbols[at] = first_id + lowest[np.searchsorted(stops, at)]
+        stays = np.ones(len(symbols), bool)
+        stays[at + 1] = False
+        symbols = symbols[stays]
+        stops = np.flatnonzero(symbols < 0)
+        if since is not None:
+            now = at - np.arange(len(at))
+            noted(np.unique(np.concatenate((now - 1, now))), lowest, 1)
+    symbols, freqs = map(np.concatenate, zip(*ready))
+    keys, changes = _summed(*map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return symbols, freqs, keys[changes != 0], changes[changes != 0]
+
+
+class Head:
+    """Words for the guesses: symbols as linked lists in arrays, and for every pair the places that may hold it."""
+
+    def __init__(self, symbols, freqs):
+        import numpy as np
+        self.symbols, n = symbols.copy(), len(symbols)
+        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        self.freqs, self.word = freqs, np.repeat(np.arange(len(freqs), dtype=np.int32), np.diff(np.flatnonzero(symbols < 0), prepend=-1))
+        self.places: dict[int, list] = defaultdict(list)
+        for i in range(0, n - 1, BLOCK):
+            self._note(*self._pairs(np.arange(i, min(i + BLOCK, n - 1), dtype=np.int32)))
+
+    def _pairs(self, at):
+        """Those of the places that begin a pair, and the pairs' keys."""
+        import numpy as np
+        at = at[(at >= 0) & (at < len(self.symbols) - 1)]
+        at = at[self.symbols[at] >= 0]
+        at = at[self.symbols[self.after[at]] >= 0]
+        return at, self.symbols[at].astype(np.int64) << BITS | self.symbols[self.after[at]]
+
+    def _note(self, at, keys) -> None:
+        import numpy as np
+        order = np.argsort(keys, kind="stable")
+        at, keys = at[order], keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        for key, i, j in zip(keys[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+            self.places[key].append(at[i:j])
+
+    def merge(self, pair: Pair, new: int):
+        """Replace the pair by ``new``; keys and changes of the pair counts."""
+        import numpy as np
+        a, b = pair
+        at = np.unique(np.concatenate(self.places.pop(a << BITS | b, None) or [np.zeros(0, np.int32)]))
+        at = at[self.symbols[at] == a]
+        at = at[self.symbols[self.after[at]] == b]
+        if a == b:
+            at = at[_every_other(at, self.after[at])]
+        follows = self.after[at]
+        old, lost = self._pairs(np.unique(np.concatenate((self.before[at], at, follows))))
+        self.symbols[at], self.symbols[follows] = new, -2
+        self.after[at] = self.after[follows]
+        self.before[self.after[at]] = at
+        now, won = self._pairs(np.unique(np.concatenate((self.before[at], at))))
+        self._note(now, won)
+        return _summed(np.concatenate((lost, won)), np.concatenate((-self.freqs[self.word[old]], self.freqs[self.word[now]])))
+
+
+def _enlarged(pair: Pair, count: int, keys, changes):
+    """What the head shows of a merge, carried on to all words."""
+    own = pair[0] << BITS | pair[1]
+    changed = dict(zip(keys.tolist(), changes.tolist()))
+    part = count / held if (held := -changed.pop(own, 0)) > 0 else 1.0
+    for key, n in changed.items():
+        yield (key >> BITS, key & MASK), round(n * part)
+    yield pair, -count                                   # merged, so none is left
+
+
+def _guesses(exact: Ranking, head: Head, first_id: int, size: int, min_count: int) -> list[Pair]:
+    """The next merges: the first one by the exact counts, the others as the head lets expect."""
+    expected, out = Ranking(exact.counts), []
+    while len(out) < size and (top := expected.best()) and top[1] >= min_count:
+        expected.change(_enlarged(*top, *head.merge(top[0], first_id + len(out))))
         out.append(top[0])
     return out
 
 
-def _rows(batch) -> list[tuple[list[int], int]]:
+def _long_words(symbols, freqs):
+    """The words that still hold a pair."""
+    import numpy as np
+    lengths = np.diff(np.flatnonzero(symbols < 0), prepend=-1) - 1
+    return symbols[np.repeat(lengths > 1, lengths + 1)], freqs[lengths > 1]
+
+
+def _joined(batch):
+    """A batch of ``(word, freq)`` as ``(symbols, freqs)``."""
     import numpy as np
-    return [(np.frombuffer(s, np.int32).tolist(), n) for s, n in zip(batch.column("symbols").to_pylist(), batch.column("freq").to_pylist())]
+    words = batch.column("word").to_pylist()
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    symbols = np.full(int(lengths.sum()) + len(words), -1, np.int32)
+    stays = np.ones(len(symbols), bool)
+    stays[np.cumsum(lengths + 1) - 1] = False
+    symbols[stays] = np.frombuffer(b"".join(words), np.uint8)
+    return symbols, batch.column("freq").to_numpy(zero_copy_only=False)
 
 
-def _initial(hist: DataFrame) -> DataFrame:
-    """``(symbols, freq)``: words of two bytes and more; symbols are packed 32-bit numbers."""
+def _words_of(table):
+    import numpy as np
+    parts = [_joined(b) for b in table.to_batches()] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _blocks(batches):
+    import numpy as np
+    for b in batches:
+        for s, f in zip(b.column("symbols"), b.column("freqs")):
+            yield np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(f.as_buffer(), np.int64)
+
+
+def _packed(blocks):
+    import pyarrow as pa
+    for symbols, freqs in blocks:
+        yield pa.RecordBatch.from_pydict({"symbols": pa.array([symbols.tobytes()], pa.binary()), "freqs": pa.array([freqs.tobytes()], pa.binary())})
+
+
+def _initial(words: DataFrame) -> DataFrame:
+    """``(symbols, freqs)``: blocks of words, symbols as packed 32-bit numbers."""
     def pack(batches):
         import numpy as np
-        import pyarrow as pa
-        for b in batches:
-            words = [(np.frombuffer(w, np.uint8).astype(np.int32).tobytes(), n)
-                     for w, n in zip(b.column("word").to_pylist(), b.column("freq").to_pylist()) if w is not None and len(w) > 1]
-            yield pa.RecordBatch.from_pydict({"symbols": pa.array([w for w, _ in words], pa.binary()),
-                                              "freq": pa.array([n for _, n in words], pa.int64())})
-    return (hist.select(F.col("pretoken").cast("binary").alias("word"), F.col("freq").cast("long").alias("freq"))
-            .mapInArrow(pack, "symbols binary, freq long"))
-
-
-def _tried(words: DataFrame, guesses: list[Pair], first_id: int) -> DataFrame:
-    """Rows ``(step, a, b, n)``: what each guessed merge does to the pair counts; and with step -1
-    the words ``(symbols, freq)`` after all of them.  Written out, since both are read."""
+
+        def blocks():
+            held, size = [], 0
+            for b in batches:
+                held.append(_joined(b))
+                size += len(held[-1][0])
+                if size >= BLOCK:
+                    yield tuple(map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+            if held:
+                yield tuple(map(np.concatenate, zip(*held)))
+        yield from _packed(blocks())
+    return words.mapInArrow(pack, "symbols binary, freqs binary")
+
+
+def _rows(keys, n):
+    import numpy as np
+    import pyarrow as pa
+    return pa.RecordBatch.from_pydict({"step": pa.array((keys >> 2 * BITS).astype(np.int32)), "a": pa.array((keys >> BITS & MASK).astype(np.int32)),
+                                       "b": pa.array((keys & MASK).astype(np.int32)), "n": pa.array(n)})
+
+
+def _changes(words: DataFrame, pairs: list[Pair], first_id: int, since: int) -> dict[int, dict[Pair, int]]:
+    """What each merge from number ``since`` on does to the pair counts."""
     def go(batches):
         import numpy as np
-        import pyarrow as pa
-        index = PairIndex(row for b in batches for row in _rows(b))
-        rows = [(t, p[0], p[1], n, None) for t, pair in enumerate(guesses) for p, n in index.merge(pair, first_id + t).items()]
-        rows += [(-1, 0, 0, f, np.array(w, np.int32).tobytes()) for w, f in zip(index.words, index.freqs) if len(w) > 1]
-        kinds = {"step": pa.int32(), "a": pa.int32(), "b": pa.int32(), "n": pa.int64(), "symbols": pa.binary()}
-        yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())})
-    return words.mapInArrow(go, "step int, a int, b int, n long, symbols binary").checkpoint()
+        found = [merge_words(s, f, pairs, first_id, since)[2:] for s, f in _blocks(batches)]
+        if found:
+            yield _rows(*_summed(*map(np.concatenate, zip(*found))))
+    return _by_step(words.mapInArrow(go, "step int, a int, b int, n long"))
 
 
-def _merged(words: DataFrame, accepted: list[Pair], first_id: int) -> DataFrame:
-    """Words after the accepted merges; words of one symbol hold no pair any more and go."""
+def _pair_counts(words: DataFrame) -> dict[Pair, int]:
     def go(batches):
         import numpy as np
-        import pyarrow as pa
-        for b in batches:
-            index = PairIndex(_rows(b))
-            for t, pair in enumerate(accepted):
-                index.merge(pair, first_id + t)
-            left = [k for k, w in enumerate(index.words) if len(w) > 1]
-            yield pa.RecordBatch.from_pydict({"symbols": pa.array([np.array(index.words[k], np.int32).tobytes() for k in left], pa.binary()),
-                                              "freq": pa.array([index.freqs[k] for k in left], pa.int64())})
-    return words.mapInArrow(go, "symbols binary, freq long")
+        for symbols, freqs in _blocks(batches):
+            at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+            yield _rows(*_summed(symbols[at].astype(np.int64) << BITS | symbols[at + 1], freqs[np.searchsorted(np.flatnonzero(symbols < 0), at)]))
+    return _by_step(words.mapInArrow(go, "step int, a int, b int, n long")).get(0, {})
+
+
+def _by_step(rows: DataFrame) -> dict[int, dict[Pair, int]]:
+    table = rows.groupBy("step", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
+    out: dict[int, dict[Pair, int]] = defaultdict(dict)
+    for t, a, b, n in zip(*(table.column(c).to_pylist() for c in ("step", "a", "b", "n"))):
+        out[t][a, b] = n
+    return out
+
+
+def _merged(words: DataFrame, pairs: list[Pair], first_id: int) -> DataFrame:
+    """Words after the merges; words of one symbol hold no pair any more and go."""
+    def go(batches):
+        yield from _packed(_long_words(*merge_words(s, f, pairs, first_id, None)[:2]) for s, f in _blocks(batches))
+    return words.mapInArrow(go, "symbols binary, freqs binary")
 
 
 def bpe_train(hist: DataFrame, vocab_size: int, n_special: int, min_count: int = 1,
@@ -172,51 +322,36 @@ def bpe_train(hist: DataFrame, vocab_size: int, n_special: int, min_count: int =
     spark = hist.sparkSession
     ensure_checkpoint_dir(spark)
     n_merges = max(0, vocab_size - n_special - N_BYTES)
-    # A fixed number of shares: the table is small in bytes, not in work.
-    words = _initial(hist.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))).checkpoint()
-    # Byte pairs: at most 65,536 rows.
-    exact = Ranking({(r["a"], r["b"]): r["n"] for r in _pair_counts(words).toLocalIterator()})
-    head = guessed = None
+    long_words = hist.select(F.col("pretoken").cast("binary").alias("word"), F.col("freq").cast("long").alias("freq")).where("octet_length(word) > 1")
+    shares = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + long_words.count() // SHARE)
+    words = _initial(long_words.repartition(shares)).checkpoint()
+    top_words = _words_of(long_words.orderBy(F.desc("freq"), "word").limit(head_words).toArrow())
+    exact, head = Ranking(_pair_counts(words)), Head(*top_words)
     merges: list[tuple[int, int, int, int, int]] = []
-    while len(merges) < n_merges and (top := exact.best()) and top[1] >= min_count:
-        first_id = N_BYTES + len(merges)
-        if head is None:
-            head = PairIndex(_rows(words.orderBy(F.desc("freq"), "symbols").limit(head_words).toArrow()))
-            guessed = Ranking(head.counts)
-        guesses = _guesses(head, guessed, first_id, min(batch, n_merges - len(merges)), min_count)
-        sure = guesses[:1] == [top[0]]
-        if not sure:
-            guesses = [top[0]]                           # the head is wrong from the start: settle one merge
-        tried = _tried(words, guesses, first_id)
-        changes = tried.where("step >= 0").groupBy("step", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
-        steps = [{} for _ in guesses]
-        for t, a, b, n in zip(*(changes.column(c).to_pylist() for c in ("step", "a", "b", "n"))):
-            steps[t][a, b] = n
+    written = jobs = 0                                   # merges that the written words have, and jobs since
+    size = batch
+    while len(merges) < n_merges and exact.best():
+        base = N_BYTES + written
+        guesses = _guesses(exact, head, N_BYTES + len(merges), min(size, n_merges - len(merges)), min_count)
+        if not guesses:
+            break
+        pending = [(a, b) for _, a, b, _, _ in merges[written:]]
+        steps = _changes(words, pending + guesses, base, len(pending))
         done = 0
-        for pair, change in zip(guesses, steps):
+        for pair in guesses:
             top = exact.best()
             if top is None or top[0] != pair or top[1] < min_count:
                 break
-            merges.append((len(merges), *pair, first_id + done, top[1]))
-            exact.change(change)
+            merges.append((len(merges), *pair, N_BYTES + len(merges), top[1]))
+            exact.change(steps.get(done, {}).items())
             done += 1
-        if done == len(guesses):
-            words = tried.where("step < 0").select("symbols", F.col("n").alias("freq"))
-        elif done:
-            words = _merged(words, guesses[:done], first_id).checkpoint()
-        if not sure or done < len(guesses):
-            head = None                                  # it went another way: take the head from the words as they are
+        pending += guesses[:done]
+        jobs += 1
+        size = min(batch, max(FEWEST, 4 * done))
+        if done < len(guesses):                          # it went another way: the head as it was, with what was accepted
+            head = Head(*merge_words(*top_words, pending, base, None)[:2])
+        if jobs == PENDING_JOBS:
+            words = _merged(words, pending, base).checkpoint()
+            top_words = _long_words(*merge_words(*top_words, pending, base, None)[:2])
+            written, jobs = len(merges), 0
     return spark.createDataFrame(merges, "rank int, left int, right int, token_id int, count bigint")
-
-
-def _pair_counts(words: DataFrame) -> DataFrame:
-    def go(batches):
-        import pyarrow as pa
-        counts: dict[Pair, int] = defaultdict(int)
-        for b in batches:
-            for symbols, freq in _rows(b):
-                for pair in zip(symbols, symbols[1:]):
-                    counts[pair] += freq
-        yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in counts], pa.int32()), "b": pa.array([p[1] for p in counts], pa.int32()),
-                                          "n": pa.array(list(counts.values()), pa.int64())})
-    return words.mapInArrow(go, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))

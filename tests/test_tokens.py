@@ -170,6 +170,60 @@ def test_random_histograms_equal_sequential_training(spark):
         assert [(r["left"], r["right"], r["token_id"], r["count"]) for r in got] == want, seed
 
 
+def test_a_batch_of_merges_equals_one_at_a_time():
+    """Tasks and the driver's head report, for each merge, what sequential training changes."""
+    import random
+
+    import numpy as np
+
+    from marktext.operators import bpe_train as B
+
+    def pairs_of(words):
+        c = Counter()
+        for w, f in words:
+            for p in zip(w, w[1:]):
+                c[p] += f
+        return c
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = [(tuple(rng.choice((1, 1, 2) if seed % 2 else (1, 2, 3, 4)) for _ in range(rng.randint(1, 12))), rng.randint(1, 9)) for _ in range(15)]
+        symbols = np.array([x for w, _ in words for x in (*w, -1)], np.int32)
+        freqs = np.array([f for _, f in words], np.int64)
+        head, merges, want, now = B.Head(symbols, freqs), [], [], words
+        for new in range(5, 5 + rng.randint(1, 8)):
+            counts = pairs_of(now)
+            if not counts:
+                break
+            a, b = rng.choice(sorted(counts))
+            after = []
+            for w, f in now:
+                out = []
+                for x in w:                              # left to right; a made symbol is never the left of the pair
+                    if out and x == b and out[-1] == a:
+                        out[-1] = new
+                    else:
+                        out.append(x)
+                after.append((tuple(out), f))
+            change = pairs_of(after)
+            change.subtract(counts)
+            want.append({p: n for p, n in change.items() if n})
+            keys, n = head.merge((a, b), new)
+            assert {(k >> B.BITS, k & B.MASK): v for k, v in zip(keys.tolist(), n.tolist()) if v} == want[-1]
+            merges.append((a, b))
+            now = after
+        ranked = {p: r for r, p in reversed(list(enumerate(merges)))}
+        if not merges or len(ranked) < len(merges):
+            continue
+        got_symbols, got_freqs, keys, n = B.merge_words(symbols, freqs, merges, 5)
+        assert Counter(zip("".join(f"{x} " for x in got_symbols).split("-1 ")[:-1], got_freqs.tolist())) == Counter(
+            ("".join(f"{x} " for x in w), f) for w, f in now)
+        steps = [{} for _ in merges]
+        for k, v in zip(keys.tolist(), n.tolist()):
+            steps[k >> 2 * B.BITS][k >> B.BITS & B.MASK, k & B.MASK] = v
+        assert steps == want
+
+
 def test_no_limits_by_default(spark):
     docs = spark.createDataFrame([(i, i, "x" * 20_000) for i in range(3)], "doc_id long, ordinal long, text string")
     assert [r["n"] for r in TK.prefix_by_chars(docs).selectExpr("length(text) n").collect()] == [20_000] * 3
