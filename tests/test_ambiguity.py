@@ -140,3 +140,14 @@ def test_character_counts_with_first_places(spark):
     whole = {r["ch"]: r["n"] for r in A.char_counts(df).collect()}
     assert whole == Counter("".join(t or "" for _, _, t in rows))
     assert A.char_counts(df.limit(0), group_cols=("part",), ordinal="doc_id").count() == 0
+
+
+def test_first_places_need_no_sort(spark):
+    """The minimum of a (doc_id, pos) struct had every word sorted before its first aggregation."""
+    ids = [-(1 << 63), -5, -1, 0, (1 << 63) - 1]
+    pairs = spark.createDataFrame([(i, p, "v", f"s{k}") for k, i in enumerate(ids) for p in (7, 3, (1 << 31) - 1)],
+                                  "doc_id long, pos int, variant string, stripped string")
+    for forms in (A.surface_forms(pairs), A.forms_of(A.variant_counts(pairs))):
+        assert sorted((r["first_doc"], r["first_pos"]) for r in forms.collect()) == [(i, 3) for i in ids]
+        assert [f.dataType.simpleString() for f in forms.schema.fields[3:]] == ["bigint", "int"]
+        assert "SortAggregate" not in forms._jdf.queryExecution().executedPlan().toString()
