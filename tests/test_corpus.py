@@ -100,3 +100,18 @@ def test_upsert_report_replaces_keys(spark):
 def test_atomic_map_dimension(spark):
     m = K.atomic_map(spark)
     assert m.count() == 621 and m.where("base IS NULL").count() == 9
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """10,000 whole texts in one Arrow batch took an executor's memory."""
+    from marktext.session import ARROW_ROWS
+    from marktext.sources import corpus as S
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", ARROW_ROWS), ("0", ARROW_ROWS), ("100", 100)):
+            spark.conf.set(key, given)
+            S.lifted_corpus(spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
