@@ -115,3 +115,28 @@ def test_batches_of_texts_are_bounded(spark):
             assert int(spark.conf.get(key)) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_source_expression_is_made_once(spark):
+    """Filters on the lifted text were pushed below it, and every term of them lifted the text again."""
+    from marktext.sources import corpus as S
+    lifted = S.lifted_corpus(spark, "/root/testdata/sf0.001")
+    for made in (K.condition_keys(lifted), K.condition_texts(lifted)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("translate(lower(") == 1
+
+
+def test_one_split_is_the_same_rows_and_others_are_not_encoded(spark, mini_corpus):
+    whole = K.condition_texts(mini_corpus)
+    for split in ("train", "val"):
+        assert sorted(K.condition_texts(mini_corpus, split=split).collect()) == sorted(whole.where(F.col("split") == split).collect())
+    plan = K.condition_texts(mini_corpus, split="val")._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" in plan[plan.index("ArrowEvalPython"):] and ">= Subquery" in plan[plan.index("ArrowEvalPython"):].replace("scalar-subquery", "Subquery").replace("subquery#", "Subquery#")
+
+
+def test_blank_documents_belong_to_no_condition(spark):
+    rows = [(0, None), (1, ""), (2, " \t\u00a0"), (3, "\u064e \u0651"), (4, "a\u064e"), (5, "b"), (6, "\u3000x")]
+    docs = spark.createDataFrame(rows, "doc_id long, vocalized string")
+    kept = sorted((r["condition"], r["doc_id"]) for r in K.condition_keys(docs).collect())
+    assert kept == sorted([(c, i) for c in ("d1", "d3") for i in (3, 4, 5, 6)] + [("d2", i) for i in (4, 5, 6)])
+    assert sorted((r["condition"], r["doc_id"]) for r in K.condition_texts(docs).collect()) == kept
