@@ -148,3 +148,23 @@ def test_character_counts_over_blocks(spark):
     rows = A.char_counts(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "text", (), "doc_id").collect()
     assert {r["ch"]: (r["n"], r["first_ord"], r["first_pos"]) for r in rows} == {
         "a": (600_000, 5, 1), "b": (900_000, 3, 0), "c": (300_001, 3, 600_000)}
+
+
+def test_words_split_at_python_whitespace_alone(spark):
+    codes = [c for c in [*range(1, 0x3100), 0xE000, 0xFEFF, 0xFFFD, 0x1F600]]
+    df = spark.createDataFrame([(c, f"x{chr(c)}{chr(c)}y") for c in codes], "c int, t string")
+    wrong = [r["c"] for r in df.select("c", "t", X.words("t").alias("w")).collect() if list(r["w"]) != r["t"].split()]
+    assert wrong == []
+
+
+def test_whitespace_class_tries_few_members(spark):
+    """A codepoint above Latin-1 was held against every single member of the class, one after the other."""
+    outer = C.JAVA_PYWS_CLASS
+    assert outer.count("[") == 3 and f"[{chr(0x1680)}-{chr(0x3000)}&&[" in outer
+
+
+def test_blank_when_stripped(spark):
+    rows = [(None,), ("",), (" \n",), (chr(0x64E),), (chr(0x64E) + " " + chr(0x670),), (" a" + chr(0x64E),), (chr(0x628),)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(X.is_not_blank_stripped("t").alias("a"), X.is_not_blank(X.strip_marks("t")).alias("b")).collect()
+    assert all(bool(r["a"]) == bool(r["b"]) for r in got) and sum(bool(r["a"]) for r in got) == 2
