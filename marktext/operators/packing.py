@@ -1,7 +1,7 @@
 """Sequence packing.
 
 Best-fit packing is sequential by nature, so it runs per *pack group*: a stretch of the
-corpus of about ``group_tokens`` tokens, packed by one ``applyInPandas`` call; groups run
+corpus of about ``group_tokens`` tokens, packed by one ``applyInArrow`` call; groups run
 in parallel.  Documents are first cut into pieces of at most a row, so nothing is cropped
 and a document of any length spreads over as many groups as it needs.  Within a group:
 
@@ -23,6 +23,9 @@ Scale notes
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +129,30 @@ def _group(group_tokens: int) -> Column:
     return (F.col("window") + F.floor(F.col("at") / group_tokens)).cast("bigint")
 
 
+def _pack_group(table: pa.Table, capacity: int, buffer_size: int, pad_id: int, refill_batch: int,
+                crop: bool) -> tuple[pa.Table, int]:
+    """Packed rows ``(pack_group, row_no, tokens)`` of one group's pieces ``(pack_group, ord, at, ids)``.
+
+    A group holds millions of tokens: they are read where they lie in Arrow's buffer and written once, into
+    the buffer of the result.
+    """
+    order = pc.sort_indices(table.select(["ord", "at"]), sort_keys=[("ord", "ascending"), ("at", "ascending")]).to_numpy()
+    ids = table.column("ids").combine_chunks()
+    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    first, lengths = offsets[:-1][order].tolist(), np.diff(offsets)[order].tolist()
+    plan, cropped = best_fit_plan(lengths, capacity, buffer_size, refill_batch, crop)
+    rows = np.full(len(plan) * capacity, pad_id, dtype=np.int32)
+    for r, row in enumerate(plan):
+        at = r * capacity
+        for i, a, b in row:
+            rows[at:at + b - a] = flat[first[i] + a:first[i] + b]
+            at += b - a
+    group = table.column("pack_group")[0].as_py()
+    tokens = pa.ListArray.from_arrays(pa.array(np.arange(len(plan) + 1) * capacity, pa.int32()), pa.array(rows))
+    return pa.table({"pack_group": pa.array([group] * len(plan), pa.int64()),
+                     "row_no": pa.array(range(len(plan)), pa.int32()), "tokens": tokens}), cropped
+
+
 def pack_sequences(docs: DataFrame, ids_col: str = "ids", order_col: str = "ordinal",
                    seq_len: int = 2048, buffer_size: int = 1000, group_tokens: int = 1 << 22,
                    pad_id: int = -1, refill_batch: int = 128, crop: bool = False,
@@ -143,22 +170,11 @@ def pack_sequences(docs: DataFrame, ids_col: str = "ids", order_col: str = "ordi
     pieces = (placed.select("window", "ord", "ids", F.explode(_pieces(F.size("ids"), capacity)).alias("at"))
               .select(_group(group_tokens).alias("pack_group"), "ord", "at", F.slice("ids", F.col("at") + 1, capacity).alias("ids")))
 
-    def pack(pdf):
-        import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values(["ord", "at"])
-        ids = pdf["ids"].tolist()
-        plan, cropped = best_fit_plan([len(x) for x in ids], capacity, buffer_size, refill_batch, crop)
-        rows = np.full((len(plan), capacity), pad_id, dtype=np.int32)
-        for r, row in enumerate(plan):
-            at = 0
-            for i, a, b in row:
-                rows[r, at:at + b - a] = ids[i][a:b]
-                at += b - a
-        return pd.DataFrame({"pack_group": [int(pdf["pack_group"].iloc[0])] * len(plan), "row_no": range(len(plan)),
-                             "tokens": list(rows), "group_cropped": [cropped] * len(plan)})
+    def pack(table):
+        rows, cropped = _pack_group(table, capacity, buffer_size, pad_id, refill_batch, crop)
+        return rows.append_column("group_cropped", pa.array([cropped] * len(rows), pa.int64()))
 
-    packed = pieces.groupBy("pack_group").applyInPandas(
+    packed = pieces.groupBy("pack_group").applyInArrow(
         pack, "pack_group bigint, row_no int, tokens array<int>, group_cropped bigint")
     inp, tgt = shift_targets(F.col("tokens"))
     return packed.select("pack_group", "row_no", "tokens", inp.alias("input"), tgt.alias("target"),

@@ -105,3 +105,25 @@ def test_token_arrays_are_exchanged_once(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "ordinal long, ids array<int>")
     assert PK.pack_sequences(docs).collect() == [] and PK.pack_placements(docs.selectExpr("ordinal", "size(ids) AS n")).collect() == []
+
+
+def test_a_group_is_packed_in_arrow_buffers():
+    """Token lists as Python objects and their copies took several times a group's tokens."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    n, size = 1000, 2049
+    flat = np.arange(n * size, dtype=np.int32)
+    order = np.random.default_rng(5).permutation(n)
+    table = pa.table({"pack_group": pa.array([7] * n, pa.int64()), "ord": pa.array(order, pa.int64()), "at": pa.array([0] * n, pa.int32()),
+                      "ids": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(flat))})
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    rows, cropped = PK._pack_group(table, size, 1000, -1, 128, False)
+    made = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert made < 1.5 * flat.nbytes and cropped == 0
+    assert rows.column("row_no").to_pylist() == list(range(n)) and set(rows.column("pack_group").to_pylist()) == {7}
+    # All pieces fill a row, so the earliest is taken each time: the rows are the pieces by ord.
+    assert rows.column("tokens").to_pylist() == [flat[i * size:(i + 1) * size].tolist() for i in np.argsort(order)]
