@@ -133,8 +133,7 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 def active_rows(units: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hash rows of the features of the positions ``at``: word before, two words before together,
     second word before, third word before; each kind has ``ROWS`` rows of its own."""
-    u = units.astype(np.uint64)
-    a, b, c = u[at - 1], u[at - 2], u[at - 3]
+    a, b, c = (units[at - k].astype(np.uint64) for k in (1, 2, 3))  # units may be a whole piece, of which ``at`` is little
     bits = np.uint64(64 - ROWS.bit_length() + 1)
     keys = (a * _MULT[0], (a * _MULT[1]) ^ (b * _MULT[2] + _MULT[4]) * _MULT[1], b * _MULT[3], c * _MULT[4])
     return np.stack([((k * _MULT[0]) >> bits).astype(np.int32) + i * ROWS for i, k in enumerate(keys)])
@@ -152,6 +151,40 @@ def class_probabilities(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray
     return s
 
 
+#: Rows of a sum that are added in step with those of all other sums (a power of two).
+CHUNK = 8
+
+
+def segment_sums(x: np.ndarray, index: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows ``index`` of ``x``, from each of ``first`` to before the next, and which one
+    each is.
+
+    Most are sums of few rows, for which ``np.add.reduceat`` calls its loop once for each sum and
+    column.  So the second rows of all sums are added together, then the third ones, up to ``CHUNK``;
+    of longer sums the rows before that are added in whole chunks."""
+    n = np.diff(np.append(first, len(index)))
+    chunks = (n - 1) // CHUNK
+    size = (n - chunks * CHUNK).astype(np.uint8)
+    by = np.argsort(CHUNK - size, kind="stable")  # the longest first
+    at, size = (first + chunks * CHUNK)[by], size[by]
+    out = np.take(x, index[at], axis=0)
+    for j in range(1, CHUNK):
+        k = np.count_nonzero(size > j)
+        out[:k] += np.take(x, index[at[:k] + j], axis=0)
+    chunks = chunks[by]
+    long = np.flatnonzero(chunks)
+    if len(long):
+        chunks = chunks[long]
+        begin = np.cumsum(chunks) - chunks
+        start = np.repeat(first[by[long]] - begin * CHUNK, chunks) + np.arange(begin[-1] + chunks[-1]) * CHUNK
+        y = np.take(x, index[(start[:, None] + np.arange(CHUNK)).ravel()], axis=0)
+        while len(y) > len(start):  # halves of every chunk
+            y = y.reshape(len(start), 2, -1, x.shape[1])
+            y = (y[:, 0] + y[:, 1]).reshape(-1, x.shape[1])
+        out[long] += np.add.reduceat(y, begin, axis=0)
+    return out, by
+
+
 class Trainer:
     """Minibatch gradient updates of one task; a row's step shrinks with its use so far."""
 
@@ -163,15 +196,18 @@ class Trainer:
             rows, y = active_rows(units, at[k:k + MINIBATCH]), target[k:k + MINIBATCH]
             g = class_probabilities(self.w, self.prior, rows)
             g[np.arange(len(y)), y] -= 1
-            for i, r in enumerate(rows):
-                order = np.argsort((r - i * ROWS).astype(np.int16), kind="stable")  # 16 bits: a radix sort
-                s = r[order]
-                first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-                hit, n = s[first], np.diff(np.append(first, len(s))).astype(np.float32)
-                self.used[hit] += n
-                step = np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
-                step *= (-RATE / np.sqrt(self.used[hit] * n))[:, None]
-                self.w[hit] += step
+            # Each kind of feature has rows of its own, so all kinds are summed at once.
+            r = rows.ravel()
+            order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
+            r = r[order]
+            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            step, by = segment_sums(g, np.tile(np.arange(len(y)), FEATURES)[order], first)
+            hit, n = r[first[by]], np.diff(np.append(first, len(r)))[by].astype(np.float32)
+            used = self.used[hit] + n
+            self.used[hit] = used
+            step *= (-RATE / np.sqrt(used * n))[:, None]
+            step += np.take(self.w, hit, axis=0)
+            self.w[hit] = step
 
 
 def cluster(follows: np.ndarray, mass: np.ndarray) -> np.ndarray:

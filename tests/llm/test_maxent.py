@@ -118,3 +118,43 @@ def test_awkward_tables(spark, small):
 def test_words_are_cut_at_white_space_only():
     text = "a\x0bB\x0cC\rD " * 100 + "\x85x\xa0y"
     assert [w for ws in M.word_runs(text) for w in ws] == text.encode().lower().split()
+
+
+def test_segment_sums_and_one_update():
+    """Sums of one row up to several chunks, and the update against a plain loop over positions."""
+    rnd = np.random.default_rng(3)
+    sizes = [1, 3, M.CHUNK, M.CHUNK + 1, 1, 5 * M.CHUNK, 2, 6 * M.CHUNK + 5, M.CHUNK - 1]
+    x, index = rnd.normal(size=(40, 5)).astype(np.float32), rnd.integers(0, 40, sum(sizes))
+    first = np.cumsum([0, *sizes[:-1]])
+    for k in (1, 2, len(sizes)):
+        part = index[:sum(sizes[:k])]
+        got, by = M.segment_sums(x, part, first[:k])
+        assert sorted(by.tolist()) == list(range(k))
+        assert np.allclose(got, np.add.reduceat(x[part], first[:k], axis=0)[by], atol=1e-5)
+
+    voc = M.Vocabulary([f"w{i}".encode() for i in range(50)], np.arange(50, 0, -1), 40)
+    units, at = M.positions(voc, [rnd.zipf(1.5, 300).clip(max=39).astype(np.uint16).tobytes() for _ in range(3)])
+    target, prior = rnd.integers(0, 5, len(at)), np.zeros(5, dtype=np.float32)
+    trainer = M.Trainer(rnd.normal(0, 0.1, (M.ROWS * M.FEATURES, 5)).astype(np.float32), prior)
+    w, used = trainer.w.astype(np.float64), trainer.used.astype(np.float64)
+    trainer.learn(units, at, target)
+    rows = M.active_rows(units, at)
+    assert len(at) <= M.MINIBATCH
+    g = M.class_probabilities(w.astype(np.float32), prior, rows) - np.eye(5)[target]
+    for r in np.unique(rows):
+        hits = (rows == r).sum(axis=0)
+        used[r] += hits.sum()
+        w[r] -= M.RATE * (g * hits[:, None]).sum(axis=0) / np.sqrt(used[r] * hits.sum())
+    assert np.allclose(trainer.w, w, atol=1e-5) and np.allclose(trainer.used, used)
+
+
+def test_rows_of_a_minibatch_do_not_convert_the_piece():
+    """op6: 32 positions of a piece of eight million units allocate little."""
+    import tracemalloc
+
+    units = np.arange(1 << 23, dtype=np.uint32).astype(np.uint16)
+    tracemalloc.start()
+    M.active_rows(units, np.arange(3, 35))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
