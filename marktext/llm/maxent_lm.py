@@ -27,12 +27,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,46 @@ def word_runs(text: str) -> Iterator[list[bytes]]:
         at = to
 
 
+#: Text bytes that a task cuts into words at a time; longer texts go in runs of ``PIECE`` bytes.
+GATHERED = 8 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose texts (column ``at``), each taken as 64 bytes more, hold about
+    ``GATHERED`` bytes; one row at least."""
+    held, size = [], 0
+    for whole in batches:
+        for b in _pieces(whole, at, GATHERED):
+            n = pc.sum(pc.binary_length(b.column(at))).as_py() + 64 * b.num_rows
+            if held and size + n > GATHERED:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(b)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
+def word_arrays(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Words of the texts in order, as ``word_runs`` cuts them, and the number of each word's text."""
+    long = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) > GATHERED)
+    begin = 0
+    for i in [*long.tolist(), len(texts)]:
+        short = texts.slice(begin, i - begin)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(short))  # the white space of bytes.split()
+        owner = np.repeat(np.arange(begin, i), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        words = split.flatten().cast(pa.binary())
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # not before or after white space
+        if not some.all():
+            owner, words = owner[some], words.filter(pa.array(some))
+        if len(words):
+            yield owner, words
+        for run in word_runs(texts[i].as_py()) if i < len(texts) else ():
+            if run:
+                yield np.full(len(run), i), pa.array(run, pa.binary())
+        begin = i + 1
+
+
 @dataclass
 class Vocabulary:
     """The looked-up words by descending count; the first ``n_units`` are units of their own."""
@@ -84,7 +124,7 @@ class Vocabulary:
     n_units: int
 
     def __post_init__(self):
-        self.at = {w: i for i, w in enumerate(self.words)}
+        self.known = pa.array(self.words, pa.binary())
         self.unit = np.arange(len(self.words) + 1, dtype=np.uint16)  # one spare for index -1
         for i in range(self.n_units, len(self.words)):
             self.unit[i] = self.n_units + ending(self.words[i])
@@ -100,22 +140,42 @@ class Vocabulary:
         self.words, self.counts, self.n_units = state[0].split(), state[1], state[2]
         self.__post_init__()
 
-    def encode(self, text: str) -> tuple[bytes, int, int, float, float, Counter]:
-        """Units of the words (16 bits each), the number of words and of those looked up, the sums of
-        log10(count + 1) over looked-up words that are units and that are not, and the other words."""
-        units, n, known, own, shared, rare = [], 0, 0, 0.0, 0.0, Counter()
-        get = self.at.get
-        for ws in word_runs(text):
-            ids = np.array([get(w, -1) for w in ws], dtype=np.int64)
-            u = self.unit[ids]
-            for i in np.flatnonzero(ids < 0).tolist():
-                u[i] = self.n_units + ending(ws[i])
-                rare[ws[i]] += 1
-            logs, is_unit = self.logs[ids], (ids >= 0) & (ids < self.n_units)
-            units.append(u.tobytes())
-            n, known = n + len(ids), known + int((ids >= 0).sum())
-            own, shared = own + float(logs[is_unit].sum()), shared + float(logs[(ids >= self.n_units)].sum())
-        return b"".join(units), n, known, own, shared, rare
+    def encode(self, texts: pa.Array) -> list[pa.Array]:
+        """For each text: units of its words (16 bits each), the number of words and of those looked up,
+        the sums of log10(count + 1) over looked-up words that are units and that are not, and the
+        other words with their numbers."""
+        n = len(texts)
+        units, words, known, own, shared = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        rare_owner, rare_word, rare_times = [], [], []
+        for owner, run in word_arrays(texts):
+            ids = pc.fill_null(pc.index_in(run, value_set=self.known), -1).to_numpy().astype(np.int64)
+            u, missed = self.unit[ids], np.flatnonzero(ids < 0)
+            others = run.take(pa.array(missed)).dictionary_encode()
+            kind, different = others.indices.to_numpy().astype(np.int64), others.dictionary
+            u[missed] = np.array([self.n_units + ending(w) for w in different.to_pylist()], np.uint16)[kind]
+            units.append(u)
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            docs, logs, is_unit = owner[first], self.logs[ids], ids < self.n_units
+            words[docs] += np.diff(np.append(first, len(owner)))
+            known += np.bincount(owner[ids >= 0], minlength=n)
+            own[docs] += np.add.reduceat(logs * is_unit, first)  # the logarithm of a word not looked up is zero
+            shared[docs] += np.add.reduceat(logs * ~is_unit, first)
+            if len(missed):
+                pairs, times = np.unique(owner[missed] * len(different) + kind, return_counts=True)
+                rare_owner.append(pairs // len(different))
+                rare_word.append(different.take(pa.array(pairs % len(different))))
+                rare_times.append(times)
+
+        def lists(kind: pa.DataType, sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            return pa.Array.from_buffers(kind, n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+        packed = np.concatenate([np.zeros(0, np.uint16), *units])
+        rare = pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], pa.binary()), *rare_word]),
+                                           pa.array(np.concatenate([np.zeros(0, np.int64), *rare_times]))], names=["word", "n"])
+        each = np.bincount(np.concatenate([np.zeros(0, np.int64), *rare_owner]), minlength=n)
+        starts = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
+        return [lists(pa.binary(), words * 2, packed), *map(pa.array, (words, known, own, shared)), pa.ListArray.from_arrays(starts, rare)]
 
 
 def positions(voc: Vocabulary, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,24 +306,32 @@ def cluster(follows: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return np.unique(out, return_inverse=True)[1].astype(np.int32)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``(word, n)`` over all ``rows (text)``: combined in each task, then summed."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return found.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        def out():
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-            counts.clear()
 
-        for b in batches:
-            for text in b.column(0):
-                for ws in word_runs(text.as_py()):
-                    counts.update(ws)
-                    if len(counts) >= LOOKUP:  # bounded memory; the shuffle sums again
-                        yield from out()
-        yield from out()
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(word, n)`` over the texts of a task; a word comes again when the task met too many."""
+    held, size = [], 0
+    for b in gathered(batches, 0):
+        for _, words in word_arrays(b.column(0)):
+            found = words.value_counts()
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            size += len(found)
+            if size >= 4 * LOOKUP:
+                held = [_summed(held)]
+                size = held[0].num_rows
+                if size >= LOOKUP:  # bounded memory; the shuffle sums again
+                    yield from held[0].to_batches(LOOKUP)
+                    held, size = [], 0
+    if held:
+        yield from _summed(held).to_batches(LOOKUP)
 
-    return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``(word, n)`` over all ``rows (text)``: combined in each task, then summed."""
+    return rows.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def choose_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
@@ -289,18 +357,11 @@ def encode_documents(rows: DataFrame, shared) -> DataFrame:
     """``rows (id, text, train)`` as units and sums, one row each, with a row number ``row``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, at = shared.value, TaskContext.get().partitionId() << 33
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        for whole in batches:
-            for b in _pieces(whole, 1):
-                done = [voc.encode(t.as_py()) for t in b.column(1)]
-                sums = list(zip(*done))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(at, at + b.num_rows), pa.int64()), b.column(0), b.column(2),
-                     pa.array(sums[0], pa.binary()), *[pa.array(x, pa.int64()) for x in sums[1:3]],
-                     *[pa.array(x, pa.float64()) for x in sums[3:5]],
-                     pa.array([[{"word": w, "n": n} for w, n in r.items()] for r in sums[5]], rare_type)],
-                    names=["row", "id", "train", "units", "words", "known", "own", "shared", "rare"])
-                at += b.num_rows
+        for b in gathered(batches, 1):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(at, at + b.num_rows), pa.int64()), b.column(0), b.column(2), *voc.encode(b.column(1))],
+                names=["row", "id", "train", "units", "words", "known", "own", "shared", "rare"])
+            at += b.num_rows
 
     schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["id"], T.StructField("train", T.BooleanType()),
                            T.StructField("units", T.BinaryType()), T.StructField("words", T.LongType()),
@@ -484,7 +545,7 @@ def maxent_scores(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text
         weights = train_round(encoded, shared, spark.sparkContext.broadcast((weights, prior, classes, own)))
     scored = score_units(encoded, shared, spark.sparkContext.broadcast((weights, prior, classes, own)))
 
-    # Words that are not looked up meet their counts; a document names each of them once.
+    # Words that are not looked up meet their counts; a document names each of them once (a long one once a run).
     rare = encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     met = (rare.join(counts.where(F.col("n") < looked_up), "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_log"),

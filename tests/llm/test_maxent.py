@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,74 @@ def test_rows_of_a_minibatch_do_not_convert_the_piece():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1 << 20
+
+
+def plain_words(text):
+    return text.encode().lower().split()
+
+
+def odd_texts():
+    rnd = random.Random(7)
+    some = [" ".join(rnd.choice(("kax", "MEY", "rare%d" % rnd.randrange(40), "É", "x\xa0y")) for _ in range(rnd.randrange(60))) for _ in range(50)]
+    return ["", " ", "\t\n", " a ", "É é\x85x\xa0y a\x0bB\x0cC\rD\x00e \x1cx\x1f y", *some, "lead \n\n x", "İ ſ K trail\n", "w" * 50, ""]
+
+
+def test_texts_are_encoded_as_by_a_plain_loop(monkeypatch):
+    """op6: words of many texts at once, in one array or, for longer texts, in runs."""
+    texts = odd_texts()
+    counts = Counter(w for t in texts for w in plain_words(t))
+    words = sorted(counts, key=lambda w: (-counts[w], w))[:30]
+    voc = M.Vocabulary(words, np.array([counts[w] for w in words]), 12)
+    place = {w: i for i, w in enumerate(words)}
+    for most, run in ((M.GATHERED, M.PIECE), (40, 16), (0, 1)):
+        monkeypatch.setattr(M, "GATHERED", most)
+        monkeypatch.setattr(M, "PIECE", run)
+        got = list(zip(*(c.to_pylist() for c in voc.encode(pa.array(texts)))))
+        assert len(got) == len(texts)
+        for t, (units, n, known, own, shared, rare) in zip(texts, got):
+            ws = plain_words(t)
+            ids = [place.get(w, -1) for w in ws]
+            assert np.frombuffer(units, np.uint16).tolist() == [i if 0 <= i < 12 else 12 + M.ending(w) for i, w in zip(ids, ws)]
+            assert (n, known) == (len(ws), sum(i >= 0 for i in ids))
+            assert math.isclose(own, sum(math.log10(counts[w] + 1) for i, w in zip(ids, ws) if 0 <= i < 12), abs_tol=1e-9)
+            assert math.isclose(shared, sum(math.log10(counts[w] + 1) for i, w in zip(ids, ws) if i >= 12), abs_tol=1e-9)
+            times = Counter()
+            for r in rare:
+                times[r["word"]] += r["n"]
+            assert times == Counter(w for i, w in zip(ids, ws) if i < 0)
+
+
+def test_words_not_looked_up_are_hashed_once_each(monkeypatch):
+    """op6: per-word Python was a quarter of the time; now one call for each different word."""
+    calls = []
+    voc = M.Vocabulary([b"a"], np.array([9]), 1)
+    monkeypatch.setattr(M, "ending", lambda word, real=M.ending: calls.append(word) or real(word))
+    voc.encode(pa.array(["a b c b"] * 500))
+    assert sorted(calls) == [b"b", b"c"]
+
+
+def test_rows_are_gathered_to_bounded_batches():
+    """Small batches go together, large ones are cut, and rows keep their order."""
+    texts = ["x" * n for n in (5, 0, 3 << 20, 9 << 20, 7, 8, 5 << 20, 5 << 20, 1)]
+    batches = [pa.record_batch([pa.array([i]), pa.array([t])], names=["i", "text"]) for i, t in enumerate(texts)]
+    out = list(M.gathered(iter(batches), 1))
+    assert [b.column(0).to_pylist() for b in out] == [[0, 1, 2], [3], [4, 5, 6], [7, 8]]
+    assert list(M.gathered(iter([]), 1)) == [] and len(list(M.gathered(iter([pa.concat_batches(batches)]), 1))) == 4
+    empty = pa.record_batch([pa.array([""] * 300000)], names=["text"])
+    assert sum(b.num_rows for b in M.gathered(iter([empty] * 2), 0)) == 600000
+
+
+def test_words_are_counted_in_bounded_tables(monkeypatch):
+    """A task sums its counts and hands them on when they are too many; the shuffle sums again."""
+    texts = [f"W{i} w{i % 7}  all\tALL " for i in range(900)] + ["", " "]
+    batches = [pa.record_batch([pa.array(texts[k:k + 50])], names=["text"]) for k in range(0, len(texts), 50)]
+    for most, gathered in ((M.LOOKUP, M.GATHERED), (100, 2000), (4, 1)):
+        monkeypatch.setattr(M, "LOOKUP", most)
+        monkeypatch.setattr(M, "GATHERED", gathered)
+        got, out = Counter(), list(M.count_words(iter(batches)))
+        for b in out:
+            for word, n in zip(*(c.to_pylist() for c in b.columns)):
+                got[word] += n
+        assert got == Counter(w for t in texts for w in plain_words(t))
+        assert (len(out) == 1) == (most == M.LOOKUP > 1000) and max(b.num_rows for b in out) <= most
+    assert list(M.count_words(iter([]))) == []
