@@ -1,21 +1,24 @@
-"""B1: exact byte-level BPE training, guessed ahead and verified by one Spark job a batch.
-
-One merge a job would take thousands of jobs for a vocabulary of 8,192.  Instead
-
-* the driver guesses the next merges by training on the most frequent words alone (a bounded
-  head), from the exact counts of all pairs; what the head shows of a merge is carried on to all words;
-* one job lets every task apply the guessed merges, in order, to its share of *all* distinct
-  words, and report what each merge does to the pair counts: ``(step, a, b, change)``.  Words lie in
-  arrays of symbols.  Ranks never fall while a word is encoded, so each word takes its own lowest merge in
-  every round, and a batch takes as many rounds as a word takes merges, not one pass a merge;
-* the driver, which holds the exact count of every pair, replays the changes.  A guess is accepted
-  while it is the pair that sequential BPE picks from the exact counts; the first one that is not
-  ends the batch, and the words go on from there.
-
-The first guess of a job is the exact one, and the result equals one-merge-at-a-time training
-whatever the guesses are: they decide only how many merges a job settles.  When the head holds all
-distinct words every guess is right.  What reaches the driver is bounded by the vocabulary: pair
-counts, changes of a batch, and the head.
+"""B1: exact byte-level BPE training in a few rounds over all distinct words.
+
+One merge a job would take thousands of jobs for a vocabulary of 8,192.  Instead, in every round
+
+* one job counts all pairs and returns the first of them in the order of sequential BPE (count descending,
+  then left and right id), the candidates;
+* one job cuts all distinct words wherever two neighbours are no candidate, and counts equal stretches.  They are
+  far fewer than the words, because what is rare in a word cuts it.  As many candidates are taken as keep the
+  distinct stretches within a bound, which a job estimates for several numbers of candidates at once;
+* the driver trains on the stretches, one merge at a time, for as long as the next merge does not come after the
+  last candidate;
+* every task applies these merges to its share of the words, which lie in arrays of symbols.  Ranks never fall
+  while a word is encoded, so each word takes its own lowest merge in every pass, and a round takes as many
+  passes as a word takes merges.
+
+The result is that of one merge at a time.  All places of a candidate lie in stretches, so its count there is
+exact.  Where a word was cut there stands a pair that comes after the last candidate, and nothing that may stand there
+later comes before it: counts of old pairs only fall, each place of a pair with a new symbol is one of the old pair
+between the same neighbours, and new symbols have higher ids than the old ones they replace.
+
+What reaches the driver is bounded, whatever the words: candidates and distinct stretches.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 N_BYTES = 256
-#: Distinct words, the most frequent first, from which the driver guesses.
-HEAD_WORDS = 1 << 20
-#: Merges guessed for one job, and the fewest after guesses that failed.
-BATCH, FEWEST = 1024, 64
-#: Jobs that apply accepted merges anew before the words are written out with them.
-PENDING_JOBS = 8
+#: Distinct stretches that the driver trains on in a round, about, and candidates, at most.
+HEAD_WORDS, CANDIDATES = 1 << 18, 1 << 16
+#: Merges of a round, at most.
+BATCH = 1 << 13
+#: The smallest hashes that a task returns of its stretches, from which their number is estimated.
+SKETCH = 256
 #: Symbols of a block of words, and distinct words of a task, about.
 BLOCK, SHARE = 1 << 20, 1 << 15
 
@@ -87,10 +90,10 @@ def _every_other(at, following):
     return (i - np.maximum.accumulate(np.where(begins, i, 0))) % 2 == 0
 
 
-def merge_words(symbols, freqs, pairs: list[Pair], first_id: int, since: int | None = 0):
+def merge_words(symbols, freqs, pairs: list[Pair], first_id: int, since: int | None = 0, applied=None):
     """Words ``symbols`` (each ended by -1) after the merges, in order, and what each merge from number
     ``since`` on (None: none) does to the pair counts: ``(symbols, freqs, keys, changes)``, keys packed from
-    (step, left, right).  The words come in another order."""
+    (step, left, right).  The words come in another order.  ``applied`` is raised by how often each merge is applied."""
     import numpy as np
     left, right = np.array(pairs, np.int64).reshape(-1, 2).T
     n_ids = first_id + len(pairs)
@@ -133,6 +136,9 @@ def merge_words(symbols, freqs, pairs: list[Pair], first_id: int, since: int | N
         symbols, freqs = symbols[of_active], freqs[active]
         stops = np.flatnonzero(symbols < 0)
         at = at[_every_other(at, at + 1)]
+        if applied is not None:
+            word = np.searchsorted(stops, at)
+            np.add.at(applied, lowest[word], freqs[word])
         if since is not None:
             noted(np.unique(np.concatenate((at - 1, at, at + 1))), lowest, -1)
         symbols[at] = first_id + lowest[np.searchsorted(stops, at)]
@@ -195,25 +201,6 @@ class Head:
         return _summed(np.concatenate((lost, won)), np.concatenate((-self.freqs[self.word[old]], self.freqs[self.word[now]])))
 
 
-def _enlarged(pair: Pair, count: int, keys, changes):
-    """What the head shows of a merge, carried on to all words."""
-    own = pair[0] << BITS | pair[1]
-    changed = dict(zip(keys.tolist(), changes.tolist()))
-    part = count / held if (held := -changed.pop(own, 0)) > 0 else 1.0
-    for key, n in changed.items():
-        yield (key >> BITS, key & MASK), round(n * part)
-    yield pair, -count                                   # merged, so none is left
-
-
-def _guesses(exact: Ranking, head: Head, first_id: int, size: int, min_count: int) -> list[Pair]:
-    """The next merges: the first one by the exact counts, the others as the head lets expect."""
-    expected, out = Ranking(exact.counts), []
-    while len(out) < size and (top := expected.best()) and top[1] >= min_count:
-        expected.change(_enlarged(*top, *head.merge(top[0], first_id + len(out))))
-        out.append(top[0])
-    return out
-
-
 def _long_words(symbols, freqs):
     """The words that still hold a pair."""
     import numpy as np
@@ -221,22 +208,15 @@ def _long_words(symbols, freqs):
     return symbols[np.repeat(lengths > 1, lengths + 1)], freqs[lengths > 1]
 
 
-def _joined(batch):
-    """A batch of ``(word, freq)`` as ``(symbols, freqs)``."""
+def as_symbols(words: list[bytes], freqs, kind="u1"):
+    """Words as bytes that hold symbols of a kind, as ``(symbols, freqs)``."""
     import numpy as np
-    words = batch.column("word").to_pylist()
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) // np.dtype(kind).itemsize
     symbols = np.full(int(lengths.sum()) + len(words), -1, np.int32)
     stays = np.ones(len(symbols), bool)
     stays[np.cumsum(lengths + 1) - 1] = False
-    symbols[stays] = np.frombuffer(b"".join(words), np.uint8)
-    return symbols, batch.column("freq").to_numpy(zero_copy_only=False)
-
-
-def _words_of(table):
-    import numpy as np
-    parts = [_joined(b) for b in table.to_batches()] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
-    return tuple(map(np.concatenate, zip(*parts)))
+    symbols[stays] = np.frombuffer(b"".join(words), kind)
+    return symbols, freqs
 
 
 def _blocks(batches):
@@ -260,7 +240,7 @@ def _initial(words: DataFrame) -> DataFrame:
         def blocks():
             held, size = [], 0
             for b in batches:
-                held.append(_joined(b))
+                held.append(as_symbols(b.column("word").to_pylist(), b.column("freq").to_numpy(zero_copy_only=False)))
                 size += len(held[-1][0])
                 if size >= BLOCK:
                     yield tuple(map(np.concatenate, zip(*held)))
@@ -271,38 +251,103 @@ def _initial(words: DataFrame) -> DataFrame:
     return words.mapInArrow(pack, "symbols binary, freqs binary")
 
 
-def _rows(keys, n):
+def _pairs(symbols):
+    """The places where a pair begins, and the pairs' keys."""
     import numpy as np
-    import pyarrow as pa
-    return pa.RecordBatch.from_pydict({"step": pa.array((keys >> 2 * BITS).astype(np.int32)), "a": pa.array((keys >> BITS & MASK).astype(np.int32)),
-                                       "b": pa.array((keys & MASK).astype(np.int32)), "n": pa.array(n)})
+    at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+    return at, symbols[at].astype(np.int64) << BITS | symbols[at + 1]
+
+
+def _counted(symbols, freqs):
+    """Distinct pairs and their counts."""
+    import numpy as np
+    at, keys = _pairs(symbols)
+    return _summed(keys, freqs[np.searchsorted(np.flatnonzero(symbols < 0), at)])
 
 
-def _changes(words: DataFrame, pairs: list[Pair], first_id: int, since: int) -> dict[int, dict[Pair, int]]:
-    """What each merge from number ``since`` on does to the pair counts."""
+def _candidates(words: DataFrame):
+    """Keys of the pairs that come first, in order, and their counts."""
     def go(batches):
-        import numpy as np
-        found = [merge_words(s, f, pairs, first_id, since)[2:] for s, f in _blocks(batches)]
-        if found:
-            yield _rows(*_summed(*map(np.concatenate, zip(*found))))
-    return _by_step(words.mapInArrow(go, "step int, a int, b int, n long"))
+        import pyarrow as pa
+        for symbols, freqs in _blocks(batches):
+            keys, n = _counted(symbols, freqs)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(keys), "n": pa.array(n)})
+    table = (words.mapInArrow(go, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+             .orderBy(F.desc("n"), "pair").limit(CANDIDATES).toArrow())
+    return table.column("pair").to_numpy(), table.column("n").to_numpy()
 
 
-def _pair_counts(words: DataFrame) -> dict[Pair, int]:
+def _ranks(symbols, ranked):
+    """For every place but the last, the rank of the pair that begins there (none: their number)."""
+    import numpy as np
+    order = np.argsort(ranked)
+    keys = symbols[:-1].astype(np.int64) << BITS | symbols[1:]     # below 0 at the end of a word
+    place = np.minimum(np.searchsorted(ranked, keys, sorter=order), len(ranked) - 1)
+    return np.where(ranked[order[place]] == keys, order[place], len(ranked))
+
+
+def _stretches(symbols, freqs, ranks, k: int):
+    """The longest parts of words whose pairs are all of the first k: their symbols, where each begins, and
+    its word's frequency."""
+    import numpy as np
+    joined = np.zeros(len(symbols) + 1, bool)            # with the symbol before
+    joined[1:-1] = ranks < k
+    inside = joined[:-1] | joined[1:]
+    begins = inside & ~joined[:-1]
+    word = np.searchsorted(np.flatnonzero(symbols < 0), np.flatnonzero(begins))
+    return symbols[inside], np.flatnonzero(begins[inside]), freqs[word]
+
+
+def _hashes(symbols, first):
+    """Distinct hashes of the stretches, ascending."""
+    import numpy as np
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(symbols)) - np.repeat(first, np.diff(first, append=len(symbols)))
+    x = (at.astype(np.uint64) << np.uint64(32) | symbols.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return np.unique(np.add.reduceat(x ^ x >> np.uint64(31), first))
+
+
+def _fitting(words: DataFrame, ranked, sizes: list[int], most: int) -> int:
+    """The last of the sizes, ascending, up to which that many candidates leave about ``most`` distinct stretches
+    or fewer; the first one in any case."""
     def go(batches):
         import numpy as np
+        import pyarrow as pa
+        lowest = [np.zeros(0, np.uint64) for _ in sizes]
         for symbols, freqs in _blocks(batches):
-            at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
-            yield _rows(*_summed(symbols[at].astype(np.int64) << BITS | symbols[at + 1], freqs[np.searchsorted(np.flatnonzero(symbols < 0), at)]))
-    return _by_step(words.mapInArrow(go, "step int, a int, b int, n long")).get(0, {})
+            ranks = _ranks(symbols, ranked)
+            for i, k in enumerate(sizes):
+                lowest[i] = np.union1d(lowest[i], _hashes(*_stretches(symbols, freqs, ranks, k)[:2])[:SKETCH])[:SKETCH]
+        for i, found in enumerate(lowest):
+            yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(found), i, np.int32)), "hash": pa.array(found.view(np.int64))})
+    import numpy as np
+    table = words.mapInArrow(go, "size int, hash long").toArrow()
+    at, hashes = table.column("size").to_numpy(), table.column("hash").to_numpy().view(np.uint64)
+    best = sizes[0]
+    for i, k in enumerate(sizes):
+        lowest = np.unique(hashes[at == i])[:SKETCH]
+        if (len(lowest) if len(lowest) < SKETCH else (SKETCH - 1) * 2.0 ** 64 / float(lowest[-1])) > most:
+            break
+        best = k
+    return best
 
 
-def _by_step(rows: DataFrame) -> dict[int, dict[Pair, int]]:
-    table = rows.groupBy("step", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
-    out: dict[int, dict[Pair, int]] = defaultdict(dict)
-    for t, a, b, n in zip(*(table.column(c).to_pylist() for c in ("step", "a", "b", "n"))):
-        out[t][a, b] = n
-    return out
+def _distinct_stretches(words: DataFrame, ranked):
+    """``(symbols, freqs)`` of the distinct stretches that the pairs make."""
+    def go(batches):
+        import numpy as np
+        import pyarrow as pa
+        for symbols, freqs in _blocks(batches):
+            inside, first, n = _stretches(symbols, freqs, _ranks(symbols, ranked), len(ranked))
+            ends = pa.py_buffer(4 * np.append(first, len(inside)).astype(np.int32))
+            parts = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(inside)])
+            table = pa.table({"word": parts, "freq": n}).group_by("word").aggregate([("freq", "sum")])
+            yield from table.select(["word", "freq_sum"]).rename_columns(["word", "freq"]).to_batches()
+    table = words.mapInArrow(go, "word binary, freq long").groupBy("word").agg(F.sum("freq").alias("freq")).toArrow()
+    return as_symbols(table.column("word").to_pylist(), table.column("freq").to_numpy(), "i4")
 
 
 def _merged(words: DataFrame, pairs: list[Pair], first_id: int) -> DataFrame:
@@ -312,12 +357,27 @@ def _merged(words: DataFrame, pairs: list[Pair], first_id: int) -> DataFrame:
     return words.mapInArrow(go, "symbols binary, freqs binary")
 
 
+def _next_merges(stretches, last: tuple[int, int] | None, first_id: int, most: int, min_count: int) -> list[tuple[int, int, int]]:
+    """``(left, right, count)`` of the merges that sequential BPE takes, up to the last candidate ``(-count, key)``."""
+    keys, counts = _counted(*stretches)
+    exact, head, out = Ranking({(key >> BITS, key & MASK): n for key, n in zip(keys.tolist(), counts.tolist())}), Head(*stretches), []
+    while len(out) < most and (top := exact.best()):
+        (a, b), n = top
+        if n < min_count or last is not None and (-n, a << BITS | b) > last:
+            break
+        keys, changes = head.merge((a, b), first_id + len(out))
+        exact.change(((key >> BITS, key & MASK), change) for key, change in zip(keys.tolist(), changes.tolist()))
+        out.append((a, b, n))
+    return out
+
+
 def bpe_train(hist: DataFrame, vocab_size: int, n_special: int, min_count: int = 1,
               head_words: int = HEAD_WORDS, batch: int = BATCH) -> DataFrame:
     """``merges(rank, left, right, token_id, count)`` learned from ``hist (pretoken, freq)``.
 
     ``vocab_size`` counts the 256 bytes, the merges and the specials; training stops early when
-    no pair occurs ``min_count`` times.  Ties: count descending, then left and right id.
+    no pair occurs ``min_count`` times.  Ties: count descending, then left and right id.  ``head_words`` and
+    ``batch`` bound the distinct stretches and the merges of a round; they do not change the result.
     """
     spark = hist.sparkSession
     ensure_checkpoint_dir(spark)
@@ -325,33 +385,19 @@ def bpe_train(hist: DataFrame, vocab_size: int, n_special: int, min_count: int =
     long_words = hist.select(F.col("pretoken").cast("binary").alias("word"), F.col("freq").cast("long").alias("freq")).where("octet_length(word) > 1")
     shares = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + long_words.count() // SHARE)
     words = _initial(long_words.repartition(shares)).checkpoint()
-    top_words = _words_of(long_words.orderBy(F.desc("freq"), "word").limit(head_words).toArrow())
-    exact, head = Ranking(_pair_counts(words)), Head(*top_words)
-    merges: list[tuple[int, int, int, int, int]] = []
-    written = jobs = 0                                   # merges that the written words have, and jobs since
-    size = batch
-    while len(merges) < n_merges and exact.best():
-        base = N_BYTES + written
-        guesses = _guesses(exact, head, N_BYTES + len(merges), min(size, n_merges - len(merges)), min_count)
-        if not guesses:
+    merges: list[tuple[int, int, int]] = []
+    size = 4
+    while len(merges) < n_merges:
+        ranked, counts = _candidates(words)
+        if not len(ranked) or counts[0] < min_count:
             break
-        pending = [(a, b) for _, a, b, _, _ in merges[written:]]
-        steps = _changes(words, pending + guesses, base, len(pending))
-        done = 0
-        for pair in guesses:
-            top = exact.best()
-            if top is None or top[0] != pair or top[1] < min_count:
-                break
-            merges.append((len(merges), *pair, N_BYTES + len(merges), top[1]))
-            exact.change(steps.get(done, {}).items())
-            done += 1
-        pending += guesses[:done]
-        jobs += 1
-        size = min(batch, max(FEWEST, 4 * done))
-        if done < len(guesses):                          # it went another way: the head as it was, with what was accepted
-            head = Head(*merge_words(*top_words, pending, base, None)[:2])
-        if jobs == PENDING_JOBS:
-            words = _merged(words, pending, base).checkpoint()
-            top_words = _long_words(*merge_words(*top_words, pending, base, None)[:2])
-            written, jobs = len(merges), 0
-    return spark.createDataFrame(merges, "rank int, left int, right int, token_id int, count bigint")
+        size = _fitting(words, ranked, sorted({min(max(1, k), len(ranked)) for k in (size // 4, size, 4 * size, 16 * size, CANDIDATES)}), head_words)
+        whole = size == len(ranked) < CANDIDATES         # no pair is left out
+        found = _next_merges(_distinct_stretches(words, ranked[:size]), None if whole else (-int(counts[size - 1]), int(ranked[size - 1])),
+                             N_BYTES + len(merges), min(batch, n_merges - len(merges)), min_count)
+        first_id = N_BYTES + len(merges)
+        merges += found
+        if len(merges) < n_merges:
+            words = _merged(words, [(a, b) for a, b, _ in found], first_id).checkpoint()
+    return spark.createDataFrame([(r, a, b, N_BYTES + r, n) for r, (a, b, n) in enumerate(merges)],
+                                 "rank int, left int, right int, token_id int, count bigint")

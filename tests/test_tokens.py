@@ -246,3 +246,20 @@ def test_token_unigram_bpb(spark):
     c = Counter(t for i in (0, 1) for t in enc[i])
     nats = -sum(math.log((c[t] + 1) / (sum(c.values()) + len(c) + 1)) for t in enc[2] if t != 257)
     assert r["total_bytes"] == 4 and r["valid_tokens"] == len(enc[2]) - 1 and abs(r["total_nats"] - nats) < 1e-9
+
+
+def test_rounds_do_not_grow_with_words_that_the_driver_does_not_hold(spark):
+    """Close counts that the most frequent words do not show: a few rounds all the same."""
+    import random
+    rng = random.Random(5)
+    hist = Counter("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(8000))
+    df = spark.createDataFrame(sorted(hist.items()), "pretoken string, freq long").coalesce(2).checkpoint()
+    group = "rounds-of-training"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = TK.bpe_train(df, 256 + 4 + 300, head_words=1000).orderBy("rank").collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == TK.bpe_train(df, 256 + 4 + 300).orderBy("rank").collect()
+    assert jobs <= 80
