@@ -391,7 +391,7 @@ def bpe_train(hist: DataFrame, vocab_size: int, n_special: int, min_count: int =
         ranked, counts = _candidates(words)
         if not len(ranked) or counts[0] < min_count:
             break
-        size = _fitting(words, ranked, sorted({min(max(1, k), len(ranked)) for k in (size // 4, size, 4 * size, 16 * size, CANDIDATES)}), head_words)
+        size = _fitting(words, ranked, sorted({min(max(1, k), len(ranked)) for k in (size // 4, *(size << i for i in range(5)), CANDIDATES)}), head_words)
         whole = size == len(ranked) < CANDIDATES         # no pair is left out
         found = _next_merges(_distinct_stretches(words, ranked[:size]), None if whole else (-int(counts[size - 1]), int(ranked[size - 1])),
                              N_BYTES + len(merges), min(batch, n_merges - len(merges)), min_count)

@@ -2,10 +2,11 @@
 
 Scale notes
 -----------
-* Pretokens are extracted by a JVM regex (T8) and counted with partial aggregation
-  (A10): the BPE trainer works on the *distinct* pretoken table, never on the corpus.
-* BPE training (B1, ``bpe_train``) is exact: merges are guessed ahead, and one job a batch verifies
-  them on all distinct pretokens; lineage is cut with ``checkpoint()``.
+* Texts are cut at single blanks, where every pretoken ends, and equal chunks are counted with partial
+  aggregation; a JVM regex (T8) takes pretokens from the distinct chunks alone (A10).  The BPE trainer
+  works on the *distinct* pretoken table, never on the corpus.
+* BPE training (B1, ``bpe_train``) is exact and takes a few rounds over the distinct pretokens; lineage is
+  cut with ``checkpoint()``.
 * Encoding (B2) is map-only: ``mapInPandas`` with a per-task pretoken cache and the
   merge ranks (bounded by the vocabulary size) shipped with the function.  Columns of the
   input ride along, so no consumer joins the ids back to their documents.
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions import chars as C
 from ..functions import text as X
-from .bpe_train import N_BYTES
+from .bpe_train import BLOCK, N_BYTES, as_symbols, merge_words
 from .bpe_train import bpe_train as learn_merges
 from .prefix import running_before
 
@@ -56,10 +57,27 @@ def prefix_by_chars(docs: DataFrame, max_chars: int | None = None, doc_cap: int
 # ---------------------------------------------------------------------------
 # A10: pretoken histogram
 # ---------------------------------------------------------------------------
+def chunk_counts(texts: DataFrame, text_col: str = "text", group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """``(group..., chunk, n, texts)``: texts cut before every single blank that stands between two characters
+    that are none, ``n`` equal chunks, ``texts`` of them at the beginning of a text.
+
+    No pretoken goes on over such a blank and none looks beyond it, so the pretokens of a text are those of its
+    chunks (words likewise), and only distinct chunks are searched for them.
+    """
+    return (texts.select(*group_cols, F.posexplode_outer(F.split(text_col, C.BEFORE_SINGLE_BLANK)).alias("_at", "chunk"))
+            .groupBy(*group_cols, "chunk")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.count_if(F.coalesce("_at", F.lit(0)) == 0).cast("bigint").alias("texts")))
+
+
+def pretokens_of(chunks: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """A10 from :func:`chunk_counts`."""
+    return (chunks.select(*group_cols, "n", F.explode(X.pretokenize("chunk")).alias("pretoken"))
+            .groupBy(*group_cols, "pretoken").agg(F.sum("n").cast("bigint").alias("freq")))
+
+
 def pretoken_histogram(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """A10: ``(pretoken, freq)`` over all texts (hot pretokens absorbed map-side)."""
-    return (texts.select(F.explode(X.pretokenize(text_col)).alias("pretoken"))
-            .groupBy("pretoken").agg(F.count(F.lit(1)).cast("bigint").alias("freq")))
+    """A10: ``(pretoken, freq)`` over all texts (hot chunks absorbed map-side)."""
+    return pretokens_of(chunk_counts(texts, text_col))
 
 
 def utf8_byte_ids(s: Column) -> Column:
@@ -158,6 +176,10 @@ def _bpe_word(word: bytes, ranks: dict) -> list[int]:
     return bpe_steps(word, ranks)[0]
 
 
+def _merge_pairs(merges: DataFrame) -> list[tuple[int, int]]:
+    return [(a, b) for a, b, _ in merges_to_ranks(merges)]
+
+
 def bpe_encode(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_col: str = "doc_id",
                bos_id: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """B2: ``(key, keep..., ids array<int>)`` for each document (ordinary text, optional BOS)."""
@@ -234,28 +256,45 @@ def merge_profile(hist: DataFrame, merges: DataFrame) -> DataFrame:
     are left after the merges of a rank below r: a prefix of the merge list is the smaller
     vocabulary, and one encoding answers every vocabulary size.
     """
-    ranks = {(a, b): (r, new) for r, (a, b, new) in enumerate(merges_to_ranks(merges))}
+    pairs = _merge_pairs(merges)
 
     def count(batches):
+        import numpy as np
         import pyarrow as pa
-        total: dict[int, int] = {}
-        for b in batches:
-            for word, freq in zip(b.column("word").to_pylist(), b.column("freq").to_pylist()):
-                if word is not None:
-                    total[-1] = total.get(-1, 0) + len(word) * freq
-                    for r in bpe_steps(word, ranks)[1]:
-                        total[r] = total.get(r, 0) + freq
-        yield pa.RecordBatch.from_pydict({"rank": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
-
-    return (hist.select(F.col("pretoken").cast("binary").alias("word"), F.col("freq").cast("long").alias("freq"))
+        total = np.zeros(1 + len(pairs), np.int64)      # of the bytes, then of every merge
+        for words, freqs in _word_blocks(batches):
+            total[0] += int((np.fromiter(map(len, words), np.int64, len(words)) * freqs).sum())
+            if pairs:
+                merge_words(*as_symbols(words, freqs), pairs, N_BYTES, None, applied=total[1:])
+        rank = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"rank": pa.array((rank - 1).astype(np.int32)), "n": pa.array(total[rank])})
+
+    return (hist.where(F.col("pretoken").isNotNull()).select(F.col("pretoken").cast("binary").alias("word"), F.col("freq").cast("long").alias("freq"))
             .mapInArrow(count, "rank int, n long").groupBy("rank").agg(F.sum("n").cast("long").alias("applied")))
 
 
+def _word_blocks(batches):
+    """Batches of ``(word, freq)`` as lists of words with their frequencies, some ``BLOCK`` bytes each."""
+    import numpy as np
+    words, freqs, held = [], [], 0
+    for b in batches:
+        words += (some := b.column("word").to_pylist())
+        freqs.append(b.column("freq").to_numpy(zero_copy_only=False))
+        held += sum(map(len, some))
+        if held >= BLOCK:
+            yield words, np.concatenate(freqs)
+            words, freqs, held = [], [], 0
+    if words:
+        yield words, np.concatenate(freqs)
+
+
 def fertility_by_size(docs: DataFrame, hist: DataFrame, merges: DataFrame, sizes: tuple[int, ...],
-                      n_special: int = len(C.SPECIAL_TOKENS), text_col: str = "text") -> DataFrame:
-    """A7 at several vocabulary sizes: ``(vocab_size, tokens, words, fertility)``; 0 without words."""
+                      n_special: int = len(C.SPECIAL_TOKENS), text_col: str = "text", n_col: str | None = None) -> DataFrame:
+    """A7 at several vocabulary sizes: ``(vocab_size, tokens, words, fertility)``; 0 without words.  With
+    ``n_col`` a row of ``docs`` stands for so many equal texts (or chunks of texts)."""
     profile = merge_profile(hist, merges)
-    words = docs.select(F.coalesce(F.sum(F.size(X.words(text_col))), F.lit(0))).scalar()
+    n = F.lit(1) if n_col is None else F.col(n_col)
+    words = docs.select(F.coalesce(F.sum(F.size(X.words(text_col)) * n), F.lit(0))).scalar()
     at = profile.select("*", F.explode(F.array(*[F.lit(v) for v in sizes])).alias("vocab_size"))
     used = F.when(F.col("rank") < 0, F.col("applied")).when(
         F.col("rank") < F.col("vocab_size") - (N_BYTES + n_special), -F.col("applied")).otherwise(0)

@@ -263,3 +263,20 @@ def test_rounds_do_not_grow_with_words_that_the_driver_does_not_hold(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == TK.bpe_train(df, 256 + 4 + 300).orderBy("rank").collect()
     assert jobs <= 80
+
+
+def test_chunks_have_the_pretokens_and_words_of_their_texts(spark):
+    import random
+    rng = random.Random(1)
+    parts = [" ", " ", "  ", "\n", "\r\n", "\t", chr(0xA0), chr(0x2003), chr(0x1C), "a", "Bc", "7", "123", ".", "!?", "'", chr(0x0628) + chr(0x064E), chr(0x064E), chr(0xE001), chr(0x1F600), ""]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    pat = regex.compile(C.SPLIT_PATTERN)
+    want = Counter(p for t in texts for p in pat.findall(t))
+    chunks = TK.chunk_counts(docs).checkpoint()
+    assert {r["pretoken"]: r["freq"] for r in TK.pretokens_of(chunks).collect()} == want
+    assert chunks.agg(F.sum("texts")).first()[0] == 401
+    merges = spark.createDataFrame([], "rank int, left int, right int, token_id int, count bigint")
+    hist = TK.pretoken_histogram(docs)
+    a, b = TK.fertility_by_size(docs, hist, merges, (260,)).first(), TK.fertility_by_size(chunks, hist, merges, (260,), text_col="chunk", n_col="n").first()
+    assert a == b and a["words"] == sum(len(t.split()) for t in texts)
