@@ -7,9 +7,9 @@ Scale notes
   works on the *distinct* pretoken table, never on the corpus.
 * BPE training (B1, ``bpe_train``) is exact and takes a few rounds over the distinct pretokens; lineage is
   cut with ``checkpoint()``.
-* Encoding (B2) is map-only: ``mapInPandas`` with a per-task pretoken cache and the
-  merge ranks (bounded by the vocabulary size) shipped with the function.  Columns of the
-  input ride along, so no consumer joins the ids back to their documents.
+* Encoding (B2) is map-only: ``mapInArrow`` with a per-task pretoken cache and the merges (bounded by
+  the vocabulary size) shipped with the function; the new words of a batch are merged as one array.  Columns
+  of the input ride along, so no consumer joins the ids back to their documents.
 * Decoding (B3) is built-in: token id -> hex literal array (vocabulary-sized), unhex.
 """
 
@@ -172,8 +172,47 @@ def bpe_steps(word: bytes, ranks: dict) -> tuple[list[int], list[int]]:
     return [x for x in ids if x >= 0], applied
 
 
-def _bpe_word(word: bytes, ranks: dict) -> list[int]:
-    return bpe_steps(word, ranks)[0]
+class WordIds:
+    """Ids of words by the merges; words met before are remembered."""
+
+    def __init__(self, pairs: list[tuple[int, int]], most: int = CACHED_PRETOKENS):
+        import numpy as np
+        self.pairs, self.most = np.array(pairs, np.int64).reshape(-1, 2), most
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+        self.slots: dict[str, int] = {}
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def slots_of(self, words: list[str]):
+        """The place of each of the distinct words; the ids of place i are ``ids[first[i]:first[i + 1]]``."""
+        import numpy as np
+        if len(self.slots) + len(words) > self.most:
+            self._forget()
+        new = [w for w in words if w not in self.slots]
+        if new:
+            ids, lengths = encode_words([w.encode("utf-8") for w in new], self.pairs)
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(lengths))
+            self.ids = np.append(self.ids, ids)
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+
+def encode_words(words: list[bytes], pairs):
+    """The words' ids one after the other, and how many each word has: what ``bpe_steps`` gives, by one array."""
+    import numpy as np
+    symbols, order, _, _ = merge_words(*as_symbols(words, np.arange(len(words))), pairs, N_BYTES, None)
+    stops = np.flatnonzero(symbols < 0)
+    lengths, begins = np.diff(stops, prepend=-1) - 1, np.concatenate((np.zeros(1, np.int64), stops + 1))
+    back = np.argsort(order)
+    return symbols[_runs(begins[back], lengths[back])], lengths[back]
+
+
+def _runs(first, lengths):
+    """``first[0], first[0] + 1, ...`` for every run of places."""
+    import numpy as np
+    return np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
 
 
 def _merge_pairs(merges: DataFrame) -> list[tuple[int, int]]:
@@ -183,31 +222,29 @@ def _merge_pairs(merges: DataFrame) -> list[tuple[int, int]]:
 def bpe_encode(docs: DataFrame, merges: DataFrame, text_col: str = "text", key_col: str = "doc_id",
                bos_id: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """B2: ``(key, keep..., ids array<int>)`` for each document (ordinary text, optional BOS)."""
-    ranks = {(a, b): (r, new) for r, (a, b, new) in enumerate(merges_to_ranks(merges))}
+    pairs = _merge_pairs(merges)
     pre = docs.select(F.col(key_col).alias("key"), *keep, X.pretokenize(text_col).alias("pretokens"))
     fields = [f"key {docs.schema[key_col].dataType.simpleString()}",
               *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep], "ids array<int>"]
 
     def encode(batches):
-        import pandas as pd
-        cache: dict[str, list[int]] = {}
-        for pdf in batches:
-            out = []
-            for toks in pdf["pretokens"]:
-                ids = [] if bos_id is None else [bos_id]
-                if toks is not None:
-                    for t in toks:
-                        got = cache.get(t)
-                        if got is None:
-                            got = _bpe_word(t.encode("utf-8"), ranks)
-                            if len(cache) >= CACHED_PRETOKENS:
-                                cache.clear()
-                            cache[t] = got
-                        ids.extend(got)
-                out.append(ids)
-            yield pd.DataFrame({"key": pdf["key"], **{c: pdf[c] for c in keep}, "ids": out})
-
-    return pre.mapInPandas(encode, ", ".join(fields)).withColumnRenamed("key", key_col)
+        import numpy as np
+        import pyarrow as pa
+        known = WordIds(pairs)
+        for b in batches:
+            lists = b.column("pretokens")
+            coded = lists.flatten().dictionary_encode()
+            slot = known.slots_of(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+            lengths = np.diff(known.first)[slot]
+            counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))[np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))]
+            ids = known.ids[_runs(known.first[slot], lengths)]
+            if bos_id is not None:
+                ids, ends = np.insert(ids, ends[:-1], bos_id), ends + np.arange(len(ends))
+            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], [*b.schema.names[:-1], "ids"])
+
+    return pre.mapInArrow(encode, ", ".join(fields)).withColumnRenamed("key", key_col)
 
 
 # ---------------------------------------------------------------------------

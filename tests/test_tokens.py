@@ -280,3 +280,26 @@ def test_chunks_have_the_pretokens_and_words_of_their_texts(spark):
     hist = TK.pretoken_histogram(docs)
     a, b = TK.fertility_by_size(docs, hist, merges, (260,)).first(), TK.fertility_by_size(chunks, hist, merges, (260,), text_col="chunk", n_col="n").first()
     assert a == b and a["words"] == sum(len(t.split()) for t in texts)
+
+
+def test_encoding_a_batch_equals_word_by_word(spark):
+    import random
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aab  .") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    merges = py_bpe(texts, 25)
+    ranks = {(a, b): (r, new) for r, (a, b, new, _) in enumerate(merges)}
+    table = spark.createDataFrame([(r, *m) for r, m in enumerate(merges)], "rank int, left int, right int, token_id int, count bigint")
+    pat = regex.compile(C.SPLIT_PATTERN)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["text"], r["ids"]) for r in TK.bpe_encode(docs, table, keep=("text",), bos_id=999).collect()}
+    assert got == {i: (t, [999, *(x for p in pat.findall(t or "") for x in TK.bpe_steps(p.encode(), ranks)[0])]) for i, t in enumerate([*texts, None])}
+    words = TK.WordIds([(a, b) for a, b, _, _ in merges], most=3)     # forgets between batches
+    for some in (["ab", "aab"], ["b", "aab", "aaaa", "ab"], ["aab"], []):
+        slots = words.slots_of(some)
+        assert [words.ids[words.first[i]:words.first[i + 1]].tolist() for i in slots] == [TK.bpe_steps(w.encode(), ranks)[0] for w in some]
+    profile = Counter()
+    for w, n in Counter(p for t in texts for p in pat.findall(t)).items():
+        profile.update({-1: len(w) * n})
+        for r in TK.bpe_steps(w.encode(), ranks)[1]:
+            profile[r] += n
+    assert {r["rank"]: r["applied"] for r in TK.merge_profile(TK.pretoken_histogram(docs), table).collect()} == profile
