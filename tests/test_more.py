@@ -84,6 +84,21 @@ def test_collision_reports(spark, mini_corpus):
     assert lines[8]["line"] == "Top 20 most ambiguous words:"
 
 
+def test_json_report_keeps_its_lists_off_the_driver(spark, mini_corpus):
+    """A scalar subquery's value is collected and becomes part of the plan: none may hold the variants."""
+    from marktext.operators import ambiguity as A
+    variants = A.variant_counts(A.word_pairs(mini_corpus))
+    forms = A.forms_of(variants)
+
+    def report(top):
+        return W.collision_report_json(A.collision_summary(forms), top.select("rank", F.col("stripped").alias("word"), "n_variants"),
+                                       A.form_variants(variants, top), window_rate=A.window_ambiguity_sampled(mini_corpus, forms, window=2, n_samples=50))
+    plan = report(A.top_forms(forms, 3))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("collect_list" in line for line in plan)
+    assert not [line for line in plan if line.startswith(":") and "collect_list" in line]     # below the root: its subqueries
+    assert report(A.top_forms(forms, 3).where("rank < 0")).first()["json"].endswith(',"top_50_ambiguous":[]}')
+
+
 def test_val_shard_missing_in_manifest_is_an_error(spark):
     import pytest
     man = spark.createDataFrame([("d1", None)], "condition string, val_shard int")
