@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions import chars as C
 from ..functions import text as X
+from ..session import ensure_checkpoint_dir
 from .bpe_train import BLOCK, N_BYTES, as_symbols, merge_words
 from .bpe_train import bpe_train as learn_merges
 from .prefix import running_before
@@ -379,9 +380,12 @@ def token_unigram_bpb(docs: DataFrame, merges: DataFrame, chunks: DataFrame | No
     texts = chunks.agg(*[F.coalesce(F.sum(F.when(here, F.col("texts"))), F.lit(0)).alias(out) for out, here in of.items()])
     words = (pretokens_of(chunks, ("split",)).groupBy("pretoken")
              .agg(*[F.coalesce(F.sum(F.when(here, F.col("freq"))), F.lit(0)).alias(out) for out, here in of.items()]))
+    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))      # few bytes, but much work each
     tokens = bpe_encode(words, merges, "pretoken", "pretoken", keep=("c", "n")).select(F.explode("ids").alias("token_id"), "c", "n")
     counts = (tokens.unionByName(texts.select(F.lit(bos).cast("int").alias("token_id"), "c", "n"))
               .groupBy("token_id").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
+    ensure_checkpoint_dir(spark)
+    counts = counts.checkpoint()                        # vocabulary-sized; its totals would encode all once more
     totals = counts.agg(F.sum("c").alias("N"), F.count_if(F.col("c") > 0).alias("V"))
     p = (F.col("c") + 1) / (totals.select("N").scalar() + totals.select("V").scalar() + 1)
     loss = counts.where(F.col("n") > 0).select("token_id", "n", (-F.log(p)).alias("loss_nats"))
